@@ -63,7 +63,7 @@ def p1_type_values(spark: SparkSession, folder: str) -> DataFrame:
     return totals(packed, keys).join(cut, keys, "left").select(*keys, "n_rows", "n_distinct", "mode", *at)
 
 
-GENES_SQL = r"""genes AS (SELECT genome, regexp_replace(lower(regexp_replace(chr, '^\s+|\s+$', '', 'g')), '^chr', '') AS chrom, regexp_replace(strand, '^\s+|\s+$', '', 'g') AS strand, start AS s, "end" AS e
+GENES_SQL = r"""genes AS (SELECT DISTINCT genome, regexp_replace(lower(regexp_replace(chr, '^\s+|\s+$', '', 'g')), '^chr', '') AS chrom, regexp_replace(strand, '^\s+|\s+$', '', 'g') AS strand, start AS s, "end" AS e
  FROM gene_anno WHERE start < "end" AND regexp_replace(strand, '^\s+|\s+$', '', 'g') IN ('+', '-'))"""
 
 PERIODS_SQL = f"""WITH {GENES_SQL},
