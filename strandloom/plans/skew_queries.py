@@ -30,8 +30,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     counts = table(spark, folder, "rna_counts")
     by_cell = compress(counts.where("cell_id IS NOT NULL"), ["cell_id"], "cell_id").withColumnRenamed("value", "cell")
     rows = totals(compress(by_cell.join(both_types(spark, folder), "cell_id"), ["labeling", "main_cell_type"], "cell", "weight"), ["labeling", "main_cell_type"])
-    whole = counts.agg(F.count("*").alias("whole"))
-    return rows.join(F.broadcast(whole), F.col("n_rows") >= 0.1 * F.col("whole")).select("labeling", "main_cell_type")  # whole: one row
+    return rows.where(F.col("n_rows") >= F.lit(0.1 * counts.count())).select("labeling", "main_cell_type")
 
 
 @CATALOG.add(
