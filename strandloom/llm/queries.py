@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.columns import sample_of, type_name
 from strandloom.llm.clusters import density_peaks, descriptions, groups
+from strandloom.llm.languages import disputed, segments, train
+from strandloom.llm.mixing import Mix, mix
 from strandloom.llm.neighbours import mutual_pairs, nearest_above, search
+from strandloom.llm.packing import cut_documents, fill_report, pack
+from strandloom.llm.sampling import balanced_sample
+from strandloom.plans.cells import OBS_SQL, TYPE_SQL
 from strandloom.plans.registry import Catalog, table
 
 CATALOG = Catalog()
@@ -47,3 +53,97 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 nearest of every vector whose id is divisible by 50, searched among all."""
     return search(table(spark, folder, "cell_embedding"), 5).withColumn("cosine", F.round("cosine", 5))
+
+
+def _drawn(spark: SparkSession, folder: str):
+    kind = type_name("main_cell_type")
+    latest = table(spark, folder, "rna_obs").where("cell_id IS NOT NULL").groupBy("cell_id").agg(F.max(F.struct("loaded_at", kind.alias("main_cell_type"), "lane_batch")).alias("x"))
+    cells = latest.select("cell_id", sample_of("cell_id").alias("sample_id"), "x.main_cell_type", "x.lane_batch")
+    return balanced_sample(cells, table(spark, folder, "sample_targets"), balance="lane_batch")
+
+
+WANTED_SQL = f"""WITH {OBS_SQL}, stock AS (SELECT split_part(cell_id, '_', 1) AS sample_id, main_cell_type, count(*) AS available FROM obs_type WHERE main_cell_type IS NOT NULL GROUP BY 1, 2),
+ goal AS (SELECT sample_id, {TYPE_SQL} AS main_cell_type, greatest(CAST(round(coalesce(target_share, 0) * sample_size) AS BIGINT), coalesce(min_cells, 0)) AS wanted FROM sample_targets),
+ plan AS (SELECT sample_id, main_cell_type, wanted, CAST(coalesce(available, 0) AS BIGINT) AS available FROM goal LEFT JOIN stock USING (sample_id, main_cell_type))"""
+
+
+@CATALOG.add("p3_found", f"{WANTED_SQL} SELECT sample_id, main_cell_type FROM plan WHERE available < wanted")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _drawn(spark, folder).report.where("missing > 0").select("sample_id", "main_cell_type")
+
+
+@CATALOG.add("p3_report", f"{WANTED_SQL} SELECT sample_id, main_cell_type, wanted, available, least(wanted, available) AS drawn, wanted - least(wanted, available) AS missing FROM plan")
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many cells of each type were wanted, exist, and were drawn."""
+    return _drawn(spark, folder).report.select("sample_id", "main_cell_type", "wanted", "available", "drawn", "missing")
+
+
+@CATALOG.add("p3_sample")
+def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn cells."""
+    return _drawn(spark, folder).cells
+
+
+@CATALOG.add("p3_balance")
+def p3_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Residual imbalance of the drawn cells by lane."""
+    return _drawn(spark, folder).balance
+
+
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    limit = table(spark, folder, "pack_limits").orderBy("container").head()["capacity_tokens"]
+    return pack(table(spark, folder, "documents"), limit), limit
+
+
+@CATALOG.add("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_documents(_packed(spark, folder)[0])
+
+
+@CATALOG.add("p6_packed")
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document and piece."""
+    return _packed(spark, folder)[0]
+
+
+@CATALOG.add("p6_containers")
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Items, used and free tokens of every container."""
+    return fill_report(*_packed(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str) -> Mix:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@CATALOG.add("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder).report.where("out_of_reach").select("source")
+
+
+@CATALOG.add("p7_shares")
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source, and what is missing."""
+    return _mixed(spark, folder).report
+
+
+@CATALOG.add("p7_plan")
+def p7_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every use of a document in the mix."""
+    return _mixed(spark, folder).plan
+
+
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return segments(docs, train(docs), lang_col="lang")
+
+
+@CATALOG.add("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return disputed(_passages(spark, folder))
+
+
+@CATALOG.add("p8_passages")
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every passage of every document."""
+    return _passages(spark, folder).withColumn("confidence", F.round("confidence", 4))
