@@ -70,6 +70,12 @@ def prepared(df: DataFrame, id_col: str, vec_col: str, dim: int, min_cosine: flo
     return copies, build_index(copies.reps, n, dim, min_cosine, block_rows)
 
 
+def chosen(vectors: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows of ``vectors`` named by ``ids``. The ids are counted; up to ``most`` (8 MB) are broadcast, so the vectors aren't shuffled."""
+    ids = cut(ids.distinct())
+    return vectors.join(F.broadcast(ids) if ids.count() <= most else ids, "vec_id", "left_semi")
+
+
 def nearest_above(df: DataFrame, k: int, min_cosine: float, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, block_rows: int = 4096) -> DataFrame:
     """``a, b, cosine, rank``-like rows ``a, b, cosine``: for every usable vector a, its up to k most similar others b
     with a cosine of at least ``min_cosine``.
@@ -82,8 +88,7 @@ def nearest_above(df: DataFrame, k: int, min_cosine: float, id_col: str = "vec_i
     have no rows; an empty table gives an empty result; other columns are left out.
     """
     copies, index = prepared(df, id_col, vec_col, dim, min_cosine, block_rows)
-    some = cut(screen(copies.reps, index, dim, min_cosine))
-    near = copies.reps.join(some, "vec_id", "left_semi").withColumn("extra", F.lit(0))
+    near = chosen(copies.reps, screen(copies.reps, index, dim, min_cosine)).withColumn("extra", F.lit(0))
     found = by_tile_group(lay_out(near, index, dim, True), index.slices).applyInArrow(_near(k, min_cosine), PAIRS)
     return _unfold(_ranked(found, k), copies, k)
 
