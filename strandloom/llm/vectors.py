@@ -239,7 +239,7 @@ class Tiles:
 
 
 def screen(vectors: DataFrame, index: Index, dim: int, min_cosine: float) -> DataFrame:
-    """``vec_id`` of the rows with at least one pair whose upper bound reaches ``min_cosine``; codes alone are shuffled."""
+    """``vec_id``, possibly repeated, of the rows with at least one pair whose upper bound reaches ``min_cosine``; codes alone are shuffled."""
     laid = lay_out(vectors.withColumn("extra", F.lit(0)), index, dim, False)
 
     def near(t: pa.Table) -> pa.Table:
@@ -250,4 +250,4 @@ def screen(vectors: DataFrame, index: Index, dim: int, min_cosine: float) -> Dat
             seen[j] = True
         return pa.table({"vec_id": pa.array(tiles.ids[seen], pa.int64())})
 
-    return by_tile_group(laid, index.slices).applyInArrow(near, "vec_id bigint").distinct()
+    return by_tile_group(laid, index.slices).applyInArrow(near, "vec_id bigint")
