@@ -77,15 +77,22 @@ def _tail(k: int, total: int, marked: int, drawn: int) -> float:
     return min(1.0, math.exp(most) * math.fsum(math.exp(x - most) for x in logs)) if logs else 0.0
 
 
-@F.pandas_udf("double")
-def hypergeometric_tail(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-    return pd.Series([_tail(*map(int, x)) for x in zip(k, total, marked, drawn)])
+def hypergeometric_tail(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
+    """Probability of at least ``k`` marked among the drawn, in Arrow batches."""
 
+    def tail(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
+        return pd.Series([_tail(*map(int, x)) for x in zip(k, total, marked, drawn)])
 
-@F.pandas_udf("double")
-def normal_tail(z: pd.Series) -> pd.Series:
-    """Two-sided tail of the normal distribution."""
-    return pd.Series([math.erfc(abs(x) / math.sqrt(2)) if x == x and x is not None else np.nan for x in z])
+    return F.pandas_udf(tail, "double")(k, total, marked, drawn)
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided tail of the normal distribution, in Arrow batches; null for null and NaN."""
+
+    def tail(z: pd.Series) -> pd.Series:
+        return pd.Series([math.erfc(abs(x) / math.sqrt(2)) if x == x and x is not None else np.nan for x in z])
+
+    return F.nullif(F.pandas_udf(tail, "double")(z), F.lit(float("nan")))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, within: Sequence[str], out: str = "p_adjusted") -> DataFrame:
@@ -102,7 +109,7 @@ def over_representation(hits: DataFrame, sets: DataFrame, universe: int, low: in
     drawn = hits.select("topic_id", "gene").distinct().withColumn("n", F.count("*").over(Window.partitionBy("topic_id")))
     k = drawn.join(sized, "gene").groupBy("topic_id", "set_id", "n", "m").agg(F.count("*").alias("k"))
     fold = (F.col("k") / F.col("n")) / (F.col("m") / F.lit(universe))
-    scored = k.withColumn("fold", fold).withColumn("p", hypergeometric_tail("k", F.lit(universe), "m", "n"))
+    scored = k.withColumn("fold", fold).withColumn("p", hypergeometric_tail(F.col("k"), F.lit(universe), F.col("m"), F.col("n")))
     return benjamini_hochberg(scored, "p", ["topic_id"])
 
 
