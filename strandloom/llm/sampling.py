@@ -63,17 +63,17 @@ class Drawn:
     balance: DataFrame
 
 
-def balanced_sample(units: DataFrame, targets: DataFrame, unit: str = "cell_id", stratum: str = "sample_id", category: str = "main_cell_type", balance: str = "prep_batch", salts: int = 32, seed: int = 5) -> Drawn:
+def balanced_sample(units: DataFrame, targets: DataFrame, unit: str = "cell_id", stratum: str = "sample_id", category: str = "main_cell_type", balance: str = "prep_batch", part_rows: int = 20_000, seed: int = 5) -> Drawn:
     """From each stratum a sample with ``max(round(target_share * sample_size), min_cells)`` units of each category, or all there are.
 
     ``units`` holds one row for each unit with its stratum, category and a column to balance on. Within a category all units have the same
     probability quota / available. The category counts are met exactly; the values of ``balance`` come out as close to their expectation as
     whole units allow, and what remains is reported.
 
-    Flights: (1) the units of one stratum, category and balance value are exchangeable; in each of ``salts`` hashed parts of them the flight's
+    Flights: (1) the units of one stratum, category and balance value are exchangeable; in each hashed part of them (one for every ``part_rows`` units of the category) the flight's
     outcome is: of n units in random order the first floor(n p) are in, the next stays undecided with the rest of the probability, the others are
     out. So a category or stratum with a third of all rows is spread over many tasks, and a part hands on one unit at most.
-    (2) What is left of a stratum, category and value meets, at most ``salts`` units. (3) What is left of a stratum meets: at most one unit for each category
+    (2) What is left of a stratum, category and value meets, one unit of each part at most. (3) What is left of a stratum meets: at most one unit for each category
     and value; they fly under all constraints, then land. Random order is by hash with ``seed``: repeated runs give the same sample.
 
     Targets: null shares, minimums and sizes count as 0; names are compared in lower case with blanks and underscores alike; rows without stratum
@@ -88,13 +88,13 @@ def balanced_sample(units: DataFrame, targets: DataFrame, unit: str = "cell_id",
     stock = pool.groupBy("stratum", "category").agg(F.count("*").alias("available"))
     plan = cut(goal.join(stock, ["stratum", "category"], "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("quota", F.least("wanted", "available")))
 
-    inside = pool.join(plan.where("quota > 0").select("stratum", "category", (F.col("quota") / F.col("available")).alias("p")), ["stratum", "category"])
-    part = inside.withColumn("salt", F.pmod(F.xxhash64("unit", F.lit(seed + 1)), F.lit(salts)))
+    inside = pool.join(plan.where("quota > 0").select("stratum", "category", (F.col("quota") / F.col("available")).alias("p"), F.ceil(F.col("available") / part_rows).alias("parts")), ["stratum", "category"])
+    part = inside.withColumn("salt", F.pmod(F.xxhash64("unit", F.lit(seed + 1)), F.col("parts")))
     w = Window.partitionBy("stratum", "category", "value", "salt")
     first = part.withColumn("r", F.row_number().over(w.orderBy(F.xxhash64("unit", F.lit(seed)), "unit"))).withColumn("mass", F.count("*").over(w) * F.col("p"))
     whole = F.floor(F.col("mass") + EPS)
-    rest = F.col("mass") - whole
-    first = first.withColumn("p", F.when(F.col("r") <= whole, 1.0).when((F.col("r") == whole + 1) & (rest > EPS), rest).otherwise(0.0))
+    part_of_one = F.col("mass") - whole
+    first = first.withColumn("p", F.when(F.col("r") <= whole, 1.0).when((F.col("r") == whole + 1) & (part_of_one > EPS), part_of_one).otherwise(0.0))
     first = cut(first.where("p > 0").select("stratum", "category", "value", "unit", "p"))
     sure = first.where("p = 1").select("stratum", "category", "value", "unit")
 
@@ -113,7 +113,9 @@ def balanced_sample(units: DataFrame, targets: DataFrame, unit: str = "cell_id",
         return pdf[pdf["p"] > 0]
 
     kind = "stratum string, category string, value string, unit string, p double"
-    met = cut(first.where("p < 1").groupBy("stratum", "category", "value").applyInPandas(meet, kind))
+    rest = first.where("p < 1").select("stratum", "category", "value", "unit", "p").withColumn("__n", F.count("*").over(Window.partitionBy("stratum", "category", "value")))
+    several = rest.where("__n > 1").drop("__n").groupBy("stratum", "category", "value").applyInPandas(meet, kind)
+    met = cut(rest.where("__n = 1").drop("__n").unionAll(several))
     landed = met.where("p < 1 - 1e-9").groupBy("stratum").applyInPandas(decide, kind)
     cells = cut(sure.unionAll(met.where("p >= 1 - 1e-9").select(*sure.columns)).unionAll(landed.select(*sure.columns)))
 
