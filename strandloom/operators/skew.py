@@ -69,7 +69,7 @@ def percentiles(compressed: DataFrame, keys: Sequence[str], points: Sequence[flo
     inside = inside.withColumn("__to", upto).withColumn("__rank", F.explode(F.filter("__ranks", lambda r: (r < F.col("__to")) & (r >= F.col("__to") - F.col("weight")))))
     at = inside.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", F.col("value").cast("double")))).alias("__at"), F.first("__n").alias("__n"))  # at most two ranks a point
     lo, hi = [F.element_at("__at", F.floor(x)) for x in exact], [F.element_at("__at", F.ceil(x)) for x in exact]
-    return at.select(*keys, F.array(*[a + (b - a) * (x - F.floor(x)) for a, b, x in zip(lo, hi, exact)]).alias("percentiles"))
+    return at.select(*keys, F.array(*[F.when(F.floor(x) == x, a).otherwise(a + (b - a) * (x - F.floor(x))) for a, b, x in zip(lo, hi, exact)]).alias("percentiles"))
 
 
 def key_stats(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float] = (), weight: str | None = None) -> DataFrame:
