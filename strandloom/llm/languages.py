@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import cut
+from strandloom.llm.vectors import hash_share
 
 # ISO 639-1 code, ISO 639-2 codes (terminological, bibliographic) and English name of languages written with the letters of Europe.
 LANGUAGES = """
@@ -326,12 +326,14 @@ def fit(texts: list[str], labels: list[str], per_language: int = 1200, epochs: i
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000, max_chars: int = 12_000_000) -> Model:
-    """A model from at most ``sample_rows`` labelled rows (and ``max_chars`` characters) of ``df``, drawn by hash of the text.
+    """A model from at most ``sample_rows`` labelled rows (and ``max_chars`` characters) of ``df``, drawn by hash of the text, of equal texts one.
 
     The labels' notations are read by ``label_code``; rows without a readable label or without text are not drawn.
     """
     labelled = df.select(F.col(text_col).alias("text"), label_code(lang_col).alias("lang")).where("lang IS NOT NULL AND length(text) > 0")
-    rows = labelled.withColumn("o", F.xxhash64("text")).orderBy("o", "lang").limit(sample_rows).select("text", "lang").toArrow()
+    marked = labelled.withColumn("o", F.xxhash64("text"))
+    few = hash_share(marked, "o", 1.5 * sample_rows / max(1, labelled.count()))
+    rows = few.groupBy("o").agg(F.min_by("text", "lang").alias("text"), F.min("lang").alias("lang")).orderBy("o").limit(sample_rows).select("text", "lang").toArrow()
     texts, labels = rows["text"].to_pylist(), rows["lang"].to_pylist()
     n, total = 0, 0
     while n < len(texts) and total + len(texts[n]) <= max_chars:

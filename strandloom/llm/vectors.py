@@ -57,6 +57,11 @@ def fold_copies(vectors: DataFrame) -> Copies:
     return Copies(plain.unionAll(repeated), members)
 
 
+def hash_share(df: DataFrame, mark: str, share: float) -> DataFrame:
+    """The rows in the lowest ``share`` of the range of a 64-bit hash: a sample that every task draws for itself."""
+    return df.where(F.col(mark) < F.lit(int(-(2**63) + min(1.0, share) * (2**64 - 2**11)))) if share < 1 else df
+
+
 @dataclass
 class Index:
     """Pivots of the blocks, how far from a boundary a row still visits the block beyond it, and the number of slices of
@@ -99,7 +104,9 @@ def build_index(vectors: DataFrame, n: int, dim: int, min_cosine: float, block_r
     reach = float(np.tan(np.arccos(min_cosine)) * min(1.0, sigmas / np.sqrt(max(dim - 1, 1))))
     if k == 1:
         return Index(np.ones((1, dim)) / np.sqrt(dim), reach, {0: -(-n // SLICE_ROWS)} if n > SLICE_ROWS else {})
-    rows = vectors.select("embedding", F.xxhash64("vec_id").alias("o")).orderBy("o").limit(min(sample_rows, 64 * k)).select("embedding").toArrow()
+    want = min(sample_rows, 64 * k)
+    marked = vectors.select("embedding", F.xxhash64("vec_id").alias("o"))
+    rows = hash_share(marked, "o", 1.5 * want / n).orderBy("o").limit(want).select("embedding").toArrow()
     x = unit_rows(rows["embedding"], dim)
     pivots = x[:: max(1, len(x) // k)][:k].copy()
     for _ in range(5 if k <= 1024 else 0):
