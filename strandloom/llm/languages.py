@@ -266,7 +266,7 @@ def _sgd(bags: _Bags, y: np.ndarray, k: int, epochs: int, rate: float, seed: int
 
 
 def fit(texts: list[str], labels: list[str], per_language: int = 1200, epochs: int = 6, rate: float = 1.3, seed: int = 11) -> Model:
-    """Trains on sentences of labelled texts, of which many labels may be wrong.
+    """Trains on up to ``per_language`` sentences of labelled texts for each label; many labels may be wrong.
 
     A first model is trained on all of them and judges every sentence. Sentences whose label it doesn't share, and languages of which it
     shares less than half of the sentences, are taken to be mislabelled and left out of the second training. A held-out fifth gives the
@@ -287,15 +287,17 @@ def fit(texts: list[str], labels: list[str], per_language: int = 1200, epochs: i
 
     def judged(part: np.ndarray, model: Model) -> np.ndarray:
         sub = Sentences(s.text[part], s.words[part], s.whole[part], s.begin[part], s.end[part], s.index, s.distinct)
-        logits, has = model.word_logits(s.distinct)
-        z = np.zeros((len(part), len(model.languages)))
-        for i in range(len(part)):
-            t = sub.index[sub.begin[i] : sub.end[i]]
+        used, place = np.unique(np.concatenate([sub.index[a:b] for a, b in zip(sub.begin, sub.end)] or [np.zeros(0, np.int64)]), return_inverse=True)
+        logits, has = model.word_logits([s.distinct[t] for t in used])
+        z, at = np.zeros((len(part), len(model.languages))), 0
+        for i, n in enumerate(sub.end - sub.begin):
+            t = place[at : at + n]
+            at += n
             t = t[has[t]]
             z[i] = (logits[t].mean(axis=0) if len(t) else 0) + model.bias
         return z
 
-    first = Model(kinds, *_sgd(bags, y, len(kinds), epochs, rate, seed))
+    first = Model(kinds, *_sgd(bags, y, len(kinds), max(1, epochs // 2), rate, seed))
     agree = judged(rows, first).argmax(axis=1) == y
     good = [i for i in range(len(kinds)) if agree[y == i].mean() >= 0.5] or list(range(len(kinds)))
     keep = agree & np.isin(y, good)
@@ -325,7 +327,7 @@ def fit(texts: list[str], labels: list[str], per_language: int = 1200, epochs: i
     return model
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000, max_chars: int = 12_000_000) -> Model:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000, max_chars: int = 6_000_000) -> Model:
     """A model from at most ``sample_rows`` labelled rows (and ``max_chars`` characters) of ``df``, drawn by hash of the text, of equal texts one.
 
     The labels' notations are read by ``label_code``; rows without a readable label or without text are not drawn.
