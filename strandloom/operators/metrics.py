@@ -59,7 +59,8 @@ def bootstrap(df: DataFrame, unit: str, predicted: str, truth: str, rounds: int
     vp, vt = F.col("pp") - F.col("p") ** 2 / F.col("n"), F.col("tt") - F.col("t") ** 2 / F.col("n")
     pcc = F.when((vp > 1e-15) & (vt > 1e-15), (F.col("pt") - F.col("p") * F.col("t") / F.col("n")) / F.sqrt(vp * vt))
     sds = m.agg(F.stddev_pop(pcc).alias("pcc_sd"), F.stddev_pop(F.sqrt(F.col("ee") / F.col("n"))).alias("rmse_sd"))
-    return regression(df, predicted, truth).select("n", "pcc", "rmse").join(sds)  # one row each
+    one = F.lit(1).alias("__one")
+    return regression(df, predicted, truth).select(one, "n", "pcc", "rmse").join(sds.select(one, "*"), "__one").drop("__one")  # one row each
 
 
 def _tail(k: int, total: int, marked: int, drawn: int) -> float:

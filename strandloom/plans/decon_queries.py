@@ -9,6 +9,7 @@ from strandloom.functions.columns import sample_of
 from strandloom.operators import deconvolve as D
 from strandloom.operators import intervals as I
 from strandloom.operators import metrics as M
+from strandloom.operators import pipelines
 from strandloom.operators.matrix import argmax, matmul, share
 from strandloom.plans import adapters as A
 from strandloom.plans.adapters import with_sql
@@ -219,3 +220,27 @@ def no_gas_baseline(s: SparkSession, d: str) -> DataFrame:
     peak_topic = matmul(A.gene_topic(s, d), _links(s, d), ["topic_id"], ["gene"], ["peak_id"], "weight", "weight", "weight")
     theta = D.nnls(peak_topic, A.peak_counts(s, d), "topic_id", "peak_id")
     return _r(D.fractions(theta, _topic_type(s, d)), 6, "fraction")
+
+
+@add("correlation_p")
+def correlation_p(s: SparkSession, d: str) -> DataFrame:
+    """Correlation of fractions and truth per cell type, with its p value as text."""
+    by = M.regression(_pairs(s, d), "p", "t", ["main_cell_type"]).where("pcc IS NOT NULL")
+    p = pipelines.pearson_p(F.col("pcc"), F.col("n").cast("double"))
+    return by.withColumn("p_value", p).select("main_cell_type", F.round("pcc", 6).alias("pcc"), F.round("p_value", 9).alias("p_value"), pipelines.p_text(F.col("p_value")).alias("text"))
+
+
+@add("scaled_truth", _more("SELECT main_cell_type, peak_id, round(value / CASE WHEN round_even(sum(value) OVER (PARTITION BY main_cell_type) / 10000, 0) = 0 THEN 1 ELSE round_even(sum(value) OVER (PARTITION BY main_cell_type) / 10000, 0) END, 9) AS value FROM (SELECT main_cell_type, peak_id, sum(score) / any_value(n_cells) * 1000 AS value FROM peaks p JOIN fragments f ON p.chr = f.chr AND p.start < f.\"end\" AND f.start < p.\"end\" JOIN anno ON cell_id = name JOIN shares USING (main_cell_type) GROUP BY 1, 2)", "x AS (SELECT 1)", "peaks", "fragments", "shares"))
+def scaled_truth(s: SparkSession, d: str) -> DataFrame:
+    f = A.fragments(s, d).withColumnsRenamed({"start": "start_b", "end": "end_b"})
+    hits = I.overlap_join(A.peaks(s, d), f, ["chr"], 20_000).select(F.col("name").alias("cell_id"), "peak_id", F.col("score").alias("weight"))
+    means = D.type_means(hits, A.anno(s, d), over=["peak_id"]).select("main_cell_type", "peak_id", (F.col("weight") * 1000).alias("value"))
+    return _r(pipelines.scaled_truth(means), 9, "value")
+
+
+@add("best_rule", _more("""SELECT CASE WHEN b >= a THEN 'bayes_norm' ELSE 'bayes' END AS rule FROM (SELECT avg(CAST(fr.main_cell_type = anno.main_cell_type AS INTEGER)) AS a FROM (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY round(fraction, 9) DESC, main_cell_type) = 1) fr JOIN anno USING (cell_id)),
+ (SELECT avg(CAST(f2.main_cell_type = anno.main_cell_type AS INTEGER)) AS b FROM (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY round(fraction, 9) DESC, main_cell_type) = 1) f2 JOIN anno USING (cell_id))""", FRACTION.format(rule=RULES["bayes"], unit="cell_id", src="cell_topic") + ", " + FRACTION.format(rule=RULES["bayes_norm"], unit="cell_id", src="cell_topic").replace("rule AS", "r2 AS").replace("JOIN rule", "JOIN r2").replace("fr AS", "f2 AS"), "cell_topic", "topic_type", "bayes", "shares", "anno"))
+def best_rule(s: SparkSession, d: str) -> DataFrame:
+    """Of two combination rules the one that names more cells' types rightly."""
+    acc = {r: CATALOG.queries["accuracy_" + r](s, d).head()["accuracy"] or 0.0 for r in ("bayes", "bayes_norm")}
+    return s.range(1).select(F.lit(pipelines.prefer(acc)).alias("rule"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.columns import log2p1, sample_of
+from strandloom.operators import pipelines
 from strandloom.operators import preprocess as P
 from strandloom.operators.matrix import pad
 from strandloom.plans import adapters as A
@@ -263,3 +264,61 @@ def expressed_share(s: SparkSession, d: str) -> DataFrame:
 def stratified_split(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("main_cell_type").orderBy(F.reverse("cell_id"), "cell_id")
     return A.anno(s, d).withColumn("train", F.percent_rank().over(w) < 0.8)
+
+
+def _two_lanes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "rna_obs").where("cell_id IS NOT NULL").groupBy("cell_id").agg(F.max_by("lane_batch", F.struct("loaded_at", "lane_batch")).alias("lane_batch"))
+
+
+@add("prepare_cells", _more("SELECT cell_id, gene, round(log2(value / size * greatest(s, 1) + 1), 6) AS value FROM counts JOIN sizes USING (cell_id), scale", LIBSIZE, "counts"))
+def prepare_cells(s: SparkSession, d: str) -> DataFrame:
+    """The preparation chain without batch correction."""
+    return pipelines.prepare(A.delivered(s, d), to_log=True).withColumn("value", F.round("value", 6))
+
+
+@add("prepare_cells_batches")
+def prepare_cells_batches(s: SparkSession, d: str) -> DataFrame:
+    """The preparation chain with correction of the lanes."""
+    return pipelines.prepare(A.delivered(s, d), _two_lanes(s, d), to_log=True, batch_cols=["lane_batch"]).withColumn("value", F.round("value", 5))
+
+
+@add("trimming", with_sql("""SELECT s.sample_id, f.gene, round(log2(coalesce(b.value, fill) + 1), 6) AS value FROM (SELECT DISTINCT sample_id FROM bulk) s
+ JOIN (SELECT gene, median(value) AS fill FROM bulk WHERE value > 1 GROUP BY 1 HAVING count(*) >= floor(0.6 * (SELECT count(DISTINCT sample_id) FROM bulk))) f ON true LEFT JOIN (SELECT * FROM bulk WHERE value > 1) b ON b.sample_id = s.sample_id AND b.gene = f.gene""", "bulk"))
+def trimming(s: SparkSession, d: str) -> DataFrame:
+    b = A.bulk(s, d)
+    return pipelines.trimming(b, "sample_id", "gene", b.select("sample_id").distinct().count(), 0.6).withColumn("value", F.round("value", 6))
+
+
+@add("choose_variable_or_marker_genes", _more("""SELECT gene FROM (SELECT gene FROM disp ORDER BY variance / mean DESC, gene LIMIT 100) UNION SELECT gene FROM (SELECT gene, row_number() OVER (PARTITION BY main_cell_type ORDER BY round((rs - n1 * (n + 1) / 2) / sqrt((1 - ties / (n * n * n - n)) * n1 * (n - n1) * (n + 1) / 12), 9) DESC, gene) AS k FROM f) WHERE k <= 10""", f"{DISPERSION}, {RANKSUM}", "counts", "typed", "anno"))
+def choose_variable_or_marker_genes(s: SparkSession, d: str) -> DataFrame:
+    c = A.counts(s, d)
+    markers = P.take_markers(P.rank_sum(c, A.anno(s, d)).withColumn("z", F.round("z", 9)), 10)
+    variable = P.highly_variable(c, c.select("cell_id").distinct().count(), 100).select("gene")
+    return markers.union(variable).distinct()
+
+
+@add("foundation_input", with_sql("""SELECT cell_id, gene, round(ln(1 + value / sum(value) OVER (PARTITION BY cell_id) * 1e4), 6) AS value FROM (SELECT * FROM counts QUALIFY count(*) OVER (PARTITION BY cell_id) >= 8) WHERE gene IN (SELECT gene FROM use_gene)""", "counts"))
+def foundation_input(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.foundation_input(A.counts(s, d), table(s, d, "use_gene"), 8)[0].withColumn("value", F.round("value", 6))
+
+
+@add("anchor_matrix", with_sql("SELECT CAST(ord % 9 AS INTEGER) AS topic_id, gene, 2.0::DOUBLE AS strength FROM use_gene WHERE ord < 90 AND gene IN (SELECT gene FROM counts)", "counts"))
+def anchor_matrix(s: SparkSession, d: str) -> DataFrame:
+    anchors = table(s, d, "use_gene").where("ord < 90").select((F.col("ord") % 9).alias("topic_id"), "gene")
+    return anchors.join(A.counts(s, d).select("gene").distinct(), "gene", "left_semi").withColumn("strength", F.lit(2.0))
+
+
+@add("anchor_sizes", _more("SELECT topic_id, count(*) AS size, count(*) FILTER (u = 1) AS unique_genes FROM (SELECT *, count(*) OVER (PARTITION BY gene) AS u FROM reg) GROUP BY 1", ANCHORS, "counts"))
+def anchor_sizes(s: SparkSession, d: str) -> DataFrame:
+    r = _registered(s, d).withColumn("u", F.count("*").over(Window.partitionBy("gene")))
+    return r.groupBy("topic_id").agg(F.count("*").alias("size"), F.count(F.when(F.col("u") == 1, 1)).alias("unique_genes"))
+
+
+@add("cumulative_choice", with_sql("SELECT gene, n FROM (SELECT gene, n, sum(n) OVER (ORDER BY n DESC, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT gene, count(*) AS n FROM counts GROUP BY 1)) WHERE coalesce(before, 0) < 0.5 * (SELECT count(*) FROM counts)", "counts"))
+def cumulative_choice(s: SparkSession, d: str) -> DataFrame:
+    """The most frequent genes that together make up half of all counts."""
+    c = A.counts(s, d)
+    n = c.groupBy("gene").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "gene")  # one row a gene
+    ordered = n.withColumn("o", -F.row_number().over(w))
+    return pipelines.cumulative_choice(ordered, "o", "n", 0.5 * c.count()).select("gene", "n")

@@ -10,6 +10,7 @@ from strandloom.operators import ctfidf as C
 from strandloom.operators import deconvolve as D
 from strandloom.operators import intervals as I
 from strandloom.operators import metrics as M
+from strandloom.operators import pipelines as PL
 from strandloom.operators import preprocess as P
 from strandloom.operators.topics.guided import pseudo_counts
 from strandloom.operators.topics.tree import ward
@@ -209,3 +210,42 @@ def test_ward():
     d = np.array([[0, 1, 5, 6], [1, 0, 5, 6], [5, 5, 0, 1.5], [6, 6, 1.5, 0]], float)
     merges = ward(d)
     assert [m[:2] for m in merges] == [(0, 1), (2, 3), (4, 5)] and merges[0][2] == 1 and merges[1][2] == 1.5
+
+
+def test_composed_operators(spark):
+    x = spark.createDataFrame([(0.5, 10.0), (-0.9, 5.0), (1.0, 4.0), (0.3, 2.0), (0.2, 100.0)], "r double, n double")
+    got = [(r.p, r.t) for r in x.select("r", "n", PL.pearson_p(F.col("r"), F.col("n")).alias("p")).select("p", PL.p_text(F.col("p")).alias("t")).collect()]
+
+    def by_integration(r, n):
+        df, t = n - 2, abs(r) * math.sqrt((n - 2) / (1 - r * r))
+        v = np.linspace(0, t, 200_001)
+        y = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + v * v / df) ** (-(df + 1) / 2)
+        return 1 - 2 * np.trapezoid(y, v)
+
+    for i, (r, n) in {0: (0.5, 10), 1: (-0.9, 5), 4: (0.2, 100)}.items():
+        assert got[i][0] == pytest.approx(by_integration(r, n), abs=1e-8)
+    assert got[2] == (0.0, "0.00e+00") and got[3][0] is None and got[0][1] == "0.14"
+    t = spark.createDataFrame([("3/12", "positive  regulation_of x")], "a string, b string").select(PL.ratio(F.col("a")).alias("a"), PL.term_title(F.col("b")).alias("b")).head()
+    assert (t.a, t.b) == (0.25, "Positive regulation of x")
+    runs = spark.createDataFrame([(5, 1, 0.9), (4, 2, 0.9), (4, 1, 0.8)], "ntopics int, seed int, acc double")
+    assert tuple(PL.select_model(runs, "acc").head()) == (4, 2, 0.9)
+    assert PL.prefer({"bayes": 0.5, "bayes_norm": 0.5}) == "bayes_norm" and PL.prefer({"bayes": 0.6, "bayes_norm": 0.5}) == "bayes"
+    assert PL.topic_grid(3) == [3, 4, 5, 6, 7, 8, 9] and PL.perplexity(-2.0, 1) == pytest.approx(math.e**2)
+    found, without = PL.map_ids(spark.createDataFrame([("a",), ("b",)], "gene string"), spark.createDataFrame([("a", 1), ("a", 2)], "gene string, entrez int"))
+    assert rows(found, "gene", "entrez") == {("a", 1), ("a", 2)} and rows(without, "gene") == {("b",)}
+    s = spark.createDataFrame([("k1", 5.0), ("k2", 3.0), ("k3", 1.0)], "k string, n double")
+    assert rows(PL.cumulative_choice(s, "n", "n", 6.0), "k") == {("k1",), ("k2",)}
+
+
+def test_combat_moves_batches_together(spark):
+    rng = np.random.default_rng(0)
+    data = [(f"c{i}", f"g{g}", float(rng.normal(5 + g, 1) + (3 if i % 2 else 0)), i % 2) for i in range(60) for g in range(12)]
+    out = P.combat(spark.createDataFrame(data, "cell_id string, gene string, value double, batch int"), "batch")
+    gap = out.groupBy("gene").agg((F.avg(F.when(F.col("batch") == 1, F.col("value"))) - F.avg(F.when(F.col("batch") == 0, F.col("value")))).alias("d"))
+    assert gap.agg(F.max(F.abs("d"))).head()[0] < 0.6
+
+
+def test_bootstrap_spread(spark):
+    df = spark.createDataFrame([(f"t{i}", i / 10, i / 10 + (0.1 if i % 2 else -0.1)) for i in range(20)], "k string, p double, t double")
+    r = M.bootstrap(df, "k", "p", "t", 100).head()
+    assert r.n == 20 and 0.9 < r.pcc < 1 and 0 < r.pcc_sd < 0.1 and r.rmse == pytest.approx(0.1)
