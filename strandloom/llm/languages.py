@@ -111,7 +111,8 @@ class Sentences:
 
 
 _STOP = re.compile(r"[.!?…:;]?[.!?…][\"'”“’»«)\]]*$")
-_MARK = re.compile(r"^(?:\[\d+\]|\(?\d+[.)]|§+|Rn\.|--)")
+#: At the start of a line: paragraph numbers, page rules, and a heading of one word with a colon.
+_MARK = re.compile(r"^(?:\[\d+\]|\(?\d+[.)]|§+|Rn\.|--)|^\w+:$")
 
 
 def _ends(token: str) -> bool:
@@ -128,7 +129,8 @@ def _starts(token: str) -> bool:
 
 
 def sentences(texts: pa.Array) -> Sentences:
-    """Cuts at full stops, question and exclamation marks before something that can start a sentence, and before paragraph marks at the start of a line.
+    """Cuts at full stops, question and exclamation marks before something that can start a sentence, and before paragraph marks at the start of a line, as
+    which a bare number counts if a capital follows and the line before ends with a name or a number.
 
     Lines as such are no boundary: texts are wrapped anywhere. Nothing is cut off; whole texts are read.
     """
@@ -142,21 +144,29 @@ def sentences(texts: pa.Array) -> Sentences:
     ends = np.fromiter((bool(t) and _ends(t) for t in distinct), bool, len(distinct))
     starts = np.fromiter((bool(t) and _starts(t) for t in distinct), bool, len(distinct))
     marks = np.fromiter((bool(_MARK.match(t)) for t in distinct), bool, len(distinct))
+    number = np.fromiter((t.isdigit() for t in distinct), bool, len(distinct))
+    capital = np.fromiter((t[:1].isupper() for t in distinct), bool, len(distinct))
+    formal = np.fromiter((t[:1].isupper() or any(ch.isdigit() for ch in t) for t in distinct), bool, len(distinct))
     word = np.fromiter((any(ch.isalpha() for ch in t) for t in distinct), bool, len(distinct))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     if not len(index):
         z = np.zeros(0, np.int64)
         return Sentences(z, z, z.astype(bool), z, z, index, distinct)
     after_line = np.r_[True, line[index[:-1]]]
-    real = np.flatnonzero(~line[index])
+    empty = np.fromiter((not t for t in distinct), bool, len(distinct))
+    real = np.flatnonzero(~(line | empty)[index])
     after_line, index, owner = after_line[real], index[real], owner[real]
     if not len(index):
         z = np.zeros(0, np.int64)
         return Sentences(z, z, z.astype(bool), z, z, index, distinct)
-    new = np.r_[True, (ends[index[:-1]] & starts[index[1:]]) | (after_line[1:] & marks[index[1:]]) | (owner[1:] != owner[:-1])]
+    bare = number[index[1:]] & np.r_[capital[index[2:]], False][: len(index) - 1] & formal[index[:-1]]
+    new = np.r_[True, (ends[index[:-1]] & starts[index[1:]]) | (after_line[1:] & (marks[index[1:]] | bare)) | (owner[1:] != owner[:-1])]
     begin = np.flatnonzero(new)
     end = np.r_[begin[1:], len(index)]
-    counts = np.r_[0, np.cumsum(word[index])]
+    hyphen = np.fromiter((t.endswith("-") and len(t) > 1 for t in distinct), bool, len(distinct))
+    small = np.fromiter((t[:1].islower() for t in distinct), bool, len(distinct))
+    cut_word = np.r_[hyphen[index[:-1]] & after_line[1:] & small[index[1:]], False]  # its rest, on the next line, counts
+    counts = np.r_[0, np.cumsum(word[index] & ~cut_word)]
     closes = np.fromiter((bool(_STOP.search(t)) for t in distinct), bool, len(distinct))
     return Sentences(owner[begin], counts[end] - counts[begin], closes[index[end - 1]], begin, end, index, distinct)
 

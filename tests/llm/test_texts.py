@@ -158,6 +158,15 @@ def test_mixed_and_odd_documents(spark, model):
     assert L.segments(df.where("false"), model).collect() == []
 
 
+def test_sentence_boundaries():
+    text = "Court of Appeal Marru\nOrder 2020-09-16, 2 O 99/15\nA v. B Ltd\nHeadnote: One two (734.081,31 EUR).\n3 Mr. Smith put no. 5 on it at\n42 km and verseh-\nentlich left. Is it so? «Nein.» Yes!\nPage 2 of 3 | Land Tribunal Osttalda\n31 Ms Ro came\non foot.\n[7] End"
+    s = L.sentences(pa.array([None, text, ""]))
+    got = [" ".join(s.distinct[t] for t in s.index[a:b]) for a, b in zip(s.begin, s.end)]
+    assert got == ["Court of Appeal Marru Order 2020-09-16, 2 O 99/15 A v. B Ltd", "Headnote: One two (734.081,31 EUR).", "3 Mr. Smith put no. 5 on it at 42 km and verseh- entlich left.", "Is it so?", "«Nein.»", "Yes!", "Page 2 of 3 | Land Tribunal Osttalda", "31 Ms Ro came on foot.", "[7] End"]
+    assert s.whole.tolist() == [False, True, True, True, True, True, False, True, False]
+    assert s.words[2] == 11 and set(s.text) == {1}
+
+
 def test_without_labels(spark):
     m = L.train(spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string"))
     df = spark.createDataFrame([(1, HELD_OUT["en"], "en")], "doc_id bigint, text string, lang string")
