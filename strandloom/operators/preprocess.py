@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.matrix import best
-from strandloom.operators.skew import percentiles
+from strandloom.operators.prefix import prefix_sums
+from strandloom.operators.skew import coarse_bin, compress, percentiles
 
 
 def latest(df: DataFrame, keys: Sequence[str], value: str, time: str) -> DataFrame:
@@ -28,10 +29,12 @@ def drop_zeros(df: DataFrame, value: str = "value") -> DataFrame:
 def library_norm(df: DataFrame, cell: str = "cell_id", value: str = "value", guard: bool = False) -> DataFrame:
     """``value / total of the cell * scale``, scale being the upper quartile of the cells' totals rounded (half to even) to thousands.
 
-    With ``guard`` a scale of 0 (upper quartile up to 500) becomes 1. The quartile comes from one row a cell.
+    With ``guard`` a scale of 0 (upper quartile up to 500) becomes 1. The quartile is exact, from counted distinct totals in two steps, so no task holds all cells' totals.
     """
     sizes = df.groupBy(cell).agg(F.sum(value).alias("__size"))
-    scale = sizes.agg((F.bround(F.percentile("__size", F.lit(0.75)) / 1000) * 1000).alias("s")).head()["s"] or 0.0
+    packed = compress(sizes.withColumn("__all", F.lit(0)), ["__all"], "__size")
+    quartile = percentiles(packed, ["__all"], [0.75]).select((F.bround(F.col("percentiles")[0] / 1000) * 1000).alias("s")).head()
+    scale = quartile["s"] if quartile else 0.0
     scale = 1.0 if guard and scale == 0 else float(scale)
     return df.join(sizes, cell).withColumn(value, F.col(value) / F.col("__size") * F.lit(scale)).drop("__size")
 
@@ -57,9 +60,12 @@ def qc_metrics(df: DataFrame, cell: str = "cell_id", gene: str = "gene", value:
 
 def basic_filter(df: DataFrame, min_genes: int, min_cells: int, cell: str = "cell_id", gene: str = "gene") -> DataFrame:
     """Cells with at least ``min_genes`` genes, then genes in at least ``min_cells`` of those cells."""
-    per_cell, per_gene = Window.partitionBy(cell), Window.partitionBy(gene)
-    kept = df.withColumn("__n", F.count("*").over(per_cell)).where(F.col("__n") >= min_genes)
-    return kept.withColumn("__n", F.count("*").over(per_gene)).where(F.col("__n") >= min_cells).drop("__n")
+    cells = df.groupBy(cell).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_genes)
+    kept = df.join(cells, cell, "left_semi")
+    if min_cells <= 1:
+        return kept
+    genes = kept.groupBy(gene).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_cells)  # counted by map tasks first: a gene that all cells have is no burden
+    return kept.join(genes, gene, "left_semi")
 
 
 def max_abs_scale(df: DataFrame, cell: str = "cell_id", value: str = "value", scale: float = 10.0) -> DataFrame:
@@ -201,15 +207,15 @@ def rank_sum(df: DataFrame, kinds: DataFrame, cell: str = "cell_id", gene: str =
     """Wilcoxon rank-sum statistic of each gene and type against all other cells, corrected for ties: ``rank_sum`` and ``z``.
 
     Only stored values are ranked. The zeros of a gene are one block of ties below them: their number gives their common rank. Values are compressed to
-    (gene, value, type) counts before ranking, so a gene that nearly all cells have is ranked over its distinct values.
+    (gene, value, type) counts before ranking, and ranks are running sums in slices of the values, so a gene that nearly all cells have is spread over many tasks.
     """
     n = kinds.select(cell).distinct().count()
     per_kind = kinds.groupBy(kind).agg(F.count("*").alias("__n1"))
     packed = df.join(kinds, cell).groupBy(gene, value, kind).agg(F.count("*").alias("__c"))
     vals = packed.groupBy(gene, value).agg(F.sum("__c").alias("__t"))
-    w = Window.partitionBy(gene)
-    upto = F.sum("__t").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    vals = vals.withColumn("__n0", F.lit(n) - F.sum("__t").over(w)).withColumn("__rank", F.col("__n0") + upto - (F.col("__t") - 1) / 2)
+    stored = vals.groupBy(gene).agg((F.lit(n) - F.sum("__t")).alias("__n0"))
+    vals = prefix_sums(vals.withColumn("__slice", F.floor(coarse_bin(F.col(value)) / 16)), [gene], "__slice", [F.col(value)], "__t", "__upto").join(stored, gene)
+    vals = vals.withColumn("__rank", F.col("__n0") + F.col("__upto") - (F.col("__t") - 1) / 2)
     ties = vals.groupBy(gene).agg((F.sum(F.col("__t") ** 3 - F.col("__t"))).alias("__ties"), F.first("__n0").alias("__n0")).withColumn("__ties", F.col("__ties") + F.col("__n0") ** 3 - F.col("__n0"))
     ranked = packed.join(vals.select(gene, value, "__rank"), [gene, value]).groupBy(gene, kind).agg(F.sum(F.col("__c") * F.col("__rank")).alias("__r"), F.sum("__c").alias("__k"))
     full = ranked.join(ties, gene).join(per_kind, kind)

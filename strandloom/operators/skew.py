@@ -40,7 +40,7 @@ def totals(compressed: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _bin(v: Column) -> Column:
+def coarse_bin(v: Column) -> Column:
     """A coarse number that never falls as ``v`` rises: 64 steps an octave; NaN ranks last as in Spark's order."""
     v = v.cast("double")
     step = F.floor(F.log2(F.abs(v) + 1) * 64)
@@ -56,7 +56,7 @@ def percentiles(compressed: DataFrame, keys: Sequence[str], points: Sequence[flo
     No task sees all values of a key.
     """
     keys = list(keys)
-    vals = compressed.where(F.col("value").isNotNull()).withColumn("__bin", _bin(F.col("value")))
+    vals = compressed.where(F.col("value").isNotNull()).withColumn("__bin", coarse_bin(F.col("value")))
     per_key = Window.partitionBy(*keys)
     bins = vals.groupBy(*keys, "__bin").agg(F.sum("weight").alias("__w"))
     bins = bins.withColumn("__n", F.sum("__w").over(per_key)).withColumn("__from", F.sum("__w").over(per_key.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w"))
