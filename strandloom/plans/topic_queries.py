@@ -60,7 +60,13 @@ def umass_coherence(s: SparkSession, d: str) -> DataFrame:
     return _r(C.umass(tops, docs, "topic_id"), 4, "coherence")
 
 
-@add("cosine_coherence", _more("SELECT topic_id, round(avg(cos), 6) AS coherence FROM (SELECT a.topic_id, coalesce(sum(x.weight * y.weight) / sqrt(any_value(a.nn) * any_value(b.nn)), 0) AS cos FROM g a JOIN g b ON a.topic_id = b.topic_id AND a.gene < b.gene JOIN mem x ON x.gene = a.gene JOIN mem y ON y.gene = b.gene AND y.t = x.t GROUP BY a.topic_id, a.gene, b.gene) GROUP BY 1", "tops AS (SELECT topic_id, gene, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, gene) AS rank FROM gene_topic QUALIFY rank <= 10), mem AS (SELECT gene, ascii(right(cell_id, 3)) % 4 AS t, sum(value) AS weight FROM counts GROUP BY 1, 2), g AS (SELECT topic_id, gene, nn FROM tops JOIN (SELECT gene, sum(weight * weight) AS nn FROM mem GROUP BY 1) USING (gene))", "gene_topic", "counts"))
+COSINE = """tops AS (SELECT topic_id, gene, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, gene) AS rank FROM gene_topic QUALIFY rank <= 10),
+ mem AS (SELECT gene, ascii(right(cell_id, 3)) % 4 AS t, sum(value) AS weight FROM counts GROUP BY 1, 2), nn AS (SELECT gene, sum(weight * weight) AS nn FROM mem GROUP BY 1),
+ pairs AS (SELECT a.topic_id, a.gene AS g1, b.gene AS g2 FROM tops a JOIN tops b ON a.topic_id = b.topic_id AND a.gene < b.gene),
+ dots AS (SELECT topic_id, g1, g2, sum(x.weight * y.weight) AS d FROM pairs JOIN mem x ON x.gene = g1 JOIN mem y ON y.gene = g2 AND y.t = x.t GROUP BY 1, 2, 3)"""
+
+
+@add("cosine_coherence", _more("SELECT topic_id, round(avg(coalesce(d, 0) / sqrt(a.nn * b.nn)), 6) AS coherence FROM pairs LEFT JOIN dots USING (topic_id, g1, g2) JOIN nn a ON a.gene = g1 JOIN nn b ON b.gene = g2 GROUP BY 1", COSINE, "gene_topic", "counts"))
 def cosine_coherence(s: SparkSession, d: str) -> DataFrame:
     """Mean cosine of the vectors of each two top genes of a topic."""
     tops = C.top_terms(_r(A.gene_topic(s, d), 9, "weight"), "topic_id", 10, "gene").select("topic_id", "gene")
