@@ -35,8 +35,18 @@ class Parameters:
         return np.exp(z[:, 1] - norm), norm
 
 
-def _sums(cells: DataFrame, k: int, v: int, params: Parameters | None, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Sums over the cells of p(y), p(y) x, x and of the log partition; k * v numbers on the driver."""
+def _sums(cells: DataFrame, k: int, v: int, params: Parameters | None, seed: int, anchored: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sums over the cells of p(y), p(y) x, x and of the log partition; k * v numbers on the driver.
+
+    Without parameters p(y) is random; in topics with anchors it lies halfway to the share of the anchored genes (``anchored``: gene to topic) that
+    the cell has, so an anchored topic starts on the side of its genes.
+    """
+    sizes = np.bincount(list(anchored.values()), minlength=k)
+
+    def start(cell: str, genes: np.ndarray) -> np.ndarray:
+        p = np.random.default_rng([seed, *cell.encode()]).random(k)
+        has = np.bincount([anchored[g] for g in genes.tolist() if g in anchored], minlength=k)
+        return np.where(sizes > 0, (p + has / np.maximum(sizes, 1)) / 2, p)
 
     def add(batches):
         py, pyx, x, tc, n = np.zeros(k), np.zeros((k, v)), np.zeros(v), np.zeros(k), 0
@@ -45,7 +55,7 @@ def _sums(cells: DataFrame, k: int, v: int, params: Parameters | None, seed: int
             if not genes:
                 continue
             if params is None:
-                p = np.stack([np.random.default_rng([seed, *c.encode()]).random(k) for c in b.column("cell_id").to_pylist()])
+                p = np.stack([start(c, g) for c, g in zip(b.column("cell_id").to_pylist(), genes)])
             else:
                 p, norm = params.posterior(genes)
                 tc += norm.sum(axis=0)
@@ -88,8 +98,9 @@ def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None,
     v, eps = len(genes), 1e-9
     params, history, alpha = None, [], np.full((k, v), 0.5)
     info, tc = np.zeros((k, v)), np.zeros(k)
+    anchored = {number[g]: t for g, t in (anchors or {}).items() if g in number and t < k}
     for it in range(n_iter + 1):
-        py, pyx, px, tc = _sums(cells, k, v, params, seed)
+        py, pyx, px, tc = _sums(cells, k, v, params, seed, anchored)
         if it:
             history.append(float(tc.sum()))
         py = np.clip(py, eps, 1 - eps)
@@ -108,10 +119,9 @@ def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None,
         best = info.max(axis=0, keepdims=True)
         target = np.exp(np.clip((info - best) / np.maximum(best, eps) * 10, -50, 0)) if k > 1 else np.ones((k, v))
         alpha = 0.3 * alpha + 0.7 * target if it else target
-        for g, t in (anchors or {}).items():
-            if g in number and t < k:
-                alpha[:, number[g]] = 0
-                alpha[t, number[g]] = strength
+        for g, t in anchored.items():
+            alpha[:, g] = 0
+            alpha[t, g] = strength
         new.alpha = alpha
         params = new
     weights = alpha * info
