@@ -90,12 +90,17 @@ def p3_balance(spark: SparkSession, folder: str) -> DataFrame:
     return _drawn(spark, folder).balance
 
 
+#: Words and marks of a text, for SQL: the cases of p6 and p7 are the same for any usual tokenizer.
+WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')), 0)"
+SOURCE_SQL = r"nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '')"
+
+
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     limit = table(spark, folder, "pack_limits").orderBy("container").head()["capacity_tokens"]
     return pack(table(spark, folder, "documents"), limit), limit
 
 
-@CATALOG.add("p6_found")
+@CATALOG.add("p6_found", f"SELECT DISTINCT doc_id FROM documents, pack_limits WHERE {WORDS_SQL} > capacity_tokens")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return cut_documents(_packed(spark, folder)[0])
 
@@ -116,7 +121,12 @@ def _mixed(spark: SparkSession, folder: str) -> Mix:
     return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
-@CATALOG.add("p7_found")
+@CATALOG.add(
+    "p7_found",
+    f"""WITH d AS (SELECT {SOURCE_SQL} AS source, {WORDS_SQL} AS n FROM documents), s AS (SELECT source, sum(n) AS n FROM d GROUP BY 1),
+ g AS (SELECT {SOURCE_SQL} AS source, sum(coalesce(target_share, 0)) AS share, max(coalesce(max_repeat, 0)) AS uses FROM mix_targets GROUP BY 1)
+ SELECT g.source FROM g LEFT JOIN s USING (source) WHERE g.source IS NOT NULL AND coalesce(s.n, 0) * uses < share * (SELECT sum(n) FROM d)""",
+)
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder).report.where("out_of_reach").select("source")
 
