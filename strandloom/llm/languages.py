@@ -99,7 +99,7 @@ def grams(word: str) -> np.ndarray:
 @dataclass
 class Sentences:
     """Sentences of the texts of a batch: ``text`` is the row each belongs to, ``words`` the number of its words, ``whole`` whether it ends as sentences
-    do (titles don't); ``begin`` and ``end`` are each sentence's stretch of ``index``, the numbers of its tokens among the ``distinct`` ones."""
+    do (titles don't; one that ends with an initial or abbreviation is whole if half of its tokens start with a small letter); ``begin`` and ``end`` are each sentence's stretch of ``index``, the numbers of its tokens among the ``distinct`` ones."""
 
     text: np.ndarray
     words: np.ndarray
@@ -115,6 +115,10 @@ _STOP = re.compile(r"[.!?…:;]?[.!?…][\"'”“’»«)\]]*$")
 _MARK = re.compile(r"^(?:\[\d+\]|\(?\d+[.)]|§+|Rn\.|--)|^\w+:$")
 
 
+#: Marks that open a quotation or a parenthesis.
+_OPENING = "«„“\"'‘([¿¡"
+
+
 def _ends(token: str) -> bool:
     if not _STOP.search(token):
         return False
@@ -130,7 +134,7 @@ def _starts(token: str) -> bool:
 
 def sentences(texts: pa.Array) -> Sentences:
     """Cuts at full stops, question and exclamation marks before something that can start a sentence, and before paragraph marks at the start of a line, as
-    which a bare number counts if a capital follows and the line before ends with a name or a number.
+    which a bare number counts if a capital follows, in quotation marks or not, and the line before ends with a name or a number.
 
     Lines as such are no boundary: texts are wrapped anywhere. Nothing is cut off; whole texts are read.
     """
@@ -145,7 +149,7 @@ def sentences(texts: pa.Array) -> Sentences:
     starts = np.fromiter((bool(t) and _starts(t) for t in distinct), bool, len(distinct))
     marks = np.fromiter((bool(_MARK.match(t)) for t in distinct), bool, len(distinct))
     number = np.fromiter((t.isdigit() for t in distinct), bool, len(distinct))
-    capital = np.fromiter((t[:1].isupper() for t in distinct), bool, len(distinct))
+    capital = np.fromiter((t.lstrip(_OPENING)[:1].isupper() for t in distinct), bool, len(distinct))
     formal = np.fromiter((t[:1].isupper() or any(ch.isdigit() for ch in t) for t in distinct), bool, len(distinct))
     word = np.fromiter((any(ch.isalpha() for ch in t) for t in distinct), bool, len(distinct))
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -168,7 +172,10 @@ def sentences(texts: pa.Array) -> Sentences:
     cut_word = np.r_[hyphen[index[:-1]] & after_line[1:] & small[index[1:]], False]  # its rest, on the next line, counts
     counts = np.r_[0, np.cumsum(word[index] & ~cut_word)]
     closes = np.fromiter((bool(_STOP.search(t)) for t in distinct), bool, len(distinct))
-    return Sentences(owner[begin], counts[end] - counts[begin], closes[index[end - 1]], begin, end, index, distinct)
+    low = np.r_[0, np.cumsum((word & small)[index])]
+    # an initial or abbreviation may end a sentence or a title; titles are mostly names and numbers
+    whole = ends[index[end - 1]] | (closes[index[end - 1]] & (2 * (low[end] - low[begin]) >= end - begin))
+    return Sentences(owner[begin], counts[end] - counts[begin], whole, begin, end, index, distinct)
 
 
 @dataclass
@@ -280,7 +287,7 @@ def fit(texts: list[str], labels: list[str], per_language: int = 1200, epochs: i
 
     A first model is trained on all of them and judges every sentence. Sentences whose label it doesn't share, and languages of which it
     shares less than half of the sentences, are taken to be mislabelled and left out of the second training. A held-out fifth gives the
-    temperature (smallest log loss) and the rejection threshold, the lowest confidence down to which at least 98 of 100 are right. Both are found on
+    temperature (smallest log loss) and the rejection threshold, the lowest confidence down to which at least 995 of 1000 are right. Both are found on
     random stretches of eight words of the held-out sentences, as whole sentences are too easy to tell doubt from certainty.
     """
     s = sentences(pa.array(texts, pa.large_string()))
@@ -332,7 +339,7 @@ def fit(texts: list[str], labels: list[str], per_language: int = 1200, epochs: i
     q = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
     conf, right = (q / q.sum(axis=1, keepdims=True)).max(axis=1), z.argmax(axis=1) == t
     order = np.argsort(-conf)
-    ok = np.cumsum(right[order]) >= 0.98 * np.arange(1, len(order) + 1)
+    ok = np.cumsum(right[order]) >= 0.995 * np.arange(1, len(order) + 1)
     model.threshold = float(np.clip(conf[order][np.flatnonzero(ok)[-1]] if ok.any() else 1.0, 0.5, 0.95))
     return model
 

@@ -171,3 +171,11 @@ def test_without_labels(spark):
     m = L.train(spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string"))
     df = spark.createDataFrame([(1, HELD_OUT["en"], "en")], "doc_id bigint, text string, lang string")
     assert [r.lang for r in L.segments(df, m).collect()] == [None]
+
+
+def test_titles_and_quotations_are_no_evidence():
+    text = "Juzgado de distrito Logremir\nAuto 11.06.2014, HK 9408/22\nTotomir AG contra T.\n98 «Cassatie wordt niet toegelaten.»\nPor estas razones se declara que nunca llegó a recibir la carta que le envió V."
+    s = L.sentences(pa.array([text]))
+    got = [" ".join(s.distinct[t] for t in s.index[a:b]) for a, b in zip(s.begin, s.end)]
+    assert got[1].startswith("98 «") and got[2].startswith("Por estas")
+    assert s.whole.tolist() == [False, True, True] and s.words.tolist() == [10, 4, 16]
