@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import cut
+
 #: Distinct genes that a vocabulary may have on the driver.
 MOST_GENES = 200_000
 
@@ -46,10 +48,14 @@ def _vectors(counts: DataFrame, genes: Sequence[str], cell: str) -> DataFrame:
 
 
 def fit_lda(counts: DataFrame, k: int, max_iter: int = 100, seed: int = 9, alpha: float | None = None, eta: float | None = None, cell: str = "cell_id") -> Fitted:
-    """Online variational Bayes with symmetric priors of 1 / k, or those given. Full distributions are returned, in the given gene order."""
+    """Online variational Bayes with symmetric priors of 1 / k, or those given. Full distributions are returned, in the given gene order.
+
+    Every iteration is a pass that draws as many cells as there are, with replacement (the library has no other way), so a cell stays out of all of them with
+    probability exp(-max_iter). The learning offset is 1: with the library's 1024 the random start would keep a large part of the weights.
+    """
     genes = vocabulary(counts)
-    x = _vectors(counts, genes, cell)
-    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", docConcentration=[alpha or 1 / k], topicConcentration=eta or 1 / k).fit(x)
+    x = cut(_vectors(counts, genes, cell))  # read once by every pass
+    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, docConcentration=[alpha or 1 / k], topicConcentration=eta or 1 / k).fit(x)
     spark = counts.sparkSession
     w = model.topicsMatrix().toArray()
     w = w / w.sum(axis=0)

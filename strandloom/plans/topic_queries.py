@@ -197,19 +197,19 @@ def go_ora_bh(s: SparkSession, d: str) -> DataFrame:
 
 @add("lda_topics")
 def lda_topics(s: SparkSession, d: str) -> DataFrame:
-    return _r(lda.fit_lda(A.counts(s, d), 6, 10).gene_topic, 6, "weight")
+    return _r(lda.fit_lda(A.counts(s, d), 6, 30).gene_topic, 6, "weight")
 
 
 @add("lda_cells")
 def lda_cells(s: SparkSession, d: str) -> DataFrame:
-    return _r(lda.fit_lda(A.counts(s, d), 6, 10).cell_topic, 6, "weight")
+    return _r(lda.fit_lda(A.counts(s, d), 6, 30).cell_topic, 6, "weight")
 
 
 @add("lda_infer")
 def lda_infer(s: SparkSession, d: str) -> DataFrame:
     """Topic weights of the bulk samples under a model of the cells."""
     b = A.bulk(s, d).withColumnRenamed("sample_id", "cell_id")
-    return _r(lda.infer_lda(lda.fit_lda(A.counts(s, d), 6, 10), b), 6, "weight").withColumnRenamed("cell_id", "sample_id")
+    return _r(lda.infer_lda(lda.fit_lda(A.counts(s, d), 6, 30), b), 6, "weight").withColumnRenamed("cell_id", "sample_id")
 
 
 def _seeds(s: SparkSession, d: str) -> dict[str, int]:

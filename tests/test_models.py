@@ -43,6 +43,13 @@ def test_lda_finds_topics(spark, planted):
     assert fit.gene_topic.groupBy("topic_id").agg(F.sum("weight").alias("s")).where("abs(s - 1) > 1e-6").isEmpty()
 
 
+def test_lda_uses_every_cell(spark):
+    """Each cell has a gene of its own, which weighs next to nothing if the cell is never drawn."""
+    df = spark.createDataFrame([(f"c{c:03d}", f"g{c:03d}", 500.0) for c in range(150)], "cell_id string, gene string, value double")
+    w = lda.fit_lda(df, 3, 30).about["model"].topicsMatrix().toArray().sum(axis=1)
+    assert w.min() > 0.2 * w.mean()
+
+
 def test_guided_lda_follows_seeds_and_keeps_tokens(spark, planted):
     seeds = {"g00": 2, "g01": 2, "g10": 0, "g11": 0, "g20": 1, "g21": 1}
     fit = guided.fit_guided(planted, 3, seeds, confidence=0.9, n_iter=8)
