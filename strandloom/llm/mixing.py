@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: a low-discrepancy schedule over shuffled blocks of equal size."""
+"""Mixing sources to target weights: a low-discrepancy schedule over stretches of shuffled documents."""
 
 from __future__ import annotations
 
@@ -36,9 +36,10 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
 
     The mix has as many slots as blocks of ``block_tokens`` go into all documents' tokens, those without source included. Slot i takes the
     source into whose stretch of the cumulative weights the point frac((i + 1) * golden ratio) falls, so any run of slots is close to the
-    targets. A source's documents are shuffled by hash of the id and cut, without splitting any, into blocks of about ``block_tokens``; its
-    r-th slot takes block r modulo the number of its blocks, for the (r div blocks)-th time. Slots beyond ``max_repeat`` rounds stay empty and are
-    reported as missing.
+    targets. A source's documents are shuffled by hash of the id and laid end to end, ``max_repeat`` times; its r-th slot takes the documents that start
+    within the r-th ``block_tokens`` tokens, none being split. A document longer than that thus pays for the slots it runs through, which have no rows
+    in the plan but count as filled. ``block`` is the number of the stretch of the source in which a document starts. Slots beyond ``max_repeat`` rounds stay
+    empty and are reported as missing.
 
     Sums along a source's documents and slots run in slices (``prefix_sums``), so a source with a third of all rows is spread over many tasks.
 
@@ -57,11 +58,8 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     mark = F.xxhash64("doc_id", F.lit(seed))
     in_goal = sized.where(F.col("source").isin([g["source"] for g in goals]) & (F.col("n_tokens") > 0)).select("source", "doc_id", "n_tokens", mark.alias("__o"), F.shiftright(mark, 56).alias("__slice"))
     placed = prefix_sums(in_goal, ["source"], "__slice", [F.col("__o"), F.col("doc_id")], "n_tokens", "__end")
-    blocks = placed.select("source", "doc_id", "n_tokens", F.floor((F.col("__end") - F.col("n_tokens")) / block_tokens).alias("__at"))
-    # a document longer than a block leaves the blocks it runs through without a start; they are counted out
-    starts = blocks.groupBy("source", "__at").agg(F.sum("n_tokens").alias("block_size")).withColumn("__slice", F.floor(F.col("__at") / 65536)).withColumn("__one", F.lit(1).cast("bigint"))
-    numbered = cut(prefix_sums(starts, ["source"], "__slice", [F.col("__at")], "__one", "__nth").select("source", "__at", "block_size", (F.col("__nth") - 1).alias("block")))
-    have = numbered.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("block_size").alias("tokens"))
+    placed = cut(placed.select("source", "doc_id", "n_tokens", (F.col("__end") - F.col("n_tokens")).alias("__start")))
+    have = placed.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens))
 
     weight = sum(g["target_share"] for g in goals)
     point = F.col("slot").cast("double") * GOLDEN + GOLDEN
@@ -77,18 +75,23 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     ranked = prefix_sums(drawn, ["source"], "__slice", [F.col("slot")], "__one", "__r").withColumn("__r", F.col("__r") - 1)
 
     stock = goal.join(have, "source", "left").select("source", "target_share", "max_repeat", F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    slot_of = ranked.join(stock.select("source", "blocks", "max_repeat"), "source")
-    filled = slot_of.where((F.col("blocks") > 0) & (F.col("__r") < F.col("blocks") * F.col("max_repeat"))).select("slot", "source", F.floor(F.col("__r") / F.col("blocks")).alias("repeat_no"), (F.col("__r") % F.col("blocks")).alias("block"))
-    used = filled.join(numbered, ["source", "block"])
-    reached = used.groupBy("source").agg(F.count("*").alias("slots"), F.sum("block_size").alias("mixed_tokens"), (F.max("repeat_no") + 1).alias("rounds"))
     asked = ranked.groupBy("source").agg(F.count("*").alias("slots_wanted"))
-    both = stock.join(asked, "source", "left").join(reached, "source", "left").na.fill(0, ["slots_wanted", "slots", "mixed_tokens", "rounds"])
+    both = stock.join(asked, "source", "left").na.fill(0, ["slots_wanted"])
+    # whole rounds through the source, and the position up to which a last one goes
+    both = both.withColumn("slots", F.least("slots_wanted", F.ceil(F.col("tokens") * F.col("max_repeat") / block_tokens)))
+    both = both.withColumn("__full", F.when(F.col("tokens") > 0, F.least("max_repeat", F.floor(F.col("slots") * block_tokens / F.col("tokens")))).otherwise(0))
+    both = cut(both.withColumn("__rest", F.when(F.col("__full") < F.col("max_repeat"), F.col("slots") * block_tokens - F.col("__full") * F.col("tokens")).otherwise(0)))
+    inside = placed.join(F.broadcast(both.select("source", "tokens", "__full", "__rest")), "source")
+    last = inside.where("__start < __rest").groupBy("source").agg(F.sum("n_tokens").alias("__last"))
+    both = both.join(last, "source", "left").na.fill(0, ["__last"]).withColumn("mixed_tokens", F.col("__full") * F.col("tokens") + F.col("__last")).withColumn("rounds", F.col("__full") + (F.col("__last") > 0).cast("bigint"))
     report = both.withColumn("__mixed", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))).select(  # at most MOST_SOURCES rows
         "source", "target_share", "max_repeat", "tokens", "blocks", "slots_wanted", "slots", "rounds", "mixed_tokens",
         F.when(F.col("__mixed") > 0, F.col("mixed_tokens") / F.col("__mixed")).otherwise(0.0).alias("actual_share"),
         (F.col("slots_wanted") - F.col("slots")).alias("slots_missing"),
         (F.col("tokens") * F.col("max_repeat") < F.col("target_share") * F.lit(whole)).alias("out_of_reach"),
     )
-    inside = blocks.join(numbered.select("source", "__at", "block"), ["source", "__at"])
-    plan = filled.join(inside, ["source", "block"]).select("slot", "source", "repeat_no", "block", "doc_id", "n_tokens")
+    times = F.col("__full") + (F.col("__start") < F.col("__rest")).cast("bigint")
+    uses = inside.where(times > 0).withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1)))
+    uses = uses.withColumn("__r", F.floor((F.col("repeat_no") * F.col("tokens") + F.col("__start")) / block_tokens))
+    plan = uses.join(ranked, ["source", "__r"]).select("slot", "source", "repeat_no", F.floor(F.col("__start") / block_tokens).alias("block"), "doc_id", "n_tokens")
     return Mix(report, plan)

@@ -105,6 +105,16 @@ def test_mix_meets_targets_and_limits(spark):
     assert m.plan.groupBy("doc_id", "repeat_no").count().where("count > 1").isEmpty()
 
 
+def test_mix_counts_texts_longer_than_a_block(spark):
+    rows = [(i, " ".join(["word"] * (1500 if i < 60 else 30)), "long" if i < 60 else "short") for i in range(3060)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    m = mix(df, targets(spark, [("long", 0.2, 5), ("short", 0.8, 5)]), block_tokens=500)
+    rep = {r.source: r for r in m.report.collect()}
+    assert all(abs(r.actual_share - r.target_share) < 0.02 and r.slots_missing == 0 for r in rep.values())
+    sums = {r.source: r.t for r in m.plan.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert sums == {s: r.mixed_tokens for s, r in rep.items()}
+
+
 def test_mix_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, source string")
     m = mix(none, targets(spark, [("a", 1.0, 1)]))
