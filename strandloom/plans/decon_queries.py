@@ -104,10 +104,9 @@ LINKS = """links AS (SELECT g.symbol AS gene, p.peak_id, exp(-min(greatest(0, gr
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
-    g = A.genes(s, d).select("chr", F.col("symbol").alias("gene"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), (F.col("start") - 20_000).alias("start"), (F.col("end") + 20_000).alias("end"))
-    p = A.peaks(s, d).withColumnsRenamed({"start": "start_b", "end": "end_b"})
-    dist = F.greatest(F.lit(0), F.greatest(F.col("start_b") - F.col("g_end"), F.col("g_start") - F.col("end_b")))
-    return I.overlap_join(g, p, ["chr"]).groupBy("gene", "peak_id").agg(F.exp(-F.min(dist) / 5000.0).alias("weight"))
+    """Weights of all peaks within the library's reach of a gene, of several sites of a symbol the largest. The SQL stops at 20,000 bases and knows no strand, so it differs."""
+    g = A.genes(s, d).withColumnRenamed("symbol", "gene")
+    return I.gene_peaks(g, A.peaks(s, d)).groupBy("gene", "peak_id").agg(F.max("weight").alias("weight"))
 
 
 @add("celltype_peak_weight", _more("SELECT main_cell_type, peak_id, round(value, 6) AS value FROM pw", LINKS, "profile", "genes", "peaks"))
