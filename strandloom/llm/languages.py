@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.vectors import hash_share
+from strandloom.session import cut
 
 # ISO 639-1 code, ISO 639-2 codes (terminological, bibliographic) and English name of languages written with the letters of Europe.
 LANGUAGES = """
@@ -84,7 +84,7 @@ def word_key(token: str) -> str:
 
 def grams(word: str) -> np.ndarray:
     """Hashed n-grams of 2 to 5 letters of a word with its edges, and the word itself."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     codes = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.uint64)
     out = []
     for n in (2, 3, 4, 5, len(w)):
@@ -344,21 +344,37 @@ def fit(texts: list[str], labels: list[str], per_language: int = 1200, epochs: i
     return model
 
 
+def _level(sizes: list[int], total: int) -> int:
+    """The largest cap under which the sizes sum to at most ``total``, 1 at least."""
+    left, n = total, len(sizes)
+    for i, x in enumerate(sorted(sizes)):
+        if x * (n - i) > left:
+            return max(1, left // (n - i))
+        left -= x
+    return max(sizes, default=1)
+
+
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000, max_chars: int = 6_000_000) -> Model:
-    """A model from at most ``sample_rows`` labelled rows (and ``max_chars`` characters) of ``df``, drawn by hash of the text, of equal texts one.
+    """A model from at most ``sample_rows`` labelled rows (and ``max_chars`` characters) of ``df``, drawn within each label by hash of the text, of equal texts one.
 
-    The labels' notations are read by ``label_code``; rows without a readable label or without text are not drawn.
+    Labels share the rows evenly, and what rare labels leave goes to the others. If the texts are too long together, the longest are cut to an even length, at
+    a blank; none is left out. The labels' notations are read by ``label_code``; rows without a readable label or without text are not drawn.
     """
     labelled = df.select(F.col(text_col).alias("text"), label_code(lang_col).alias("lang")).where("lang IS NOT NULL AND length(text) > 0")
     marked = labelled.withColumn("o", F.xxhash64("text"))
-    few = hash_share(marked, "o", 1.5 * sample_rows / max(1, labelled.count()))
-    rows = few.groupBy("o").agg(F.min_by("text", "lang").alias("text"), F.min("lang").alias("lang")).orderBy("o").limit(sample_rows).select("text", "lang").toArrow()
-    texts, labels = rows["text"].to_pylist(), rows["lang"].to_pylist()
-    n, total = 0, 0
-    while n < len(texts) and total + len(texts[n]) <= max_chars:
-        total += len(texts[n])
-        n += 1
-    return fit(texts[:n], labels[:n])
+    have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # codes of LANGUAGES
+    quota = _level(list(have.values()), sample_rows)
+    drawn = F.lit(False)
+    for lang, n in have.items():
+        upto = int(-(2**63) + min(1.0, (1.5 * quota + 20) / n) * (2**64 - 2**11))
+        drawn = F.when(F.col("lang") == lang, F.col("o") <= upto).otherwise(drawn)
+    few = marked.where(drawn).groupBy("o").agg(F.min_by("text", "lang").alias("text"), F.min("lang").alias("lang"))
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).where(F.col("r") <= quota).select("o", "lang", "text", F.length("text").alias("n"))
+    few = cut(few.orderBy("o").limit(sample_rows))
+    most = _level([r["n"] for r in few.select("n").collect()], max_chars)
+    rows = few.orderBy("o").select(F.left("text", F.lit(most + 1)).alias("text"), "lang").toArrow()
+    texts = [x if len(x) <= most else x[: max(x.rfind(" ", 0, most + 1), 0) or most] for x in rows["text"].to_pylist()]
+    return fit(texts, rows["lang"].to_pylist())
 
 
 SEGMENTS = "doc_id bigint, segment int, lang string, confidence double, n_words bigint, n_sentences int, longest bigint, text string"

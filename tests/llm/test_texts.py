@@ -155,6 +155,19 @@ def test_model_is_right_on_held_out_text(spark, model):
     assert parts.where(F.col("label").isin(model.languages)).agg(F.avg((F.col("label") == F.col("lang")).cast("int"))).head()[0] > 0.9  # labels themselves are partly wrong
 
 
+def test_training_keeps_rare_languages_and_survives_long_texts(spark):
+    rng = random.Random(4)
+
+    def text(lang, n):
+        return " ".join(" ".join([w[0].upper() + w[1:] for w in rng.sample(HELD_OUT[lang].split(), 1)] + rng.sample(HELD_OUT[lang].rstrip(".").lower().split(), 9)) + "." for _ in range(n))
+
+    rows = [(text("en", 6), "en") for _ in range(1500)] + [(text("de", 6), "de") for _ in range(30)] + [(text("fr", 400), "fr") for _ in range(8)]
+    m = L.train(spark.createDataFrame(rows, "text string, lang string"), sample_rows=90, max_chars=60_000)
+    assert set(m.languages) == {"en", "de", "fr"}
+    only = L.train(spark.createDataFrame([(text("en", 600), "en")] * 1, "text string, lang string"), max_chars=20_000)
+    assert only.languages == ["en"]
+
+
 def test_mixed_and_odd_documents(spark, model):
     en, de, fr = (" ".join([HELD_OUT[k]] * 3) for k in ("en", "de", "fr"))
     rows = [(1, f"{en}\n[2] {HELD_OUT['de']} {HELD_OUT['de']}\n[3] {en}", "en", 1), (2, f"{fr} «Nein.» {fr}", "FR", 1), (3, fr, None, 1), (4, None, "de", 1), (5, "", "de", 1), (6, " \n ", "de", 1), (7, "12.3 45 — 7/8", "de", 1), (8, de * 200, "it", 1), (9, de, "German", 1), (9, de, "German", 1)]
