@@ -84,11 +84,11 @@ def _sums(cells: DataFrame, k: int, v: int, params: Parameters | None, seed: int
     return py / n, pyx / n, x / n, tc / n
 
 
-def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None, strength: float = 2.0, n_iter: int = 20, seed: int = 1) -> Fitted:
+def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None, strength: float = 2.0, n_iter: int = 100, seed: int = 1) -> Fitted:
     """Topics as latent binary factors of the genes a cell has. Anchored genes keep the weight ``strength`` in their topic.
 
     ``gene_topic`` holds the mutual information of gene and topic times its weight; ``cell_topic`` p(topic given cell). ``about["tc"]`` is the total correlation
-    after each iteration, ``about["tcs"]`` that of each topic at the end.
+    after each iteration, ``about["tcs"]`` that of each topic at the end. Ends after ``n_iter`` iterations, or when the total correlation has stood still for ten.
     """
     spark = counts.sparkSession
     genes = vocabulary(counts)
@@ -103,6 +103,7 @@ def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None,
         py, pyx, px, tc = _sums(cells, k, v, params, seed, anchored)
         if it:
             history.append(float(tc.sum()))
+            settled = len(history) >= 10 and abs(np.mean(history[-5:]) - np.mean(history[-10:-5])) < 1e-5
         py = np.clip(py, eps, 1 - eps)
         px = np.clip(px, eps, 1 - eps)
         x1y1 = np.clip(pyx, eps, None)
@@ -124,6 +125,8 @@ def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None,
             alpha[t, g] = strength
         new.alpha = alpha
         params = new
+        if it and settled:
+            break
     weights = alpha * info
     gene_topic = spark.createDataFrame([(genes[g], int(t), float(weights[t, g])) for t, g in zip(*np.nonzero(weights > 0))], "gene string, topic_id int, weight double")
     final = params
@@ -138,7 +141,7 @@ def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None,
     return Fitted(gene_topic, cells.mapInArrow(label, "cell_id string, topic_id int, weight double"), {"tc": history, "tcs": tc.tolist(), "genes": genes})
 
 
-def hierarchy(fitted: Fitted, layers: list[int], n_iter: int = 20, seed: int = 1, most_edges: int = 200) -> tuple[list[Fitted], DataFrame]:
+def hierarchy(fitted: Fitted, layers: list[int], n_iter: int = 100, seed: int = 1, most_edges: int = 200) -> tuple[list[Fitted], DataFrame]:
     """Fits each further layer on the labels (p > 0.5) of the one below. ``edges``: ``parent_layer, parent, child_layer, child, weight``, at most ``most_edges`` a layer."""
     below, out, edges = fitted, [], None
     for i, k in enumerate(layers):

@@ -65,7 +65,7 @@ def _multinomial(rng: np.random.Generator, n: np.ndarray, p: np.ndarray) -> np.n
     return rng.multinomial(n, p / p.sum(axis=1, keepdims=True))
 
 
-def fit_guided(counts: DataFrame, k: int, seeds: dict[str, int], confidence: float = 0.15, n_iter: int = 20, alpha: float | None = None, eta: float | None = None, seed: int = 9) -> Fitted:
+def fit_guided(counts: DataFrame, k: int, seeds: dict[str, int], confidence: float = 0.15, n_iter: int = 100, alpha: float | None = None, eta: float | None = None, seed: int = 9) -> Fitted:
     """``seeds`` maps a gene to its topic: its tokens start there with probability ``confidence``, all others spread evenly.
 
     The weights of ``cell_topic`` sum to 1 per cell. ``about["log_likelihood"]`` has the value after each sweep and ``about["tokens"]`` the number of tokens, which no

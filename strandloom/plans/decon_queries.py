@@ -173,7 +173,7 @@ def rare_rank(s: SparkSession, d: str) -> DataFrame:
 
 @add("bootstrap_ci")
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return _r(M.bootstrap(_pairs(s, d), "main_cell_type", "p", "t", 200), 6, "pcc", "rmse", "pcc_sd", "rmse_sd")
+    return _r(M.bootstrap(_pairs(s, d), "main_cell_type", "p", "t"), 6, "pcc", "rmse", "pcc_sd", "rmse_sd")
 
 
 @add("model_select_best", _more("SELECT topic_id, main_cell_type, round(weight, 9) AS weight FROM topic_type QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, main_cell_type) = 1", "x AS (SELECT 1)", "topic_type"))

@@ -218,23 +218,23 @@ def _seeds(s: SparkSession, d: str) -> dict[str, int]:
 
 @add("guided_lda")
 def guided_lda(s: SparkSession, d: str) -> DataFrame:
-    return _r(guided.fit_guided(A.counts(s, d), 6, _seeds(s, d), n_iter=5).gene_topic, 6, "weight")
+    return _r(guided.fit_guided(A.counts(s, d), 6, _seeds(s, d)).gene_topic, 6, "weight")
 
 
 @add("guided_lda_infer")
 def guided_lda_infer(s: SparkSession, d: str) -> DataFrame:
     b = A.bulk(s, d).withColumnRenamed("sample_id", "cell_id")
-    return _r(guided.infer_guided(guided.fit_guided(A.counts(s, d), 6, _seeds(s, d), n_iter=5), b), 6, "weight").withColumnRenamed("cell_id", "sample_id")
+    return _r(guided.infer_guided(guided.fit_guided(A.counts(s, d), 6, _seeds(s, d)), b), 6, "weight").withColumnRenamed("cell_id", "sample_id")
 
 
 @add("corex_topics")
 def corex_topics(s: SparkSession, d: str) -> DataFrame:
-    return _r(corex.fit_corex(A.counts(s, d), 6, _seeds(s, d), n_iter=8).gene_topic, 6, "weight").where("weight > 0")
+    return _r(corex.fit_corex(A.counts(s, d), 6, _seeds(s, d)).gene_topic, 6, "weight").where("weight > 0")
 
 
 @add("corex_hierarchy")
 def corex_hierarchy(s: SparkSession, d: str) -> DataFrame:
-    return _r(corex.hierarchy(corex.fit_corex(A.counts(s, d), 6, n_iter=6), [3, 2], n_iter=6)[1], 6, "weight")
+    return _r(corex.hierarchy(corex.fit_corex(A.counts(s, d), 6), [3, 2])[1], 6, "weight")
 
 
 @add("topic_hierarchy_ward")
