@@ -85,8 +85,8 @@ def pad_gene_list_mask(s: SparkSession, d: str) -> DataFrame:
  FROM (SELECT DISTINCT sample_id, gene FROM by_chr) s JOIN (SELECT DISTINCT gene, chr FROM by_chr) g USING (gene) LEFT JOIN by_chr b ON b.sample_id = s.sample_id AND b.gene = g.gene AND b.chr = g.chr) GROUP BY 1, 2) WHERE value <> 0""", "bulk").replace(" SELECT sample_id, gene, round", """, by_chr AS (SELECT sample_id, gene, chr, sum(value * (1 + length(chr) % 3)) AS value FROM bulk JOIN (SELECT DISTINCT genome || ':' || chr AS chr, symbol AS gene FROM gene_anno WHERE symbol IS NOT NULL AND (start + length(symbol)) % 3 > 0) USING (gene)
  WHERE (ascii(right(sample_id, 1)) + length(chr)) % 2 = 0 GROUP BY ALL) SELECT sample_id, gene, round""", 1))
 def dup_symbol_median(s: SparkSession, d: str) -> DataFrame:
-    sites = table(s, d, "gene_anno").where("symbol IS NOT NULL AND (start + length(symbol)) % 3 > 0").select(F.concat(F.col("genome"), F.lit(":"), F.col("chr")).alias("chr"), F.col("symbol").alias("gene")).where("chr IS NOT NULL").distinct()
-    by_chr = A.bulk(s, d).join(sites, "gene").where((F.ascii(F.right("sample_id", F.lit(1))) + F.length("chr")) % 2 == 0).withColumn("value", F.col("value") * (1 + F.length("chr") % 3))
+    sites = table(s, d, "gene_anno").where("symbol IS NOT NULL").select(F.concat(F.col("genome"), F.lit(":"), F.col("chr")).alias("chr"), F.col("symbol").alias("gene")).where("chr IS NOT NULL").distinct()
+    by_chr = A.bulk(s, d).join(sites, "gene").withColumn("value", F.col("value") * (1 + F.length("chr") % 3))
     return P.median_over_repeats(by_chr, "sample_id", "gene", "chr").withColumn("value", F.round("value", 6))
 
 
@@ -129,7 +129,7 @@ CONTROL = "avg(value) FILTER (sample_id < 'S00003') OVER w"
 
 @add("ctrl_norm", with_sql(f"SELECT * FROM (SELECT sample_id, gene, round((value - {CONTROL}) / (stddev_samp(value) FILTER (sample_id < 'S00003') OVER w + 2.220446049250313e-16), 3) AS value FROM bulk WINDOW w AS (PARTITION BY gene)) WHERE value IS NOT NULL AND abs(value) < 1e12", "bulk"))
 def ctrl_norm(s: SparkSession, d: str) -> DataFrame:
-    return P.control_zscore(A.bulk(s, d), "gene", F.col("sample_id") < "S00003").withColumn("value", F.round("value", 3)).where("abs(value) < 1e12")
+    return P.control_zscore(A.bulk(s, d), "gene", F.col("sample_id") < "S00003").withColumn("value", F.round("value", 3))
 
 
 GROUPS = "groups AS (SELECT DISTINCT gene, CAST(ord % 5 AS INTEGER) AS group_id FROM use_gene UNION SELECT DISTINCT gene, 5 FROM use_gene WHERE ord % 7 = 0)"
