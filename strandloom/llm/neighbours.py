@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.vectors import Copies, Index, Tiles, build_index, by_tile_group, fold_copies, lay_out, screen, usable
+from strandloom.llm.vectors import Copies, Index, build_index, fold_copies, hash_share, lay_out, nearest_pivots, record_type, screen, tiles_of, unit_rows, usable
 from strandloom.session import cut
 
 PAIRS = "a bigint, b bigint, cosine double"
+#: Queries whose nearest are found by brute force to set how many blocks a search visits.
+TRIAL_QUERIES = 256
 
 
 def top_per_row(a: np.ndarray, b: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -23,33 +27,47 @@ def top_per_row(a: np.ndarray, b: np.ndarray, cosine: np.ndarray, k: int) -> tup
     return a[keep], b[keep], cosine[keep]
 
 
-def _near(k: int, min_cosine: float):
+class Heaps:
+    """A heap of the k best partners of each row, its worst at the root; of equal cosines the smaller id is better."""
+
+    def __init__(self, rows: int, k: int) -> None:
+        self.k, self.worst = k, np.full(rows, -2.0)
+        self.heaps: dict[int, list[tuple[float, int]]] = {}
+
+    def offer(self, row: np.ndarray, partner: np.ndarray, cosine: np.ndarray) -> None:
+        """Merges the pairs of a tile: those worse than a row's full heap are passed over, and a tile's k best of a row enter."""
+        may = cosine >= self.worst[row]
+        for r, p, c in zip(*(x.tolist() for x in top_per_row(row[may], partner[may], cosine[may], self.k))):
+            heap = self.heaps.setdefault(r, [])
+            if len(heap) < self.k:
+                heapq.heappush(heap, (c, -p))
+            else:
+                heapq.heappushpop(heap, (c, -p))
+            if len(heap) == self.k:
+                self.worst[r] = heap[0][0]
+
+    def table(self, ids: np.ndarray) -> pa.Table:
+        row = np.repeat(np.array(list(self.heaps), np.int64), [len(h) for h in self.heaps.values()])
+        best = [x for h in self.heaps.values() for x in h]
+        return pa.table({"a": pa.array(ids[row] if len(row) else [], pa.int64()), "b": pa.array([-p for _, p in best], pa.int64()), "cosine": pa.array([c for c, _ in best], pa.float64())})
+
+
+def _near(k: int, min_cosine: float, kind: np.dtype, index: Index):
     def find(t: pa.Table) -> pa.Table:
-        tiles = Tiles(t)
-        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def merge() -> None:
-            if held:
-                best[:] = top_per_row(*(np.concatenate([best[c], *[h[c] for h in held]]) for c in range(3)), k)
-                held.clear()
-
-        for i, j, _ in tiles.candidates(min_cosine):
-            cosine = tiles.exact(i, j)
-            ok = cosine >= min_cosine
-            x, y, c = tiles.ids[i[ok]], tiles.ids[j[ok]], cosine[ok]
-            held.append((np.r_[x, y], np.r_[y, x], np.r_[c, c]))
-            if sum(len(h[0]) for h in held) > 500_000:
-                merge()
-        merge()
-        return pa.table({"a": best[0], "b": best[1], "cosine": best[2]})
+        out = []
+        for tiles in tiles_of(t, kind, index):
+            heaps = Heaps(len(tiles.ids), k)
+            for i, j, cosine in tiles.pairs(min_cosine):
+                heaps.offer(np.r_[i, j], tiles.ids[np.r_[j, i]], np.r_[cosine, cosine])
+            out.append(heaps.table(tiles.ids))
+        return pa.concat_tables(out)
 
     return find
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return pairs.dropDuplicates(["a", "b"]).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+    return pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
 def _unfold(pairs: DataFrame, copies: Copies, k: int) -> DataFrame:
@@ -64,74 +82,129 @@ def _unfold(pairs: DataFrame, copies: Copies, k: int) -> DataFrame:
     return _ranked(every.where("a <> b"), k)
 
 
-def prepared(df: DataFrame, id_col: str, vec_col: str, dim: int, min_cosine: float, block_rows: int) -> tuple[Copies, Index]:
-    copies = fold_copies(usable(df, id_col, vec_col, dim))
-    n = copies.reps.count()
-    return copies, build_index(copies.reps, n, dim, min_cosine, block_rows)
-
-
 def chosen(vectors: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """The rows of ``vectors`` named by ``ids``. The ids are counted; up to ``most`` (8 MB) are broadcast, so the vectors aren't shuffled."""
     ids = cut(ids.distinct())
     return vectors.join(F.broadcast(ids) if ids.count() <= most else ids, "vec_id", "left_semi")
 
 
-def nearest_above(df: DataFrame, k: int, min_cosine: float, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, block_rows: int = 4096) -> DataFrame:
-    """``a, b, cosine, rank``-like rows ``a, b, cosine``: for every usable vector a, its up to k most similar others b
-    with a cosine of at least ``min_cosine``.
+def folded(df: DataFrame, id_col: str, vec_col: str, dim: int) -> Copies:
+    return fold_copies(usable(df, id_col, vec_col, dim))
+
+
+def with_neighbours(df: DataFrame, copies: Copies, dim: int, min_cosine: float, block_rows: int, and_copies: bool = False) -> tuple[DataFrame, Index]:
+    """The representatives that may have a partner of at least ``min_cosine`` (with ``and_copies`` also those with copies), written down, and an index of their own.
+
+    All representatives meet as int8 codes in the tiles of their blocks; those without any possible partner drop out. What is left, often few, is
+    indexed anew.
+    """
+    index = build_index(copies.reps, df.count(), dim, block_rows=block_rows)
+    ids = screen(copies.reps, index, dim, min_cosine)
+    if and_copies:
+        ids = ids.unionAll(copies.members.select(F.col("rep").alias("vec_id")))
+    near = cut(chosen(copies.reps, ids))
+    return near, build_index(near, near.count(), dim, block_rows=block_rows)
+
+
+def nearest_above(df: DataFrame, k: int, min_cosine: float, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, block_rows: int = 256) -> DataFrame:
+    """Rows ``a, b, cosine``: for every usable vector a, its up to k most similar others b with a cosine of at least ``min_cosine``.
 
     First all rows meet as int8 codes in the tiles of their blocks, and those without any possible partner drop out.
-    The rest meet again with their float vectors; surviving pairs are recomputed, each task keeps k a row, and the k best
-    over all blocks stay. Loss: none from the codes, whose error bounds are kept; a pair is lost only if neither row visits the
-    other's block (see ``build_index``; the tests measure a recall of 1). Equal vectors are near each other with
-    cosine 1; equals are taken in the order of their ids. Unusable vectors (null, wrong length, NaN, infinite, all zero, without id)
-    have no rows; an empty table gives an empty result; other columns are left out.
+    The rest meet again with their float vectors; surviving pairs are recomputed, a heap of k a row takes them in tile after tile, and the k best
+    over all blocks stay. Loss: none from the codes, whose error bounds are kept; a pair is lost only if its rows share no block (see ``build_index``; the
+    tests measure the recall). Equal vectors are near each other with cosine 1; equals are taken in the order of their ids. Unusable vectors (null, wrong
+    length, NaN, infinite, all zero, without id) have no rows; an empty table gives an empty result; other columns are left out.
     """
-    copies, index = prepared(df, id_col, vec_col, dim, min_cosine, block_rows)
-    near = chosen(copies.reps, screen(copies.reps, index, dim, min_cosine)).withColumn("extra", F.lit(0))
-    found = by_tile_group(lay_out(near, index, dim, True), index.slices).applyInArrow(_near(k, min_cosine), PAIRS)
+    copies = folded(df, id_col, vec_col, dim)
+    near, index = with_neighbours(df, copies, dim, min_cosine, block_rows)
+    kind = record_type(dim, index.visits)
+    found = lay_out(near.withColumn("extra", F.lit(0)), index, dim, kind).groupBy("tile_group").applyInArrow(_near(k, min_cosine, kind, index), PAIRS)
     return _unfold(_ranked(found, k), copies, k)
 
 
-def _searched(k: int):
+def _searched(k: int, kind: np.dtype, index: Index):
     def find(t: pa.Table) -> pa.Table:
-        tiles = Tiles(t)
-        asks = np.flatnonzero(tiles.extra == 1)
-        res = tiles.residents
-        out: list[tuple[np.ndarray, ...]] = []
-        cols = np.ascontiguousarray(tiles.approx[:res].T)
-        most = float(tiles.err[:res].max()) if res else 0.0
-        for s in range(0, len(asks), 256):
-            i = asks[s : s + 256]
-            est = tiles.approx[i] @ cols
-            est[tiles.ids[i][:, None] == tiles.ids[:res][None, :]] = -2
-            if tiles.low != tiles.high:
-                est[tiles.slice[i][:, None] == tiles.slice[:res][None, :]] = -2
-            slack = tiles.err[i] + most + tiles.err[i] * most + 1e-5
-            kth = np.partition(est, max(res - k, 0), axis=1)[:, max(res - k, 0)] if res else np.zeros(len(i))
-            r, j = np.nonzero((est >= (kth - 2 * slack)[:, None]) & (est > -1.5))
-            out.append(top_per_row(tiles.ids[i[r]], tiles.ids[j], tiles.exact(i[r], j), k))
-        if not out:
-            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cosine": np.zeros(0)})
-        return pa.table({c: np.concatenate([o[n] for o in out]) for n, c in enumerate(("a", "b", "cosine"))})
+        out = []
+        for tiles in tiles_of(t, kind, index):
+            asks, home = np.flatnonzero(tiles.rec["extra"] == 1), np.flatnonzero(tiles.rec["visits"][:, 0] == tiles.block)
+            heaps, res = Heaps(len(tiles.ids), k), len(home)
+            most = float(tiles.err[home].max()) if res else 0.0
+            for s in range(0, len(asks) if res else 0, 256):
+                i = asks[s : s + 256]
+                est = np.full((len(i), res), -2.0, np.float32)
+                for b in range(0, res, TILE_COLUMNS):
+                    h = home[b : b + TILE_COLUMNS]
+                    est[:, b : b + TILE_COLUMNS] = (tiles.code[i] @ tiles.code[h].T) * tiles.scale[i][:, None] * tiles.scale[h][None, :]
+                est[tiles.ids[i][:, None] == tiles.ids[home][None, :]] = -2
+                if tiles.slice is not None:
+                    est[(tiles.slice[i][:, None] != tiles.slice[home][None, :]) != tiles.across] = -2
+                slack = tiles.err[i] + most + tiles.err[i] * most + 1e-5
+                kth = np.partition(est, max(res - k, 0), axis=1)[:, max(res - k, 0)]
+                r, j = np.nonzero((est >= (kth - 2 * slack)[:, None]) & (est > -1.5))
+                heaps.offer(i[r], tiles.ids[home[j]], tiles.exact(i[r], home[j]))
+            out.append(heaps.table(tiles.ids))
+        return pa.concat_tables(out)
 
     return find
 
 
-def search(df: DataFrame, k: int, query_step: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, expected_cosine: float = 0.55, block_rows: int = 8192) -> DataFrame:
+#: Columns of a product of queries and rows.
+TILE_COLUMNS = 4096
+
+
+def probes(vectors: DataFrame, asking: DataFrame, index: Index, n: int, n_asking: int, dim: int, k: int, recall: float) -> int:
+    """How many blocks a query has to visit so that at least ``recall`` of its k nearest are at home there.
+
+    Up to ``TRIAL_QUERIES`` queries, drawn by hash of the id, meet all rows by brute force; each task keeps the k nearest of each and the place of their home block among
+    the query's blocks. The number is that which covers ``recall`` of all trial neighbours.
+    """
+    blocks = len(index.pivots)
+    marked = asking.select("vec_id", "embedding", F.xxhash64("vec_id").alias("o"))
+    trial = hash_share(marked, "o", 2 * TRIAL_QUERIES / max(n_asking, 1)).orderBy("o").limit(TRIAL_QUERIES).select("vec_id", "embedding").toArrow()
+    if blocks == 1 or not trial.num_rows:
+        return blocks
+    own, unit = trial["vec_id"].to_numpy(), unit_rows(trial["embedding"], dim).astype(np.float32)
+    place = np.empty((len(own), blocks), np.int32)
+    np.put_along_axis(place, nearest_pivots(unit, index.pivots, blocks), np.tile(np.arange(blocks, dtype=np.int32), (len(own), 1)), 1)
+
+    def nearest(batches):
+        row, cosine, at = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int32)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            u = unit_rows(b.column("embedding"), dim).astype(np.float32)
+            home = nearest_pivots(u, index.pivots, 1)[:, 0]
+            s = unit @ u.T
+            s[own[:, None] == b.column("vec_id").to_numpy()[None, :]] = -2
+            top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            q = np.repeat(np.arange(len(own)), top.shape[1])
+            all_row, all_c, all_at = np.r_[row, q], np.r_[cosine, s[q, top.ravel()]], np.r_[at, place[q, home[top.ravel()]]]
+            row, where, cosine = top_per_row(all_row, np.arange(len(all_row)), all_c, k)
+            at = all_at[where]
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(cosine, pa.float32()), pa.array(at, pa.int32())], names=["a", "cosine", "b"])
+
+    best = _ranked(vectors.select("vec_id", "embedding").mapInArrow(nearest, "a bigint, cosine float, b int"), k).select("b").toArrow()["b"].to_numpy()
+    return int(min(blocks, np.sort(best)[max(0, int(np.ceil(recall * len(best))) - 1)] + 1)) if len(best) else blocks
+
+
+def search(df: DataFrame, k: int, query_step: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, recall: float = 0.97, block_rows: int = 1024) -> DataFrame:
     """``a, b, cosine``: the k most similar others b, of all usable vectors, of each usable vector a whose id is divisible by
     ``query_step``.
 
-    Queries visit the blocks that may hold partners of at least ``expected_cosine``; the rows searched stay at home. In a tile, every
-    row whose upper bound reaches the lower bound of the k-th best is recomputed. Codes lose nothing; blocks not visited
-    may: the tests measure the recall against brute force, which has to reach 0.9 and is near 1.
+    The rows searched lie in the block of their nearest pivot; queries visit as many blocks as trial queries need to find ``recall`` of their nearest (``probes``: a
+    bounded sample of queries against all rows). In a tile, every row whose upper bound reaches the lower bound of the k-th best is recomputed in float, and heaps keep the best.
+    Codes lose nothing; blocks not visited may: the tests measure the recall against brute force, which has to reach 0.9.
     Equals and unusable vectors are treated as in ``nearest_above``.
     """
-    copies, index = prepared(df, id_col, vec_col, dim, expected_cosine, block_rows)
+    copies, n = folded(df, id_col, vec_col, dim), df.count()
     asking = F.col("vec_id") % query_step == 0
     sets = copies.members.where(asking).select(F.col("rep").alias("vec_id"), F.lit(True).alias("__asked")).distinct()
-    flagged = copies.reps.join(sets, "vec_id", "left").withColumn("asks", asking | F.coalesce("__asked", F.lit(False))).withColumn("extra", F.col("asks").cast("bigint"))
-    found = by_tile_group(lay_out(flagged, index, dim, True, "asks"), index.slices).applyInArrow(_searched(k), PAIRS)
+    flagged = cut(copies.reps.join(sets, "vec_id", "left").withColumn("asks", asking | F.coalesce("__asked", F.lit(False))).withColumn("extra", F.col("asks").cast("bigint")).withColumn("at_home", ~F.col("asks")).drop("__asked"))
+    index = build_index(flagged, n, dim, block_rows=block_rows)
+    queries = flagged.where("asks")
+    index.visits = probes(flagged, queries, index, n, queries.count(), dim, k, recall)
+    kind = record_type(dim, index.visits)
+    found = lay_out(flagged, index, dim, kind, "at_home").groupBy("tile_group").applyInArrow(_searched(k, kind, index), PAIRS)
     return _unfold(_ranked(found, k), copies, k).where(F.col("a") % query_step == 0)
 
 

@@ -1,10 +1,8 @@
 """Blocks of vectors, and the product tiles that find near pairs within them.
 
-Vectors are brought to length one and laid into blocks around pivots. A row's home is its nearest
-pivot's block; it also visits each block whose boundary lies so near that a partner may live beyond it.
-Tiles of a block multiply int8 codes. The rounding error of every code is known, so a product gives an
-upper and a lower bound of the true cosine; only pairs whose upper bound reaches the threshold are
-recomputed from the float vectors.
+Vectors are brought to length one. A row is laid into the blocks of its few nearest pivots, always the same number of them, and two
+rows meet wherever they have a block in common. Tiles of a block multiply int8 codes. The rounding error of every code is known, so a product gives
+an upper and a lower bound of the true cosine; only pairs whose upper bound reaches the threshold are recomputed from the float vectors.
 """
 
 from __future__ import annotations
@@ -20,15 +18,21 @@ from strandloom.session import cut
 
 #: Rows of one tile side.
 TILE = 1024
+#: Rows of a block from which a task lays it into smaller blocks of its own, and the rows of those.
+WHOLE_ROWS, PART_ROWS = 3072, 512
+#: Rows that blocks are bundled to, so that a task gets some of them at a time.
+GROUP_ROWS = 32_768
 #: Rows of a block beyond which it is cut into slices that meet pairwise.
-SLICE_ROWS = 60_000
+SLICE_ROWS = 200_000
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """``vec_id, embedding`` of the rows with an id and a vector that is not null, has ``dim`` numbers, none of them
     null, NaN or infinite, and not all of them 0. Other rows and columns are left out."""
-    ok = (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(ok)
+    e, inf = F.col("embedding"), F.lit(float("inf")).cast("float")
+    plain = F.array_contains(e, F.lit(float("nan")).cast("float")) == False  # noqa: E712  null if there are nulls and no NaN
+    ok = (F.size(e) == dim) & plain & (F.array_max(e) < inf) & (F.array_min(e) > -inf) & ((F.array_max(e) != 0) | (F.array_min(e) != 0))
+    return df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull()).where(ok)
 
 
 @dataclass
@@ -62,24 +66,59 @@ def hash_share(df: DataFrame, mark: str, share: float) -> DataFrame:
     return df.where(F.col(mark) < F.lit(int(-(2**63) + min(1.0, share) * (2**64 - 2**11)))) if share < 1 else df
 
 
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each id (the finisher of splitmix64)."""
+    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
+    """Numbers of the ``m`` pivots most similar to each row, the most similar first."""
+    out = np.empty((len(unit), m), np.int32)
+    for a in range(0, len(unit), 4096):
+        s = unit[a : a + 4096].astype(np.float32) @ pivots.T
+        near = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(s), 1))
+        out[a : a + 4096] = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+    return out
+
+
+def lowest_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lowest number that both rows of two tables of numbers have; a number beyond all if there is none."""
+    out = np.empty(len(a), np.int32)
+    for s in range(0, len(a), 65536):
+        x, y = a[s : s + 65536], b[s : s + 65536]
+        out[s : s + 65536] = np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, np.iinfo(np.int32).max).min(axis=1)
+    return out
+
+
 @dataclass
 class Index:
-    """Pivots of the blocks, how far from a boundary a row still visits the block beyond it, and the number of slices of
+    """Pivots of the blocks, how many blocks a row is laid into, the number of groups that blocks are bundled into, and the number of slices of
     blocks that are too large for one task."""
 
     pivots: np.ndarray
-    reach: float
+    visits: int
+    groups: int
     slices: dict[int, int]
 
-    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Home block of each row, and a row of flags for the blocks it is laid into."""
-        sims = unit @ self.pivots.T
-        rows, home = np.arange(len(unit)), sims.argmax(axis=1)
-        gap = sims[rows, home][:, None] - sims
-        across = np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots.T)[home] - gap * gap, 0))
-        go = gap <= self.reach * across
-        go[rows, home] = True
-        return home, go
+    def groups_of(self, block: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, group)``: the group that each row of a block goes to; for a row of a block in slices all groups with its slice."""
+        row, group = np.arange(len(block)), (block % self.groups).astype(np.int64)
+        if not self.slices:
+            return row, group
+        parts = np.array([self.slices.get(b, 1) for b in range(len(self.pivots))])
+        first = self.groups + np.r_[0, np.cumsum(parts * parts)[:-1]]
+        n, own = parts[block], self.slice_of(ids, parts[block])
+        row = np.repeat(row, n)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        low, high = np.minimum(own[row], other), np.maximum(own[row], other)
+        return row, np.where(n[row] > 1, first[block[row]] + low * n[row] + high, group[row])
+
+    @staticmethod
+    def slice_of(ids: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return (mixed(ids) % np.asarray(n).astype(np.uint64)).astype(np.int64)
 
 
 def unit_rows(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -90,35 +129,33 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def build_index(vectors: DataFrame, n: int, dim: int, min_cosine: float, block_rows: int = 4096, max_blocks: int = 8192, sample_rows: int = 40_000, sigmas: float = 3.0) -> Index:
-    """Pivots by spherical k-means on a sample of at most ``sample_rows`` rows, drawn by hash of the id.
+def build_index(vectors: DataFrame, n: int, dim: int, visits: int = 6, block_rows: int = 256, max_blocks: int = 8192, sample_per_block: int = 32, rounds: int = 4) -> Index:
+    """Pivots by spherical k-means on ``sample_per_block`` rows a block, drawn by hash of the id.
 
-    The number of blocks is ``n / block_rows``, at most ``max_blocks``; pivots are the only thing broadcast, at most
-    ``max_blocks * dim`` floats. A row x visits the block of pivot c beside its own pivot p if
-    ``x.(p - c) <= reach * |part of (p - c) across x|``. With ``tan(acos(min_cosine))`` as reach this would be exact
-    for all partners of at least ``min_cosine``; deviations of a partner point in a random direction, though, and reach only
-    ``sigmas / sqrt(dim - 1)`` of that far, but for one in some hundreds at 3 sigmas. A pair is lost only if both its rows
-    miss each other's block.
+    There is a block for every ``block_rows`` rows, up to ``max_blocks``, so the sample has at most ``max_blocks * sample_per_block`` rows (262,144) and the pivots, the only
+    thing broadcast, are at most ``max_blocks * dim`` floats. A row is laid into ``visits`` blocks whatever their number, so what is shuffled grows with the
+    rows alone. Two rows of cosine c share one of their nearest pivots unless each of those is far down the other's list: with six visits some 3 pairs in
+    100,000 of cosine 0.9 are lost (measured in the tests), about equally many with 100 and with 1,600 blocks. Blocks that have become large, because their number is bounded or
+    the data crowd there, are laid into smaller ones by the task that has them (``Tiles``); blocks beyond ``SLICE_ROWS`` are cut into slices that meet pairwise.
     """
     k = int(max(1, min(max_blocks, round(n / block_rows))))
-    reach = float(np.tan(np.arccos(min_cosine)) * min(1.0, sigmas / np.sqrt(max(dim - 1, 1))))
-    if k == 1:
-        return Index(np.ones((1, dim)) / np.sqrt(dim), reach, {0: -(-n // SLICE_ROWS)} if n > SLICE_ROWS else {})
-    want = min(sample_rows, 64 * k)
+    want = sample_per_block * k
     marked = vectors.select("embedding", F.xxhash64("vec_id").alias("o"))
-    rows = hash_share(marked, "o", 1.5 * want / n).orderBy("o").limit(want).select("embedding").toArrow()
-    x = unit_rows(rows["embedding"], dim)
-    pivots = x[:: max(1, len(x) // k)][:k].copy()
-    for _ in range(5 if k <= 1024 else 0):
-        near = (x @ pivots.T).argmax(axis=1)
-        total = np.zeros_like(pivots)
-        np.add.at(total, near, x)
-        size = np.sqrt((total * total).sum(axis=1))
-        pivots[size > 0] = total[size > 0] / size[size > 0, None]
-    index = Index(pivots, reach, {})
-    expected = index.visits(x)[1].sum(axis=0) * n / len(x)
-    index.slices = {int(b): int(-(-rows // SLICE_ROWS)) for b, rows in enumerate(expected) if rows > SLICE_ROWS}
-    return index
+    rows = hash_share(marked, "o", 1.5 * want / max(n, 1)).orderBy("o").limit(want).select("embedding").toArrow() if k > 1 else None
+    x = unit_rows(rows["embedding"], dim).astype(np.float32) if rows is not None and rows.num_rows else np.ones((1, dim), np.float32) / np.sqrt(np.float32(dim))
+    pivots = x[:k].copy()
+    for _ in range(rounds if len(pivots) > 1 else 0):
+        near = nearest_pivots(x, pivots, 1)[:, 0]
+        order = np.argsort(near, kind="stable")
+        at = np.flatnonzero(np.r_[True, near[order][1:] != near[order][:-1]])
+        total = np.add.reduceat(x[order], at, axis=0)
+        size = np.sqrt((total * total).sum(axis=1, keepdims=True))
+        pivots[near[order][at]] = total / np.maximum(size, 1e-12)
+    k = len(pivots)
+    visits = min(visits, k)
+    expected = np.bincount(nearest_pivots(x, pivots, visits).ravel(), minlength=k) * (n / len(x)) if k > 1 else np.array([n])
+    slices = {int(b): int(-(-rows // SLICE_ROWS)) for b, rows in enumerate(expected) if rows > SLICE_ROWS}
+    return Index(pivots, visits, int(max(1, min(k, -(-n * visits // GROUP_ROWS)))), slices)
 
 
 def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,131 +167,168 @@ def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, scale, (np.sqrt((gone * gone).sum(axis=1)) + 1e-6).astype(np.float32)
 
 
-def _binary(x: np.ndarray) -> pa.Array:
-    """Each row's bytes."""
-    x = np.ascontiguousarray(x)
-    width = x.dtype.itemsize * x.shape[1]
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
-
+LAID = "tile_group bigint, record binary"
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(n, -1)
 
+def record_type(dim: int, visits: int) -> np.dtype:
+    """What travels of a row: to be screened (``visits`` 0) its code, else its float vector and the blocks it is laid into."""
+    if not visits:
+        return np.dtype([("id", "<i8"), ("block", "<i4"), ("scale", "<f4"), ("err", "<f4"), ("code", "i1", (dim,))])
+    return np.dtype([("id", "<i8"), ("copies", "<i8"), ("extra", "<i8"), ("block", "<i4"), ("visits", "<i4", (visits,)), ("unit", "<f4", (dim,))])
 
-BLOCK_SCHEMA = "block int, home int, visits binary, slice int, vec_id bigint, copies bigint, extra bigint, code binary, scale float, err float, unit binary"
 
+def lay_out(vectors: DataFrame, index: Index, dim: int, kind: np.dtype, at_home: str | None = None) -> DataFrame:
+    """``tile_group, record``: the rows of ``vectors`` (``vec_id, embedding, copies, extra``) in each of the blocks they visit.
 
-def lay_out(vectors: DataFrame, index: Index, dim: int, with_unit: bool, visitors: str | None = None) -> DataFrame:
-    """The rows of ``vectors`` (``vec_id, embedding, copies, extra``) in their home block and in those they visit.
-
-    ``with_unit`` adds the float vectors; screening needs only the codes. ``visitors`` names a Boolean column;
-    only rows where it is true visit other blocks.
+    ``at_home`` names a Boolean column: rows where it is true stay in the block of their nearest pivot.
     """
+    full = "unit" in kind.names
 
     def lay(batches):
         for b in batches:
             if b.num_rows == 0:
                 continue
             u = unit_rows(b.column("embedding"), dim)
-            home, go = index.visits(u)
-            if visitors:
-                at_home = np.zeros_like(go)
-                at_home[np.arange(len(u)), home] = True
-                go = np.where(b.column(visitors).to_numpy(zero_copy_only=False).astype(bool)[:, None], go, at_home)
-            code, scale, err = codes(u)
-            row, block = np.nonzero(go)
-            bits = np.packbits(go, axis=1)
-            take = pa.array(row)
+            near = nearest_pivots(u, index.pivots, index.visits)
             ids = b.column("vec_id").to_numpy()
-            unit = _binary(u.astype(np.float32)).take(take) if with_unit else pa.nulls(len(row), pa.binary())
-            cols = [pa.array(block, pa.int32()), pa.array(home[row], pa.int32()), _binary(bits).take(take) if with_unit else pa.nulls(len(row), pa.binary()), pa.array(np.zeros(len(row)), pa.int32()), pa.array(ids[row], pa.int64()), b.column("copies").take(take), b.column("extra").take(take), _binary(code).take(take), pa.array(scale[row]), pa.array(err[row]), unit]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
-
-    cols = ["vec_id", "embedding", F.col("copies").cast("bigint").alias("copies"), F.col("extra").cast("bigint").alias("extra"), *([visitors] if visitors else [])]
-    return vectors.select(*cols).mapInArrow(lay, BLOCK_SCHEMA)
-
-
-def by_tile_group(laid: DataFrame, slices: dict[int, int]):
-    """Groups of rows that meet: a block, or two slices (by hash of the id) of a block that had to be cut. ``slices``: their
-    number, for blocks with more than one."""
-    if not slices:
-        return laid.withColumn("slice_b", F.lit(0)).groupBy("block", "slice_b")
-    n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in slices.items() for x in kv]), F.col("block")), F.lit(1))
-    s = F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.least(s, t) * 65536 + F.greatest(s, t))
-    return laid.withColumn("slice", s).withColumn("slice_b", F.explode(cells.cast("array<int>"))).groupBy("block", "slice_b")
+            every = np.empty(len(u), kind)
+            every["id"] = ids
+            if full:
+                every["copies"], every["extra"], every["visits"], every["unit"] = b.column("copies").to_numpy(), b.column("extra").to_numpy(), near, u
+            else:
+                every["code"], every["scale"], every["err"] = codes(u)
+            go = np.ones(near.shape, bool)
+            if at_home:
+                go[:, 1:] = ~b.column(at_home).to_numpy(zero_copy_only=False).astype(bool)[:, None]
+            row, slot = np.nonzero(go)
+            block = near[row, slot]
+            again, group = index.groups_of(block, ids[row])
+            out = every[row[again]]
+            out["block"] = block[again]
+            column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize), len(out), [None, pa.py_buffer(out)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), column], names=["tile_group", "record"])
+
+    cols = ["vec_id", "embedding", *([F.col(c).cast("bigint").alias(c) for c in ("copies", "extra")] if full else []), *([at_home] if at_home else [])]
+    return vectors.select(*cols).mapInArrow(lay, LAID)
+
+
+def records(t: pa.Table, kind: np.dtype) -> np.ndarray:
+    column = t.column("record").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    start = int(np.frombuffer(offsets, np.int32)[column.offset])
+    return np.frombuffer(data, kind, count=len(column), offset=start)
+
+
+def tiles_of(t: pa.Table, kind: np.dtype, index: Index):
+    """The blocks of one group as ``Tiles``."""
+    rec, group = records(t, kind), int(t.column("tile_group")[0].as_py())
+    order = np.argsort(rec["block"], kind="stable")
+    edge = np.flatnonzero(np.r_[True, rec["block"][order][1:] != rec["block"][order][:-1], True])
+    for a, b in zip(edge[:-1], edge[1:]):
+        yield Tiles(rec[order[a:b]], index, group)
 
 
 class Tiles:
-    """The rows of one group, and an iteration over the tiles whose products may hold near pairs."""
-
-    def __init__(self, t: pa.Table) -> None:
-        n = t.num_rows
-        num = lambda c: t.column(c).to_numpy()
-        self.block = int(num("block")[0])
-        order = np.lexsort((num("vec_id"), num("home") != self.block))  # residents first
-        self.ids, self.home, self.err, self.slice, self.copies, self.extra = (num(c)[order] for c in ("vec_id", "home", "err", "slice", "copies", "extra"))
-        self.approx = (_matrix(t.column("code"), np.int8, n).astype(np.float32) * num("scale")[:, None])[order]
-        self.unit = _matrix(t.column("unit"), np.float32, n)[order] if t.column("unit").null_count < n else None
-        self.visits = _matrix(t.column("visits"), np.uint8, n)[order] if t.column("visits").null_count < n else None
-        self.residents = int((self.home == self.block).sum())
-        pair = int(num("slice_b")[0])
-        self.low, self.high = pair // 65536, pair % 65536
-
-    def products(self):
-        """``(i, j, product)`` of row range i (any rows) and column range j (residents), each unordered pair of residents once."""
-        cols = np.ascontiguousarray(self.approx[: self.residents].T)
-        out = np.empty((TILE, TILE), np.float32)
-        for a in range(0, len(self.ids), TILE):
-            rows = self.approx[a : a + TILE]
-            for b in range(0, min(self.residents, a + TILE), TILE):
-                part = cols[:, b : b + TILE]
-                yield a, b, np.matmul(rows, part, out=out[: len(rows), : part.shape[1]])
+    """The rows of one block (or of two of its slices), and an iteration over its near pairs by tiles of int8 products."""
+
+    def __init__(self, rec: np.ndarray, index: Index, group: int) -> None:
+        self.block = int(rec["block"][0])
+        if "unit" in rec.dtype.names:
+            code, scale, err = codes(rec["unit"].astype(np.float64))
+        else:
+            code, scale, err = rec["code"], rec["scale"], rec["err"]
+        order = np.argsort(scale, kind="stable")  # tiles of like scales have sharp bounds
+        self.rec, self.scale, self.err = rec[order], scale[order], err[order]
+        self.code = code[order].astype(np.float32)  # whole numbers; their products are exact up to dim 1040
+        self.ids = self.rec["id"]
+        n = index.slices.get(self.block, 1)
+        self.slice, self.across = (index.slice_of(self.ids, n), self._two_slices(index, group, n)) if n > 1 else (None, False)
+
+    def _two_slices(self, index: Index, group: int, n: int) -> bool:
+        first = index.groups + sum(index.slices.get(b, 1) ** 2 for b in range(self.block))
+        low, high = divmod(group - first, n)
+        return low != high
+
+    def parts(self):
+        """Rows that meet: all, or in a large block the rows of each of its parts, whose pivots are some of its rows. Sets ``local``, the parts of each row."""
+        n = len(self.ids)
+        self.local = None
+        if n <= WHOLE_ROWS:
+            yield 0, np.arange(n)
+            return
+        pick = np.argsort(mixed(self.ids), kind="stable")[: -(-n // PART_ROWS)]
+        unit = self.code * (1 / np.sqrt((self.code * self.code).sum(axis=1)))[:, None]
+        self.local = nearest_pivots(unit, unit[pick], min(4, len(pick)))
+        row, part = np.repeat(np.arange(n), self.local.shape[1]), self.local.ravel()
+        order = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
+        for a, b in zip(edge[:-1], edge[1:]):
+            yield int(part[order[a]]), row[order[a:b]]
 
     def candidates(self, min_cosine: float):
-        """``(i, j, estimate)`` arrays of row numbers whose upper bound reaches ``min_cosine``; i visits or comes after j."""
-        most = float(self.err.max()) if len(self.err) else 0.0
-        floor = (min_cosine - self.err - most - self.err * most - 1e-5).astype(np.float32)
-        for a, b, s in self.products():
-            hit = s >= floor[a : a + s.shape[0], None]
-            if not hit.any():
-                continue
-            i, j = np.nonzero(hit)
-            est = s[i, j]
-            i, j = i + a, j + b
-            ok = (j < i) & (est + self.err[i] + self.err[j] + self.err[i] * self.err[j] + 1e-5 >= min_cosine) & (self.ids[i] != self.ids[j])
-            if self.low != self.high:
-                ok &= self.slice[i] != self.slice[j]
-            elif self.low or self.high:
-                ok &= self.slice[i] == self.slice[j]
+        """``(i, j)`` arrays of row numbers, i after j, each pair once, whose upper bound reaches ``min_cosine``."""
+        out = np.empty((TILE, TILE), np.float32)
+        for part, rows in self.parts():
+            code, scale, err, ids = self.code[rows], self.scale[rows], self.err[rows], self.ids[rows]
+            for b in range(0, len(rows), TILE):
+                right = np.ascontiguousarray(code[b : b + TILE].T)
+                most, wide, thin = float(err[b : b + TILE].max()), scale[b : b + TILE].max(), scale[b : b + TILE].min()
+                for a in range(b, len(rows), TILE):
+                    left = code[a : a + TILE]
+                    s = np.matmul(left, right, out=out[: len(left), : right.shape[1]])
+                    e = err[a : a + TILE]
+                    floor = min_cosine - e - most - e * most - 1e-5
+                    hit = s >= (floor / (scale[a : a + TILE] * np.where(floor > 0, wide, thin)))[:, None]
+                    if not hit.any():
+                        continue
+                    i, j = np.nonzero(hit)
+                    est = s[i, j]
+                    i, j = i + a, j + b
+                    ok = (j < i) & (ids[i] != ids[j])
+                    i, j, est = i[ok], j[ok], est[ok]
+                    ok = est * scale[i] * scale[j] + err[i] + err[j] + err[i] * err[j] + 1e-5 >= min_cosine
+                    i, j = rows[i[ok]], rows[j[ok]]
+                    if self.local is not None and len(i):
+                        ok = lowest_common(self.local[i], self.local[j]) == part
+                        i, j = i[ok], j[ok]
+                    if self.slice is not None:
+                        ok = (self.slice[i] != self.slice[j]) == self.across
+                        i, j = i[ok], j[ok]
+                    if len(i):
+                        yield i, j
+
+    def pairs(self, min_cosine: float):
+        """``(i, j, cosine)`` of the pairs of at least ``min_cosine`` by their float vectors. Of the blocks that hold both rows, the lowest has the pair."""
+        for i, j in self.candidates(min_cosine):
+            here = lowest_common(self.rec["visits"][i], self.rec["visits"][j]) == self.block
+            i, j = i[here], j[here]
+            cosine = self.exact(i, j)
+            ok = cosine >= min_cosine
             if ok.any():
-                yield i[ok], j[ok], est[ok]
-
-    def once(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """True where this block is the one that counts the pair: of two blocks that both hold it, the lower."""
-        away = self.home[i]
-        back = (self.visits[j, away // 8] >> (7 - away % 8).astype(np.uint8)) & 1
-        return (away == self.block) | (back == 0) | (self.block < away)
+                yield i[ok], j[ok], cosine[ok]
 
     def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Cosines of the float vectors."""
-        out = np.empty(len(i))
+        out, unit = np.empty(len(i)), self.rec["unit"]
         for s in range(0, len(i), 65536):
-            a, b = self.unit[i[s : s + 65536]].astype(np.float64), self.unit[j[s : s + 65536]].astype(np.float64)
+            a, b = unit[i[s : s + 65536]].astype(np.float64), unit[j[s : s + 65536]].astype(np.float64)
             out[s : s + 65536] = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
         return out
 
 
 def screen(vectors: DataFrame, index: Index, dim: int, min_cosine: float) -> DataFrame:
     """``vec_id``, possibly repeated, of the rows with at least one pair whose upper bound reaches ``min_cosine``; codes alone are shuffled."""
-    laid = lay_out(vectors.withColumn("extra", F.lit(0)), index, dim, False)
+    kind = record_type(dim, 0)
 
     def near(t: pa.Table) -> pa.Table:
-        tiles = Tiles(t)
-        seen = np.zeros(len(tiles.ids), bool)
-        for i, j, _ in tiles.candidates(min_cosine):
-            seen[i] = True
-            seen[j] = True
-        return pa.table({"vec_id": pa.array(tiles.ids[seen], pa.int64())})
-
-    return by_tile_group(laid, index.slices).applyInArrow(near, "vec_id bigint")
+        found = [np.zeros(0, np.int64)]
+        for tiles in tiles_of(t, kind, index):
+            seen = np.zeros(len(tiles.ids), bool)
+            for i, j in tiles.candidates(min_cosine):
+                seen[i] = True
+                seen[j] = True
+            found.append(tiles.ids[seen])
+        return pa.table({"vec_id": pa.array(np.unique(np.concatenate(found)), pa.int64())})
+
+    return lay_out(vectors, index, dim, kind).groupBy("tile_group").applyInArrow(near, "vec_id bigint")
