@@ -51,6 +51,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def number(n: Column | float) -> Column:
+    return (n if isinstance(n, Column) else F.lit(n)).cast("double")
+
+
+def count_of(df: DataFrame, *cols: str) -> Column:
+    """Number of distinct values, as a scalar subquery: no job runs before the query that uses it."""
+    return df.agg(F.count_distinct(*cols)).scalar()
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Join condition under which null keys meet null keys; hash joins still apply."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

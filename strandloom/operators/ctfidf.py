@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,10 @@ def ctfidf(counts: DataFrame, klass: str, bm25: bool = False, reduce_frequent: b
     f is the term's count over all classes, A the whole part of the classes' mean length. Seed terms weigh ``seed_weight`` times as much.
     """
     sizes = counts.groupBy(klass).agg(F.sum("n").alias("__size"))
-    mean = sizes.agg(F.floor(F.avg("__size")).alias("a")).head()["a"] or 0
+    a = sizes.agg(F.floor(F.avg("__size")).cast("double")).scalar()
     f = counts.groupBy("term").agg(F.sum("n").alias("__f"))
     tf = F.col("n") / F.col("__size")
-    a, df = F.lit(float(mean)), F.col("__f").cast("double")
+    df = F.col("__f").cast("double")
     idf = F.ln(1 + (a - df + 0.5) / (df + 0.5)) if bm25 else F.ln(a / df + 1)
     boost = F.when(F.col("term").isin(list(seeds)), seed_weight).otherwise(1.0) if seeds else F.lit(1.0)
     return counts.join(sizes, klass).join(f, "term").select(klass, "term", ((F.sqrt(tf) if reduce_frequent else tf) * idf * boost).alias("weight"))
@@ -51,9 +51,9 @@ def umass(tops: DataFrame, docs: DataFrame, topic: str, term: str = "term", doc:
     return full.groupBy(topic).agg(F.sum(term_).alias("coherence"))
 
 
-def decayed(counts: DataFrame, batch: str, term: str, decay: float, last_batch: int, count: str = "n", min_total: float | None = None) -> DataFrame:
+def decayed(counts: DataFrame, batch: str, term: str, decay: float, last_batch: int | Column, count: str = "n", min_total: float | None = None) -> DataFrame:
     """``term, value``: the sum of counts, each less by (1 - decay) for every batch since; with ``min_total`` terms below it are left out."""
-    out = counts.groupBy(term).agg(F.sum(F.col(count) * F.pow(F.lit(1.0 - decay), F.lit(last_batch) - F.col(batch))).alias("value"))
+    out = counts.groupBy(term).agg(F.sum(F.col(count) * F.pow(F.lit(1.0 - decay), (last_batch if isinstance(last_batch, Column) else F.lit(last_batch)) - F.col(batch))).alias("value"))
     return out if min_total is None else out.where(F.col("value") >= min_total)
 
 
@@ -65,12 +65,9 @@ def to_ldac(counts: DataFrame, doc: str, number: str, count: str = "n", offset:
 
 
 def from_ldac(lines: DataFrame, doc: str, offset: int = 0) -> DataFrame:
-    """``doc, number, n`` from lines in the LDA-C format; an error where a line's count or a term below ``offset`` contradicts it."""
+    """``doc, number, n`` from lines in the LDA-C format; the query fails where a line's count or a term below ``offset`` contradicts it."""
     parts = lines.select(doc, F.split("line", " ").alias("__p"))
-    bad = parts.where(F.element_at("__p", 1).try_cast("int").isNull() | (F.element_at("__p", 1).try_cast("int") != F.size("__p") - 1))
-    if not bad.isEmpty():
-        raise ValueError("a line's number of terms is wrong")
-    out = parts.select(doc, F.explode(F.slice("__p", 2, F.size("__p") - 1)).alias("__t")).select(doc, (F.split_part("__t", F.lit(":"), F.lit(1)).cast("bigint") - offset).alias("number"), F.split_part("__t", F.lit(":"), F.lit(2)).cast("bigint").alias("n"))
-    if not out.where("number < 0").isEmpty():
-        raise ValueError("a term number is below the offset")
-    return out
+    said = F.element_at("__p", 1).try_cast("int")
+    terms = F.when(said.isNull() | (said != F.size("__p") - 1), F.raise_error(F.lit("a line's number of terms is wrong"))).otherwise(F.slice("__p", 2, F.size("__p") - 1))
+    out = parts.select(doc, F.explode(terms).alias("__t")).select(doc, (F.split_part("__t", F.lit(":"), F.lit(1)).cast("bigint") - offset).alias("number"), F.split_part("__t", F.lit(":"), F.lit(2)).cast("bigint").alias("n"))
+    return out.withColumn("number", F.when(F.col("number") < 0, F.raise_error(F.lit("a term number is below the offset"))).otherwise(F.col("number")))

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions.columns import count_of
 from strandloom.operators.matrix import aligned, matmul, share
+from strandloom.operators.metrics import regression
+from strandloom.operators.prefix import drawn_ranks
 
 #: Topics or cell types that a dense square matrix of them may have on the driver.
 MOST_FACTORS = 2_000
@@ -43,7 +46,7 @@ def rule_weights(rule: str, topic_type: DataFrame, shares: DataFrame) -> DataFra
     if rule == "norm":
         return share(topic_type, ["topic_id"], "weight").select("topic_id", "main_cell_type", "weight")
     if rule == "norm_sd":
-        n = shares.count()  # types
+        n = count_of(shares, "main_cell_type")
         w = Window.partitionBy("topic_id")
         mean = F.sum("weight").over(w) / n
         var = F.sum(F.col("weight") ** 2).over(w) / n - mean * mean
@@ -70,9 +73,14 @@ def reference_profile(counts: DataFrame, kinds: DataFrame) -> DataFrame:
     return sums.withColumn("value", F.col("value") / F.when(scale == 0, 1.0).otherwise(scale))
 
 
+def reference_scale(counts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``main_cell_type, scale``: the summed counts of each type in ten thousands, by which its profile is divided."""
+    return counts.join(kinds, "cell_id").groupBy("main_cell_type").agg((F.sum("value") / 1e4).alias("scale"))
+
+
 def peak_weights(profile: DataFrame, links: DataFrame) -> DataFrame:
     """``main_cell_type, peak_id, value``: profile times gene-peak weights, divided by the peak's mean over all types (a mean of 0 stays)."""
-    n = profile.select("main_cell_type").distinct().count()
+    n = count_of(profile, "main_cell_type")
     w = matmul(profile, links, ["main_cell_type"], ["gene"], ["peak_id"], "value", "weight")
     mean = F.sum("value").over(Window.partitionBy("peak_id")) / n
     return w.withColumn("value", F.col("value") / F.when(mean == 0, 1.0).otherwise(mean))
@@ -147,13 +155,48 @@ def external_topics(topic_sample: DataFrame, topic_type: DataFrame) -> tuple[Dat
     return topic_sample.join(keep, "topic_id", "left_semi"), topic_type.join(keep, "topic_id", "left_semi")
 
 
-def scenario(counts: DataFrame, kinds: DataFrame, rare: str, keep: float, attenuation: float, order) -> tuple[DataFrame, DataFrame]:
-    """A pseudobulk with the type ``rare`` thinned to ``max(1, int(n * keep))`` cells and its counts attenuated, and the true proportions."""
-    w = Window.partitionBy("main_cell_type")
-    n = F.greatest(F.lit(1), F.floor(F.count("*").over(w) * keep))
-    ranked = kinds.withColumn("__n", n).withColumn("__r", F.row_number().over(w.orderBy(*order)))
-    left = ranked.where((F.col("main_cell_type") != rare) | (F.col("__r") <= F.col("__n"))).select("cell_id", "main_cell_type")
-    factor = F.when(F.col("main_cell_type") == rare, F.lit(attenuation)).otherwise(1.0)
-    bulk = counts.join(left, "cell_id").groupBy("main_cell_type", "gene").agg(F.sum("value").alias("value")).withColumn("value", F.col("value") * factor)
+def scenario(counts: DataFrame, kinds: DataFrame, keep: float, attenuation: float = 1.0, rare: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A pseudobulk of each type, all attenuated, after the type ``rare`` (by default the smallest; of equal ones the first by name) was thinned to ``max(1, int(n * keep))`` cells, and the true proportions.
+
+    Cells are drawn by hash of their id, a type with most of them in slices."""
+    sizes = kinds.groupBy("main_cell_type").agg(F.count("*").alias("__n"))
+    thin = F.lit(rare) if rare is not None else sizes.agg(F.min_by("main_cell_type", F.struct("__n", "main_cell_type"))).scalar()
+    sizes = sizes.select("main_cell_type", F.when(F.col("main_cell_type") == thin, F.greatest(F.lit(1), F.floor(F.col("__n") * keep))).otherwise(F.col("__n")).alias("__n"))
+    left = drawn_ranks(kinds, ["main_cell_type"], "cell_id", "__r").join(sizes, "main_cell_type").where("__r <= __n").select("cell_id", "main_cell_type")
+    bulk = counts.join(left, "cell_id").groupBy("main_cell_type", "gene").agg((F.sum("value") * attenuation).alias("value"))
     return bulk, type_shares(left)
 
+
+def signal_scores(predicted: DataFrame, truth: DataFrame, bulk: DataFrame) -> DataFrame:
+    """Agreement of predicted peaks (``sample_id, main_cell_type, peak_id, value``) with the types' measured ones (``main_cell_type, peak_id, value``), a row for each sample.
+
+    Over the sample's peaks with a prediction: ``mae, mse, rmse, r2`` of the sums over types, the same ``_bulk`` against the sample's own signal (``sample_id, peak_id, value``), and
+    ``peak_cor``, the mean over types of the correlation along the peaks (types without spread left out). Absent entries are zeros.
+    """
+    total = predicted.groupBy("sample_id", "peak_id").agg(F.sum("value").alias("p")).where("p > 0")
+    measured = truth.groupBy("peak_id").agg(F.sum("value").alias("t"))
+    both = total.join(measured, "peak_id", "left").join(bulk.select("sample_id", "peak_id", F.col("value").alias("b")), ["sample_id", "peak_id"], "left").na.fill(0.0, ["t", "b"])
+    sums = regression(both, "p", "t", ["sample_id"]).select("sample_id", "n", "mae", "mse", "rmse", "r2")
+    own = regression(both, "p", "b", ["sample_id"]).select("sample_id", *[F.col(c).alias(f"{c}_bulk") for c in ("mae", "mse", "rmse", "r2")])
+    peaks = total.select("sample_id", "peak_id")
+    cells = predicted.join(peaks, ["sample_id", "peak_id"], "left_semi").select("sample_id", "main_cell_type", "peak_id", F.col("value").alias("p"), F.lit(0.0).alias("t"))
+    cells = cells.unionByName(peaks.join(truth, "peak_id").select("sample_id", "main_cell_type", "peak_id", F.lit(0.0).alias("p"), F.col("value").alias("t")))
+    cells = cells.groupBy("sample_id", "main_cell_type", "peak_id").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
+    m = cells.groupBy("sample_id", "main_cell_type").agg(*[F.sum(e).alias(k) for k, e in {"p": F.col("p"), "t": F.col("t"), "pp": F.col("p") ** 2, "tt": F.col("t") ** 2, "pt": F.col("p") * F.col("t")}.items()])
+    m = m.join(sums.select("sample_id", "n"), "sample_id")
+    vp, vt = F.col("pp") - F.col("p") ** 2 / F.col("n"), F.col("tt") - F.col("t") ** 2 / F.col("n")
+    r = F.when((vp > 1e-12 * F.col("pp")) & (vt > 1e-12 * F.col("tt")), (F.col("pt") - F.col("p") * F.col("t") / F.col("n")) / F.sqrt(vp * vt))
+    return sums.join(own, "sample_id").join(m.groupBy("sample_id").agg(F.avg(r).alias("peak_cor")), "sample_id", "left")
+
+
+def sample_types(topic_sample: DataFrame, topic_type: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """``sample, main_cell_type, weight``: topic weights of a sample times the topics' cell type weights, each type's column first divided by its sum (+ 1e-10), summing to 1 per sample."""
+    column = topic_type.withColumn("weight", F.col("weight") / (F.sum("weight").over(Window.partitionBy("main_cell_type")) + 1e-10))
+    return share(matmul(topic_sample, column, [sample], ["topic_id"], ["main_cell_type"], "weight", "weight", "weight"), [sample], "weight")
+
+
+def stretched(topic_type: DataFrame, high: int = 5) -> DataFrame:
+    """Each type's weights brought to 0 to ``high`` over the topics, decimals cut off; 0 where a type has the same weight in all topics."""
+    w = Window.partitionBy("main_cell_type")
+    least, most = F.min("weight").over(w), F.max("weight").over(w)
+    return topic_type.withColumn("weight", F.floor(F.round(high * F.coalesce((F.col("weight") - least) / F.nullif(most - least, F.lit(0.0)), F.lit(0.0)), 9)))

@@ -21,3 +21,17 @@ def prefix_sums(df: DataFrame, keys: list[str], slice_col: str, order: list[Colu
     carry = spread.groupBy(*keys, slice_col).agg(F.sum(value).alias("__total")).select(*keys, slice_col, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carry"))
     local = spread.withColumn(out, F.sum(value).over(own))
     return null_safe_join(local, carry, [*keys, slice_col], "left").withColumn(out, F.col(out) + F.col("__carry")).drop("__carry")
+
+
+def ranks(df: DataFrame, keys: list[str], slice_of: Column, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``, each row's number from 1 among the rows of its key in ``order``. ``slice_of`` must not fall along ``order``. No keys: one numbering of all rows."""
+    within = keys or ["__all"]
+    cut = df if keys else df.withColumn("__all", F.lit(0))
+    done = prefix_sums(cut.withColumn("__slice", slice_of).withColumn("__one", F.lit(1).cast("bigint")), within, "__slice", order, "__one", out)
+    return done.drop("__slice", "__one", "__all")
+
+
+def drawn_ranks(df: DataFrame, keys: list[str], unit: str, out: str) -> DataFrame:
+    """``ranks`` in a random but repeatable order, that of the MD5 hash of ``unit``; 256 slices a key, whatever the units are called."""
+    mark = F.md5(F.col(unit).cast("binary"))
+    return ranks(df, keys, F.left(mark, F.lit(2)), [mark, F.col(unit)], out)

@@ -10,9 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions.columns import count_of, number
 from strandloom.operators.matrix import best
-from strandloom.operators.prefix import prefix_sums
+from strandloom.operators.prefix import drawn_ranks, prefix_sums
 from strandloom.operators.skew import coarse_bin, compress, percentiles
+from strandloom.session import cut
 
 
 def latest(df: DataFrame, keys: Sequence[str], value: str, time: str) -> DataFrame:
@@ -29,14 +31,14 @@ def drop_zeros(df: DataFrame, value: str = "value") -> DataFrame:
 def library_norm(df: DataFrame, cell: str = "cell_id", value: str = "value", guard: bool = False) -> DataFrame:
     """``value / total of the cell * scale``, scale being the upper quartile of the cells' totals rounded (half to even) to thousands.
 
-    With ``guard`` a scale of 0 (upper quartile up to 500) becomes 1. The quartile is exact, from counted distinct totals in two steps, so no task holds all cells' totals.
+    With ``guard`` a scale of 0 (upper quartile up to 500) becomes 1; values of a cell with a total of 0 become null. The quartile is exact, from counted distinct totals in two steps, so no task holds all cells' totals.
     """
     sizes = df.groupBy(cell).agg(F.sum(value).alias("__size"))
     packed = compress(sizes.withColumn("__all", F.lit(0)), ["__all"], "__size")
-    quartile = percentiles(packed, ["__all"], [0.75]).select((F.bround(F.col("percentiles")[0] / 1000) * 1000).alias("s")).head()
-    scale = quartile["s"] if quartile else 0.0
-    scale = 1.0 if guard and scale == 0 else float(scale)
-    return df.join(sizes, cell).withColumn(value, F.col(value) / F.col("__size") * F.lit(scale)).drop("__size")
+    scale = percentiles(packed, ["__all"], [0.75]).agg(F.coalesce(F.max(F.bround(F.col("percentiles")[0] / 1000) * 1000), F.lit(0.0)).alias("s"))
+    if guard:
+        scale = scale.select(F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")))
+    return df.join(sizes, cell).withColumn(value, F.col(value) / F.nullif("__size", F.lit(0.0)) * scale.scalar()).drop("__size")
 
 
 def log2p1(df: DataFrame, value: str = "value") -> DataFrame:
@@ -74,22 +76,24 @@ def max_abs_scale(df: DataFrame, cell: str = "cell_id", value: str = "value", sc
     return whole.withColumn(value, F.lit(scale) * F.col(value) / F.max(F.abs(F.col(value))).over(Window.partitionBy(cell)))
 
 
-def quantile_norm(df: DataFrame, sample: str, feature: str, n_samples: int, n_features: int, value: str = "value", median: bool = False) -> DataFrame:
+def quantile_norm(df: DataFrame, sample: str, feature: str, n_samples: int | Column | None = None, n_features: int | Column | None = None, value: str = "value", median: bool = False) -> DataFrame:
     """Quantile normalisation over all features, zeros included: every value becomes the mean (or median) over the samples of the values at its rank, equal values taking the lowest of their ranks.
 
     Zeros share the lowest ranks and are not laid out: only their number is used. Entries that are zero become ``zero_value``, given in each row.
     """
+    n_samples = count_of(df, sample) if n_samples is None else F.lit(n_samples)
+    n_features = count_of(df, feature) if n_features is None else F.lit(n_features)
     by = Window.partitionBy(sample)
-    zeros = F.lit(n_features) - F.count("*").over(by)
+    zeros = n_features - F.count("*").over(by)
     ranked = df.withColumn("__pos", zeros + F.row_number().over(by.orderBy(value, feature))).withColumn("__rank", zeros + F.rank().over(by.orderBy(value)))
     if median:
         stored = ranked.select("__pos", F.col(value).alias("value"), F.lit(1).cast("bigint").alias("weight"))
-        missing = stored.groupBy("__pos").agg((F.lit(n_samples) - F.count("*")).alias("weight")).where("weight > 0").select("__pos", F.lit(0.0).alias("value"), "weight")
+        missing = stored.groupBy("__pos").agg((n_samples - F.count("*")).alias("weight")).where("weight > 0").select("__pos", F.lit(0.0).alias("value"), "weight")
         ref = percentiles(stored.unionAll(missing).groupBy("__pos", "value").agg(F.sum("weight").alias("weight")), ["__pos"], [0.5]).select(F.col("__pos").alias("__rank"), F.element_at("percentiles", 1).alias("__ref"))
     else:
         ref = ranked.groupBy(F.col("__pos").alias("__rank")).agg((F.sum(value) / n_samples).alias("__ref"))
-    lowest = ref.where("__rank = 1").select("__ref").head()
-    return ranked.join(ref, "__rank").select(sample, feature, F.col("__ref").alias(value), F.lit(float(lowest[0]) if lowest else 0.0).alias("zero_value"))
+    lowest = ref.where("__rank = 1").agg(F.coalesce(F.max("__ref"), F.lit(0.0))).scalar()
+    return ranked.join(ref, "__rank").select(sample, feature, F.col("__ref").alias(value), lowest.alias("zero_value"))
 
 
 def zscore(df: DataFrame, within: Sequence[str], value: str = "value") -> DataFrame:
@@ -107,14 +111,14 @@ def control_zscore(df: DataFrame, feature: str, is_control: Column, value: str =
     return df.withColumn(value, z).where(F.col(value).isNotNull() & ~F.isnan(value))
 
 
-def dispersion(df: DataFrame, n_cells: int, gene: str = "gene", value: str = "value") -> DataFrame:
-    """Mean, variance and variance / mean of each gene over all cells, zeros included."""
-    s1, s2, n = F.sum(value), F.sum(F.col(value) * F.col(value)), F.lit(float(n_cells))
-    out = df.groupBy(gene).agg((s1 / n).alias("mean"), ((s2 - s1 * s1 / n) / (n - 1)).alias("variance"))
+def dispersion(df: DataFrame, n_cells: int | Column, gene: str = "gene", value: str = "value") -> DataFrame:
+    """Mean, variance and variance / mean of each gene over all cells, zeros included; with a single cell the variance is null."""
+    s1, s2, n = F.sum(value), F.sum(F.col(value) * F.col(value)), number(n_cells)
+    out = df.groupBy(gene).agg((s1 / n).alias("mean"), ((s2 - s1 * s1 / n) / F.nullif(n - 1, F.lit(0.0))).alias("variance"))
     return out.withColumn("dispersion", F.when(F.col("mean") > 0, F.col("variance") / F.col("mean")))
 
 
-def highly_variable(df: DataFrame, n_cells: int, n_top: int, gene: str = "gene", value: str = "value") -> DataFrame:
+def highly_variable(df: DataFrame, n_cells: int | Column, n_top: int, gene: str = "gene", value: str = "value") -> DataFrame:
     """The ``n_top`` genes with the largest dispersion."""
     return dispersion(df, n_cells, gene, value).orderBy(F.desc_nulls_last("dispersion"), gene).limit(n_top)
 
@@ -129,36 +133,52 @@ def median_over_repeats(df: DataFrame, sample: str, gene: str, source: str, valu
 
 
 def group_totals_norm(df: DataFrame, groups: DataFrame, gene: str = "gene", value: str = "value") -> DataFrame:
-    """Scales the genes of each marker group so that all groups have the total of the largest; a gene in several groups gets the mean of its scaled values."""
-    member = df.join(groups.select(gene, "group_id").distinct(), gene)
-    total = member.groupBy("group_id").agg(F.sum(value).alias("__t")).where("__t > 0").withColumn("__f", F.max("__t").over(Window.partitionBy(F.lit(0))) / F.col("__t"))  # one row a group
+    """Scales the genes of each marker group so that all groups have the total of the largest; a gene in several groups gets the mean of its scaled values. Genes outside
+    all groups stay as they are, and so do groups with a total of 0."""
+    member = df.join(groups.select(gene, "group_id").distinct(), gene, "left")
+    total = member.where("group_id IS NOT NULL").groupBy("group_id").agg(F.sum(value).alias("__t")).where("__t > 0").withColumn("__f", F.max("__t").over(Window.partitionBy(F.lit(0))) / F.col("__t"))  # one row a group
     keys = [c for c in df.columns if c != value]
-    return member.join(total, "group_id").withColumn(value, F.col(value) * F.col("__f")).groupBy(*keys).agg(F.avg(value).alias(value))
+    return member.join(total, "group_id", "left").withColumn(value, F.col(value) * F.coalesce("__f", F.lit(1.0))).groupBy(*keys).agg(F.avg(value).alias(value))
 
 
 def group_sizes_norm(df: DataFrame, groups: DataFrame, gene: str = "gene", value: str = "value") -> DataFrame:
-    """Multiplies the genes of each group by largest group size / own group size; a row for each group the gene is in."""
-    g = groups.select(gene, "group_id").distinct()
-    sizes = g.groupBy("group_id").agg(F.count("*").alias("__n")).withColumn("__f", F.max("__n").over(Window.partitionBy(F.lit(0))) / F.col("__n"))  # one row a group
-    return df.join(g, gene).join(sizes, "group_id").withColumn(value, F.col(value) * F.col("__f")).drop("__n", "__f")
+    """Multiplies the genes of each group by largest group size / number of the group's genes that occur; a row for each group the gene is in. Genes outside all groups are left out."""
+    g = groups.select(gene, "group_id").distinct().join(df.select(gene).distinct().withColumn("__in", F.lit(1)), gene, "left")
+    sizes = g.groupBy("group_id").agg(F.count("*").alias("__n"), F.count("__in").alias("__own")).withColumn("__f", F.max("__n").over(Window.partitionBy(F.lit(0))) / F.nullif("__own", F.lit(0)))  # one row a group
+    return df.join(g.drop("__in"), gene).join(sizes, "group_id").withColumn(value, F.col(value) * F.col("__f")).drop("__n", "__own", "__f")
 
 
-def impute(df: DataFrame, feature: str, n_samples: int, threshold: float, strategy: str = "median", value: str = "value") -> DataFrame:
+def impute(df: DataFrame, feature: str, n_samples: int | Column, threshold: float, strategy: str = "median", value: str = "value") -> DataFrame:
     """The features with at least ``int(threshold * n_samples)`` values, and ``fill`` for those they lack: median, mean or mode."""
     fill = {"median": F.percentile(value, F.lit(0.5)), "mean": F.avg(value), "mode": F.mode(value, True)}[strategy]
-    return df.groupBy(feature).agg(F.count(value).alias("present"), fill.alias("fill")).where(F.col("present") >= int(threshold * n_samples))
+    return df.groupBy(feature).agg(F.count(value).alias("present"), fill.alias("fill")).where(F.col("present") >= F.floor(F.lit(threshold) * number(n_samples)))
 
 
-def subsample(df: DataFrame, kind: str, fractions: dict[str, float], order: Sequence[Column]) -> DataFrame:
-    """Cells such that a type makes up the wanted fraction: of a type with n cells, and others in all, ``min(n, max(1, round(others * f / (1 - f))))`` stay in ``order`` (half to even); all for f >= 1, none for f <= 0. Types without fraction stay whole."""
+def subsample(df: DataFrame, kind: str, fractions: dict[str, float], unit: str) -> DataFrame:
+    """Cells such that a type makes up the wanted fraction: of a type with n cells, and others in all, ``min(n, max(1, round(others * f / (1 - f))))`` stay, drawn by hash of ``unit`` (half to even); all for f >= 1, none for f <= 0. Types without fraction stay whole.
+
+    A type with most of the cells is ranked in slices."""
     total = Window.partitionBy(F.lit(0))
-    sizes = df.groupBy(kind).agg(F.count("*").alias("__n")).withColumn("__all", F.sum("__n").over(total))  # one row a type
+    sizes = df.groupBy(kind).agg(F.count("*").alias("__n")).withColumn("__all_n", F.sum("__n").over(total))  # one row a type
     f = F.element_at(F.create_map(*[F.lit(x) for kv in fractions.items() for x in kv]), F.col(kind))
-    others = F.col("__all") - F.col("__n")
-    keep = F.when(f.isNull() | (f >= 1), F.col("__n")).when(f <= 0, 0).otherwise(F.least(F.col("__n"), F.greatest(F.lit(1), F.bround(others * f / (1 - f)))))
+    others = F.col("__all_n") - F.col("__n")
+    keep = F.when(f.isNull() | (f >= 1), F.col("__n")).when(f <= 0, 0).otherwise(F.least(F.col("__n"), F.greatest(F.lit(1), F.bround(others * f / F.nullif(1 - f, F.lit(0.0))))))
     sizes = sizes.select(kind, keep.cast("bigint").alias("__keep"))
-    ranked = df.join(sizes, kind).withColumn("__r", F.row_number().over(Window.partitionBy(kind).orderBy(*order)))
-    return ranked.where("__r <= __keep").drop("__r", "__keep")
+    return drawn_ranks(df, [kind], unit, "__r").join(sizes, kind).where("__r <= __keep").drop("__r", "__keep")
+
+
+def stratified_split(df: DataFrame, kind: str, unit: str, share: float) -> DataFrame:
+    """Adds ``train``: of each type the rows, drawn by hash of ``unit``, whose place from 0 to 1 among the type's is below ``share``; a single row trains."""
+    n = df.groupBy(kind).agg(F.count("*").alias("__n"))
+    place = F.coalesce((F.col("__r") - 1) / F.nullif(F.col("__n") - 1, F.lit(0)), F.lit(0.0))
+    return drawn_ranks(df, [kind], unit, "__r").join(n, kind).withColumn("train", place < share).drop("__r", "__n")
+
+
+def complete_features(df: DataFrame, feature: str, n_samples: int | Column, value: str = "value") -> DataFrame:
+    """``feature, n, variance`` of the features that have a finite value in every sample and vary."""
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    out = df.groupBy(feature).agg(F.count(F.when(finite, F.col(value))).alias("n"), F.var_samp(F.when(finite, F.col(value))).alias("variance"))
+    return out.where((F.col("n") == number(n_samples)) & (F.col("variance") > 0))
 
 
 def uniquify(df: DataFrame, symbol: str, order: Sequence[Column], out: str = "symbol_unique") -> DataFrame:
@@ -179,23 +199,43 @@ def specific_anchors(registered: DataFrame) -> DataFrame:
     return registered.withColumn("__n", F.count("*").over(Window.partitionBy("gene"))).where("__n = 1").drop("__n")
 
 
-def combat(df: DataFrame, batch: str, cell: str = "cell_id", gene: str = "gene", value: str = "value") -> DataFrame:
-    """Location and scale batch correction of the stored values with parametric empirical Bayes shrinkage (Johnson, Li and Rabinovic 2007), one step.
+def combat(df: DataFrame, batch: str, cell: str = "cell_id", gene: str = "gene", value: str = "value", rounds: int = 30) -> DataFrame:
+    """Location and scale batch correction with parametric empirical Bayes shrinkage (Johnson, Li and Rabinovic 2007) over all cells of each batch, zeros included.
 
-    Gene and batch moments, and the moments' moments that make the priors, are aggregates; nothing iterates on the driver.
-    Genes with one value in a batch, or without spread, keep their values there.
+    Adds ``zero_value``: what the absent zeros of the row's gene and batch become (all of them the same); rows keep their place, and nothing dense is laid out.
+    Moments are aggregates of stored values and of numbers of cells. The two conditional estimates of a gene and batch need only their sums, so they are iterated,
+    ``rounds`` times, within an expression. Genes without spread within the batches keep their values; a batch of one cell is only moved. Rows without a batch keep their values.
     """
-    pooled = df.groupBy(gene).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__sd"))
-    z = df.join(pooled, gene).withColumn("__z", (F.col(value) - F.col("__m")) / F.nullif("__sd", F.lit(0.0)))
-    per = z.groupBy(gene, batch).agg(F.avg("__z").alias("__g"), F.var_samp("__z").alias("__d"), F.count("__z").alias("__n")).where("__n > 1 AND __d > 0")
-    prior = per.groupBy(batch).agg(F.avg("__g").alias("__gm"), F.var_samp("__g").alias("__gv"), F.avg("__d").alias("__dm"), F.var_samp("__d").alias("__dv"))
-    a, b = 2 + F.col("__dm") ** 2 / F.col("__dv"), F.col("__dm") * (1 + F.col("__dm") ** 2 / F.col("__dv"))
-    gamma = (F.col("__n") * F.col("__gv") * F.col("__g") + F.col("__d") * F.col("__gm")) / (F.col("__n") * F.col("__gv") + F.col("__d"))
-    per = per.join(prior, batch).withColumn("__gs", gamma)
-    spread = F.col("__d") * (F.col("__n") - 1) + F.col("__n") * (F.col("__g") - F.col("__gs")) ** 2
-    per = per.select(gene, batch, "__gs", ((b + spread / 2) / (F.col("__n") / 2 + a - 1)).alias("__ds"))
-    fixed = F.col("__m") + F.col("__sd") * (F.col("__z") - F.col("__gs")) / F.sqrt("__ds")
-    return z.join(per, [gene, batch], "left").withColumn(value, F.coalesce(fixed, F.col(value))).select(*df.columns)
+    known = df.where(F.col(batch).isNotNull())
+    sizes = known.groupBy(batch).agg(F.count_distinct(cell).alias("__n"))
+    every = sizes.agg(F.sum("__n")).scalar().cast("double")
+    batches = sizes.agg(F.collect_list(F.struct(batch, "__n"))).scalar()  # a few
+    sums = known.groupBy(gene, batch).agg(F.sum(value).alias("__s"), F.sum(F.col(value) * F.col(value)).alias("__q"))
+    grid = sums.select(gene).distinct().withColumn("__x", F.explode(batches)).select(gene, f"__x.{batch}", "__x.__n").join(sums, [gene, batch], "left").na.fill(0.0, ["__s", "__q"])
+    by = Window.partitionBy(gene)
+    within = F.sum(F.col("__q") - F.col("__s") * F.col("__s") / F.col("__n")).over(by) / every
+    grid = grid.withColumn("__m", F.sum("__s").over(by) / every).withColumn("__sd", F.sqrt(F.when(within > 1e-12, within)))
+    z1, z2 = (F.col("__s") - F.col("__n") * F.col("__m")) / F.col("__sd"), (F.col("__q") - 2 * F.col("__m") * F.col("__s") + F.col("__n") * F.col("__m") * F.col("__m")) / (F.col("__sd") * F.col("__sd"))
+    grid = grid.withColumn("__z1", z1).withColumn("__z2", z2).withColumn("__g", F.col("__z1") / F.col("__n"))
+    grid = grid.withColumn("__d", (F.col("__z2") - F.col("__z1") * F.col("__g")) / F.nullif(F.col("__n") - 1, F.lit(0)))
+    prior = grid.groupBy(batch).agg(F.avg("__g").alias("__gm"), F.var_samp("__g").alias("__gv"), F.avg("__d").alias("__dm"), F.var_samp("__d").alias("__dv"))
+    a = 2 + F.col("__dm") ** 2 / F.nullif("__dv", F.lit(0.0))
+    grid = grid.join(F.broadcast(prior), batch).withColumn("__a", a).withColumn("__b", F.col("__dm") * (F.col("__a") - 1))
+    pair = lambda g, d: F.struct(g.alias("g"), d.alias("d"))
+
+    def again(now: Column, _: Column) -> Column:
+        weight = F.col("__n") * F.col("__gv")
+        g = (weight * F.col("__g") + now["d"] * F.col("__gm")) / (weight + now["d"])
+        spread = F.col("__z2") - 2 * g * F.col("__z1") + F.col("__n") * g * g
+        return pair(g, (F.col("__b") + spread / 2) / (F.col("__n") / 2 + F.col("__a") - 1))
+
+    shrunk = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pair(F.col("__g"), F.col("__d")), again)
+    plain = pair(F.col("__g"), F.coalesce(F.when(F.col("__d") > 0, F.col("__d")), F.lit(1.0)))
+    grid = grid.withColumn("__e", F.when((F.col("__gv") > 0) & F.col("__a").isNotNull() & (F.col("__d") > 0), shrunk).otherwise(plain))
+    grid = grid.select(gene, batch, "__m", "__sd", F.col("__e.g").alias("__gs"), F.sqrt("__e.d").alias("__ds"))
+    moved = lambda x: F.col("__m") + ((x - F.col("__m")) - F.col("__sd") * F.col("__gs")) / F.col("__ds")
+    out = df.join(grid, [gene, batch], "left").withColumn("zero_value", F.coalesce(moved(F.lit(0.0)), F.lit(0.0)))
+    return out.withColumn(value, F.coalesce(moved(F.col(value)), F.col(value))).select(*df.columns, "zero_value")
 
 
 def take_markers(scores: DataFrame, n: int) -> DataFrame:
@@ -203,23 +243,28 @@ def take_markers(scores: DataFrame, n: int) -> DataFrame:
     return best(scores, ["main_cell_type"], [F.desc("z"), F.asc("gene")], n).select("gene").distinct()
 
 
+def find_markers(counts: DataFrame, kinds: DataFrame, min_genes: int = 200, min_cells: int = 10) -> DataFrame:
+    """``rank_sum`` of cells with at least ``min_genes`` genes over genes in at least ``min_cells`` of them, on logarithms of ten thousandths. Cells without a type aren't ranked."""
+    kept = cut(basic_filter(counts, min_genes, min_cells))
+    return rank_sum(log1p_norm(kept), kinds.join(kept.select("cell_id").distinct(), "cell_id", "left_semi"))
+
+
 def rank_sum(df: DataFrame, kinds: DataFrame, cell: str = "cell_id", gene: str = "gene", kind: str = "main_cell_type", value: str = "value") -> DataFrame:
     """Wilcoxon rank-sum statistic of each gene and type against all other cells, corrected for ties: ``rank_sum`` and ``z``.
 
     Only stored values are ranked. The zeros of a gene are one block of ties below them: their number gives their common rank. Values are compressed to
     (gene, value, type) counts before ranking, and ranks are running sums in slices of the values, so a gene that nearly all cells have is spread over many tasks.
     """
-    n = kinds.select(cell).distinct().count()
+    n = count_of(kinds, cell).cast("double")
     per_kind = kinds.groupBy(kind).agg(F.count("*").alias("__n1"))
     packed = df.join(kinds, cell).groupBy(gene, value, kind).agg(F.count("*").alias("__c"))
     vals = packed.groupBy(gene, value).agg(F.sum("__c").alias("__t"))
-    stored = vals.groupBy(gene).agg((F.lit(n) - F.sum("__t")).alias("__n0"))
+    stored = vals.groupBy(gene).agg((n - F.sum("__t")).alias("__n0"))
     vals = prefix_sums(vals.withColumn("__slice", F.floor(coarse_bin(F.col(value)) / 16)), [gene], "__slice", [F.col(value)], "__t", "__upto").join(stored, gene)
     vals = vals.withColumn("__rank", F.col("__n0") + F.col("__upto") - (F.col("__t") - 1) / 2)
     ties = vals.groupBy(gene).agg((F.sum(F.col("__t") ** 3 - F.col("__t"))).alias("__ties"), F.first("__n0").alias("__n0")).withColumn("__ties", F.col("__ties") + F.col("__n0") ** 3 - F.col("__n0"))
     ranked = packed.join(vals.select(gene, value, "__rank"), [gene, value]).groupBy(gene, kind).agg(F.sum(F.col("__c") * F.col("__rank")).alias("__r"), F.sum("__c").alias("__k"))
     full = ranked.join(ties, gene).join(per_kind, kind)
     r = F.col("__r") + (F.col("__n1") - F.col("__k")) * (F.col("__n0") + 1) / 2
-    n2 = F.lit(n) - F.col("__n1")
-    spread = (1 - F.col("__ties") / F.lit(float(n) ** 3 - n)) * F.col("__n1") * n2 * F.lit((n + 1) / 12)
-    return full.select(gene, kind, r.alias("rank_sum"), ((r - F.col("__n1") * F.lit((n + 1) / 2)) / F.sqrt(F.nullif(spread, F.lit(0.0)))).alias("z"))
+    spread = (1 - F.col("__ties") / F.nullif(n * n * n - n, F.lit(0.0))) * F.col("__n1") * (n - F.col("__n1")) * ((n + 1) / 12)
+    return full.select(gene, kind, r.alias("rank_sum"), ((r - F.col("__n1") * ((n + 1) / 2)) / F.sqrt(F.nullif(spread, F.lit(0.0)))).alias("z"))

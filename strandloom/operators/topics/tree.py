@@ -12,11 +12,11 @@ MOST_TOPICS = 2_000
 
 
 def cosine_distances(gene_topic: DataFrame, topic: str = "topic_id", gene: str = "gene", weight: str = "weight") -> DataFrame:
-    """``topic, other, distance``: 1 - cosine of each two topics."""
+    """``topic, other, distance``: 1 - cosine of each two topics; 1 from a topic of zeros."""
     norms = gene_topic.groupBy(topic).agg(F.sqrt(F.sum(F.col(weight) ** 2)).alias("__n"))
     prod = matmul(gene_topic, gene_topic.withColumnRenamed(topic, "other"), [topic], [gene], ["other"], weight, weight, "p")
     far = prod.join(norms, topic).join(norms.withColumnsRenamed({topic: "other", "__n": "__m"}), "other")
-    return far.select(topic, "other", F.greatest(F.lit(0.0), 1 - F.col("p") / (F.col("__n") * F.col("__m"))).alias("distance"))
+    return far.select(topic, "other", F.greatest(F.lit(0.0), 1 - F.coalesce(F.col("p") / F.nullif(F.col("__n") * F.col("__m"), F.lit(0.0)), F.lit(0.0))).alias("distance"))
 
 
 def ward(distances: np.ndarray) -> list[tuple[int, int, float, int]]:

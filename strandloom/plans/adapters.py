@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.columns import chrom_name, sample_of, trimmed
-from strandloom.operators.preprocess import drop_zeros, latest
+from strandloom.operators.intervals import at_positions, overlap_join
+from strandloom.operators.preprocess import drop_zeros, latest, uniquify
 from strandloom.plans.cells import ANNO_SQL, anno_types
 from strandloom.plans.registry import table
 
@@ -31,6 +32,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "shares": (["anno"], "SELECT main_cell_type, count(*) AS n_cells, count(*) / sum(count(*)) OVER () AS proportion FROM anno GROUP BY 1"),
     "topic_type": (["cell_topic", "anno", "shares"], "SELECT topic_id, main_cell_type, sum(weight) / any_value(n_cells) AS weight FROM cell_topic JOIN anno USING (cell_id) JOIN shares USING (main_cell_type) GROUP BY 1, 2"),
     "bayes": (["topic_type", "shares"], "SELECT topic_id, main_cell_type, weight * proportion / (sum(weight) OVER (PARTITION BY topic_id) / sum(weight) OVER ()) AS p FROM topic_type JOIN shares USING (main_cell_type)"),
+    "links": (["genes", "peaks"], """SELECT gene, peak_id, max(exp(-dist / 5000.0::DOUBLE)) AS weight FROM (SELECT g.symbol AS gene, p.peak_id, CAST(CASE WHEN p.start < body_end AND body_start < p."end" THEN 0
+ WHEN strand = '+' THEN least(abs(p.start - g."end"), abs(p."end" - greatest(0, g.start - 5000))) ELSE least(abs(p.start - (g."end" + 5000)), abs(p."end" - g.start)) END AS DOUBLE) AS dist
+ FROM (SELECT *, CASE WHEN strand = '+' THEN greatest(start - 100000, 0) ELSE greatest(least(start, "end" - 100000), 0) END AS tss_start, CASE WHEN strand = '+' THEN greatest("end", greatest(start - 100000, 0) + 100000) ELSE "end" + 100000 END AS tss_end,
+ CASE WHEN strand = '+' THEN greatest(start - 5000, 0) ELSE start END AS body_start, CASE WHEN strand = '+' THEN "end" ELSE "end" + 5000 END AS body_end FROM genes) g JOIN peaks p ON p.chr = g.chr AND p.start < tss_end AND tss_start < p."end") GROUP BY 1, 2"""),
+    "peak_means": (["peaks", "fragments", "shares"], "SELECT main_cell_type, peak_id, sum(score) / any_value(n_cells) AS weight FROM peaks p JOIN fragments f ON p.chr = f.chr AND p.start < f.\"end\" AND f.start < p.\"end\" JOIN anno ON cell_id = name JOIN shares USING (main_cell_type) GROUP BY 1, 2"),
     "profile": (["typed"], "SELECT main_cell_type, gene, sum(value) / (sum(sum(value)) OVER (PARTITION BY main_cell_type) / 1e4) AS value FROM typed GROUP BY 1, 2"),
     "terms": ([], r"SELECT lang, term, count(*) AS n FROM (SELECT coalesce(lang, 'none') AS lang, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2"),
 }
@@ -69,9 +75,10 @@ def typed(spark: SparkSession, folder: str) -> DataFrame:
     return counts(spark, folder).join(anno(spark, folder), "cell_id")
 
 
-def bulk(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts summed over the cells of each sample."""
-    return counts(spark, folder).groupBy(sample_of("cell_id").alias("sample_id"), "gene").agg(F.sum("value").alias("value"))
+def bulk(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
+    """Counts summed over the cells of each sample. ``cells`` here and below: ``counts``, if the caller has written them down."""
+    cells = counts(spark, folder) if cells is None else cells
+    return cells.groupBy(sample_of("cell_id").alias("sample_id"), "gene").agg(F.sum("value").alias("value"))
 
 
 def genes(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,30 +88,36 @@ def genes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def named_genes(spark: SparkSession, folder: str) -> DataFrame:
-    from strandloom.operators.preprocess import uniquify
-
     return uniquify(genes(spark, folder), "symbol", [F.col("chr"), F.col("start"), F.col("end"), F.col("strand")], "gene")
 
 
-def peaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Peaks of 400 bases near the starts of the genes."""
+def peaks(spark: SparkSession, folder: str, sites: DataFrame | None = None) -> DataFrame:
+    """Peaks of 400 bases near the starts of the genes. ``sites`` here and below: ``genes``, if the caller has written them down."""
     p = F.greatest(F.col("start") - 3000, F.lit(1)) + (F.col("end") * 7919) % 9000
-    return genes(spark, folder).select("chr", p.alias("start"), (p + 400).alias("end")).distinct().withColumn("peak_id", F.concat_ws("_", "chr", "start", "end"))
+    sites = genes(spark, folder) if sites is None else sites
+    return sites.select("chr", p.alias("start"), (p + 400).alias("end")).distinct().withColumn("peak_id", F.concat_ws("_", "chr", "start", "end"))
 
 
-def fragments(spark: SparkSession, folder: str) -> DataFrame:
+def fragments(spark: SparkSession, folder: str, cells: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
     """A fragment of 180 bases for each count, near the first site of its gene."""
-    w = Window.partitionBy("symbol").orderBy("chr", "start")
-    sites = genes(spark, folder).withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("symbol").alias("gene"), "chr", F.col("start").alias("site"))
+    sites, cells = genes(spark, folder) if sites is None else sites, counts(spark, folder) if cells is None else cells
+    first = sites.groupBy(F.col("symbol").alias("gene")).agg(F.min(F.struct("chr", "start")).alias("x")).select("gene", "x.chr", F.col("x.start").alias("site"))
     at = F.col("site") + F.col("value").cast("bigint") * 137 % 5000
-    return counts(spark, folder).join(sites, "gene").select("chr", at.alias("start"), (at + 180).alias("end"), F.col("cell_id").alias("name"), F.col("value").alias("score"))
+    return cells.join(first, "gene").select("chr", at.alias("start"), (at + 180).alias("end"), F.col("cell_id").alias("name"), F.col("value").alias("score"))
+
 
+def peak_counts(spark: SparkSession, folder: str, cells: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+    f = at_positions(fragments(spark, folder, cells, sites).withColumn("sample_id", sample_of("name")), ["sample_id"], "score")
+    return overlap_join(peaks(spark, folder, sites), f, ["chr"], 20_000, salts=4).groupBy("sample_id", "peak_id").agg(F.sum("score").alias("value"))
 
-def peak_counts(spark: SparkSession, folder: str) -> DataFrame:
-    from strandloom.operators.intervals import overlap_join
 
-    f = fragments(spark, folder).withColumnsRenamed({"start": "start_b", "end": "end_b"})
-    return overlap_join(peaks(spark, folder), f, ["chr"], 20_000).groupBy(sample_of("name").alias("sample_id"), "peak_id").agg(F.sum("score").alias("value"))
+def peak_means(spark: SparkSession, folder: str, cells: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+    """``main_cell_type, peak_id, weight``: mean signal of a peak over the cells of a type."""
+    kinds = anno(spark, folder)
+    f = at_positions(fragments(spark, folder, cells, sites).join(kinds.withColumnRenamed("cell_id", "name"), "name"), ["main_cell_type"], "score")
+    hits = overlap_join(peaks(spark, folder, sites), f, ["chr"], 20_000, salts=4).groupBy("peak_id", "main_cell_type").agg(F.sum("score").alias("__s"))
+    sizes = kinds.groupBy("main_cell_type").agg(F.count("*").alias("__n"))
+    return hits.join(sizes, "main_cell_type").select("main_cell_type", "peak_id", (F.col("__s") / F.col("__n")).alias("weight"))
 
 
 def gene_topic_seed(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,16 +130,16 @@ def _topic_sums(df: DataFrame, seed: DataFrame, keys: list[str], within: str) ->
     return sums.select(*keys, (F.col("__s") / F.sum("__s").over(Window.partitionBy(within))).alias("weight"))
 
 
-def cell_topic(spark: SparkSession, folder: str) -> DataFrame:
-    return _topic_sums(counts(spark, folder), gene_topic_seed(spark, folder), ["cell_id", "topic_id"], "cell_id")
+def cell_topic(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
+    return _topic_sums(counts(spark, folder) if cells is None else cells, gene_topic_seed(spark, folder), ["cell_id", "topic_id"], "cell_id")
 
 
-def gene_topic(spark: SparkSession, folder: str) -> DataFrame:
-    return _topic_sums(counts(spark, folder), gene_topic_seed(spark, folder), ["topic_id", "gene"], "topic_id")
+def gene_topic(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
+    return _topic_sums(counts(spark, folder) if cells is None else cells, gene_topic_seed(spark, folder), ["topic_id", "gene"], "topic_id")
 
 
-def topic_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return _topic_sums(bulk(spark, folder), gene_topic_seed(spark, folder), ["sample_id", "topic_id"], "sample_id")
+def topic_sample(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
+    return _topic_sums(bulk(spark, folder, cells), gene_topic_seed(spark, folder), ["sample_id", "topic_id"], "sample_id")
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ from strandloom.operators.matrix import argmax, matmul, share
 from strandloom.plans import adapters as A
 from strandloom.plans.adapters import with_sql
 from strandloom.plans.registry import Catalog
+from strandloom.session import cut
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -27,8 +28,8 @@ def _r(df: DataFrame, n: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c in cols})
 
 
-def _topic_type(s: SparkSession, d: str) -> DataFrame:
-    return D.type_means(A.cell_topic(s, d), A.anno(s, d))
+def _topic_type(s: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
+    return D.type_means(A.cell_topic(s, d, cells), A.anno(s, d))
 
 
 @add("pseudobulk_sum", with_sql("SELECT main_cell_type, gene, sum(value) AS value FROM typed GROUP BY 1, 2", "typed"))
@@ -41,17 +42,17 @@ def celltype_proportions(s: SparkSession, d: str) -> DataFrame:
     return _r(D.type_shares(A.anno(s, d)), 9, "proportion")
 
 
-SCENARIO = """kept AS (SELECT cell_id, main_cell_type FROM (SELECT *, row_number() OVER (PARTITION BY main_cell_type ORDER BY reverse(cell_id), cell_id) AS r, count(*) OVER (PARTITION BY main_cell_type) AS n FROM anno) WHERE main_cell_type <> 'dim nk' OR r <= greatest(1, floor(n * 0.3)))"""
+SCENARIO = """kept AS (SELECT cell_id, main_cell_type FROM (SELECT *, row_number() OVER (PARTITION BY main_cell_type ORDER BY md5(cell_id), cell_id) AS r, count(*) OVER (PARTITION BY main_cell_type) AS n FROM anno), (SELECT min_by(main_cell_type, (n_cells, main_cell_type)) AS rare FROM shares) WHERE main_cell_type <> rare OR r <= greatest(1, floor(n * 0.3)))"""
 
 
-@add("pseudobulk_scenario", _more("SELECT main_cell_type, gene, sum(value) * CASE WHEN main_cell_type = 'dim nk' THEN 0.5 ELSE 1 END AS value FROM counts JOIN kept USING (cell_id) GROUP BY 1, 2", SCENARIO, "counts", "anno"))
+@add("pseudobulk_scenario", _more("SELECT main_cell_type, gene, sum(value) * 0.5::DOUBLE AS value FROM counts JOIN kept USING (cell_id) GROUP BY 1, 2", SCENARIO, "counts", "shares"))
 def pseudobulk_scenario(s: SparkSession, d: str) -> DataFrame:
-    return D.scenario(A.counts(s, d), A.anno(s, d), "dim nk", 0.3, 0.5, [F.reverse("cell_id"), F.col("cell_id")])[0]
+    return D.scenario(A.counts(s, d), A.anno(s, d), 0.3, 0.5)[0]
 
 
-@add("scenario_truth", _more("SELECT main_cell_type, count(*) AS n_cells, round(count(*) / sum(count(*)) OVER (), 9) AS proportion FROM kept GROUP BY 1", SCENARIO, "counts", "anno"))
+@add("scenario_truth", _more("SELECT main_cell_type, count(*) AS n_cells, round(count(*) / sum(count(*)) OVER (), 9) AS proportion FROM kept GROUP BY 1", SCENARIO, "counts", "shares"))
 def scenario_truth(s: SparkSession, d: str) -> DataFrame:
-    return _r(D.scenario(A.counts(s, d), A.anno(s, d), "dim nk", 0.3, 0.5, [F.reverse("cell_id"), F.col("cell_id")])[1], 9, "proportion")
+    return _r(D.scenario(A.counts(s, d), A.anno(s, d), 0.3, 0.5)[1], 9, "proportion")
 
 
 @add("topic_celltype_mean", with_sql("SELECT topic_id, main_cell_type, round(weight, 9) AS weight FROM topic_type", "topic_type"))
@@ -98,29 +99,32 @@ def e_ref(s: SparkSession, d: str) -> DataFrame:
     return _r(D.reference_profile(A.counts(s, d), A.anno(s, d)), 6, "value")
 
 
-LINKS = """links AS (SELECT g.symbol AS gene, p.peak_id, exp(-min(greatest(0, greatest(p.start - g."end", g.start - p."end"))) / 5000.0::DOUBLE) AS weight FROM genes g JOIN peaks p ON p.chr = g.chr AND p.start < g."end" + 20000 AND g.start - 20000 < p."end" GROUP BY 1, 2),
- raww AS (SELECT main_cell_type, peak_id, sum(value * weight) AS w FROM profile JOIN links USING (gene) GROUP BY 1, 2),
+WEIGHTS = """raww AS (SELECT main_cell_type, peak_id, sum(value * weight) AS w FROM profile JOIN links USING (gene) GROUP BY 1, 2),
  pw AS (SELECT main_cell_type, peak_id, w / (sum(w) OVER (PARTITION BY peak_id) / (SELECT count(DISTINCT main_cell_type) FROM profile)) AS value FROM raww)"""
 
 
-def _links(s: SparkSession, d: str) -> DataFrame:
-    """Weights of all peaks within the library's reach of a gene, of several sites of a symbol the largest. The SQL stops at 20,000 bases and knows no strand, so it differs."""
-    g = A.genes(s, d).withColumnRenamed("symbol", "gene")
-    return I.gene_peaks(g, A.peaks(s, d)).groupBy("gene", "peak_id").agg(F.max("weight").alias("weight"))
+def _links(s: SparkSession, d: str, sites: DataFrame | None = None) -> DataFrame:
+    """Weights of all peaks within the library's reach of a gene, of several sites of a symbol the largest."""
+    g = (A.genes(s, d) if sites is None else sites).withColumnRenamed("symbol", "gene")
+    return I.gene_peaks(g, A.peaks(s, d, sites)).groupBy("gene", "peak_id").agg(F.max("weight").alias("weight"))
 
 
-@add("celltype_peak_weight", _more("SELECT main_cell_type, peak_id, round(value, 6) AS value FROM pw", LINKS, "profile", "genes", "peaks"))
+@add("celltype_peak_weight", _more("SELECT main_cell_type, peak_id, round(value, 6) AS value FROM pw", WEIGHTS, "profile", "links"))
 def celltype_peak_weight(s: SparkSession, d: str) -> DataFrame:
     return _r(D.peak_weights(D.reference_profile(A.counts(s, d), A.anno(s, d)), _links(s, d)), 6, "value")
 
 
 def _predicted(s: SparkSession, d: str) -> DataFrame:
-    kinds = A.anno(s, d)
-    f = D.fractions(A.topic_sample(s, d), D.rule_weights("bayes_norm", _topic_type(s, d), D.type_shares(kinds)))
-    return D.predict_peaks(f, A.peak_counts(s, d), D.peak_weights(D.reference_profile(A.counts(s, d), kinds), _links(s, d)))
+    cells, sites, kinds = cut(A.counts(s, d)), cut(A.genes(s, d)), A.anno(s, d)  # read several times
+    f = D.fractions(A.topic_sample(s, d, cells), D.rule_weights("bayes_norm", _topic_type(s, d, cells), D.type_shares(kinds)))
+    return D.predict_peaks(f, A.peak_counts(s, d, cells, sites), D.peak_weights(D.reference_profile(cells, kinds), _links(s, d, sites)))
+
 
+PREDICTED = f"{WEIGHTS}, {FRACTION.format(rule=RULES['bayes_norm'], unit='sample_id', src='topic_sample')}"
+PREDICTED_VIEWS = ("profile", "links", "peak_counts", "topic_sample", "bayes")
 
-@add("peak_predict", _more("SELECT sample_id, main_cell_type, peak_id, round(fraction * c.value * pw.value, 5) AS value FROM peak_counts c JOIN pw USING (peak_id) JOIN fr USING (sample_id, main_cell_type)", f"{LINKS}, {FRACTION.format(rule=RULES['bayes_norm'], unit='sample_id', src='topic_sample')}", "profile", "genes", "peaks", "peak_counts", "topic_sample", "bayes"))
+
+@add("peak_predict", _more("SELECT sample_id, main_cell_type, peak_id, round(fraction * c.value * pw.value, 5) AS value FROM peak_counts c JOIN pw USING (peak_id) JOIN fr USING (sample_id, main_cell_type)", PREDICTED, *PREDICTED_VIEWS))
 def peak_predict(s: SparkSession, d: str) -> DataFrame:
     return _r(_predicted(s, d), 5, "value")
 
@@ -156,9 +160,9 @@ def eval_regression(s: SparkSession, d: str) -> DataFrame:
     return _pairs(s, d).select("sample_id", "main_cell_type", F.round(e, 8).alias("abs_error"), F.round(e / F.nullif("t", F.lit(0.0)), 6).alias("rel_error"))
 
 
-@add("eval_variation", _more("SELECT main_cell_type, round(avg(p), 8) AS mean, round(stddev_pop(p), 8) AS sd, round(stddev_pop(p) / avg(p), 5) AS cv FROM pairs GROUP BY 1", PAIRS, *PAIR_VIEWS))
+@add("eval_variation", _more("SELECT main_cell_type, round(avg(p), 8) AS mean, round(stddev_pop(p), 8) AS sd, round(stddev_pop(p) / nullif(avg(p), 0), 5) AS cv FROM pairs GROUP BY 1", PAIRS, *PAIR_VIEWS))
 def eval_variation(s: SparkSession, d: str) -> DataFrame:
-    return _pairs(s, d).groupBy("main_cell_type").agg(F.round(F.avg("p"), 8).alias("mean"), F.round(F.stddev_pop("p"), 8).alias("sd"), F.round(F.stddev_pop("p") / F.avg("p"), 5).alias("cv"))
+    return _pairs(s, d).groupBy("main_cell_type").agg(F.round(F.avg("p"), 8).alias("mean"), F.round(F.stddev_pop("p"), 8).alias("sd"), F.round(F.stddev_pop("p") / F.nullif(F.avg("p"), F.lit(0.0)), 5).alias("cv"))
 
 
 @add("eval_grouping_sets", _more("SELECT sample_id, main_cell_type, count(*) AS n, round(avg(abs(p - t)), 8) AS mae FROM pairs GROUP BY GROUPING SETS ((sample_id), (main_cell_type), ())", PAIRS, *PAIR_VIEWS))
@@ -176,13 +180,19 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     return _r(M.bootstrap(_pairs(s, d), "main_cell_type", "p", "t"), 6, "pcc", "rmse", "pcc_sd", "rmse_sd")
 
 
-@add("model_select_best", _more("SELECT topic_id, main_cell_type, round(weight, 9) AS weight FROM topic_type QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, main_cell_type) = 1", "x AS (SELECT 1)", "topic_type"))
-def model_select_best(s: SparkSession, d: str) -> DataFrame:
-    """The cell type that each topic stands for."""
+@add("topic_best_celltype", _more("SELECT topic_id, main_cell_type, round(weight, 9) AS weight FROM topic_type QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, main_cell_type) = 1", "x AS (SELECT 1)", "topic_type"))
+def topic_best_celltype(s: SparkSession, d: str) -> DataFrame:
+    """The cell type that is heaviest in each topic."""
     best = _r(_topic_type(s, d), 9, "weight")
     return argmax(best, ["topic_id"], "main_cell_type", "weight").join(best, ["topic_id", "main_cell_type"])
 
 
+@add("celltype_topics", _more("SELECT topic_id, main_cell_type FROM taken UNION ALL SELECT DISTINCT topic_id, 'unsure' FROM topic_type WHERE topic_id NOT IN (SELECT topic_id FROM taken)", "taken AS (SELECT topic_id, main_cell_type FROM topic_type QUALIFY row_number() OVER (PARTITION BY main_cell_type ORDER BY round(weight, 9) DESC, topic_id) = 1)", "topic_type"))
+def celltype_topics(s: SparkSession, d: str) -> DataFrame:
+    """The topic of each cell type; topics that no type takes are unsure."""
+    return pipelines.topics_of_types(_r(_topic_type(s, d), 9, "weight"))
+
+
 @add("external_topic_align", with_sql("SELECT sample_id, topic_id, round(weight, 9) AS weight FROM topic_sample WHERE topic_id IN (SELECT topic_id FROM topic_type WHERE topic_id > 1)", "topic_sample", "topic_type"))
 def external_topic_align(s: SparkSession, d: str) -> DataFrame:
     return _r(D.external_topics(A.topic_sample(s, d), _topic_type(s, d).where("topic_id > 1"))[0], 9, "weight")
@@ -195,11 +205,9 @@ def backend_metadata(s: SparkSession, d: str) -> DataFrame:
     return metadata(A.gene_topic(s, d), A.cell_topic(s, d), _topic_type(s, d))
 
 
-@add("mean_peak_by_type", _more("SELECT main_cell_type, peak_id, round(sum(score) / any_value(n_cells), 9) AS value FROM peaks p JOIN fragments f ON p.chr = f.chr AND p.start < f.\"end\" AND f.start < p.\"end\" JOIN anno ON cell_id = name JOIN shares USING (main_cell_type) GROUP BY 1, 2", "x AS (SELECT 1)", "peaks", "fragments", "shares"))
+@add("mean_peak_by_type", with_sql("SELECT main_cell_type, peak_id, round(weight, 9) AS value FROM peak_means", "peak_means"))
 def mean_peak_by_type(s: SparkSession, d: str) -> DataFrame:
-    f = A.fragments(s, d).withColumnsRenamed({"start": "start_b", "end": "end_b"})
-    hits = I.overlap_join(A.peaks(s, d), f, ["chr"], 20_000).select(F.col("name").alias("cell_id"), "peak_id", F.col("score").alias("weight"))
-    return D.type_means(hits, A.anno(s, d), over=["peak_id"]).select("main_cell_type", "peak_id", F.round("weight", 9).alias("value"))
+    return A.peak_means(s, d).select("main_cell_type", "peak_id", F.round("weight", 9).alias("value"))
 
 
 @add("nnls_project")
@@ -229,17 +237,54 @@ def correlation_p(s: SparkSession, d: str) -> DataFrame:
     return by.withColumn("p_value", p).select("main_cell_type", F.round("pcc", 6).alias("pcc"), F.round("p_value", 9).alias("p_value"), pipelines.p_text(F.col("p_value")).alias("text"))
 
 
-@add("scaled_truth", _more("SELECT main_cell_type, peak_id, round(value / CASE WHEN round_even(sum(value) OVER (PARTITION BY main_cell_type) / 10000, 0) = 0 THEN 1 ELSE round_even(sum(value) OVER (PARTITION BY main_cell_type) / 10000, 0) END, 9) AS value FROM (SELECT main_cell_type, peak_id, sum(score) / any_value(n_cells) * 1000 AS value FROM peaks p JOIN fragments f ON p.chr = f.chr AND p.start < f.\"end\" AND f.start < p.\"end\" JOIN anno ON cell_id = name JOIN shares USING (main_cell_type) GROUP BY 1, 2)", "x AS (SELECT 1)", "peaks", "fragments", "shares"))
+#: Mean signals in thousands, so that some peaks of the test tables reach ten thousand.
+TRUTH_SIGNAL = "scaled AS (SELECT main_cell_type, peak_id, value / CASE WHEN round_even(t / 10000, 0) = 0 THEN 1 ELSE round_even(t / 10000, 0) END AS value FROM (SELECT *, sum(value) OVER (PARTITION BY peak_id) AS t FROM (SELECT main_cell_type, peak_id, round(weight * 1000, 6) AS value FROM peak_means)))"
+
+
+def _truth_signal(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.scaled_truth(A.peak_means(s, d).select("main_cell_type", "peak_id", F.round(F.col("weight") * 1000, 6).alias("value")))
+
+
+@add("scaled_truth", _more("SELECT main_cell_type, peak_id, round(value, 6) AS value FROM scaled", TRUTH_SIGNAL, "peak_means"))
 def scaled_truth(s: SparkSession, d: str) -> DataFrame:
-    f = A.fragments(s, d).withColumnsRenamed({"start": "start_b", "end": "end_b"})
-    hits = I.overlap_join(A.peaks(s, d), f, ["chr"], 20_000).select(F.col("name").alias("cell_id"), "peak_id", F.col("score").alias("weight"))
-    means = D.type_means(hits, A.anno(s, d), over=["peak_id"]).select("main_cell_type", "peak_id", (F.col("weight") * 1000).alias("value"))
-    return _r(pipelines.scaled_truth(means), 9, "value")
+    return _r(_truth_signal(s, d), 6, "value")
+
+
+SCORES = """pred AS (SELECT sample_id, main_cell_type, peak_id, fraction * c.value * pw.value AS p FROM peak_counts c JOIN pw USING (peak_id) JOIN fr USING (sample_id, main_cell_type)),
+ tot AS (SELECT sample_id, peak_id, sum(p) AS p FROM pred GROUP BY 1, 2 HAVING sum(p) > 0), both_ AS (SELECT tot.*, coalesce(t.t, 0) AS t, coalesce(c.value, 0) AS b FROM tot LEFT JOIN (SELECT peak_id, sum(value) AS t FROM scaled GROUP BY 1) t USING (peak_id) LEFT JOIN peak_counts c USING (sample_id, peak_id)),
+ sc AS (SELECT sample_id, count(*) AS n, avg(abs(p - t)) AS mae, avg((p - t) * (p - t)) AS mse, sqrt(avg((p - t) * (p - t))) AS rmse, CASE WHEN stddev_pop(t) > 0 THEN 1 - avg((p - t) * (p - t)) / var_pop(t) END AS r2,
+ avg(abs(p - b)) AS mae_bulk, avg((p - b) * (p - b)) AS mse_bulk, sqrt(avg((p - b) * (p - b))) AS rmse_bulk, CASE WHEN stddev_pop(b) > 0 THEN 1 - avg((p - b) * (p - b)) / var_pop(b) END AS r2_bulk FROM both_ GROUP BY 1),
+ grid AS (SELECT tot.sample_id, k.main_cell_type, tot.peak_id, coalesce(pred.p, 0) AS p, coalesce(s.value, 0) AS t FROM tot CROSS JOIN (SELECT main_cell_type FROM shares) k LEFT JOIN pred USING (sample_id, main_cell_type, peak_id) LEFT JOIN scaled s USING (main_cell_type, peak_id)),
+ cr AS (SELECT sample_id, avg(r) AS peak_cor FROM (SELECT sample_id, main_cell_type, CASE WHEN stddev_pop(p) > 0 AND stddev_pop(t) > 0 THEN corr(p, t) END AS r FROM grid GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@add("eval_signal", _more("SELECT sample_id, n, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(r2, 4) AS r2, round(mae_bulk, 3) AS mae_bulk, round(rmse_bulk, 3) AS rmse_bulk, round(r2_bulk, 4) AS r2_bulk, round(peak_cor, 5) AS peak_cor FROM sc LEFT JOIN cr USING (sample_id)", f"{PREDICTED}, {TRUTH_SIGNAL}, {SCORES}", *PREDICTED_VIEWS, "peak_means", "shares"))
+def eval_signal(s: SparkSession, d: str) -> DataFrame:
+    """Predicted against measured signal of each sample."""
+    out = D.signal_scores(_predicted(s, d), _truth_signal(s, d), A.peak_counts(s, d)).drop("mse", "mse_bulk")
+    return _r(_r(_r(out, 3, "mae", "rmse", "mae_bulk", "rmse_bulk"), 4, "r2", "r2_bulk"), 5, "peak_cor")
+
+
+@add("e_ref_scale", with_sql("SELECT main_cell_type, round(sum(value) / 1e4, 6) AS scale FROM typed GROUP BY 1", "typed"))
+def e_ref_scale(s: SparkSession, d: str) -> DataFrame:
+    return _r(D.reference_scale(A.counts(s, d), A.anno(s, d)), 6, "scale")
+
+
+@add("sample_celltypes", _more("SELECT sample_id, main_cell_type, round(w / sum(w) OVER (PARTITION BY sample_id), 8) AS weight FROM (SELECT sample_id, main_cell_type, sum(t.weight * c.weight) AS w FROM topic_sample t JOIN col c USING (topic_id) GROUP BY 1, 2)", "col AS (SELECT topic_id, main_cell_type, weight / (sum(weight) OVER (PARTITION BY main_cell_type) + 1e-10) AS weight FROM topic_type)", "topic_sample", "topic_type"))
+def sample_celltypes(s: SparkSession, d: str) -> DataFrame:
+    """Samples to topics to cell types, each type's column of topics normalised."""
+    return _r(D.sample_types(A.topic_sample(s, d), _topic_type(s, d)), 8, "weight")
+
+
+@add("celltype_stretched", _more("SELECT topic_id, main_cell_type, CAST(floor(round(5 * coalesce((weight - min(weight) OVER w) / nullif(max(weight) OVER w - min(weight) OVER w, 0), 0), 9)) AS BIGINT) AS weight FROM topic_type WINDOW w AS (PARTITION BY main_cell_type)", "x AS (SELECT 1)", "topic_type"))
+def celltype_stretched(s: SparkSession, d: str) -> DataFrame:
+    """Each type's topic weights as whole numbers from 0 to 5."""
+    return D.stretched(_topic_type(s, d))
 
 
 @add("best_rule", _more("""SELECT CASE WHEN b >= a THEN 'bayes_norm' ELSE 'bayes' END AS rule FROM (SELECT avg(CAST(fr.main_cell_type = anno.main_cell_type AS INTEGER)) AS a FROM (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY round(fraction, 9) DESC, main_cell_type) = 1) fr JOIN anno USING (cell_id)),
  (SELECT avg(CAST(f2.main_cell_type = anno.main_cell_type AS INTEGER)) AS b FROM (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY round(fraction, 9) DESC, main_cell_type) = 1) f2 JOIN anno USING (cell_id))""", FRACTION.format(rule=RULES["bayes"], unit="cell_id", src="cell_topic") + ", " + FRACTION.format(rule=RULES["bayes_norm"], unit="cell_id", src="cell_topic").replace("rule AS", "r2 AS").replace("JOIN rule", "JOIN r2").replace("fr AS", "f2 AS"), "cell_topic", "topic_type", "bayes", "shares", "anno"))
 def best_rule(s: SparkSession, d: str) -> DataFrame:
     """Of two combination rules the one that names more cells' types rightly."""
-    acc = {r: CATALOG.queries["accuracy_" + r](s, d).head()["accuracy"] or 0.0 for r in ("bayes", "bayes_norm")}
-    return s.range(1).select(F.lit(pipelines.prefer(acc)).alias("rule"))
+    scores = [CATALOG.queries["accuracy_" + r](s, d).select(F.lit(r).alias("rule"), "accuracy") for r in ("bayes", "bayes_norm")]
+    return pipelines.prefer(scores[0].unionAll(scores[1])).select("rule")

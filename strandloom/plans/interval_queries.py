@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.columns import count_of
 from strandloom.operators import intervals as I
 from strandloom.plans import adapters as A
 from strandloom.plans.adapters import with_sql
 from strandloom.plans.registry import Catalog, table
+from strandloom.session import cut
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -34,7 +36,7 @@ def genebody_extend(s: SparkSession, d: str) -> DataFrame:
 @add("interval_overlap", with_sql("""SELECT peak_id, name, count(*) AS n, sum(score) AS score FROM peaks p JOIN fragments f ON p.chr = f.chr AND p.start < f."end" AND f.start < p."end" GROUP BY 1, 2""", "peaks", "fragments"))
 def interval_overlap(s: SparkSession, d: str) -> DataFrame:
     f = A.fragments(s, d).withColumnsRenamed({"start": "start_b", "end": "end_b"})
-    return I.overlap_join(A.peaks(s, d), f, ["chr"], 20_000).groupBy("peak_id", "name").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return I.overlap_join(A.peaks(s, d), f, ["chr"], 20_000, salts=4).groupBy("peak_id", "name").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
 LINKS = f"""ext AS (SELECT *, {TSS}, {BODY} FROM named_genes), links AS (SELECT g.gene, p.peak_id, CAST(CASE WHEN p.start < body_end AND body_start < p."end" THEN 0
@@ -47,9 +49,9 @@ def gene_peak_distance(s: SparkSession, d: str) -> DataFrame:
     return I.gene_peaks(A.named_genes(s, d), A.peaks(s, d)).groupBy("gene").agg(F.count("*").alias("peaks"), F.sum("dist").alias("dist"), F.min("dist").alias("nearest"))
 
 
-@add("gene_peak_weight", _more("SELECT gene, peak_id, round(CASE WHEN exp(-dist / 5000) < 0.1 THEN 0 ELSE exp(-dist / 5000) END, 9) AS weight FROM links WHERE dist < 20000", LINKS, "named_genes", "peaks"))
+@add("gene_peak_weight", _more("SELECT gene, peak_id, round(CASE WHEN exp(-dist / 5000) < 0.1 THEN 0 ELSE exp(-dist / 5000) END, 9) AS weight FROM links", LINKS, "named_genes", "peaks"))
 def gene_peak_weight(s: SparkSession, d: str) -> DataFrame:
-    return I.gene_peaks(A.named_genes(s, d), A.peaks(s, d), cutoff=0.1).where("dist < 20000").select("gene", "peak_id", F.round("weight", 9).alias("weight"))
+    return I.gene_peaks(A.named_genes(s, d), A.peaks(s, d), cutoff=0.1).select("gene", "peak_id", F.round("weight", 9).alias("weight"))
 
 
 WEIGHT = """lens AS (SELECT gene, 1.0::DOUBLE / ("end" - start) AS w FROM named_genes), gw AS (SELECT gene, 1 + 4 * (w - (SELECT min(w) FROM lens)) / ((SELECT max(w) FROM lens) - (SELECT min(w) FROM lens)) AS gene_weight FROM lens)"""
@@ -98,9 +100,10 @@ REGIONS = MERGE.format(src="peaks", test="- reach - 1 < 12500") + """, regions A
 
 
 def _signal(s: SparkSession, d: str) -> DataFrame:
-    peaks, counts = A.peaks(s, d), A.peak_counts(s, d)
+    sites = cut(A.genes(s, d))
+    peaks, counts = A.peaks(s, d, sites), cut(A.peak_counts(s, d, sites=sites))  # read several times
     regions = I.stitch(peaks, 12_500 + 1).withColumn("region_id", F.concat_ws("_", "chr", "start", "end"))
-    return I.region_max(regions, peaks.join(counts, "peak_id"), counts.select("sample_id").distinct().count())
+    return I.region_max(regions, peaks.join(counts, "peak_id"), count_of(counts, "sample_id"))
 
 
 @add("stitch_region_max", _more("SELECT region_id, round(signal, 6) AS signal FROM signal", REGIONS, "peaks", "peak_counts"))

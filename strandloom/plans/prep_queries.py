@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.columns import log2p1, sample_of
+from strandloom.functions.columns import count_of, log2p1, sample_of
 from strandloom.operators import pipelines
 from strandloom.operators import preprocess as P
 from strandloom.operators.matrix import pad
@@ -82,8 +82,7 @@ def pad_gene_list_mask(s: SparkSession, d: str) -> DataFrame:
 
 
 @add("dup_symbol_median", with_sql("""SELECT sample_id, gene, round(value, 6) AS value FROM (SELECT sample_id, gene, median(v) AS value FROM (SELECT s.sample_id, g.gene, coalesce(b.value, 0) AS v
- FROM (SELECT DISTINCT sample_id, gene FROM by_chr) s JOIN (SELECT DISTINCT gene, chr FROM by_chr) g USING (gene) LEFT JOIN by_chr b ON b.sample_id = s.sample_id AND b.gene = g.gene AND b.chr = g.chr) GROUP BY 1, 2) WHERE value <> 0""", "bulk").replace(" SELECT sample_id, gene, round", """, by_chr AS (SELECT sample_id, gene, chr, sum(value * (1 + length(chr) % 3)) AS value FROM bulk JOIN (SELECT DISTINCT genome || ':' || chr AS chr, symbol AS gene FROM gene_anno WHERE symbol IS NOT NULL AND (start + length(symbol)) % 3 > 0) USING (gene)
- WHERE (ascii(right(sample_id, 1)) + length(chr)) % 2 = 0 GROUP BY ALL) SELECT sample_id, gene, round""", 1))
+ FROM (SELECT DISTINCT sample_id, gene FROM by_chr) s JOIN (SELECT DISTINCT gene, chr FROM by_chr) g USING (gene) LEFT JOIN by_chr b ON b.sample_id = s.sample_id AND b.gene = g.gene AND b.chr = g.chr) GROUP BY 1, 2) WHERE value <> 0""", "bulk").replace(" SELECT sample_id, gene, round", """, by_chr AS (SELECT sample_id, gene, chr, sum(value * (1 + length(chr) % 3)) AS value FROM bulk JOIN (SELECT DISTINCT genome || ':' || chr AS chr, symbol AS gene FROM gene_anno WHERE symbol IS NOT NULL) USING (gene) GROUP BY ALL) SELECT sample_id, gene, round""", 1))
 def dup_symbol_median(s: SparkSession, d: str) -> DataFrame:
     sites = table(s, d, "gene_anno").where("symbol IS NOT NULL").select(F.concat(F.col("genome"), F.lit(":"), F.col("chr")).alias("chr"), F.col("symbol").alias("gene")).where("chr IS NOT NULL").distinct()
     by_chr = A.bulk(s, d).join(sites, "gene").withColumn("value", F.col("value") * (1 + F.length("chr") % 3))
@@ -104,9 +103,7 @@ def _quantile_sql(f: str) -> str:
 
 
 def _quantile(s: SparkSession, d: str, median: bool) -> DataFrame:
-    b = A.bulk(s, d)
-    n = b.agg(F.count_distinct("sample_id"), F.count_distinct("gene")).head()
-    return P.quantile_norm(b, "sample_id", "gene", n[0], n[1], median=median).select("sample_id", "gene", F.round("value", 6).alias("value"), F.round("zero_value", 6).alias("zero_value"))
+    return P.quantile_norm(A.bulk(s, d), "sample_id", "gene", median=median).select("sample_id", "gene", F.round("value", 6).alias("value"), F.round("zero_value", 6).alias("zero_value"))
 
 
 @add("quantile_norm_mean", _quantile_sql("avg"))
@@ -127,7 +124,7 @@ def zscore_sample(s: SparkSession, d: str) -> DataFrame:
 CONTROL = "avg(value) FILTER (sample_id < 'S00003') OVER w"
 
 
-@add("ctrl_norm", with_sql(f"SELECT * FROM (SELECT sample_id, gene, round((value - {CONTROL}) / (stddev_samp(value) FILTER (sample_id < 'S00003') OVER w + 2.220446049250313e-16), 3) AS value FROM bulk WINDOW w AS (PARTITION BY gene)) WHERE value IS NOT NULL AND abs(value) < 1e12", "bulk"))
+@add("ctrl_norm", with_sql(f"SELECT * FROM (SELECT sample_id, gene, round((value - {CONTROL}) / (stddev_samp(value) FILTER (sample_id < 'S00003') OVER w + 2.220446049250313e-16), 3) AS value FROM bulk WINDOW w AS (PARTITION BY gene)) WHERE value IS NOT NULL", "bulk"))
 def ctrl_norm(s: SparkSession, d: str) -> DataFrame:
     return P.control_zscore(A.bulk(s, d), "gene", F.col("sample_id") < "S00003").withColumn("value", F.round("value", 3))
 
@@ -140,12 +137,12 @@ def _groups(s: SparkSession, d: str) -> DataFrame:
     return g.select("gene", (F.col("ord") % 5).alias("group_id")).union(g.where("ord % 7 = 0").select("gene", F.lit(5))).distinct()
 
 
-@add("freq_norm", _more("SELECT sample_id, gene, round(avg(value * f), 6) AS value FROM bulk JOIN groups USING (gene) JOIN (SELECT group_id, max(t) OVER () / t AS f FROM (SELECT group_id, sum(value) AS t FROM bulk JOIN groups USING (gene) GROUP BY 1 HAVING sum(value) > 0)) USING (group_id) GROUP BY 1, 2", GROUPS, "bulk"))
+@add("freq_norm", _more("SELECT sample_id, gene, round(avg(value * coalesce(f, 1)), 6) AS value FROM bulk LEFT JOIN groups USING (gene) LEFT JOIN (SELECT group_id, max(t) OVER () / t AS f FROM (SELECT group_id, sum(value) AS t FROM bulk JOIN groups USING (gene) GROUP BY 1 HAVING sum(value) > 0)) USING (group_id) GROUP BY 1, 2", GROUPS, "bulk"))
 def freq_norm(s: SparkSession, d: str) -> DataFrame:
     return P.group_totals_norm(A.bulk(s, d), _groups(s, d)).withColumn("value", F.round("value", 6))
 
 
-@add("size_norm", _more("SELECT sample_id, gene, group_id, round(value * f, 6) AS value FROM bulk JOIN groups USING (gene) JOIN (SELECT group_id, max(count(*)) OVER () / count(*) AS f FROM groups GROUP BY 1) USING (group_id)", GROUPS, "bulk"))
+@add("size_norm", _more("SELECT sample_id, gene, group_id, round(value * f, 6) AS value FROM bulk JOIN groups USING (gene) JOIN (SELECT group_id, max(count(*)) OVER () / count(*) FILTER (gene IN (SELECT gene FROM bulk)) AS f FROM groups GROUP BY 1) USING (group_id)", GROUPS, "bulk"))
 def size_norm(s: SparkSession, d: str) -> DataFrame:
     return P.group_sizes_norm(A.bulk(s, d), _groups(s, d)).withColumn("value", F.round("value", 6))
 
@@ -153,7 +150,7 @@ def size_norm(s: SparkSession, d: str) -> DataFrame:
 @add("impute_median", with_sql("SELECT gene, count(value) AS present, round(median(value), 6) AS fill FROM bulk GROUP BY 1 HAVING count(value) >= CAST(floor(0.5 * (SELECT count(DISTINCT sample_id) FROM bulk)) AS BIGINT)", "bulk"))
 def impute_median(s: SparkSession, d: str) -> DataFrame:
     b = A.bulk(s, d)
-    return P.impute(b, "gene", b.select("sample_id").distinct().count(), 0.5).withColumn("fill", F.round("fill", 6))
+    return P.impute(b, "gene", count_of(b, "sample_id"), 0.5).withColumn("fill", F.round("fill", 6))
 
 
 DISPERSION = """disp AS (SELECT gene, s1 / n AS mean, (s2 - s1 * s1 / n) / (n - 1) AS variance FROM (SELECT gene, sum(value) AS s1, sum(value * value) AS s2, (SELECT count(DISTINCT cell_id) FROM counts)::DOUBLE AS n FROM counts GROUP BY 1))"""
@@ -162,14 +159,14 @@ DISPERSION = """disp AS (SELECT gene, s1 / n AS mean, (s2 - s1 * s1 / n) / (n -
 @add("hvg_topn", _more("SELECT gene, round(mean, 6) AS mean, round(variance, 5) AS variance, round(variance / mean, 5) AS dispersion FROM disp ORDER BY variance / mean DESC, gene LIMIT 500", DISPERSION, "counts"))
 def hvg_topn(s: SparkSession, d: str) -> DataFrame:
     c = A.counts(s, d)
-    top = P.highly_variable(c, c.select("cell_id").distinct().count(), 500)
+    top = P.highly_variable(c, count_of(c, "cell_id"), 500)
     return top.select("gene", F.round("mean", 6).alias("mean"), F.round("variance", 5).alias("variance"), F.round("dispersion", 5).alias("dispersion"))
 
 
-@add("subsample_celltypes", with_sql("""SELECT cell_id, main_cell_type FROM (SELECT *, row_number() OVER (PARTITION BY main_cell_type ORDER BY reverse(cell_id), cell_id) AS r, count(*) OVER (PARTITION BY main_cell_type) AS n, count(*) OVER () AS t FROM anno)
+@add("subsample_celltypes", with_sql("""SELECT cell_id, main_cell_type FROM (SELECT *, row_number() OVER (PARTITION BY main_cell_type ORDER BY md5(cell_id), cell_id) AS r, count(*) OVER (PARTITION BY main_cell_type) AS n, count(*) OVER () AS t FROM anno)
  WHERE r <= CASE main_cell_type WHEN 'naive t4' THEN least(n, greatest(1, round_even((t - n) * 0.05 / (1 - 0.05), 0))) WHEN 'platelet' THEN 0 ELSE n END""", "anno"))
 def subsample_celltypes(s: SparkSession, d: str) -> DataFrame:
-    return P.subsample(A.anno(s, d), "main_cell_type", {"naive t4": 0.05, "platelet": 0.0, "classic mono": 1.0}, [F.reverse("cell_id"), F.col("cell_id")]).select("cell_id", "main_cell_type")
+    return P.subsample(A.anno(s, d), "main_cell_type", {"naive t4": 0.05, "platelet": 0.0, "classic mono": 1.0}, "cell_id").select("cell_id", "main_cell_type")
 
 
 @add("uniquify_symbols", with_sql('SELECT chr, start, "end", strand, symbol, gene FROM named_genes', "named_genes"))
@@ -214,8 +211,7 @@ def drop_all_missing(s: SparkSession, d: str) -> DataFrame:
 @add("variance_filter", with_sql("SELECT gene, count(*) AS n, round(var_samp(value), 5) AS variance FROM bulk GROUP BY 1 HAVING var_samp(value) > 0 AND count(*) = (SELECT count(DISTINCT sample_id) FROM bulk)", "bulk"))
 def variance_filter(s: SparkSession, d: str) -> DataFrame:
     b = A.bulk(s, d)
-    n = b.select("sample_id").distinct().count()
-    return b.groupBy("gene").agg(F.count("*").alias("n"), F.round(F.var_samp("value"), 5).alias("variance")).where((F.col("variance") > 0) & (F.col("n") == n) & ~F.isnan("variance"))
+    return P.complete_features(b, "gene", count_of(b, "sample_id")).withColumn("variance", F.round("variance", 5))
 
 
 @add("deliveries_dedupe", with_sql("SELECT cell_id, gene, value FROM delivered", "delivered"))
@@ -228,46 +224,68 @@ def token_class_bins(s: SparkSession, d: str) -> DataFrame:
     return A.counts(s, d).select("cell_id", "gene", F.least(F.floor("value"), F.lit(5)).alias("bin"))
 
 
-RANKSUM = """n AS (SELECT count(*)::DOUBLE AS n FROM anno), n1 AS (SELECT main_cell_type, count(*)::DOUBLE AS n1 FROM anno GROUP BY 1),
- g AS (SELECT gene, value, count(*)::DOUBLE AS t FROM typed GROUP BY 1, 2), z AS (SELECT gene, any_value(n) - sum(t) AS n0 FROM g, n GROUP BY 1),
+#: The cells of the test tables have some ten genes: screened by five.
+RANKSUM = """screened AS (SELECT cell_id, gene, ln(1 + value / sum(value) OVER (PARTITION BY cell_id) * 1e4) AS value FROM (SELECT * FROM (SELECT * FROM counts QUALIFY count(*) OVER (PARTITION BY cell_id) >= 5) QUALIFY count(*) OVER (PARTITION BY gene) >= 10)),
+ ranked AS (SELECT * FROM anno WHERE cell_id IN (SELECT cell_id FROM screened)), mtyped AS (SELECT s.*, main_cell_type FROM screened s JOIN ranked USING (cell_id)),
+ n AS (SELECT count(*)::DOUBLE AS n FROM ranked), n1 AS (SELECT main_cell_type, count(*)::DOUBLE AS n1 FROM ranked GROUP BY 1),
+ g AS (SELECT gene, value, count(*)::DOUBLE AS t FROM mtyped GROUP BY 1, 2), z AS (SELECT gene, any_value(n) - sum(t) AS n0 FROM g, n GROUP BY 1),
  v AS (SELECT gene, value, t, n0, n0 + sum(t) OVER (PARTITION BY gene ORDER BY value ROWS UNBOUNDED PRECEDING) - (t - 1) / 2 AS rk FROM g JOIN z USING (gene)),
  ties AS (SELECT gene, sum(t * t * t - t) + any_value(n0 * n0 * n0 - n0) AS ties, any_value(n0) AS n0 FROM v GROUP BY 1),
- r AS (SELECT gene, main_cell_type, sum(rk) AS r, count(*)::DOUBLE AS k FROM typed JOIN v USING (gene, value) GROUP BY 1, 2),
+ r AS (SELECT gene, main_cell_type, sum(rk) AS r, count(*)::DOUBLE AS k FROM mtyped JOIN v USING (gene, value) GROUP BY 1, 2),
  f AS (SELECT gene, main_cell_type, r + (n1 - k) * (n0 + 1) / 2 AS rs, n1, n, ties FROM r JOIN ties USING (gene) JOIN n1 USING (main_cell_type), n)"""
 
 
-@add("marker_ranksum", _more("SELECT gene, main_cell_type, round(rs, 3) AS rank_sum, round((rs - n1 * (n + 1) / 2) / sqrt(nullif((1 - ties / (n * n * n - n)) * n1 * (n - n1) * (n + 1) / 12, 0)), 6) AS z FROM f", RANKSUM, "typed", "anno"))
+@add("marker_ranksum", _more("SELECT gene, main_cell_type, round(rs, 3) AS rank_sum, round((rs - n1 * (n + 1) / 2) / sqrt(nullif((1 - ties / (n * n * n - n)) * n1 * (n - n1) * (n + 1) / 12, 0)), 6) AS z FROM f", RANKSUM, "counts", "anno"))
 def marker_ranksum(s: SparkSession, d: str) -> DataFrame:
-    return P.rank_sum(A.counts(s, d), A.anno(s, d)).select("gene", "main_cell_type", F.round("rank_sum", 3).alias("rank_sum"), F.round("z", 6).alias("z"))
+    return P.find_markers(A.counts(s, d), A.anno(s, d), 5, 10).select("gene", "main_cell_type", F.round("rank_sum", 3).alias("rank_sum"), F.round("z", 6).alias("z"))
 
 
-@add("marker_genes", _more("SELECT DISTINCT gene FROM (SELECT gene, row_number() OVER (PARTITION BY main_cell_type ORDER BY round((rs - n1 * (n + 1) / 2) / sqrt((1 - ties / (n * n * n - n)) * n1 * (n - n1) * (n + 1) / 12), 9) DESC, gene) AS k FROM f) WHERE k <= 20", RANKSUM, "typed", "anno"))
+@add("marker_genes", _more("SELECT DISTINCT gene FROM (SELECT gene, row_number() OVER (PARTITION BY main_cell_type ORDER BY round((rs - n1 * (n + 1) / 2) / sqrt((1 - ties / (n * n * n - n)) * n1 * (n - n1) * (n + 1) / 12), 9) DESC, gene) AS k FROM f) WHERE k <= 20", RANKSUM, "counts", "anno"))
 def marker_genes(s: SparkSession, d: str) -> DataFrame:
-    return P.take_markers(P.rank_sum(A.counts(s, d), A.anno(s, d)).withColumn("z", F.round("z", 9)), 20)
+    return P.take_markers(P.find_markers(A.counts(s, d), A.anno(s, d), 5, 10).withColumn("z", F.round("z", 9)), 20)
+
 
+#: Moments, priors and the iterated estimates of batch correction over ``src`` (cell_id, gene, value, lane), named with ``t``.
+COMBAT = """sz{t} AS (SELECT lane, count(DISTINCT cell_id)::DOUBLE AS n FROM {src} WHERE lane IS NOT NULL GROUP BY 1),
+ gr{t} AS (SELECT g.gene, z.lane, z.n, coalesce(s, 0) AS s, coalesce(q, 0) AS q FROM (SELECT DISTINCT gene FROM {src} WHERE lane IS NOT NULL) g CROSS JOIN sz{t} z LEFT JOIN (SELECT gene, lane, sum(value) AS s, sum(value * value) AS q FROM {src} GROUP BY 1, 2) x ON x.gene = g.gene AND x.lane = z.lane),
+ m{t} AS (SELECT *, sum(s) OVER w / (SELECT sum(n) FROM sz{t}) AS m, sum(q - s * s / n) OVER w / (SELECT sum(n) FROM sz{t}) AS v FROM gr{t} WINDOW w AS (PARTITION BY gene)),
+ z{t} AS (SELECT gene, lane, n, m, sd, (s - n * m) / sd AS z1, (q - 2 * m * s + n * m * m) / (sd * sd) AS z2 FROM (SELECT *, CASE WHEN v > 1e-12 THEN sqrt(v) END AS sd FROM m{t})),
+ e{t} AS (SELECT *, z1 / n AS g, (z2 - z1 * (z1 / n)) / nullif(n - 1, 0) AS d FROM z{t}),
+ pr{t} AS (SELECT *, dm * (a - 1) AS b FROM (SELECT lane, avg(g) AS gm, var_samp(g) AS gv, avg(d) AS dm, 2 + avg(d) * avg(d) / nullif(var_samp(d), 0) AS a FROM e{t} GROUP BY 1)),
+ it{t} AS (SELECT gene, lane, n, z1, z2, e.g AS g0, gm, gv, a, b, 0 AS k, e.g AS g, e.d AS d FROM e{t} e JOIN pr{t} USING (lane) WHERE gv > 0 AND a IS NOT NULL AND e.d > 0
+  UNION ALL SELECT gene, lane, n, z1, z2, g0, gm, gv, a, b, k + 1, gn, (b + (z2 - 2 * gn * z1 + n * gn * gn) / 2) / (n / 2 + a - 1) FROM (SELECT *, (n * gv * g0 + d * gm) / (n * gv + d) AS gn FROM it{t} WHERE k < 30)),
+ f{t} AS (SELECT e.gene, e.lane, e.m, e.sd, coalesce(i.g, e.g) AS gs, sqrt(coalesce(i.d, CASE WHEN e.d > 0 THEN e.d END, 1)) AS ds FROM e{t} e LEFT JOIN (SELECT * FROM it{t} WHERE k = 30) i ON i.gene = e.gene AND i.lane = e.lane),
+ done{t} AS (SELECT cell_id, c.gene, c.lane, coalesce(m + ((value - m) - sd * gs) / ds, value) AS value, coalesce(m + ((0 - m) - sd * gs) / ds, 0) AS zero_value FROM {src} c LEFT JOIN f{t} f ON f.gene = c.gene AND f.lane = c.lane)"""
+LANES = "lanes AS (SELECT cell_id, lane_batch AS lane FROM rna_obs WHERE cell_id IS NOT NULL AND lane_batch IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC NULLS LAST, lane_batch DESC) = 1)"
 
-@add("combat")
+
+@add("combat", _more("SELECT cell_id, gene, lane, round(value, 5) AS value, round(zero_value, 5) AS zero_value FROM done1", f"{LIBSIZE}, {LANES}, logged AS (SELECT cell_id, gene, log2(value / size * greatest(s, 1) + 1) AS value, lane FROM counts JOIN sizes USING (cell_id) JOIN lanes USING (cell_id), scale), {COMBAT.format(t=1, src='logged')}", "counts").replace("WITH ", "WITH RECURSIVE ", 1))
 def combat(s: SparkSession, d: str) -> DataFrame:
     lanes = table(s, d, "rna_obs").where("cell_id IS NOT NULL AND lane_batch IS NOT NULL").groupBy("cell_id").agg(F.max_by("lane_batch", F.struct("loaded_at", "lane_batch")).alias("lane"))
     logged = P.log2p1(P.library_norm(A.counts(s, d), guard=True)).join(lanes, "cell_id")
-    return P.combat(logged, "lane").withColumn("value", F.round("value", 5))
+    out = P.combat(logged, "lane")
+    return out.withColumn("value", F.round("value", 5)).withColumn("zero_value", F.round("zero_value", 5))
 
 
 @add("expressed_share", with_sql("SELECT gene, round(count(*) / (SELECT count(DISTINCT cell_id) FROM counts), 6) AS share, round(avg(log2(value + 1)), 6) AS mean_log FROM counts GROUP BY 1", "counts"))
 def expressed_share(s: SparkSession, d: str) -> DataFrame:
     c = A.counts(s, d)
-    n = c.select("cell_id").distinct().count()
-    return c.groupBy("gene").agg(F.round(F.count("*") / n, 6).alias("share"), F.round(F.avg(log2p1(F.col("value"))), 6).alias("mean_log"))
+    return c.groupBy("gene").agg(F.round(F.count("*") / count_of(c, "cell_id"), 6).alias("share"), F.round(F.avg(log2p1(F.col("value"))), 6).alias("mean_log"))
 
 
-@add("stratified_split", with_sql("SELECT cell_id, main_cell_type, percent_rank() OVER (PARTITION BY main_cell_type ORDER BY reverse(cell_id), cell_id) < 0.8 AS train FROM anno", "anno"))
+@add("stratified_split", with_sql("SELECT cell_id, main_cell_type, percent_rank() OVER (PARTITION BY main_cell_type ORDER BY md5(cell_id), cell_id) < 0.8 AS train FROM anno", "anno"))
 def stratified_split(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("main_cell_type").orderBy(F.reverse("cell_id"), "cell_id")
-    return A.anno(s, d).withColumn("train", F.percent_rank().over(w) < 0.8)
+    return P.stratified_split(A.anno(s, d), "main_cell_type", "cell_id", 0.8)
 
 
 def _two_lanes(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "rna_obs").where("cell_id IS NOT NULL").groupBy("cell_id").agg(F.max_by("lane_batch", F.struct("loaded_at", "lane_batch")).alias("lane_batch"))
+    return table(s, d, "rna_obs").where("cell_id IS NOT NULL").where("lane_batch IS NOT NULL").groupBy("cell_id").agg(F.max_by("lane_batch", F.struct("loaded_at", "lane_batch")).alias("lane_batch"))
+
+
+@add("prepare_bulk", _more("SELECT sample_id, gene, round(v, 6) AS value FROM pos JOIN ref ON ref.p = pos.r WHERE value > 0", "sizes AS (SELECT sample_id, sum(value) AS size FROM bulk GROUP BY 1), scale AS (SELECT round_even(quantile_cont(size, 0.75) / 1000, 0) * 1000 AS s FROM sizes), logged AS (SELECT sample_id, gene, log2(value / size * greatest(s, 1) + 1) AS value FROM bulk JOIN sizes USING (sample_id), scale), " + QUANTILE.format(f="avg").replace("FROM bulk", "FROM logged").replace("JOIN bulk", "JOIN logged"), "bulk"))
+def prepare_bulk(s: SparkSession, d: str) -> DataFrame:
+    """The preparation chain of bulk samples, with quantile normalisation."""
+    return pipelines.prepare(A.bulk(s, d), to_log=True, cell="sample_id", quantile=True).withColumn("value", F.round("value", 6))
 
 
 @add("prepare_cells", _more("SELECT cell_id, gene, round(log2(value / size * greatest(s, 1) + 1), 6) AS value FROM counts JOIN sizes USING (cell_id), scale", LIBSIZE, "counts"))
@@ -276,7 +294,7 @@ def prepare_cells(s: SparkSession, d: str) -> DataFrame:
     return pipelines.prepare(A.delivered(s, d), to_log=True).withColumn("value", F.round("value", 6))
 
 
-@add("prepare_cells_batches")
+@add("prepare_cells_batches", _more("SELECT cell_id, gene, round(log2(value / size * greatest(s, 1) + 1), 5) AS value FROM fixed JOIN sizes USING (cell_id), scale", f"{LANES}, labelled AS (SELECT c.*, lane FROM counts c LEFT JOIN lanes USING (cell_id)), {COMBAT.format(t=1, src='labelled')}, fixed AS (SELECT cell_id, gene, value FROM done1 WHERE value > 0), {LIBSIZE.replace('FROM counts', 'FROM fixed')}", "counts").replace("WITH ", "WITH RECURSIVE ", 1))
 def prepare_cells_batches(s: SparkSession, d: str) -> DataFrame:
     """The preparation chain with correction of the lanes."""
     return pipelines.prepare(A.delivered(s, d), _two_lanes(s, d), to_log=True, batch_cols=["lane_batch"]).withColumn("value", F.round("value", 5))
@@ -285,16 +303,12 @@ def prepare_cells_batches(s: SparkSession, d: str) -> DataFrame:
 @add("trimming", with_sql("""SELECT s.sample_id, f.gene, round(log2(coalesce(b.value, fill) + 1), 6) AS value FROM (SELECT DISTINCT sample_id FROM bulk) s
  JOIN (SELECT gene, median(value) AS fill FROM bulk WHERE value > 1 GROUP BY 1 HAVING count(*) >= floor(0.6 * (SELECT count(DISTINCT sample_id) FROM bulk))) f ON true LEFT JOIN (SELECT * FROM bulk WHERE value > 1) b ON b.sample_id = s.sample_id AND b.gene = f.gene""", "bulk"))
 def trimming(s: SparkSession, d: str) -> DataFrame:
-    b = A.bulk(s, d)
-    return pipelines.trimming(b, "sample_id", "gene", b.select("sample_id").distinct().count(), 0.6).withColumn("value", F.round("value", 6))
+    return pipelines.trimming(A.bulk(s, d), "sample_id", "gene", threshold=0.6).withColumn("value", F.round("value", 6))
 
 
-@add("choose_variable_or_marker_genes", _more("""SELECT gene FROM (SELECT gene FROM disp ORDER BY variance / mean DESC, gene LIMIT 100) UNION SELECT gene FROM (SELECT gene, row_number() OVER (PARTITION BY main_cell_type ORDER BY round((rs - n1 * (n + 1) / 2) / sqrt((1 - ties / (n * n * n - n)) * n1 * (n - n1) * (n + 1) / 12), 9) DESC, gene) AS k FROM f) WHERE k <= 10""", f"{DISPERSION}, {RANKSUM}", "counts", "typed", "anno"))
+@add("choose_variable_or_marker_genes", _more("""SELECT gene FROM (SELECT gene FROM disp ORDER BY variance / mean DESC, gene LIMIT 100) UNION SELECT gene FROM (SELECT gene, row_number() OVER (PARTITION BY main_cell_type ORDER BY round((rs - n1 * (n + 1) / 2) / sqrt((1 - ties / (n * n * n - n)) * n1 * (n - n1) * (n + 1) / 12), 9) DESC, gene) AS k FROM f) WHERE k <= 10""", f"{DISPERSION}, {RANKSUM}", "counts", "anno"))
 def choose_variable_or_marker_genes(s: SparkSession, d: str) -> DataFrame:
-    c = A.counts(s, d)
-    markers = P.take_markers(P.rank_sum(c, A.anno(s, d)).withColumn("z", F.round("z", 9)), 10)
-    variable = P.highly_variable(c, c.select("cell_id").distinct().count(), 100).select("gene")
-    return markers.union(variable).distinct()
+    return pipelines.choose_genes(A.counts(s, d), A.anno(s, d), "BOTH", 10, 100, 5, 10)
 
 
 @add("foundation_input", with_sql("""SELECT cell_id, gene, round(ln(1 + value / sum(value) OVER (PARTITION BY cell_id) * 1e4), 6) AS value FROM (SELECT * FROM counts QUALIFY count(*) OVER (PARTITION BY cell_id) >= 8) WHERE gene IN (SELECT gene FROM use_gene)""", "counts"))
@@ -319,6 +333,4 @@ def cumulative_choice(s: SparkSession, d: str) -> DataFrame:
     """The most frequent genes that together make up half of all counts."""
     c = A.counts(s, d)
     n = c.groupBy("gene").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "gene")  # one row a gene
-    ordered = n.withColumn("o", -F.row_number().over(w))
-    return pipelines.cumulative_choice(ordered, "o", "n", 0.5 * c.count()).select("gene", "n")
+    return pipelines.cumulative_choice(n, "n", 0.5 * c.agg(F.count("*")).scalar(), ["gene"])

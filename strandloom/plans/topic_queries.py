@@ -9,6 +9,7 @@ from strandloom.functions.columns import dot, norm
 from strandloom.operators import ctfidf as C
 from strandloom.operators import metrics as M
 from strandloom.operators.matrix import best, share
+from strandloom.operators.prefix import ranks
 from strandloom.operators.topics import corex, guided, lda, tree
 from strandloom.plans import adapters as A
 from strandloom.plans.adapters import with_sql
@@ -49,13 +50,13 @@ def topic_top_words(s: SparkSession, d: str) -> DataFrame:
     return C.top_terms(ctfidf(s, d), "lang", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-UMASS = """tops AS (SELECT topic_id, gene, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, gene) AS rank FROM gene_topic QUALIFY rank <= 12), hits AS (SELECT DISTINCT cell_id, topic_id, rank FROM counts JOIN tops USING (gene)),
+UMASS = """tops AS (SELECT topic_id, gene, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, gene) AS rank FROM gene_topic QUALIFY rank <= 30), hits AS (SELECT DISTINCT cell_id, topic_id, rank FROM counts JOIN tops USING (gene)),
  d AS (SELECT topic_id, rank, count(*) AS d FROM hits GROUP BY 1, 2), dd AS (SELECT a.topic_id, a.rank AS ra, b.rank AS rb, count(*) AS dd FROM hits a JOIN hits b ON a.cell_id = b.cell_id AND a.topic_id = b.topic_id AND b.rank > a.rank GROUP BY 1, 2, 3)"""
 
 
 @add("umass_coherence", _more("SELECT topic_id, round(sum(ln((coalesce(dd, 0) + 1e-12) / (coalesce(d, 0) + 1e-12))), 4) AS coherence FROM (SELECT a.topic_id, a.rank AS ra, b.rank AS rb FROM tops a JOIN tops b ON a.topic_id = b.topic_id AND b.rank > a.rank) LEFT JOIN dd USING (topic_id, ra, rb) LEFT JOIN (SELECT topic_id, rank AS rb, d FROM d) USING (topic_id, rb) GROUP BY 1", UMASS, "gene_topic", "counts"))
 def umass_coherence(s: SparkSession, d: str) -> DataFrame:
-    tops = C.top_terms(_r(A.gene_topic(s, d), 9, "weight"), "topic_id", 12, "gene").select("topic_id", F.col("gene").alias("term"), "rank")
+    tops = C.top_terms(_r(A.gene_topic(s, d), 9, "weight"), "topic_id", 30, "gene").select("topic_id", F.col("gene").alias("term"), "rank")
     docs = A.counts(s, d).select(F.col("cell_id").alias("doc_id"), F.col("gene").alias("term"))
     return _r(C.umass(tops, docs, "topic_id"), 4, "coherence")
 
@@ -118,9 +119,9 @@ def _to_centroids(s: SparkSession, d: str, score) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", "embedding", F.explode(grid).alias("t")).select("vec_id", F.col("t.topic_id").alias("topic_id"), score(F.col("embedding"), F.col("t.c")).alias("weight"))
 
 
-@add("embed_cosine_topic", f"WITH {VECS}, cv AS (SELECT label AS topic_id, list(x ORDER BY pos) AS c FROM cent GROUP BY 1) SELECT vec_id, topic_id, round(list_cosine_similarity(e, c), 6) AS weight FROM vecs, cv")
+@add("embed_cosine_topic", f"WITH {VECS}, cv AS (SELECT label AS topic_id, list(x ORDER BY pos) AS c FROM cent GROUP BY 1) SELECT vec_id, topic_id, round(coalesce(list_cosine_similarity(e, c), 0), 6) AS weight FROM vecs, cv")
 def embed_cosine_topic(s: SparkSession, d: str) -> DataFrame:
-    return _r(_to_centroids(s, d, lambda a, b: dot(a, b) / (norm(a) * norm(b))), 6, "weight")
+    return _r(_to_centroids(s, d, lambda a, b: F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))), 6, "weight")
 
 
 @add("embed_euclid_topic", f"WITH {VECS}, cv AS (SELECT label AS topic_id, list(x ORDER BY pos) AS c FROM cent GROUP BY 1), w AS (SELECT vec_id, topic_id, 1 / (list_distance(e, c) + 1e-10) AS w FROM vecs, cv) SELECT vec_id, topic_id, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS weight FROM w")
@@ -140,13 +141,13 @@ def _days(s: SparkSession, d: str) -> DataFrame:
 @add("bow_decay", f"WITH {DAYS} SELECT event_type, round(sum(n * pow(0.9, (SELECT max(batch) FROM days) - batch)), 6) AS value FROM days GROUP BY 1")
 def bow_decay(s: SparkSession, d: str) -> DataFrame:
     days = _days(s, d)
-    return _r(C.decayed(days, "batch", "event_type", 0.1, days.agg(F.max("batch")).head()[0]), 6, "value")
+    return _r(C.decayed(days, "batch", "event_type", 0.1, days.agg(F.max("batch")).scalar()), 6, "value")
 
 
 @add("bow_prune", f"WITH {DAYS} SELECT event_type, round(sum(n * pow(0.9, (SELECT max(batch) FROM days) - batch)), 6) AS value FROM days GROUP BY 1 HAVING sum(n * pow(0.9, (SELECT max(batch) FROM days) - batch)) >= 300")
 def bow_prune(s: SparkSession, d: str) -> DataFrame:
     days = _days(s, d)
-    return _r(C.decayed(days, "batch", "event_type", 0.1, days.agg(F.max("batch")).head()[0], min_total=300), 6, "value")
+    return _r(C.decayed(days, "batch", "event_type", 0.1, days.agg(F.max("batch")).scalar(), min_total=300), 6, "value")
 
 
 LDAC = "numbered AS (SELECT cell_id, dense_rank() OVER (ORDER BY gene) - 1 AS number, CAST(floor(value) AS BIGINT) AS n FROM counts WHERE value >= 1)"
@@ -154,7 +155,7 @@ LDAC = "numbered AS (SELECT cell_id, dense_rank() OVER (ORDER BY gene) - 1 AS nu
 
 def _numbered(s: SparkSession, d: str) -> DataFrame:
     c = A.counts(s, d).where("value >= 1")
-    numbers = c.select("gene").distinct().withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gene")) - 1)  # one row a gene
+    numbers = ranks(c.select("gene").distinct(), [], F.left("gene", F.lit(4)), [F.col("gene")], "number").withColumn("number", F.col("number") - 1)
     return c.join(numbers, "gene").select("cell_id", "number", F.floor("value").alias("n"))
 
 

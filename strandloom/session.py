@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +27,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, local runs) a temporary folder of this machine is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only in a local session, where all executors share this machine, a temporary
+    folder is taken if that is unset; elsewhere it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
