@@ -360,9 +360,9 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     Labels share the rows evenly, and what rare labels leave goes to the others. If the texts are too long together, the longest are cut to an even length, at
     a blank; none is left out. The labels' notations are read by ``label_code``; rows without a readable label or without text are not drawn.
     """
-    labelled = df.select(F.col(text_col).alias("text"), label_code(lang_col).alias("lang")).where("lang IS NOT NULL AND length(text) > 0")
-    marked = labelled.withColumn("o", F.xxhash64("text"))
-    have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # codes of LANGUAGES
+    labelled = df.select(F.col(text_col).alias("text"), label_code(lang_col).alias("lang")).where("lang IS NOT NULL")
+    have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # codes of LANGUAGES; texts aren't read for it
+    marked = labelled.where("length(text) > 0").withColumn("o", F.xxhash64("text"))
     quota = _level(list(have.values()), sample_rows)
     drawn = F.lit(False)
     for lang, n in have.items():

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     targets. A source's documents are shuffled by hash of the id and laid end to end, ``max_repeat`` times; its r-th slot takes the documents that start
     within the r-th ``block_tokens`` tokens, none being split. A document longer than that thus pays for the slots it runs through, which have no rows
     in the plan but count as filled. ``block`` is the number of the stretch of the source in which a document starts. Slots beyond ``max_repeat`` rounds stay
-    empty and are reported as missing.
+    empty and are reported as missing; the report gives each source's share of the mix as delivered (``actual_share``) and of the size the mix should have had (``share_of_whole``). A source
+    whose slots outrun its documents is ``out_of_reach`` if an exact check says the same of its target.
 
     Sums along a source's documents and slots run in slices (``prefix_sums``), so a source with a third of all rows is spread over many tasks.
 
@@ -62,15 +66,15 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     have = placed.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens))
 
     weight = sum(g["target_share"] for g in goals)
-    point = F.col("slot").cast("double") * GOLDEN + GOLDEN
-    bounds, upto = [], 0.0
-    for g in goals:
-        upto += g["target_share"]
-        bounds.append((upto / weight if weight else 0.0, g["source"]))
-    names = F.array(*[F.lit(s) for _, s in bounds]) if bounds else F.array().cast("array<string>")
-    limits = F.array(*[F.lit(b) for b, _ in bounds]) if bounds else F.array().cast("array<double>")
-    nth = F.least(F.size(F.filter(limits, lambda b: b <= F.col("__u"))) + 1, F.lit(max(len(bounds), 1)))
-    drawn = docs.sparkSession.range(slots if weight else 0).withColumnRenamed("id", "slot").withColumn("__u", point - F.floor(point)).withColumn("source", F.get(names, nth - 1))
+    names, upto = [g["source"] for g in goals], np.cumsum([g["target_share"] for g in goals]) / (weight or 1.0)
+
+    def take_turns(batches):
+        for b in batches:
+            point = b.column("id").to_numpy().astype(np.float64) * GOLDEN + GOLDEN
+            at = np.minimum(np.searchsorted(upto, point - np.floor(point), side="right"), len(names) - 1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names, pa.string()).take(pa.array(at))], names=["slot", "source"])
+
+    drawn = docs.sparkSession.range(slots if weight else 0).mapInArrow(take_turns, "slot bigint, source string")
     drawn = drawn.select("slot", "source", F.floor(F.col("slot") / 65536).alias("__slice"), F.lit(1).cast("bigint").alias("__one"))
     ranked = prefix_sums(drawn, ["source"], "__slice", [F.col("slot")], "__one", "__r").withColumn("__r", F.col("__r") - 1)
 
@@ -84,11 +88,15 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     inside = placed.join(F.broadcast(both.select("source", "tokens", "__full", "__rest")), "source")
     last = inside.where("__start < __rest").groupBy("source").agg(F.sum("n_tokens").alias("__last"))
     both = both.join(last, "source", "left").na.fill(0, ["__last"]).withColumn("mixed_tokens", F.col("__full") * F.col("tokens") + F.col("__last")).withColumn("rounds", F.col("__full") + (F.col("__last") > 0).cast("bigint"))
+    # Golden-ratio points miss a source's share of the slots by fewer than this; whom the schedule asks for less than it has, even so, can reach its target
+    stray = 3 + 2 * math.log(max(slots, 1)) / math.log((1 + math.sqrt(5)) / 2)
+    short = (F.col("slots_wanted") + stray) * max(weight, 1.0) * block_tokens > F.col("tokens") * F.col("max_repeat")
     report = both.withColumn("__mixed", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))).select(  # at most MOST_SOURCES rows
         "source", "target_share", "max_repeat", "tokens", "blocks", "slots_wanted", "slots", "rounds", "mixed_tokens",
         F.when(F.col("__mixed") > 0, F.col("mixed_tokens") / F.col("__mixed")).otherwise(0.0).alias("actual_share"),
+        (F.col("mixed_tokens") / F.lit(max(whole, 1))).alias("share_of_whole"),
         (F.col("slots_wanted") - F.col("slots")).alias("slots_missing"),
-        (F.col("tokens") * F.col("max_repeat") < F.col("target_share") * F.lit(whole)).alias("out_of_reach"),
+        (short & (F.col("tokens") * F.col("max_repeat") < F.col("target_share") * F.lit(whole))).alias("out_of_reach"),
     )
     times = F.col("__full") + (F.col("__start") < F.col("__rest")).cast("bigint")
     uses = inside.where(times > 0).withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,26 +97,36 @@ WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\
 SOURCE_SQL = r"nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '')"
 
 
-def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    limit = table(spark, folder, "pack_limits").orderBy("container").head()["capacity_tokens"]
-    return pack(table(spark, folder, "documents"), limit), limit
+def _limits(spark: SparkSession, folder: str) -> list:
+    limits = table(spark, folder, "pack_limits").where("capacity_tokens > 0").select("container", "capacity_tokens").distinct().orderBy("container", "capacity_tokens").limit(101).collect()
+    if len(limits) > 100:
+        raise ValueError("more than 100 kinds of containers")
+    return limits
+
+
+def _for_each_limit(spark: SparkSession, folder: str, result) -> DataFrame:
+    """``result(packed, capacity)`` for each kind of container, all documents being packed into each."""
+    docs, limits = table(spark, folder, "documents"), _limits(spark, folder)
+    if not limits:
+        return result(pack(docs.where("false"), 1), 1).withColumn("container", F.lit(None).cast("string"))
+    return reduce(DataFrame.unionAll, [result(pack(docs, r["capacity_tokens"]), r["capacity_tokens"]).withColumn("container", F.lit(r["container"])) for r in limits])
 
 
 @CATALOG.add("p6_found", f"SELECT DISTINCT doc_id FROM documents, pack_limits WHERE {WORDS_SQL} > capacity_tokens")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return cut_documents(_packed(spark, folder)[0])
+    return _for_each_limit(spark, folder, lambda packed, _: cut_documents(packed)).select("doc_id").distinct()
 
 
 @CATALOG.add("p6_packed")
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document and piece."""
-    return _packed(spark, folder)[0]
+    return _for_each_limit(spark, folder, lambda packed, _: packed)
 
 
 @CATALOG.add("p6_containers")
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Items, used and free tokens of every container."""
-    return fill_report(*_packed(spark, folder))
+    return _for_each_limit(spark, folder, fill_report)
 
 
 def _mixed(spark: SparkSession, folder: str) -> Mix:

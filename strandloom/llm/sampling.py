@@ -13,37 +13,43 @@ from strandloom.functions.columns import null_safe_join, type_name
 from strandloom.session import cut
 
 EPS = 1e-9
+#: Balance values of a stratum that meet at a time.
+CHUNK = 64
 
 
 def flight(p: np.ndarray, a: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Moves the probabilities ``p`` to 0 or 1 within ``a @ p = constant`` until no direction is left.
 
-    Each step takes a few undecided units, a direction in which their constraints don't change, and one of the two points where
-    that line leaves the unit cube, with the odds that keep every unit's expectation.
+    Units come one by one. Those held so far have independent constraint columns, kept in reduced form; a unit whose column depends on theirs gives a direction in which the constraints
+    don't change, and p moves to one of the two points where that line leaves the unit cube, with the odds that keep every unit's expectation. Whoever is decided leaves.
     """
     p = p.copy()
-    while True:
-        open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-        if not len(open_):
-            break
-        some = open_[: a.shape[0] + 1]
-        rows = a[:, some]
-        rows = rows[np.abs(rows).sum(axis=1) > 0]
-        if not len(rows):
-            u = np.zeros(len(some))
-            u[0] = 1
-        else:
-            _, sv, vt = np.linalg.svd(rows)
-            if (sv > 1e-8).sum() >= len(some):
-                break
-            u = vt[-1]
-        u[np.abs(u) < 1e-10] = 0
+    reduced, held = np.eye(a.shape[0]), np.full(a.shape[0], -1)  # the column of the unit held by a row is that row's unit vector
+
+    def hold(unit: int, y: np.ndarray, r: int) -> None:
+        reduced[r] /= y[r]
+        for other in np.flatnonzero(np.abs(y) > 1e-12):
+            if other != r:
+                reduced[other] -= y[other] * reduced[r]
+        held[r] = unit
+
+    for new in np.flatnonzero((p > EPS) & (p < 1 - EPS)):
+        y = reduced @ a[:, new]
+        free = np.flatnonzero((held < 0) & (np.abs(y) > 1e-8))
+        if len(free):
+            hold(new, y, free[np.abs(y[free]).argmax()])
+            continue
+        rows = np.flatnonzero((held >= 0) & (np.abs(y) > 1e-10))
+        some, u = np.r_[held[rows], new], np.r_[-y[rows], 1.0]
         x = p[some]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(u > 0, (1 - x) / u, np.where(u < 0, -x / u, np.inf)).min()
-            down = np.where(u > 0, x / u, np.where(u < 0, (x - 1) / u, np.inf)).min()
+        up = np.where(u > 0, (1 - x) / u, -x / u).min()
+        down = np.where(u > 0, x / u, (x - 1) / u).min()
         x = x + up * u if rng.random() < down / (up + down) else x - down * u
-        p[some] = np.clip(np.where(x < EPS, 0, np.where(x > 1 - EPS, 1, x)), 0, 1)
+        p[some] = x = np.clip(np.where(x < EPS, 0, np.where(x > 1 - EPS, 1, x)), 0, 1)
+        gone = rows[(x[:-1] == 0) | (x[:-1] == 1)]
+        held[gone] = -1
+        if 0 < x[-1] < 1 and len(gone):
+            hold(new, y, gone[np.abs(y[gone]).argmax()])
     return p
 
 
@@ -74,7 +80,8 @@ def balanced_sample(units: DataFrame, targets: DataFrame, unit: str = "cell_id",
     outcome is: of n units in random order the first floor(n p) are in, the next stays undecided with the rest of the probability, the others are
     out. So a category or stratum with a third of all rows is spread over many tasks, and a part hands on one unit at most.
     (2) What is left of a stratum, category and value meets, one unit of each part at most. (3) What is left of a stratum meets: at most one unit for each category
-    and value; they fly under all constraints, then land. Random order is by hash with ``seed``: repeated runs give the same sample.
+    and value; they fly under all constraints, then land. In a stratum with more than ``CHUNK`` balance values these first meet in chunks of so many neighbouring values, and what the chunks leave
+    lands with a constraint for each chunk, so a task's work is bounded whatever the column holds. Random order is by hash with ``seed``: repeated runs give the same sample.
 
     Targets: null shares, minimums and sizes count as 0; names are compared in lower case with blanks and underscores alike; rows without stratum
     or category are ignored; of several rows for one category the largest wish holds. Units without category or stratum are never drawn; a null balance value is
@@ -106,18 +113,32 @@ def balanced_sample(units: DataFrame, targets: DataFrame, unit: str = "cell_id",
         pdf["p"] = flight(pdf["p"].to_numpy(), np.ones((1, len(pdf))), rng_of(*key))
         return pdf[pdf["p"] > EPS]
 
+    def flags(c: pd.Series) -> np.ndarray:
+        return (c.fillna("\0").to_numpy()[None, :] == np.sort(c.fillna("\0").unique())[:, None]).astype(float)
+
+    def within_chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("unit")
+        pdf["p"] = flight(pdf["p"].to_numpy(), np.vstack([flags(pdf["category"]), flags(pdf["value"])]), rng_of(*key))
+        return pdf[pdf["p"] > EPS]
+
     def decide(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit")
-        of = lambda c: (pdf[c].fillna("\0").to_numpy()[None, :] == np.sort(pdf[c].fillna("\0").unique())[:, None]).astype(float)
-        pdf["p"] = land(pdf["p"].to_numpy(), of("category"), of("value"), rng_of(*key)).astype(float)
-        return pdf[pdf["p"] > 0]
+        wish = pdf["value"] if pdf["chunk"].nunique() == 1 else pdf["chunk"].astype(str)
+        pdf["p"] = land(pdf["p"].to_numpy(), flags(pdf["category"]), flags(wish), rng_of(*key)).astype(float)
+        return pdf[pdf["p"] > 0].drop(columns="chunk")
 
+    tasks = 4 * units.sparkSession.sparkContext.defaultParallelism  # so many, however few bytes they get: the work is in the flights
     kind = "stratum string, category string, value string, unit string, p double"
     rest = first.where("p < 1").select("stratum", "category", "value", "unit", "p").withColumn("__n", F.count("*").over(Window.partitionBy("stratum", "category", "value")))
     several = rest.where("__n > 1").drop("__n").groupBy("stratum", "category", "value").applyInPandas(meet, kind)
     met = cut(rest.where("__n = 1").drop("__n").unionAll(several))
-    landed = met.where("p < 1 - 1e-9").groupBy("stratum").applyInPandas(decide, kind)
-    cells = cut(sure.unionAll(met.where("p >= 1 - 1e-9").select(*sure.columns)).unionAll(landed.select(*sure.columns)))
+    number = F.dense_rank().over(Window.partitionBy("stratum").orderBy("value")) - 1
+    left = met.where("p < 1 - 1e-9").withColumn("chunk", F.floor(number / CHUNK).cast("int")).withColumn("__chunks", F.max("chunk").over(Window.partitionBy("stratum")))
+    chunked = left.where("__chunks > 0").drop("__chunks").repartition(tasks, "stratum", "chunk").groupBy("stratum", "chunk").applyInPandas(within_chunk, kind + ", chunk int")
+    left = cut(left.where("__chunks = 0").drop("__chunks").unionAll(chunked))
+    flown = left.where("p >= 1 - 1e-9").select(*sure.columns)
+    landed = left.where("p < 1 - 1e-9").repartition(tasks, "stratum").groupBy("stratum").applyInPandas(decide, kind)
+    cells = cut(sure.unionAll(met.where("p >= 1 - 1e-9").select(*sure.columns)).unionAll(flown).unionAll(landed.select(*sure.columns)))
 
     got = cells.groupBy("stratum", "category").agg(F.count("*").alias("drawn"))
     about = plan.drop("wanted").join(got, ["stratum", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))

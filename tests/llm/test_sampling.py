@@ -62,3 +62,11 @@ def test_land_meets_what_it_must():
     for _ in range(50):
         out = land(p, must, (np.arange(9) % 2)[None, :].astype(float), rng)
         assert (must @ out == 1).all()
+
+
+def test_many_balance_values_land_in_chunks(spark):
+    rows = [(f"S1_{i}", "S1", "mono" if i % 3 else "b", i % 300, 0.5) for i in range(1500)] + [(f"S2_{i}", "S2", "b", i % 2, 0.5) for i in range(50)]
+    t = spark.createDataFrame([("S1", "mono", 0.5, 0, 300), ("S1", "b", 0.5, 0, 300), ("S2", "b", 1.0, 0, 20)], TARGETS)
+    d = balanced_sample(spark.createDataFrame(rows, UNITS), t)
+    assert {(r.sample_id, r.main_cell_type): r.drawn for r in d.report.collect()} == {("S1", "mono"): 150, ("S1", "b"): 150, ("S2", "b"): 20}
+    assert d.balance.count() == 302 and d.balance.agg(F.max(F.abs("residual"))).head()[0] < 2
