@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.topics.lda import Fitted, vocabulary
+from strandloom.operators.topics.lda import MOST_WEIGHTS, Fitted, add_up, flat, gene_weights, in_slices, vocabulary
 from strandloom.session import cut
 
 
@@ -24,64 +24,84 @@ class Parameters:
         self.alpha = np.full((k, v), 0.5)
         self.log_y = np.log(np.full((2, k), 0.5))
 
-    def posterior(self, genes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """p(y = 1 given x) of cells that have the given genes, and the log partition of each topic."""
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """By y and topic: the log weight of a cell without genes, and what each gene adds."""
         ratio = self.log_x - self.log_px[None, :, None, :]
-        base = self.log_y + (self.alpha[None] * ratio[:, 0]).sum(axis=2)
-        step = self.alpha[None] * (ratio[:, 1] - ratio[:, 0])
-        z = np.stack([base + step[:, :, g].sum(axis=2) for g in genes])
-        top = z.max(axis=1)
-        norm = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-        return np.exp(z[:, 1] - norm), norm
+        return self.log_y + (self.alpha[None] * ratio[:, 0]).sum(axis=2), self.alpha[None] * (ratio[:, 1] - ratio[:, 0])
 
 
-def _sums(cells: DataFrame, k: int, v: int, params: Parameters | None, seed: int, anchored: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Sums over the cells of p(y), p(y) x, x and of the log partition; k * v numbers on the driver.
+def posterior(base: np.ndarray, step: np.ndarray, genes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """p(y = 1 given x) of cells whose genes lie end to end in ``genes``, ``sizes`` of them each, and the log partition of each topic; rows are cells."""
+    z = np.repeat(base[:, :, None], len(sizes), axis=2)
+    some = sizes > 0
+    if some.any():
+        z[:, :, some] += np.add.reduceat(step[:, :, genes], (np.cumsum(sizes) - sizes)[some], axis=2)
+    top = z.max(axis=0)
+    norm = top + np.log(np.exp(z - top).sum(axis=0))
+    return np.exp(z[1] - norm).T, norm.T
+
+
+def _sums(cells: DataFrame, k: int, v: int, params: Parameters | None, seed: int, anchored: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Means over the cells of p(y), p(y) x, x and of the log partition; k * v numbers on the driver.
 
     Without parameters p(y) is random; in topics with anchors it lies halfway to the share of the anchored genes (``anchored``: gene to topic) that
     the cell has, so an anchored topic starts on the side of its genes.
     """
-    sizes = np.bincount(list(anchored.values()), minlength=k)
-
-    def start(cell: str, genes: np.ndarray) -> np.ndarray:
-        p = np.random.default_rng([seed, *cell.encode()]).random(k)
-        has = np.bincount([anchored[g] for g in genes.tolist() if g in anchored], minlength=k)
-        return np.where(sizes > 0, (p + has / np.maximum(sizes, 1)) / 2, p)
+    spark = cells.sparkSession
+    sizes_of = np.bincount(list(anchored.values()), minlength=k)
+    topic = np.full(v, -1)
+    topic[list(anchored)] = list(anchored.values())
+    held = spark.sparkContext.broadcast(params.steps() if params is not None else None)
+
+    def start(names: list[str], genes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        p = np.stack([np.random.default_rng([seed, *c.encode()]).random(k) for c in names])
+        owner, t = np.repeat(np.arange(len(names)), sizes), topic[genes]
+        has = np.bincount(owner[t >= 0] * k + t[t >= 0], minlength=len(names) * k).reshape(-1, k)
+        return np.where(sizes_of > 0, (p + has / np.maximum(sizes_of, 1)) / 2, p)
 
     def add(batches):
         py, pyx, x, tc, n = np.zeros(k), np.zeros((k, v)), np.zeros(v), np.zeros(k), 0
         for b in batches:
-            genes = [np.array(g, np.int64) for g in b.column("genes").to_pylist()]
-            if not genes:
+            if not b.num_rows:
                 continue
-            if params is None:
-                p = np.stack([start(c, g) for c, g in zip(b.column("cell_id").to_pylist(), genes)])
+            genes, sizes = flat(b.column("genes"))
+            if held.value is None:
+                p = start(b.column("cell_id").to_pylist(), genes, sizes)
             else:
-                p, norm = params.posterior(genes)
+                p, norm = posterior(*held.value, genes, sizes)
                 tc += norm.sum(axis=0)
             py += p.sum(axis=0)
-            n += len(genes)
-            for q, g in zip(p, genes):
-                pyx[:, g] += q[:, None]
-                x[g] += 1
-        rows = [("y", t, -1, float(py[t])) for t in range(k)] + [("c", t, -1, float(tc[t])) for t in range(k)] + [("n", -1, -1, float(n))]
-        t, g = np.nonzero(pyx)
-        rows += [("p", int(a), int(c), float(pyx[a, c])) for a, c in zip(t, g)] + [("x", -1, int(c), float(x[c])) for c in np.flatnonzero(x)]
-        yield pa.RecordBatch.from_pydict({n_: pa.array(c, ty) for n_, c, ty in zip(("kind", "t", "g", "s"), zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.float64()))})
-
-    py, pyx, x, tc, n = np.zeros(k), np.zeros((k, v)), np.zeros(v), np.zeros(k), 0.0
-    for kind, t, g, s in cells.mapInArrow(add, "kind string, t int, g int, s double").groupBy("kind", "t", "g").agg(F.sum("s").alias("s")).collect():
-        if kind == "y":
-            py[t] = s
-        elif kind == "c":
-            tc[t] = s
-        elif kind == "n":
-            n = s
-        elif kind == "p":
-            pyx[t, g] = s
-        else:
-            x[g] = s
-    return py / n, pyx / n, x / n, tc / n
+            n += len(sizes)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            for t in range(k):
+                pyx[t] += np.bincount(genes, weights=p[owner, t], minlength=v)
+            x += np.bincount(genes, minlength=v)
+        yield in_slices(np.concatenate([py, tc, [n], x, pyx.ravel()]))
+
+    out = add_up(cells.mapInArrow(add, "slice int, data binary"), 2 * k + 1 + v + k * v)
+    n = max(out[2 * k], 1.0)
+    held.unpersist()
+    return out[:k] / n, out[2 * k + 1 + v :].reshape(k, v) / n, out[2 * k + 1 : 2 * k + 1 + v] / n, out[k : 2 * k] / n
+
+
+def infer_corex(fitted: Fitted, counts: DataFrame, cell: str = "cell_id") -> DataFrame:
+    """``cell, topic_id, weight``: p(topic given its genes) of cells or samples the model has not seen. Genes it doesn't know are left out; a cell without any of them has no rows."""
+    spark = counts.sparkSession
+    names = spark.createDataFrame(pa.table({"gene": pa.array(fitted.about["genes"], pa.string()), "number": pa.array(range(len(fitted.about["genes"])), pa.int32())}))
+    return _labelled(counts.join(names, "gene").groupBy(cell).agg(F.array_sort(F.collect_set("number")).alias("genes")), fitted.about["params"], cell)
+
+
+def _labelled(cells: DataFrame, params: Parameters, cell: str = "cell_id") -> DataFrame:
+    held, k = cells.sparkSession.sparkContext.broadcast(params.steps()), params.alpha.shape[0]
+
+    def label(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, _ = posterior(*held.value, *flat(b.column("genes")))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), k))), pa.array(np.tile(np.arange(k), b.num_rows), pa.int32()), pa.array(p.ravel())], names=[cell, "topic_id", "weight"])
+
+    return cells.select(cell, "genes").mapInArrow(label, f"{cell} string, topic_id int, weight double")
 
 
 def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None, strength: float = 2.0, n_iter: int = 100, seed: int = 1) -> Fitted:
@@ -93,7 +113,9 @@ def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None,
     spark = counts.sparkSession
     genes = vocabulary(counts)
     number = {g: i for i, g in enumerate(genes)}
-    names = spark.createDataFrame(list(number.items()), "gene string, number int")
+    if k * len(genes) > MOST_WEIGHTS:
+        raise ValueError(f"more than {MOST_WEIGHTS} topics times genes")
+    names = spark.createDataFrame(pa.table({"gene": pa.array(genes, pa.string()), "number": pa.array(range(len(genes)), pa.int32())}))
     cells = cut(counts.join(names, "gene").groupBy("cell_id").agg(F.array_sort(F.collect_set("number")).alias("genes")))
     v, eps = len(genes), 1e-9
     params, history, alpha = None, [], np.full((k, v), 0.5)
@@ -128,17 +150,7 @@ def fit_corex(counts: DataFrame, k: int, anchors: dict[str, int] | None = None,
         if it and settled:
             break
     weights = alpha * info
-    gene_topic = spark.createDataFrame([(genes[g], int(t), float(weights[t, g])) for t, g in zip(*np.nonzero(weights > 0))], "gene string, topic_id int, weight double")
-    final = params
-
-    def label(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            p, _ = final.posterior([np.array(g, np.int64) for g in b.column("genes").to_pylist()])
-            yield pa.RecordBatch.from_pydict({"cell_id": b.column("cell_id").take(pa.array(np.repeat(np.arange(b.num_rows), k))), "topic_id": pa.array(np.tile(np.arange(k), b.num_rows), pa.int32()), "weight": pa.array(p.ravel())})
-
-    return Fitted(gene_topic, cells.mapInArrow(label, "cell_id string, topic_id int, weight double"), {"tc": history, "tcs": tc.tolist(), "genes": genes})
+    return Fitted(gene_weights(spark, genes, weights).where("weight > 0"), _labelled(cells, params), {"tc": history, "tcs": tc.tolist(), "genes": genes, "params": params})
 
 
 def hierarchy(fitted: Fitted, layers: list[int], n_iter: int = 100, seed: int = 1, most_edges: int = 200) -> tuple[list[Fitted], DataFrame]:

@@ -8,130 +8,131 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.topics.lda import Fitted, bags, vocabulary
+from strandloom.operators.matrix import share
+from strandloom.operators.topics.lda import MOST_WEIGHTS, Fitted, add_up, flat, gene_weights, in_slices, numbered, vocabulary
 from strandloom.session import cut
 
 STATE = "cell_id string, genes array<int>, values array<int>, z array<int>"
 
 
-def _numbered(counts: DataFrame, genes: list[str]) -> DataFrame:
-    spark = counts.sparkSession
-    names = spark.createDataFrame(list(zip(genes, range(len(genes)))), "gene string, number int")
-    whole = counts.join(names, "gene").withColumn("v", F.floor("value").cast("int")).where("v >= 1")
-    packed = whole.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("number", "v"))).alias("x"))
-    return packed.select("cell_id", F.transform("x", lambda e: e["number"]).alias("genes"), F.transform("x", lambda e: e["v"]).alias("values"))
+def _cell_topics(z: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Tokens of each cell and topic; every cell has a gene."""
+    return np.add.reduceat(z, np.cumsum(sizes) - sizes, axis=0)
 
 
-def _cells(batch: pa.RecordBatch):
-    for i in range(batch.num_rows):
-        yield i, np.array(batch.column("genes")[i].as_py(), np.int64), np.array(batch.column("values")[i].as_py(), np.int64)
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series from 8 up, reached by the recurrence."""
+    y, down = x.astype(float), np.zeros(x.shape)
+    for _ in range(8):
+        low = y < 8
+        down += np.where(low, np.log(y), 0)
+        y = np.where(low, y + 1, y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - down
 
 
-def _topic_counts(state: DataFrame, k: int, v: int) -> np.ndarray:
-    """Tokens of each topic and gene: partial sums per task, k * v numbers on the driver."""
+def _topic_counts(state: DataFrame, k: int, v: int, alpha: float) -> tuple[np.ndarray, float]:
+    """Tokens of each topic and gene, and the cells' part of the log likelihood, log p(assignments); k * v numbers on the driver."""
 
     def add(batches):
-        total = np.zeros((v, k), np.int64)
+        total, part = np.zeros((v, k)), 0.0
         for b in batches:
-            for i, genes, _ in _cells(b):
-                np.add.at(total, genes, np.array(b.column("z")[i].as_py(), np.int64).reshape(len(genes), k))
-        g, t = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int32()), "t": pa.array(t, pa.int32()), "n": pa.array(total[g, t], pa.int64())})
+            if not b.num_rows:
+                continue
+            genes, sizes = flat(b.column("genes"))
+            z = flat(b.column("z"))[0].reshape(-1, k)
+            for t in range(k):
+                total[:, t] += np.bincount(genes, weights=z[:, t], minlength=v)
+            dz = _cell_topics(z, sizes)
+            part += float((_lgamma(np.array([alpha * k])) * len(sizes) - _lgamma(alpha * k + dz.sum(axis=1)).sum() + (_lgamma(alpha + dz) - _lgamma(np.array([alpha]))).sum())[0])
+        yield in_slices(np.r_[part, total.T.ravel()])
 
-    out = np.zeros((k, v))
-    for g, t, n in state.mapInArrow(add, "g int, t int, n bigint").groupBy("g", "t").agg(F.sum("n").alias("n")).collect():
-        out[t, g] = n
-    return out
+    out = add_up(state.mapInArrow(add, "slice int, data binary"), 1 + k * v)
+    return out[1:].reshape(k, v), float(out[0])
 
 
-def _sweep(state: DataFrame, draw) -> DataFrame:
+def _sweep(state: DataFrame, k: int, seed: int, sweep: int, odds) -> DataFrame:
+    """Draws the topics of all tokens anew, those of one gene in a cell together; ``odds(genes, sizes, z)`` has a row of weights for each gene of each cell."""
+
     def run(batches):
-        for b in batches:
-            z = [draw(b, i, genes, values).ravel().tolist() for i, genes, values in _cells(b)]
-            names = [f.split()[0] for f in STATE.split(", ")]
-            yield pa.RecordBatch.from_arrays([b.column("cell_id"), b.column("genes"), b.column("values"), pa.array(z, pa.list_(pa.int32()))], names=names)
+        task = TaskContext.get().partitionId()
+        for n, b in enumerate(batches):
+            if not b.num_rows:
+                continue
+            genes, sizes = flat(b.column("genes"))
+            z = flat(b.column("z"))[0]
+            p = odds(genes, sizes, z.reshape(-1, k) if len(z) else None)
+            new = np.random.default_rng([seed, sweep, task, n]).multinomial(flat(b.column("values"))[0], p / p.sum(axis=1, keepdims=True))
+            ends = np.r_[0, np.cumsum(sizes * k)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("cell_id"), b.column("genes"), b.column("values"), pa.ListArray.from_arrays(pa.array(ends), pa.array(new.ravel(), pa.int32()))], names=[f.split()[0] for f in STATE.split(", ")])
 
     return cut(state.mapInArrow(run, STATE))
 
 
-def _rng(seed: int, sweep: int, cell: str) -> np.random.Generator:
-    return np.random.default_rng([seed, sweep, *(cell or "").encode()])
-
-
-def _multinomial(rng: np.random.Generator, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return rng.multinomial(n, p / p.sum(axis=1, keepdims=True))
-
-
 def fit_guided(counts: DataFrame, k: int, seeds: dict[str, int], confidence: float = 0.15, n_iter: int = 100, alpha: float | None = None, eta: float | None = None, seed: int = 9) -> Fitted:
     """``seeds`` maps a gene to its topic: its tokens start there with probability ``confidence``, all others spread evenly.
 
     The weights of ``cell_topic`` sum to 1 per cell. ``about["log_likelihood"]`` has the value after each sweep and ``about["tokens"]`` the number of tokens, which no
-    sweep changes. A cell's random numbers depend on seed, sweep and cell, so a lost task repeats its draws.
+    sweep changes. Random numbers depend on seed, sweep, partition and batch of the written state, so a lost task repeats its draws.
     """
     genes = vocabulary(counts)
-    v, a, e = len(genes), alpha or 1 / k, eta or 1 / k
-    topic_of = np.full(v, -1)
-    for i, g in enumerate(genes):
-        topic_of[i] = seeds.get(g, -1)
+    v, a, e, spark = len(genes), alpha or 1 / k, eta or 1 / k, counts.sparkSession
+    if k * v > MOST_WEIGHTS:
+        raise ValueError(f"more than {MOST_WEIGHTS} topics times genes")
+    topic_of = np.array([seeds.get(g, -1) for g in genes], np.int64)
 
-    def start(b, i, g, n):
+    def start(g, sizes, z):
         p = np.full((len(g), k), 1 / k)
         seeded = topic_of[g] >= 0
         p[seeded] *= 1 - confidence
         p[np.flatnonzero(seeded), topic_of[g][seeded]] += confidence
-        return _multinomial(_rng(seed, 0, b.column("cell_id")[i].as_py()), n, p)
+        return p
 
-    base = _numbered(counts, genes).withColumn("z", F.array().cast("array<int>"))
-    state = _sweep(base, start)
-    kw = _topic_counts(state, k, v)
+    base = cut(numbered(counts, genes).sortWithinPartitions("cell_id").withColumn("z", F.array().cast("array<int>")))
+    state = _sweep(base, k, seed, 0, start)
+    kw, _ = _topic_counts(state, k, v, a)
     history = []
     for sweep in range(1, n_iter + 1):
-        phi = (kw + e) / (kw.sum(axis=1, keepdims=True) + e * v)
-
-        def draw(b, i, g, n, phi=phi, sweep=sweep):
-            z = np.array(b.column("z")[i].as_py(), np.int64).reshape(len(g), k)
-            return _multinomial(_rng(seed, sweep, b.column("cell_id")[i].as_py()), n, phi[:, g].T * (z.sum(axis=0) + a))
-
-        state = _sweep(state, draw)
-        kw = _topic_counts(state, k, v)
-        history.append(_log_likelihood(kw, e))
-    spark = counts.sparkSession
+        held = spark.sparkContext.broadcast((kw + e) / (kw.sum(axis=1, keepdims=True) + e * v))
+        state = _sweep(state, k, seed, sweep, lambda g, sizes, z, held=held: held.value[:, g].T * (np.repeat(_cell_topics(z, sizes), sizes, axis=0) + a))
+        held.unpersist()
+        kw, part = _topic_counts(state, k, v, a)
+        history.append(_log_likelihood(kw, e) + part)
     phi = (kw + e) / (kw + e).sum(axis=1, keepdims=True)
-    gene_topic = spark.createDataFrame([(g, t, float(phi[t, i])) for i, g in enumerate(genes) for t in range(k)], "gene string, topic_id int, weight double")
     long = state.select("cell_id", F.posexplode("z").alias("p", "n")).groupBy("cell_id", (F.col("p") % k).alias("topic_id")).agg((F.sum("n") + a).alias("weight"))
-    cell_topic = long.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("cell_id")))
-    return Fitted(gene_topic, cell_topic, {"genes": genes, "phi": phi, "alpha": a, "tokens": int(kw.sum()), "log_likelihood": history})
+    return Fitted(gene_weights(spark, genes, phi), share(long, ["cell_id"], "weight"), {"genes": genes, "phi": phi, "alpha": a, "tokens": int(kw.sum()), "counts": kw, "log_likelihood": history})
 
 
 def _log_likelihood(kw: np.ndarray, eta: float) -> float:
     """log p(genes given topics' assignments)."""
-    from math import lgamma
-
     k, v = kw.shape
-    lg = np.vectorize(lgamma, otypes=[float])
-    some = kw[kw > 0]
-    return float(k * lgamma(eta * v) - lg(eta * v + kw.sum(axis=1)).sum() + (lg(eta + some) - lgamma(eta)).sum())
+    one = _lgamma(np.array([eta * v, eta]))
+    return float(k * one[0] - _lgamma(eta * v + kw.sum(axis=1)).sum() + (_lgamma(eta + kw[kw > 0]) - one[1]).sum())
 
 
 def infer_guided(fitted: Fitted, counts: DataFrame, max_iter: int = 20, tol: float = 1e-16) -> DataFrame:
     """``cell_id, topic_id, weight`` of other samples by iterated pseudo-counts: P becomes phi * (sum of P - P + alpha) for each token, at most ``max_iter`` + 1 times."""
-    phi, a = fitted.about["phi"], fitted.about["alpha"]
-    k = phi.shape[0]
+    held, a = counts.sparkSession.sparkContext.broadcast(fitted.about["phi"]), fitted.about["alpha"]
+    k = fitted.about["phi"].shape[0]
 
     def infer(batches):
         for b in batches:
-            cells, topics, weights = [], [], []
-            for i, g, n in _cells(b):
-                theta = pseudo_counts(phi, g, n, a, max_iter, tol)
-                cells += [b.column("cell_id")[i].as_py()] * k
-                topics += range(k)
-                weights += theta.tolist()
-            yield pa.RecordBatch.from_pydict({"cell_id": pa.array(cells, pa.string()), "topic_id": pa.array(topics, pa.int32()), "weight": pa.array(weights, pa.float64())})
+            if not b.num_rows:
+                continue
+            genes, sizes = flat(b.column("genes"))
+            values, ends = flat(b.column("values"))[0], np.r_[0, np.cumsum(sizes)]
+            theta = np.concatenate([pseudo_counts(held.value, genes[s:e], values[s:e], a, max_iter, tol) for s, e in zip(ends[:-1], ends[1:])])
+            yield pa.RecordBatch.from_arrays([b.column("cell_id").take(pa.array(np.repeat(np.arange(b.num_rows), k))), pa.array(np.tile(np.arange(k), b.num_rows), pa.int32()), pa.array(theta)], names=["cell_id", "topic_id", "weight"])
 
-    return _numbered(counts, fitted.about["genes"]).mapInArrow(infer, "cell_id string, topic_id int, weight double")
+    return numbered(counts, fitted.about["genes"]).mapInArrow(infer, "cell_id string, topic_id int, weight double")
+
+
+def cells_by_topic(cell_topic: DataFrame) -> DataFrame:
+    """The weights of each topic divided by their sum over the cells."""
+    return share(cell_topic, ["topic_id"], "weight")
 
 
 def pseudo_counts(phi: np.ndarray, genes: np.ndarray, values: np.ndarray, alpha: float, max_iter: int = 20, tol: float = 1e-16) -> np.ndarray:
@@ -146,5 +147,3 @@ def pseudo_counts(phi: np.ndarray, genes: np.ndarray, values: np.ndarray, alpha:
             break
     return (p * values[:, None]).sum(axis=0) / values.sum()
 
-
-__all__ = ["bags", "fit_guided", "infer_guided", "pseudo_counts"]

@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandloom.session import cut
 
 #: Distinct genes that a vocabulary may have on the driver.
 MOST_GENES = 200_000
+#: Topics times genes of a model; the driver holds one such matrix, and each worker one.
+MOST_WEIGHTS = 20_000_000
 
 
 def vocabulary(counts: DataFrame, gene: str = "gene") -> list[str]:
@@ -39,12 +46,63 @@ class Fitted:
     about: dict
 
 
+def numbered(counts: DataFrame, genes: Sequence[str], cell: str = "cell_id", gene: str = "gene", value: str = "value") -> DataFrame:
+    """``cell, genes, values``: numbers of the vocabulary's genes that a cell has, in order, and their whole counts of at least 1; other genes are left out."""
+    names = counts.sparkSession.createDataFrame(pa.table({gene: pa.array(list(genes), pa.string()), "number": pa.array(range(len(genes)), pa.int32())}))  # at most MOST_GENES rows
+    whole = counts.join(names, gene).withColumn("v", F.floor(value).cast("int")).where("v >= 1")
+    packed = whole.groupBy(cell).agg(F.array_sort(F.collect_list(F.struct("number", "v"))).alias("x"))
+    return packed.select(cell, F.transform("x", lambda e: e["number"]).alias("genes"), F.transform("x", lambda e: e["v"]).alias("values"))
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a column of lists, and the length of each list."""
+    return column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+
+
+def gene_weights(spark: SparkSession, genes: Sequence[str], weights: np.ndarray) -> DataFrame:
+    """``gene, topic_id, weight`` of a matrix topics x genes, a row for each entry, written out by tasks from a broadcast variable."""
+    held, k = spark.sparkContext.broadcast((list(genes), weights)), weights.shape[0]
+
+    def rows(batches):
+        for b in batches:
+            names, w = held.value
+            at = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in np.repeat(at, k)], pa.string()), pa.array(np.tile(np.arange(k), len(at)), pa.int32()), pa.array(w[:, at].T.ravel(), pa.float64())], names=["gene", "topic_id", "weight"])
+
+    return spark.range(len(genes)).mapInArrow(rows, "gene string, topic_id int, weight double")
+
+
+def add_up(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of arrays of ``size`` doubles that tasks give as rows ``slice int, data binary`` (see ``in_slices``): each slice is summed in a task of its own, and only the sum comes here."""
+
+    def total(t: pa.Table) -> pa.Table:
+        data = t.column("data").to_pylist()
+        out = np.frombuffer(data[0]).copy()
+        for x in data[1:]:
+            out += np.frombuffer(x)
+        return pa.table({"slice": t.column("slice").slice(0, 1), "data": pa.array([out.tobytes()], pa.binary())})
+
+    got = parts.groupBy("slice").applyInArrow(total, "slice int, data binary").toArrow().sort_by("slice")["data"].to_pylist()
+    return np.concatenate([np.frombuffer(x) for x in got]) if got else np.zeros(size)
+
+
+def in_slices(x: np.ndarray, rows: int = 1 << 16) -> pa.RecordBatch:
+    cuts = range(0, len(x), rows)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([x[i : i + rows].tobytes() for i in cuts], pa.binary())], names=["slice", "data"])
+
+
 def _vectors(counts: DataFrame, genes: Sequence[str], cell: str) -> DataFrame:
-    """Sparse vectors over the vocabulary, built from (index, value) lists by the ml library's own assembler of features."""
-    from pyspark.ml.feature import CountVectorizerModel
+    """Sparse vectors over the vocabulary, made from numbers and values in Arrow batches; nothing is spelled out count by count."""
+    v = len(genes)
+    made = StructType([StructField(cell, StringType()), StructField("features", VectorUDT())])
+
+    def build(batches):
+        for b in batches:
+            n, values = b.num_rows, b.column("values")
+            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, v, np.int32)), b.column("genes").cast(pa.list_(pa.int32())), values.cast(pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])], names=[cell, "features"])
 
-    tokens = bags(counts, cell).select(cell, F.flatten(F.zip_with("genes", "values", lambda g, v: F.array_repeat(g, v.cast("int")))).alias("tokens"))
-    return CountVectorizerModel.from_vocabulary(list(genes), inputCol="tokens", outputCol="features").transform(tokens).select(cell, "features")
+    return numbered(counts, genes, cell).mapInArrow(build, made)
 
 
 def fit_lda(counts: DataFrame, k: int, max_iter: int = 100, seed: int = 9, alpha: float | None = None, eta: float | None = None, cell: str = "cell_id") -> Fitted:
@@ -56,11 +114,8 @@ def fit_lda(counts: DataFrame, k: int, max_iter: int = 100, seed: int = 9, alpha
     genes = vocabulary(counts)
     x = cut(_vectors(counts, genes, cell))  # read once by every pass
     model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, docConcentration=[alpha or 1 / k], topicConcentration=eta or 1 / k).fit(x)
-    spark = counts.sparkSession
-    w = model.topicsMatrix().toArray()
-    w = w / w.sum(axis=0)
-    gene_topic = spark.createDataFrame([(g, t, float(w[i, t])) for i, g in enumerate(genes) for t in range(k)], "gene string, topic_id int, weight double")
-    return Fitted(gene_topic, _long(model.transform(x), cell), {"model": model, "genes": genes, "perplexity": model.logPerplexity(x)})
+    w = model.topicsMatrix().toArray().T
+    return Fitted(gene_weights(counts.sparkSession, genes, w / w.sum(axis=1, keepdims=True)), _long(model.transform(x), cell), {"model": model, "genes": genes, "perplexity": model.logPerplexity(x)})
 
 
 def _long(df: DataFrame, cell: str) -> DataFrame:
