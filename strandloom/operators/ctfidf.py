@@ -52,9 +52,18 @@ def umass(tops: DataFrame, docs: DataFrame, topic: str, term: str = "term", doc:
 
 
 def decayed(counts: DataFrame, batch: str, term: str, decay: float, last_batch: int | Column, count: str = "n", min_total: float | None = None) -> DataFrame:
-    """``term, value``: the sum of counts, each less by (1 - decay) for every batch since; with ``min_total`` terms below it are left out."""
-    out = counts.groupBy(term).agg(F.sum(F.col(count) * F.pow(F.lit(1.0 - decay), (last_batch if isinstance(last_batch, Column) else F.lit(last_batch)) - F.col(batch))).alias("value"))
-    return out if min_total is None else out.where(F.col("value") >= min_total)
+    """``term, value``: the sum of counts, each less by (1 - decay) for every batch since.
+
+    With ``min_total`` a term whose value is below it after any batch is forgotten then, and starts anew when it comes back; only terms that are remembered at the end have a row."""
+    if min_total is not None:
+        last = last_batch if isinstance(last_batch, Column) else F.lit(last_batch)
+        steps = counts.groupBy(term, F.col(batch).alias("b")).agg(F.sum(count).cast("double").alias("n")).groupBy(term).agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("x"))
+        fade = lambda now, upto: now["v"] * F.pow(F.lit(1.0 - decay), (upto - now["b"]).cast("double"))
+        kept = lambda v: F.when(v < min_total, 0.0).otherwise(v)
+        first = F.struct(F.element_at("x", 1)["b"].alias("b"), F.lit(0.0).alias("v"))
+        end = F.aggregate("x", first, lambda now, e: F.struct(e["b"].alias("b"), kept(F.when(fade(now, F.greatest(now["b"], e["b"] - 1)) < min_total, 0.0).otherwise(fade(now, e["b"])) + e["n"]).alias("v")))
+        return steps.select(term, kept(fade(end, last)).alias("value")).where("value > 0")
+    return counts.groupBy(term).agg(F.sum(F.col(count) * F.pow(F.lit(1.0 - decay), (last_batch if isinstance(last_batch, Column) else F.lit(last_batch)) - F.col(batch))).alias("value"))
 
 
 def to_ldac(counts: DataFrame, doc: str, number: str, count: str = "n", offset: int = 0) -> DataFrame:

@@ -47,13 +47,13 @@ def confusion_scores(df: DataFrame, predicted: str, truth: str) -> DataFrame:
 def bootstrap(df: DataFrame, unit: str, predicted: str, truth: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """One row: PCC and RMSE of the pairs, and their standard deviations over ``rounds`` resamplings of the units with replacement.
 
-    A unit's multiplicity in a round is its number of draws among as many as there are units: each of the n draws of a round picks a unit by hash of round, draw and seed.
+    A unit's multiplicity in a round is its number of draws among as many as there are units: each of the n draws of a round picks a unit by the MD5 hash of round, draw and seed.
     Units are cell types or samples: hundreds.
     """
     units = df.select(unit).distinct().withColumn("__u", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(unit)) - 1)
     n = units.count()
     draws = df.sparkSession.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("__d"))
-    drawn = draws.select("round", F.pmod(F.xxhash64("round", "__d", F.lit(seed)), F.lit(max(n, 1))).alias("__u")).groupBy("round", "__u").agg(F.count("*").alias("w"))
+    drawn = draws.select("round", F.pmod(F.conv(F.left(F.md5(F.concat_ws("-", "round", "__d", F.lit(seed)).cast("binary")), F.lit(8)), 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("__u")).groupBy("round", "__u").agg(F.count("*").alias("w"))
     x = drawn.join(units, "__u").join(df.select(unit, F.col(predicted).alias("p"), F.col(truth).alias("t")), unit)
     m = x.groupBy("round").agg(*[F.sum(F.col("w") * e).alias(k) for k, e in {"n": F.lit(1), "p": F.col("p"), "t": F.col("t"), "pp": F.col("p") ** 2, "tt": F.col("t") ** 2, "pt": F.col("p") * F.col("t"), "ee": (F.col("p") - F.col("t")) ** 2}.items()])
     vp, vt = F.col("pp") - F.col("p") ** 2 / F.col("n"), F.col("tt") - F.col("t") ** 2 / F.col("n")

@@ -175,7 +175,13 @@ def rare_rank(s: SparkSession, d: str) -> DataFrame:
     return D.type_shares(A.anno(s, d)).select("main_cell_type", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("proportion", "main_cell_type")).cast("bigint").alias("rare_rank"))
 
 
-@add("bootstrap_ci")
+BOOT = """un AS (SELECT main_cell_type, row_number() OVER (ORDER BY main_cell_type) - 1 AS u, count(*) OVER () AS n FROM (SELECT DISTINCT main_cell_type FROM pairs)),
+ dr AS (SELECT r, u, count(*) AS w FROM (SELECT r, CAST('0x' || left(md5(r || '-' || u || '-42'), 8) AS BIGINT) % n AS u FROM un, (SELECT unnest(range(1000)) AS r)) GROUP BY 1, 2),
+ sm AS (SELECT r, sum(w) AS n, sum(w * p) AS p, sum(w * t) AS t, sum(w * p * p) AS pp, sum(w * t * t) AS tt, sum(w * p * t) AS pt, sum(w * (p - t) * (p - t)) AS ee FROM dr JOIN un USING (u) JOIN pairs USING (main_cell_type) GROUP BY 1),
+ sd AS (SELECT stddev_pop(CASE WHEN pp - p * p / n > 1e-15 AND tt - t * t / n > 1e-15 THEN (pt - p * t / n) / sqrt((pp - p * p / n) * (tt - t * t / n)) END) AS pcc_sd, stddev_pop(sqrt(ee / n)) AS rmse_sd FROM sm)"""
+
+
+@add("bootstrap_ci", _more("SELECT count(*) AS n, round(corr(p, t), 6) AS pcc, round(sqrt(avg((p - t) * (p - t))), 6) AS rmse, round(any_value(pcc_sd), 6) AS pcc_sd, round(any_value(rmse_sd), 6) AS rmse_sd FROM pairs, sd", f"{PAIRS}, {BOOT}", *PAIR_VIEWS))
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     return _r(M.bootstrap(_pairs(s, d), "main_cell_type", "p", "t"), 6, "pcc", "rmse", "pcc_sd", "rmse_sd")
 
@@ -210,11 +216,26 @@ def mean_peak_by_type(s: SparkSession, d: str) -> DataFrame:
     return A.peak_means(s, d).select("main_cell_type", "peak_id", F.round("weight", 9).alias("value"))
 
 
-@add("nnls_project")
+@add("nnls_project", _more("SELECT sample_id, topic_id, round(w / sum(w) OVER (PARTITION BY sample_id), 6) AS weight FROM (SELECT sample_id, topic_id, sum(value * weight) / any_value(gg) AS w FROM bulk JOIN gene_topic USING (gene) JOIN (SELECT topic_id, sum(weight * weight) AS gg FROM gene_topic GROUP BY 1) USING (topic_id) GROUP BY 1, 2) WHERE w > 0", "x AS (SELECT 1)", "bulk", "gene_topic"))
 def nnls_project(s: SparkSession, d: str) -> DataFrame:
     return _r(D.nnls(A.gene_topic(s, d), A.bulk(s, d), "topic_id"), 6, "weight")
 
 
+@add("nnls_conditions", with_sql("SELECT DISTINCT sample_id, CAST(0 AS BIGINT) AS n_negative, CAST(0 AS BIGINT) AS n_improvable, 0.0::DOUBLE AS slack FROM bulk JOIN profile USING (gene)", "bulk", "profile"))
+def nnls_conditions(s: SparkSession, d: str) -> DataFrame:
+    """Whether the cell types' weights are a minimum: none negative, no type whose weight could grow to a better fit, and no gradient along a positive weight (relative to the sample's largest product)."""
+    cells, kinds = cut(A.counts(s, d)), A.anno(s, d)
+    profile, bulk = D.reference_profile(cells, kinds).withColumnRenamed("value", "weight"), A.bulk(s, d, cells)
+    x = D.nnls(profile, bulk, "main_cell_type", normal=False)
+    fitted = matmul(x, profile, ["sample_id"], ["main_cell_type"], ["gene"], "weight", "weight").withColumn("value", -F.col("value"))
+    products = lambda df, name: matmul(df, profile, ["sample_id"], ["gene"], ["main_cell_type"], "value", "weight", name)
+    rhs = products(bulk, "b")
+    grad = rhs.join(products(fitted, "f"), ["sample_id", "main_cell_type"], "left").join(x, ["sample_id", "main_cell_type"], "left").na.fill(0.0, ["f", "weight"])
+    size, left = F.max(F.abs("b")).over(Window.partitionBy("sample_id")), F.col("b") + F.col("f")
+    rel = grad.withColumn("g", F.try_divide(left, size))
+    return rel.groupBy("sample_id").agg(F.count(F.when(F.col("weight") < 0, 1)).alias("n_negative"), F.count(F.when(F.col("g") > 1e-6, 1)).alias("n_improvable"), F.abs(F.round(F.max(F.when(F.col("weight") > 0, F.abs("g")).otherwise(0.0)), 5)).alias("slack"))
+
+
 @add("no_topic_baseline")
 def no_topic_baseline(s: SparkSession, d: str) -> DataFrame:
     profile = D.reference_profile(A.counts(s, d), A.anno(s, d)).withColumnRenamed("value", "weight")
@@ -229,7 +250,12 @@ def no_gas_baseline(s: SparkSession, d: str) -> DataFrame:
     return _r(D.fractions(theta, _topic_type(s, d)), 6, "fraction")
 
 
-@add("correlation_p")
+TAIL = """cp AS (SELECT main_cell_type, corr(p, t) AS r, count(*) AS n FROM pairs GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(p) > 0 AND stddev_pop(t) > 0),
+ tl AS (SELECT main_cell_type, r, CASE WHEN abs(r) >= 1 THEN 0 WHEN (n - 2) % 2 = 0 THEN 1 - abs(r) * list_sum(list_transform(range(0, (n - 2) // 2), lambda j: exp(lgamma(2 * j + 1) - 2 * j * ln(2) - 2 * lgamma(j + 1)) * pow(1 - r * r, j)))
+ ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda j: exp(2 * j * ln(2) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * pow(1 - r * r, j + 0.5))), 0)) END AS p FROM cp)"""
+
+
+@add("correlation_p", _more("SELECT main_cell_type, round(r, 6) AS pcc, abs(round(p, 9)) AS p_value, CASE WHEN p < 0.01 THEN printf('%.2e', p) ELSE printf('%.2f', p) END AS text FROM tl", f"{PAIRS}, {TAIL}", *PAIR_VIEWS))
 def correlation_p(s: SparkSession, d: str) -> DataFrame:
     """Correlation of fractions and truth per cell type, with its p value as text."""
     by = M.regression(_pairs(s, d), "p", "t", ["main_cell_type"]).where("pcc IS NOT NULL")

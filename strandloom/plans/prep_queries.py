@@ -153,6 +153,25 @@ def impute_median(s: SparkSession, d: str) -> DataFrame:
     return P.impute(b, "gene", count_of(b, "sample_id"), 0.5).withColumn("fill", F.round("fill", 6))
 
 
+@add("impute_mean", with_sql("SELECT gene, count(value) AS present, round(avg(value), 6) AS fill FROM bulk GROUP BY 1 HAVING count(value) >= CAST(floor(0.5 * (SELECT count(DISTINCT sample_id) FROM bulk)) AS BIGINT)", "bulk"))
+def impute_mean(s: SparkSession, d: str) -> DataFrame:
+    b = A.bulk(s, d)
+    return P.impute(b, "gene", count_of(b, "sample_id"), 0.5, "mean").withColumn("fill", F.round("fill", 6))
+
+
+@add("impute_mode", with_sql("SELECT gene, any_value(present) AS present, first(value ORDER BY n DESC, value) AS fill FROM (SELECT gene, value, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY gene) AS BIGINT) AS present FROM bulk GROUP BY 1, 2) GROUP BY 1 HAVING any_value(present) >= CAST(floor(0.5 * (SELECT count(DISTINCT sample_id) FROM bulk)) AS BIGINT)", "bulk"))
+def impute_mode(s: SparkSession, d: str) -> DataFrame:
+    b = A.bulk(s, d)
+    return P.impute(b, "gene", count_of(b, "sample_id"), 0.5, "mode")
+
+
+@add("topic_grid", with_sql("SELECT unnest(range(count(*), 3 * count(*) + 1)) AS ntopics FROM shares", "shares"))
+def topic_grid(s: SparkSession, d: str) -> DataFrame:
+    """Numbers of topics to try for the cell types at hand."""
+    n = count_of(A.anno(s, d), "main_cell_type")
+    return s.range(1).select(F.explode(F.sequence(n, 3 * n)).alias("ntopics"))
+
+
 DISPERSION = """disp AS (SELECT gene, s1 / n AS mean, (s2 - s1 * s1 / n) / (n - 1) AS variance FROM (SELECT gene, sum(value) AS s1, sum(value * value) AS s2, (SELECT count(DISTINCT cell_id) FROM counts)::DOUBLE AS n FROM counts GROUP BY 1))"""
 
 

@@ -10,10 +10,12 @@ from strandloom.operators import ctfidf as C
 from strandloom.operators import metrics as M
 from strandloom.operators.matrix import best, share
 from strandloom.operators.prefix import ranks
-from strandloom.operators.topics import corex, guided, lda, tree
+from strandloom.operators.pipelines import map_ids, term_title
+from strandloom.operators.topics import choose, corex, guided, lda, tree
 from strandloom.plans import adapters as A
 from strandloom.plans.adapters import with_sql
 from strandloom.plans.registry import Catalog, table
+from strandloom.session import cut
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -144,10 +146,13 @@ def bow_decay(s: SparkSession, d: str) -> DataFrame:
     return _r(C.decayed(days, "batch", "event_type", 0.1, days.agg(F.max("batch")).scalar()), 6, "value")
 
 
-@add("bow_prune", f"WITH {DAYS} SELECT event_type, round(sum(n * pow(0.9, (SELECT max(batch) FROM days) - batch)), 6) AS value FROM days GROUP BY 1 HAVING sum(n * pow(0.9, (SELECT max(batch) FROM days) - batch)) >= 300")
+@add("bow_prune", f"""WITH RECURSIVE {DAYS}, every AS (SELECT event_type, batch, coalesce(n, 0) AS n FROM (SELECT DISTINCT event_type FROM days) CROSS JOIN (SELECT unnest(range((SELECT min(batch) FROM days), (SELECT max(batch) FROM days) + 1)) AS batch) LEFT JOIN days USING (event_type, batch)),
+ r AS (SELECT event_type, batch, CASE WHEN n < 30 THEN 0 ELSE n END::DOUBLE AS v FROM every WHERE batch = (SELECT min(batch) FROM days)
+ UNION ALL SELECT e.event_type, e.batch, CASE WHEN v * 0.9::DOUBLE + n < 30 THEN 0 ELSE v * 0.9::DOUBLE + n END FROM r JOIN every e ON e.event_type IS NOT DISTINCT FROM r.event_type AND e.batch = r.batch + 1)
+ SELECT event_type, round(v, 6) AS value FROM r WHERE batch = (SELECT max(batch) FROM days) AND v > 0""")
 def bow_prune(s: SparkSession, d: str) -> DataFrame:
     days = _days(s, d)
-    return _r(C.decayed(days, "batch", "event_type", 0.1, days.agg(F.max("batch")).scalar(), min_total=300), 6, "value")
+    return _r(C.decayed(days, "batch", "event_type", 0.1, days.agg(F.max("batch")).scalar(), min_total=30), 6, "value")
 
 
 LDAC = "numbered AS (SELECT cell_id, dense_rank() OVER (ORDER BY gene) - 1 AS number, CAST(floor(value) AS BIGINT) AS n FROM counts WHERE value >= 1)"
@@ -191,11 +196,43 @@ def go_ora_counts(s: SparkSession, d: str) -> DataFrame:
     return _enriched(s, d).select("topic_id", "set_id", "k", "n", "m", F.round("fold", 6).alias("fold"))
 
 
-@add("go_ora_bh")
+BH = SETS + """, u AS (SELECT count(DISTINCT gene) AS u FROM sets), c AS (SELECT topic_id, set_id, count(*) AS k, any_value(n) AS n, any_value(m) AS m, any_value(u) AS u FROM (SELECT *, count(*) OVER (PARTITION BY topic_id) AS n FROM hits) JOIN (SELECT *, count(*) OVER (PARTITION BY set_id) AS m FROM sets) USING (gene), u WHERE m BETWEEN 5 AND 2000 GROUP BY 1, 2),
+ p AS (SELECT *, CASE WHEN k <= greatest(0, n + m - u) THEN 1 ELSE least(1, list_sum(list_transform(range(k, least(n, m) + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(u - m + 1) - lgamma(n - i + 1) - lgamma(u - m - n + i + 1) - lgamma(u + 1) + lgamma(n + 1) + lgamma(u - n + 1))))) END AS p FROM c),
+ q AS (SELECT *, p * count(*) OVER (PARTITION BY topic_id) / count(*) OVER (PARTITION BY topic_id ORDER BY p) AS q FROM p),
+ bh AS (SELECT *, least(1, min(q) OVER (PARTITION BY topic_id ORDER BY p DESC)) AS p_adjusted, (k / n) / (m / u) AS fold FROM q)"""
+
+
+@add("go_ora_bh", _more("SELECT topic_id, set_id, round(p, 9) AS p, round(p_adjusted, 9) AS p_adjusted FROM bh", BH, "gene_topic"))
 def go_ora_bh(s: SparkSession, d: str) -> DataFrame:
     return _enriched(s, d).select("topic_id", "set_id", F.round("p", 9).alias("p"), F.round("p_adjusted", 9).alias("p_adjusted"))
 
 
+@add("go_top_terms", _more("SELECT topic_id, set_id, round(p_adjusted, 8) AS p_adjusted, round(fold, 6) AS fold FROM bh QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY round(p_adjusted, 8), round(fold, 6) DESC, set_id) <= 10", BH, "gene_topic"))
+def go_top_terms(s: SparkSession, d: str) -> DataFrame:
+    """The ten most enriched sets of each topic, by adjusted p value and fold."""
+    scored = _r(_enriched(s, d), 8, "p_adjusted").withColumn("fold", F.round("fold", 6))
+    return best(scored, ["topic_id"], [F.asc("p_adjusted"), F.desc("fold"), F.asc("set_id")], 10).select("topic_id", "set_id", "p_adjusted", "fold")
+
+
+@add("term_titles", r"SELECT DISTINCT docket, upper(left(c, 1)) || substr(c, 2) AS title FROM (SELECT docket, trim(regexp_replace(replace(docket, '_', ' '), '\s+', ' ', 'g')) AS c FROM documents WHERE docket IS NOT NULL)")
+def term_titles(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("docket IS NOT NULL").select("docket", term_title(F.col("docket")).alias("title")).distinct()
+
+
+@add("symbol_ids", r"""WITH m AS (SELECT DISTINCT symbol AS gene, genome || ':' || start AS id FROM gene_anno WHERE symbol IS NOT NULL AND genome IS NOT NULL AND start IS NOT NULL) SELECT DISTINCT u.gene, m.id FROM use_gene u JOIN m USING (gene)""")
+def symbol_ids(s: SparkSession, d: str) -> DataFrame:
+    """Ids of the whitelisted genes in another naming, one row for each of several."""
+    ids = table(s, d, "gene_anno").where("symbol IS NOT NULL AND genome IS NOT NULL AND start IS NOT NULL").select(F.col("symbol").alias("gene"), F.concat_ws(":", "genome", F.col("start").cast("string")).alias("id"))
+    return map_ids(table(s, d, "use_gene").select("gene").distinct(), ids, "gene", "id")[0]
+
+
+@add("topics_per_class", _more("SELECT klass, gene, round(n / size * ln(a / f + 1), 9) AS weight FROM k JOIN (SELECT klass, sum(n) AS size FROM k GROUP BY 1) USING (klass) JOIN (SELECT gene, sum(n) AS f FROM k GROUP BY 1) USING (gene), (SELECT floor(avg(size)) AS a FROM (SELECT klass, sum(n) AS size FROM k GROUP BY 1))", CROSS + ", k AS (SELECT topic_id || ' ' || main_cell_type AS klass, gene, sum(value) AS n FROM top JOIN typed USING (cell_id) GROUP BY 1, 2)", "cell_topic", "typed"))
+def topics_per_class(s: SparkSession, d: str) -> DataFrame:
+    """Class-based term weights of the genes in the cells of each topic and cell type."""
+    n = A.typed(s, d).join(_dominant(s, d), "cell_id").groupBy(F.concat_ws(" ", "topic_id", "main_cell_type").alias("klass"), F.col("gene").alias("term")).agg(F.sum("value").alias("n"))
+    return _r(C.ctfidf(n, "klass"), 9, "weight").withColumnRenamed("term", "gene")
+
+
 @add("lda_topics")
 def lda_topics(s: SparkSession, d: str) -> DataFrame:
     return _r(lda.fit_lda(A.counts(s, d), 6, 30).gene_topic, 6, "weight")
@@ -238,6 +275,40 @@ def corex_hierarchy(s: SparkSession, d: str) -> DataFrame:
     return _r(corex.hierarchy(corex.fit_corex(A.counts(s, d), 6), [3, 2])[1], 6, "weight")
 
 
+@add("corex_infer")
+def corex_infer(s: SparkSession, d: str) -> DataFrame:
+    """Topics of the bulk samples by the fitted factors of the cells."""
+    return _r(corex.infer_corex(corex.fit_corex(A.counts(s, d), 6, _seeds(s, d)), A.bulk(s, d), "sample_id"), 6, "weight")
+
+
+@add("corex_selection")
+def corex_selection(s: SparkSession, d: str) -> DataFrame:
+    """Two numbers of topics with two seeds each, the most accurate chosen."""
+    cells = cut(A.counts(s, d))
+    return _r(choose.select_topics(lambda k, seed: corex.fit_corex(cells, k, _seeds(s, d), seed=seed), cells, A.anno(s, d), (5, 6), (1, 2)), 6, "metric")
+
+
+@add("lda_selection")
+def lda_selection(s: SparkSession, d: str) -> DataFrame:
+    """Two numbers of topics, the one whose topics agree best with the cell types."""
+    cells = cut(A.counts(s, d))
+    return _r(choose.select_topics(lambda k, seed: lda.fit_lda(cells, k, 30, seed), cells, A.anno(s, d), (5, 6), (9,), "nmi"), 6, "metric")
+
+
+@add("guided_tokens", with_sql("SELECT gene, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM counts WHERE value >= 1 GROUP BY 1", "counts"))
+def guided_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of each gene over all topics after all sweeps: as many as were counted."""
+    fit = guided.fit_guided(A.counts(s, d), 6, _seeds(s, d))
+    sums = lda.gene_weights(s, fit.about["genes"], fit.about["counts"]).groupBy("gene").agg(F.round(F.sum("weight")).cast("bigint").alias("tokens"))
+    return sums.where("tokens > 0")
+
+
+@add("guided_cells")
+def guided_cells(s: SparkSession, d: str) -> DataFrame:
+    """Weights of the cells in each topic, summing to 1 over the cells."""
+    return _r(guided.cells_by_topic(guided.fit_guided(A.counts(s, d), 6, _seeds(s, d)).cell_topic), 9, "weight")
+
+
 @add("topic_hierarchy_ward")
 def topic_hierarchy_ward(s: SparkSession, d: str) -> DataFrame:
     return _r(tree.topic_tree(A.gene_topic(s, d)), 6, "distance")
