@@ -34,6 +34,26 @@ def nmi(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return c.agg(F.when(ha + hb > 0, 2 * mi / (ha + hb)).otherwise(1.0).alias("nmi"))
 
 
+def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``a, b, n, share``: rows of each pair of labels, and their share of the rows with the same ``b``."""
+    n = df.groupBy(a, b).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(b)))
+
+
+def cosine_coherence(tops: DataFrame, vectors: DataFrame, topic: str = "topic_id", item: str = "gene") -> DataFrame:
+    """``topic, coherence``: mean cosine of the vectors (``item, position, weight``; absent positions are 0) of each two of a topic's top items (``topic, item``).
+
+    Items without a vector, or with one of zeros, have a cosine of 0 with all others. Pairs are within the few top items of a topic.
+    """
+    mine = vectors.join(tops.select(item).distinct(), item)
+    norms = mine.groupBy(item).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("__n"))
+    pairs = tops.select(topic, item).join(tops.select(topic, F.col(item).alias("__other")), topic).where(F.col(item) < F.col("__other"))
+    other = mine.select(F.col(item).alias("__other"), "position", F.col("weight").alias("__w"))
+    dots = pairs.join(mine, item).join(other, ["__other", "position"]).groupBy(topic, item, "__other").agg(F.sum(F.col("weight") * F.col("__w")).alias("__d"))
+    full = pairs.join(dots, [topic, item, "__other"], "left").join(norms, item, "left").join(norms.select(F.col(item).alias("__other"), F.col("__n").alias("__m")), "__other", "left")
+    return full.groupBy(topic).agg(F.avg(F.coalesce(F.try_divide("__d", F.col("__n") * F.col("__m")), F.lit(0.0))).alias("coherence"))
+
+
 def confusion_scores(df: DataFrame, predicted: str, truth: str) -> DataFrame:
     """One row: accuracy and the mean F1 over the classes of truth or prediction."""
     pairs = df.groupBy(predicted, truth).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.columns import dot, norm
 from strandloom.operators import ctfidf as C
+from strandloom.operators import learners as L
 from strandloom.operators import metrics as M
 from strandloom.operators.matrix import best, share
 from strandloom.operators.prefix import ranks
@@ -73,12 +74,8 @@ COSINE = """tops AS (SELECT topic_id, gene, row_number() OVER (PARTITION BY topi
 def cosine_coherence(s: SparkSession, d: str) -> DataFrame:
     """Mean cosine of the vectors of each two top genes of a topic."""
     tops = C.top_terms(_r(A.gene_topic(s, d), 9, "weight"), "topic_id", 10, "gene").select("topic_id", "gene")
-    mem = A.counts(s, d).groupBy("gene", (F.ascii(F.right("cell_id", F.lit(3))) % 4).alias("t")).agg(F.sum("value").alias("weight")).join(tops.select("gene").distinct(), "gene")
-    vec = mem.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("t", "weight"))).alias("v"))
-    arr = vec.select("gene", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.coalesce(F.try_element_at("v", t), F.lit(0.0))).alias("v"))
-    a, b = tops.join(arr, "gene"), tops.join(arr, "gene").withColumnsRenamed({"gene": "other", "v": "w"})
-    pairs = a.join(b, "topic_id").where("gene < other")  # ten genes a topic
-    return pairs.groupBy("topic_id").agg(F.round(F.avg(dot(F.col("v"), F.col("w")) / (norm(F.col("v")) * norm(F.col("w")))), 6).alias("coherence"))
+    mem = A.counts(s, d).groupBy("gene", (F.ascii(F.right("cell_id", F.lit(3))) % 4).alias("position")).agg(F.sum("value").alias("weight"))  # four columns stand in for an embedding of the genes
+    return _r(M.cosine_coherence(tops, mem), 6, "coherence")
 
 
 CROSS = "top AS (SELECT cell_id, topic_id FROM cell_topic QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY round(weight, 9) DESC, topic_id) = 1)"
@@ -90,8 +87,7 @@ def _dominant(s: SparkSession, d: str) -> DataFrame:
 
 @add("topic_celltype_crosstab", _more("SELECT topic_id, main_cell_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY main_cell_type), 9) AS share FROM top JOIN anno USING (cell_id) GROUP BY 1, 2", CROSS, "cell_topic", "anno"))
 def topic_celltype_crosstab(s: SparkSession, d: str) -> DataFrame:
-    n = _dominant(s, d).join(A.anno(s, d), "cell_id").groupBy("topic_id", "main_cell_type").agg(F.count("*").alias("n"))
-    return _r(share(n, ["main_cell_type"], "n", "share"), 9, "share")
+    return _r(M.crosstab(_dominant(s, d).join(A.anno(s, d), "cell_id"), "topic_id", "main_cell_type"), 9, "share")
 
 
 @add("nmi", _more("SELECT round(2 * sum(p * ln(p / (pa * pb))) / (-sum(p * ln(pa)) - sum(p * ln(pb))), 8) AS nmi FROM (SELECT p, sum(p) OVER (PARTITION BY topic_id) AS pa, sum(p) OVER (PARTITION BY main_cell_type) AS pb FROM (SELECT topic_id, main_cell_type, count(*) / sum(count(*)) OVER () AS p FROM top JOIN anno USING (cell_id) GROUP BY 1, 2))", CROSS, "cell_topic", "anno"))
@@ -317,45 +313,41 @@ def topic_hierarchy_ward(s: SparkSession, d: str) -> DataFrame:
 @add("kmeans_gene_clusters")
 def kmeans_gene_clusters(s: SparkSession, d: str) -> DataFrame:
     """K-means of the genes over their weights in the topics, scaled per gene."""
-    from pyspark.ml.clustering import KMeans
-
-    w = A.gene_topic(s, d).groupBy("gene").pivot("topic_id", list(range(6))).agg(F.first("weight")).na.fill(0.0)
-    parts = F.array(*[F.col(f"`{t}`") for t in range(6)])
-    mean = F.aggregate(parts, F.lit(0.0), lambda t, x: t + x) / 6
-    x = w.select("gene", parts.alias("x"), mean.alias("m")).withColumn("sd", F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + (v - F.col("m")) * (v - F.col("m"))) / 5))
-    scaled = lda.vectors_of(x.where("sd > 0").select("gene", F.transform("x", lambda v: (v - F.col("m")) / F.col("sd")).alias("x")), "x")
-    return KMeans(k=6, seed=1, featuresCol="features", predictionCol="cluster").fit(scaled).transform(scaled).select("gene", "cluster")
+    return L.gene_clusters(A.gene_topic(s, d), 6, 6)
 
 
 @add("lr_accuracy")
 def lr_accuracy(s: SparkSession, d: str) -> DataFrame:
     """Accuracy and mean F1 of logistic regression of the cell type on the topics, on a held-out fifth."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer
+    return _r(M.confusion_scores(L.predicted_types(A.cell_topic(s, d), A.anno(s, d), 6), "prediction", "label"), 6, "accuracy", "macro_f1")
+
+
+@add("kmeans_nmi")
+def kmeans_nmi(s: SparkSession, d: str) -> DataFrame:
+    """How K-means clusters of the cells' topic weights agree with the cell types."""
+    kinds = A.anno(s, d)
+    found = L.clusters(L.topic_arrays(A.cell_topic(s, d), "cell_id", 6), "x", 12)
+    return _r(M.nmi(found.join(kinds, "cell_id"), "cluster", "main_cell_type"), 6, "nmi")
 
-    w = A.cell_topic(s, d).groupBy("cell_id").pivot("topic_id", list(range(6))).agg(F.first("weight")).na.fill(0.0)
-    x = lda.vectors_of(w.select("cell_id", F.array(*[F.col(f"`{t}`") for t in range(6)]).alias("x")), "x").join(A.anno(s, d), "cell_id").withColumn("o", F.pmod(F.xxhash64("cell_id"), F.lit(5)))
-    coded = StringIndexer(inputCol="main_cell_type", outputCol="label", handleInvalid="keep").fit(x).transform(x)
-    out = LogisticRegression(maxIter=20).fit(coded.where("o > 0")).transform(coded.where("o = 0"))
-    return _r(M.confusion_scores(out, "prediction", "label"), 6, "accuracy", "macro_f1")
+
+@add("embed_chain")
+def embed_chain(s: SparkSession, d: str) -> DataFrame:
+    """Embedded cells into clusters, and the class-based weights of the genes of each cluster's cells."""
+    rows = table(s, d, "cell_embedding").where("cell_id IS NOT NULL AND size(embedding) = 64 AND array_contains(embedding, CAST('NaN' AS FLOAT)) = false")
+    latest = rows.groupBy("cell_id").agg(F.max_by("embedding", F.struct("embedded_at", "vec_id")).alias("embedding"))
+    n = L.clusters(latest, "embedding", 10).join(A.counts(s, d), "cell_id").groupBy("cluster", F.col("gene").alias("term")).agg(F.sum("value").alias("n"))
+    return _r(C.ctfidf(n, "cluster"), 9, "weight").withColumnRenamed("term", "gene")
 
 
 @add("embed_kmeans")
 def embed_kmeans(s: SparkSession, d: str) -> DataFrame:
     """K-means of the embeddings in place of graph clustering, and how it agrees with the labels."""
-    from pyspark.ml.clustering import KMeans
-
-    x = lda.vectors_of(table(s, d, "embeddings"), "embedding")
-    return _r(M.nmi(KMeans(k=10, seed=1, predictionCol="cluster").fit(x).transform(x), "cluster", "label"), 6, "nmi")
+    return _r(M.nmi(L.clusters(table(s, d, "embeddings"), "embedding", 10), "cluster", "label"), 6, "nmi")
 
 
 @add("embed_pca")
 def embed_pca(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
-
-    x = lda.vectors_of(table(s, d, "embeddings"), "embedding")
-    return PCA(k=2, inputCol="features", outputCol="pc").fit(x).transform(x).select("vec_id", F.round(F.abs(vector_to_array("pc")[0]), 4).alias("pc1"), F.round(F.abs(vector_to_array("pc")[1]), 4).alias("pc2"))
+    return L.main_axes(table(s, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.round(F.abs(F.col("pc")[0]), 4).alias("pc1"), F.round(F.abs(F.col("pc")[1]), 4).alias("pc2"))
 
 
 @add("classes_per_topic", _more("SELECT topic_id, main_cell_type, n, row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, main_cell_type) AS rank FROM (SELECT topic_id, main_cell_type, count(*) AS n FROM top JOIN anno USING (cell_id) GROUP BY 1, 2)", CROSS, "cell_topic", "anno"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandloom.operators.prefix import ranks
+
 SEPARATORS = {"tab": "\t", "space": " ", "comma": ","}
 
 
@@ -30,6 +32,12 @@ def read_annotation(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("cell_id IS NOT NULL").groupBy("cell_id").agg(F.max_by("main_cell_type", "o").alias("main_cell_type"))
 
 
+def read_gene_list(spark: SparkSession, path: str, column: str = "gene_name", sep: str = "\t") -> DataFrame:
+    """``ord, gene`` from a table with a header, in the order of its lines; nulls and blanks are left out."""
+    raw = spark.read.csv(path, sep=sep, header=True).select(F.col(f"`{column}`").alias("gene"), F.monotonically_increasing_id().alias("o")).where("trim(gene) <> ''")
+    return ranks(raw, [], F.floor(F.col("o") / 65536), [F.col("o")], "ord").select((F.col("ord") - 1).cast("int").alias("ord"), "gene")
+
+
 def read_gene_annotation(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="chr string, start bigint, end bigint, symbol string, strand string")
 

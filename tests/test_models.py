@@ -97,6 +97,8 @@ def test_streams(spark, tmp_path):
     every = spark.read.parquet(src).where("t IS NOT NULL").groupBy("t", "batch").agg(F.count("*").alias("n"))
     want = {r.t: r.value for r in decayed(every, "batch", "t", 0.1, 2).collect()}
     assert last["a"][0] == pytest.approx(want["a"]) == pytest.approx(13.1)
+    pruned = drain(stream_decayed_counts(stream, "t", "batch", 0.1, min_total=5.0), "update", "pruned")
+    assert {(r.term, round(r.value, 6)) for r in pruned} == {("a", 13.1), ("b", 0.0)}
 
 
 def test_readers(spark, tmp_path):
@@ -110,6 +112,8 @@ def test_readers(spark, tmp_path):
     with gzip.open(tmp_path / "f.tsv.gz", "wt") as f:
         f.write("# x\nchr1\t5\t9\tbc\t3\t+\nchr2\t1\t2\tbd\n")
     assert {tuple(r) for r in R.read_fragments(spark, str(tmp_path / "f.tsv.gz"), 2).collect()} == {("chr1", 5, 9, "bc", 3.0, "+"), ("chr2", 1, 2, "bd", 1.0, None)}
+    (tmp_path / "list.tsv").write_text("n\tgene_name\n1\tb\n2\ta\n3\t\n4\tc\n")
+    assert {tuple(r) for r in R.read_gene_list(spark, str(tmp_path / "list.tsv")).collect()} == {(0, "b"), (1, "a"), (2, "c")}
     (tmp_path / "bad.tsv").write_text("chr1\t5\t9\n")
     with pytest.raises(ValueError):
         R.read_fragments(spark, str(tmp_path / "bad.tsv"))
