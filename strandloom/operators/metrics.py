@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.prefix import ranks
+from strandloom.session import cut
+
 
 def regression(df: DataFrame, predicted: str, truth: str, by: Sequence[str] = ()) -> DataFrame:
     """n, Pearson correlation (null for fewer than 3 rows or no spread), RMSE, MSE, MAE and R2 of pairs."""
@@ -68,10 +71,12 @@ def bootstrap(df: DataFrame, unit: str, predicted: str, truth: str, rounds: int
     """One row: PCC and RMSE of the pairs, and their standard deviations over ``rounds`` resamplings of the units with replacement.
 
     A unit's multiplicity in a round is its number of draws among as many as there are units: each of the n draws of a round picks a unit by the MD5 hash of round, draw and seed.
-    Units are cell types or samples: hundreds.
+    Units (cell types or samples) are numbered in the order of their names, in slices of like names.
     """
-    units = df.select(unit).distinct().withColumn("__u", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(unit)) - 1)
+    mark = F.col(unit).cast("string")
+    units = cut(df.select(unit).distinct())  # counted and numbered
     n = units.count()
+    units = ranks(units, [], F.left(mark, F.lit(3)), [mark], "__u").withColumn("__u", F.col("__u") - 1)
     draws = df.sparkSession.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("__d"))
     drawn = draws.select("round", F.pmod(F.conv(F.left(F.md5(F.concat_ws("-", "round", "__d", F.lit(seed)).cast("binary")), F.lit(8)), 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("__u")).groupBy("round", "__u").agg(F.count("*").alias("w"))
     x = drawn.join(units, "__u").join(df.select(unit, F.col(predicted).alias("p"), F.col(truth).alias("t")), unit)
@@ -124,7 +129,7 @@ def benjamini_hochberg(df: DataFrame, p: str, within: Sequence[str], out: str =
     return ranked.withColumn(out, F.least(F.lit(1.0), F.min("__q").over(w.orderBy(F.desc(p), F.asc("__q")).rowsBetween(Window.unboundedPreceding, 0)))).drop("__q")
 
 
-def over_representation(hits: DataFrame, sets: DataFrame, universe: int, low: int = 10, high: int = 500) -> DataFrame:
+def over_representation(hits: DataFrame, sets: DataFrame, universe: int | Column, low: int = 10, high: int = 500) -> DataFrame:
     """``topic_id, set_id, k, n, m, fold, p, p_adjusted``: enrichment of each topic's genes in each gene set of ``low`` to ``high`` genes."""
     sized = sets.select("set_id", "gene").distinct().withColumn("m", F.count("*").over(Window.partitionBy("set_id"))).where(F.col("m").between(low, high))
     drawn = hits.select("topic_id", "gene").distinct().withColumn("n", F.count("*").over(Window.partitionBy("topic_id")))

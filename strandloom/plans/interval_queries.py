@@ -99,7 +99,7 @@ REGIONS = MERGE.format(src="peaks", test="- reach - 1 < 12500") + """, regions A
  signal AS (SELECT region_id, coalesce(sum(v), 0) / (SELECT count(DISTINCT sample_id) FROM peak_counts) AS signal FROM regions LEFT JOIN tops USING (region_id) GROUP BY 1)"""
 
 
-def _signal(s: SparkSession, d: str) -> DataFrame:
+def enhancer_signal(s: SparkSession, d: str) -> DataFrame:
     sites = cut(A.genes(s, d))
     peaks, counts = A.peaks(s, d, sites), cut(A.peak_counts(s, d, sites=sites))  # read several times
     regions = I.stitch(peaks, 12_500 + 1).withColumn("region_id", F.concat_ws("_", "chr", "start", "end"))
@@ -108,7 +108,7 @@ def _signal(s: SparkSession, d: str) -> DataFrame:
 
 @add("stitch_region_max", _more("SELECT region_id, round(signal, 6) AS signal FROM signal", REGIONS, "peaks", "peak_counts"))
 def stitch_region_max(s: SparkSession, d: str) -> DataFrame:
-    return _signal(s, d).withColumn("signal", F.round("signal", 6))
+    return enhancer_signal(s, d).withColumn("signal", F.round("signal", 6))
 
 
 SUPER = REGIONS + """, srt AS (SELECT *, row_number() OVER (ORDER BY signal, region_id) AS i, (max(signal) OVER () - min(signal) OVER ()) / count(*) OVER () AS slope, count(*) OVER () AS n FROM (SELECT region_id, round(signal, 6) AS signal FROM signal)),
@@ -117,12 +117,12 @@ SUPER = REGIONS + """, srt AS (SELECT *, row_number() OVER (ORDER BY signal, reg
 
 @add("super_enhancer_cutoff", _more("SELECT cutoff, (SELECT count(*) FROM srt WHERE signal > cutoff) AS n_super FROM cut", SUPER, "peaks", "peak_counts"))
 def super_enhancer_cutoff(s: SparkSession, d: str) -> DataFrame:
-    return I.enhancers(_signal(s, d).withColumn("signal", F.round("signal", 6))).groupBy("cutoff").agg(F.count(F.when(F.col("is_super"), 1)).alias("n_super"))
+    return I.enhancers(enhancer_signal(s, d).withColumn("signal", F.round("signal", 6))).groupBy("cutoff").agg(F.count(F.when(F.col("is_super"), 1)).alias("n_super"))
 
 
 @add("super_enhancer_rank", _more("SELECT region_id, signal, n - i + 1 AS rank, signal > cutoff AS is_super FROM srt, cut", SUPER, "peaks", "peak_counts"))
 def super_enhancer_rank(s: SparkSession, d: str) -> DataFrame:
-    return I.enhancers(_signal(s, d).withColumn("signal", F.round("signal", 6))).select("region_id", "signal", F.col("rank").cast("bigint").alias("rank"), "is_super")
+    return I.enhancers(enhancer_signal(s, d).withColumn("signal", F.round("signal", 6))).select("region_id", "signal", F.col("rank").cast("bigint").alias("rank"), "is_super")
 
 
 @add("peak_id_parse", r"""SELECT id, chrom, s AS start, e AS "end", coalesce(n = 3 AND s > 0 AND s <= e, false) AS valid FROM (SELECT *, len(string_split(id, '_')) AS n, string_split(id, '_')[1] AS chrom, TRY_CAST(string_split(id, '_')[2] AS BIGINT) AS s, TRY_CAST(string_split(id, '_')[3] AS BIGINT) AS e

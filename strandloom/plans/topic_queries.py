@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.columns import dot, norm
+from strandloom.functions.columns import count_of, dot, norm
 from strandloom.operators import ctfidf as C
 from strandloom.operators import learners as L
 from strandloom.operators import metrics as M
@@ -154,7 +154,7 @@ def bow_prune(s: SparkSession, d: str) -> DataFrame:
 LDAC = "numbered AS (SELECT cell_id, dense_rank() OVER (ORDER BY gene) - 1 AS number, CAST(floor(value) AS BIGINT) AS n FROM counts WHERE value >= 1)"
 
 
-def _numbered(s: SparkSession, d: str) -> DataFrame:
+def numbered_genes(s: SparkSession, d: str) -> DataFrame:
     c = A.counts(s, d).where("value >= 1")
     numbers = ranks(c.select("gene").distinct(), [], F.left("gene", F.lit(4)), [F.col("gene")], "number").withColumn("number", F.col("number") - 1)
     return c.join(numbers, "gene").select("cell_id", "number", F.floor("value").alias("n"))
@@ -162,7 +162,7 @@ def _numbered(s: SparkSession, d: str) -> DataFrame:
 
 @add("ldac_export", _more("SELECT cell_id, count(*) || ' ' || string_agg(number || ':' || n, ' ' ORDER BY number) AS line FROM numbered GROUP BY 1", LDAC, "counts"))
 def ldac_export(s: SparkSession, d: str) -> DataFrame:
-    return C.to_ldac(_numbered(s, d), "cell_id", "number")
+    return C.to_ldac(numbered_genes(s, d), "cell_id", "number")
 
 
 @add("ldac_import", _more("SELECT cell_id, CAST(number AS BIGINT) AS number, n FROM numbered", LDAC, "counts"))
@@ -184,7 +184,7 @@ SETS = "sets AS (SELECT DISTINCT CAST(length(symbol) * 7 + ascii(symbol) AS INTE
 def _enriched(s: SparkSession, d: str) -> DataFrame:
     sets = table(s, d, "gene_anno").where("symbol IS NOT NULL").select(((F.length("symbol") * 7 + F.ascii("symbol")) % 25).alias("set_id"), F.col("symbol").alias("gene")).distinct()
     hits = C.top_terms(_r(A.gene_topic(s, d), 9, "weight"), "topic_id", 60, "gene").select("topic_id", "gene")
-    return M.over_representation(hits, sets, sets.select("gene").distinct().count(), 5, 2000)
+    return M.over_representation(hits, sets, count_of(sets, "gene"), 5, 2000)
 
 
 @add("go_ora_counts", _more("SELECT topic_id, set_id, count(*) AS k, any_value(n) AS n, any_value(m) AS m, round(count(*) / any_value(n) / (any_value(m) / (SELECT count(DISTINCT gene) FROM sets)), 6) AS fold FROM (SELECT *, count(*) OVER (PARTITION BY topic_id) AS n FROM hits) JOIN (SELECT *, count(*) OVER (PARTITION BY set_id) AS m FROM sets) USING (gene) WHERE m BETWEEN 5 AND 2000 GROUP BY 1, 2", SETS, "gene_topic"))

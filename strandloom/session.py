@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,13 +26,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def _with_checkpoint_folder(spark: SparkSession) -> SparkContext:
+    """The context, its checkpoint folder set.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only in a local session, where all executors share this machine, a temporary
     folder is taken if that is unset; elsewhere it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,4 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
+    return sc
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    _with_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, suffix: str = "") -> str:
+    """The name of a new folder within the checkpoint folder that all executors share."""
+    return f"{_with_checkpoint_folder(spark).getCheckpointDir()}/files-{uuid.uuid4().hex}{suffix}"

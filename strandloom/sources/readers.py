@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandloom.operators.prefix import ranks
+from strandloom.schema import checked
 
 SEPARATORS = {"tab": "\t", "space": " ", "comma": ","}
 
 
 def read_count_text(spark: SparkSession, path: str, separator: str = "tab", most_columns: int = 200_000) -> DataFrame:
-    """``cell_id, gene, value`` from a dense table whose header names the cells, with or without a corner cell; zeros have no row."""
+    """``cell_id, gene, value`` from a dense table whose header names the cells, with or without a corner cell; zeros have no row.
+
+    ``path`` may be a folder of parts that all begin with the same header: lines equal to it are headers. No lines, no rows.
+    """
     sep = SEPARATORS[separator]
     lines = spark.read.text(path).where("value <> ''")
-    header = lines.head()[0].split(sep)
+    top = lines.head()
+    if top is None:
+        return spark.createDataFrame([], "cell_id string, gene string, value double")
+    header = top[0].split(sep)
     if len(header) > most_columns:
         raise ValueError(f"more than {most_columns} columns")
     body = lines.where(F.col("value") != sep.join(header)).select(F.split("value", sep).alias("p"))
@@ -137,10 +144,12 @@ class _TenXReader(DataSourceReader):
 
 
 def read_counts(spark: SparkSession, path: str, separator: str = "tab") -> DataFrame:
-    """``cell_id, gene, value`` by the kind of file: Parquet, 10x HDF5 (``.h5``) or dense text."""
+    """``cell_id, gene, value`` by the kind of file: Parquet, 10x HDF5 (``.h5``) or dense text. Negative values count as zeros, which have no row, and so do cells that have nothing else."""
     if path.endswith(".h5"):
         spark.dataSource.register(TenXSource)
-        return spark.read.format("tenx_h5").load(path)
-    if path.endswith((".txt", ".tsv", ".csv", ".gz")):
-        return read_count_text(spark, path, separator)
-    return spark.read.parquet(path).select("cell_id", "gene", "value")
+        raw = spark.read.format("tenx_h5").load(path)
+    elif path.endswith((".txt", ".tsv", ".csv", ".gz")):
+        raw = read_count_text(spark, path, separator)
+    else:
+        raw = checked(spark.read.parquet(path), "counts")
+    return raw.where("value > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,10 @@ def read_transfer(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in ("gene_topic", "cell_topic", "topic_celltype", "meta")}
 
 
-def write_tsv(df: DataFrame, folder: str, header: bool = True) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", header).csv(folder)
+def write_tsv(df: DataFrame, folder: str, header: bool = True, **options) -> None:
+    """Tab-separated text, blanks at the ends of values kept. ``options`` are those of Spark's CSV writer, such as ``compression``."""
+    kept = {"sep": "\t", "header": header, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**{**kept, **options}).csv(folder)
 
 
 def write_dense(df: DataFrame, folder: str, row: str, col: str, value: str, most_columns: int = 20_000) -> None:
@@ -41,19 +43,32 @@ def enhancer_table(df: DataFrame) -> DataFrame:
     return df.select(F.col("chr").alias("CHROM"), F.col("start").alias("START"), F.col("end").alias("STOP"), F.col("region_id").alias("REGION_ID"), F.col("rank").alias("enhancerRank"), F.col("is_super").cast("int").alias("isSuper"))
 
 
-def enhancer_bed(df: DataFrame, name: str) -> DataFrame:
-    """Lines of a BED track: the header, then chrom, start, end, id and rank of each region by rank."""
+def _track(df: DataFrame, number: int, title: str, description: str, color: str) -> DataFrame:
+    """The lines of one track: its header, if it has regions, and the regions by rank."""
+    head = f'track name="{title}" description="{description}" itemRGB=On color={color}'
     line = F.concat_ws("\t", "chr", "start", "end", "region_id", "rank")
-    head = df.sparkSession.range(1).select(F.lit(f'track name="{name}" description="{name}" useScore=1').alias("value"), F.lit(0).cast("bigint").alias("o"))
-    return head.unionAll(df.select(line.alias("value"), F.col("rank").cast("bigint").alias("o"))).orderBy("o").select("value")
+    place = F.lit(number).alias("t")
+    first = df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(head).alias("value"), place, F.lit(0).cast("bigint").alias("o"))
+    return first.unionAll(df.select(line.alias("value"), place, F.col("rank").cast("bigint").alias("o")))
+
+
+def enhancer_bed(df: DataFrame, name: str, description: str | None = None, color: str = "0,0,0", super_color: str = "255,0,0") -> DataFrame:
+    """Lines of a BED file: a track of all ranked regions (chrom, start, end, id, rank), and with ``is_super`` among the columns a second one of the super-enhancers. No regions, no lines."""
+    title, text = name.replace(" ", "_"), (name if description is None else description).replace("\n", "\t")
+    lines = _track(df, 0, title, text, color)
+    if "is_super" in df.columns:
+        lines = lines.unionAll(_track(df.where("is_super"), 1, f"Super_{title}", f"Super {text}", super_color))
+    return lines.orderBy("t", "o").select("value")
+
+
+def enhancer_gateway(df: DataFrame, only_super: bool = False) -> DataFrame:
+    """Lines of six columns without a header: chrom, start, end, id, rank and a dot for the strand, by rank."""
+    rows = df.where("is_super") if only_super else df
+    return rows.orderBy("rank").select(F.concat_ws("\t", "chr", "start", "end", "region_id", "rank", F.lit(".")).alias("value"))
 
 
 def scenario_json(shares: DataFrame, **settings) -> DataFrame:
     """One row ``value``: settings, cell counts and proportions as JSON. One entry a cell type."""
-    packed = shares.agg(F.map_from_entries(F.collect_list(F.struct("main_cell_type", "n_cells"))).alias("n_cells"), F.map_from_entries(F.collect_list(F.struct("main_cell_type", "proportion"))).alias("proportions"))
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("main_cell_type", c))))
+    packed = shares.agg(entries("n_cells").alias("n_cells"), entries("proportion").alias("proportions"))
     return packed.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in settings.items()], "n_cells", "proportions")).alias("value"))
-
-
-def uniform_order(df: DataFrame, keys: list[str], out: str = "ord") -> DataFrame:
-    """Numbers the distinct keys from 0 in their order; for lists of labels that are written beside a matrix."""
-    return df.select(*keys).distinct().withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)) - 1)

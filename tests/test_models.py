@@ -138,3 +138,21 @@ def test_transfer_objects_and_matrices(spark, tmp_path):
         checked(gt.drop("weight"), "gene_topic")
     lines = [r.value for r in S.enhancer_bed(spark.createDataFrame([("c", 1, 2, "r", 1)], "chr string, start int, end int, region_id string, rank int"), "x").collect()]
     assert lines[0].startswith("track") and lines[1] == "c\t1\t2\tr\t1"
+
+
+def test_enhancer_lines(spark):
+    rows = spark.createDataFrame([("c", 5, 9, "r2", 2, False), ("c", 1, 2, "r1", 1, True)], "chr string, start int, end int, region_id string, rank int, is_super boolean")
+    lines = [r.value for r in S.enhancer_bed(rows, "a b").collect()]
+    assert lines[0].startswith('track name="a_b" description="a b"') and lines[1:3] == ["c\t1\t2\tr1\t1", "c\t5\t9\tr2\t2"]
+    assert lines[3].startswith('track name="Super_a_b"') and lines[4:] == ["c\t1\t2\tr1\t1"]
+    assert [r.value for r in S.enhancer_gateway(rows).collect()] == ["c\t1\t2\tr1\t1\t.", "c\t5\t9\tr2\t2\t."]
+    assert S.enhancer_bed(rows.where("false"), "a").count() == 0 and S.enhancer_bed(rows.where("NOT is_super"), "a").count() == 2
+
+
+def test_counts_from_files_clamp_negatives_and_may_be_empty(spark, tmp_path):
+    (tmp_path / "n.tsv").write_text("g\tc1\tc2\ngA\t-3\t2\ngB\t-1\tx\n")
+    assert {tuple(r) for r in R.read_counts(spark, str(tmp_path / "n.tsv")).collect()} == {("c2", "gA", 2.0)}
+    (tmp_path / "e.tsv").write_text("")
+    assert R.read_counts(spark, str(tmp_path / "e.tsv")).count() == 0
+    spark.createDataFrame([(1, "g", "2.5", 0)], "cell_id int, gene string, value string, other int").write.parquet(str(tmp_path / "p"))
+    assert [tuple(r) for r in R.read_counts(spark, str(tmp_path / "p")).collect()] == [("1", "g", 2.5)]
