@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.columns import safe_div
+from strandloom.functions.columns import null_safe_join, safe_div
 
 
 def matmul(a: DataFrame, b: DataFrame, rows: Sequence[str], inner: Sequence[str], cols: Sequence[str], left: str = "value", right: str = "value", out: str = "value") -> DataFrame:
@@ -17,8 +17,11 @@ def matmul(a: DataFrame, b: DataFrame, rows: Sequence[str], inner: Sequence[str]
     return a2.join(b2, list(inner)).groupBy(*rows, *cols).agg(F.sum(F.col("__a") * F.col("__b")).alias(out))
 
 
-def share(df: DataFrame, within: Sequence[str], value: str = "value", out: str | None = None) -> DataFrame:
-    """``value`` divided by its sum over ``within``; sums of at most 1e-12 count as 1."""
+def share(df: DataFrame, within: Sequence[str], value: str = "value", out: str | None = None, large: bool = False) -> DataFrame:
+    """``value`` divided by its sum over ``within``; sums of at most 1e-12 count as 1. For ``large`` groups, which may be too much for a task, the sums are joined."""
+    if large:
+        sums = df.groupBy(*within).agg(F.sum(value).alias("__sum"))
+        return null_safe_join(df, sums, list(within), "left").withColumn(out or value, safe_div(F.col(value), F.col("__sum"))).drop("__sum")
     return df.withColumn(out or value, safe_div(F.col(value), F.sum(value).over(Window.partitionBy(*within))))
 
 

@@ -10,10 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.columns import count_of, number
+from strandloom.functions.columns import count_of, null_safe_join, number
 from strandloom.operators.matrix import best
-from strandloom.operators.prefix import drawn_ranks, prefix_sums
-from strandloom.operators.skew import coarse_bin, compress, percentiles
+from strandloom.operators.prefix import drawn_ranks, prefix_sums, ranks
+from strandloom.operators.skew import coarse_bin, compress, key_stats, percentiles
 from strandloom.session import cut
 
 
@@ -97,18 +97,21 @@ def quantile_norm(df: DataFrame, sample: str, feature: str, n_samples: int | Col
 
 
 def zscore(df: DataFrame, within: Sequence[str], value: str = "value") -> DataFrame:
-    """(value - mean) / (sample deviation + epsilon) over ``within``; rows without a finite result are left out."""
-    w = Window.partitionBy(*within)
-    z = (F.col(value) - F.avg(value).over(w)) / (F.stddev_samp(value).over(w) + 2.220446049250313e-16)
-    return df.withColumn(value, z).where(F.col(value).isNotNull() & ~F.isnan(value))
+    """(value - mean) / (sample deviation + epsilon) over ``within``; rows without a finite result are left out. Moments are aggregates that are joined, so a group may hold any part of the rows."""
+    return _deviation(df, within, F.col(value), value)
+
+
+def _deviation(df: DataFrame, within: Sequence[str], standard: Column, value: str) -> DataFrame:
+    """``value`` in deviations from the mean of the column ``standard`` within its group."""
+    moments = df.groupBy(*within).agg(F.avg(standard).alias("__mean"), F.stddev_samp(standard).alias("__sd"))
+    z = (F.col(value) - F.col("__mean")) / (F.col("__sd") + 2.220446049250313e-16)
+    scored = null_safe_join(df, moments, list(within), "left").withColumn(value, z).select(*df.columns)
+    return scored.where(F.col(value).isNotNull() & ~F.isnan(value))
 
 
 def control_zscore(df: DataFrame, feature: str, is_control: Column, value: str = "value") -> DataFrame:
     """Deviation of each value from the control samples of its feature."""
-    w = Window.partitionBy(feature)
-    own = F.when(is_control, F.col(value))
-    z = (F.col(value) - F.avg(own).over(w)) / (F.stddev_samp(own).over(w) + 2.220446049250313e-16)
-    return df.withColumn(value, z).where(F.col(value).isNotNull() & ~F.isnan(value))
+    return _deviation(df, [feature], F.when(is_control, F.col(value)), value)
 
 
 def dispersion(df: DataFrame, n_cells: int | Column, gene: str = "gene", value: str = "value") -> DataFrame:
@@ -124,12 +127,15 @@ def highly_variable(df: DataFrame, n_cells: int | Column, n_top: int, gene: str
 
 
 def median_over_repeats(df: DataFrame, sample: str, gene: str, source: str, value: str = "value") -> DataFrame:
-    """One value for each sample and gene: the median over the gene's sources (repeated symbols), a source without a row counting as zero."""
+    """One value for each sample and gene: the median over the gene's sources (repeated symbols), a source without a row counting as zero.
+
+    Values are counted before they are ranked and the absent zeros are one weighted value, so a symbol with a third of all sources is no burden."""
     sources = df.groupBy(gene).agg(F.count_distinct(source).alias("__n"))
-    packed = df.groupBy(sample, gene).agg(F.collect_list(value).alias("__v"))
-    full = packed.join(sources, gene).withColumn("__v", F.array_sort(F.concat("__v", F.array_repeat(F.lit(0.0), (F.col("__n") - F.size("__v")).cast("int")))))
-    lo, hi = F.element_at("__v", F.floor((F.col("__n") + 1) / 2).cast("int")), F.element_at("__v", F.floor((F.col("__n") + 2) / 2).cast("int"))
-    return full.select(sample, gene, ((lo + hi) / 2).alias(value)).where(F.col(value) != 0)
+    packed = compress(df.where(F.col(value).isNotNull()), [sample, gene], value)
+    absent = packed.groupBy(sample, gene).agg(F.sum("weight").alias("__k")).join(sources, gene)
+    zeros = absent.where("__n > __k").select(sample, gene, F.lit(0.0).alias("value"), (F.col("__n") - F.col("__k")).alias("weight"))
+    middle = percentiles(packed.unionByName(zeros).groupBy(sample, gene, "value").agg(F.sum("weight").alias("weight")), [sample, gene], [0.5])
+    return middle.select(sample, gene, F.element_at("percentiles", 1).alias(value)).where(F.col(value) != 0)
 
 
 def group_totals_norm(df: DataFrame, groups: DataFrame, gene: str = "gene", value: str = "value") -> DataFrame:
@@ -149,9 +155,15 @@ def group_sizes_norm(df: DataFrame, groups: DataFrame, gene: str = "gene", value
 
 
 def impute(df: DataFrame, feature: str, n_samples: int | Column, threshold: float, strategy: str = "median", value: str = "value") -> DataFrame:
-    """The features with at least ``int(threshold * n_samples)`` values, and ``fill`` for those they lack: median, mean or mode."""
-    fill = {"median": F.percentile(value, F.lit(0.5)), "mean": F.avg(value), "mode": F.mode(value, True)}[strategy]
-    return df.groupBy(feature).agg(F.count(value).alias("present"), fill.alias("fill")).where(F.col("present") >= F.floor(F.lit(threshold) * number(n_samples)))
+    """The features with at least ``int(threshold * n_samples)`` values, and ``fill`` for those they lack: median, mean or mode (of equally frequent values the smallest).
+
+    Median and mode come from counted values (``skew``), so no task holds all values of a feature."""
+    if strategy == "mean":
+        out = df.groupBy(feature).agg(F.count(value).alias("present"), F.avg(value).alias("fill"))
+    else:
+        fill = {"median": F.element_at("percentiles", 1), "mode": F.col("mode")}[strategy]
+        out = key_stats(df, [feature], value, [0.5] if strategy == "median" else []).select(feature, F.col("n_values").alias("present"), fill.alias("fill"))
+    return out.where(F.col("present") >= F.floor(F.lit(threshold) * number(n_samples)))
 
 
 def subsample(df: DataFrame, kind: str, fractions: dict[str, float], unit: str) -> DataFrame:
@@ -181,10 +193,10 @@ def complete_features(df: DataFrame, feature: str, n_samples: int | Column, valu
     return out.where((F.col("n") == number(n_samples)) & (F.col("variance") > 0))
 
 
-def uniquify(df: DataFrame, symbol: str, order: Sequence[Column], out: str = "symbol_unique") -> DataFrame:
-    """The second occurrence of a symbol becomes ``symbol-2``, the third ``symbol-3``."""
-    r = F.row_number().over(Window.partitionBy(symbol).orderBy(*order))
-    return df.withColumn("__r", r).withColumn(out, F.when(F.col("__r") > 1, F.concat_ws("-", symbol, "__r")).otherwise(F.col(symbol))).drop("__r")
+def uniquify(df: DataFrame, symbol: str, order: Sequence[Column], out: str = "symbol_unique", slice_of: Column | None = None) -> DataFrame:
+    """The second occurrence of a symbol becomes ``symbol-2``, the third ``symbol-3``. Occurrences are numbered in slices; ``slice_of`` (by default the first column of ``order``) must not fall along ``order``."""
+    r = ranks(df, [symbol], order[0] if slice_of is None else slice_of, list(order), "__r")
+    return r.withColumn(out, F.when(F.col("__r") > 1, F.concat_ws("-", symbol, "__r")).otherwise(F.col(symbol))).drop("__r")
 
 
 def registered_anchors(anchors: DataFrame, genes: DataFrame) -> DataFrame:

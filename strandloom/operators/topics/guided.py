@@ -132,7 +132,7 @@ def infer_guided(fitted: Fitted, counts: DataFrame, max_iter: int = 20, tol: flo
 
 def cells_by_topic(cell_topic: DataFrame) -> DataFrame:
     """The weights of each topic divided by their sum over the cells."""
-    return share(cell_topic, ["topic_id"], "weight")
+    return share(cell_topic, ["topic_id"], "weight", large=True)
 
 
 def pseudo_counts(phi: np.ndarray, genes: np.ndarray, values: np.ndarray, alpha: float, max_iter: int = 20, tol: float = 1e-16) -> np.ndarray:

@@ -88,7 +88,7 @@ def genes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def named_genes(spark: SparkSession, folder: str) -> DataFrame:
-    return uniquify(genes(spark, folder), "symbol", [F.col("chr"), F.col("start"), F.col("end"), F.col("strand")], "gene")
+    return uniquify(genes(spark, folder), "symbol", [F.col("chr"), F.col("start"), F.col("end"), F.col("strand")], "gene", F.struct("chr", F.floor(F.col("start") / 5_000_000)))
 
 
 def peaks(spark: SparkSession, folder: str, sites: DataFrame | None = None) -> DataFrame:
