@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.columns import sample_of, type_name
@@ -16,6 +16,7 @@ from strandloom.llm.packing import cut_documents, fill_report, pack
 from strandloom.llm.sampling import balanced_sample
 from strandloom.plans.cells import OBS_SQL, TYPE_SQL
 from strandloom.plans.registry import Catalog, table
+from strandloom.session import cut
 
 CATALOG = Catalog()
 
@@ -92,6 +93,16 @@ def p3_balance(spark: SparkSession, folder: str) -> DataFrame:
     return _drawn(spark, folder).balance
 
 
+LANES_SQL = f"""{WANTED_SQL}, lanes AS (SELECT cell_id, split_part(cell_id, '_', 1) AS sample_id, {TYPE_SQL} AS main_cell_type, CAST(lane_batch AS VARCHAR) AS lane_batch FROM rna_obs WHERE cell_id IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC NULLS LAST, {TYPE_SQL} DESC NULLS LAST, rna_obs.lane_batch DESC NULLS LAST) = 1)"""
+
+
+@CATALOG.add("p3_expected", f"{LANES_SQL} SELECT sample_id, lane_batch, round(sum(least(wanted, available) / available), 6) AS expected FROM lanes JOIN plan USING (sample_id, main_cell_type) WHERE least(wanted, available) > 0 GROUP BY 1, 2")
+def p3_expected(spark: SparkSession, folder: str) -> DataFrame:
+    """How many cells of each lane are to be expected in the drawn sample, and so the base of ``p3_balance``."""
+    return _drawn(spark, folder).balance.select("sample_id", "lane_batch", F.round("expected", 6).alias("expected"))
+
+
 #: Words and marks of a text, for SQL: the cases of p6 and p7 are the same for any usual tokenizer.
 WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')), 0)"
 SOURCE_SQL = r"nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '')"
@@ -129,6 +140,19 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return _for_each_limit(spark, folder, fill_report)
 
 
+@CATALOG.add("p6_checked", "SELECT container, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS cut_in_vain FROM (SELECT DISTINCT container FROM pack_limits WHERE capacity_tokens > 0)")
+def p6_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each kind of container: the documents packed, the containers that hold too much, and the documents that were cut although they fit, or not into as few pieces as can be."""
+
+    def check(packed: DataFrame, capacity: int) -> DataFrame:
+        placed = cut(packed.where("container_id IS NOT NULL"))
+        over = fill_report(placed, capacity).agg(F.count(F.when(F.col("free_tokens") < 0, 1))).scalar()
+        docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+        return docs.agg(F.count("*").alias("documents"), F.count(F.when(F.col("n") != F.ceil(F.col("t") / capacity), 1)).alias("cut_in_vain")).withColumn("overfull", over)
+
+    return _for_each_limit(spark, folder, check)
+
+
 def _mixed(spark: SparkSession, folder: str) -> Mix:
     return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -155,6 +179,20 @@ def p7_plan(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder).plan
 
 
+@CATALOG.add("p7_checked", f"SELECT DISTINCT {SOURCE_SQL} AS source, CAST(0 AS BIGINT) AS overused, true AS near_target FROM mix_targets WHERE {SOURCE_SQL} IS NOT NULL")
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source: the documents used more than ``max_repeat`` times, and whether its slots are as near its target as golden-ratio points are."""
+    mixed = _mixed(spark, folder)
+    uses = mixed.plan.groupBy("source", "doc_id").agg(F.count("*").alias("n")).join(mixed.report.select("source", "max_repeat"), "source")
+    uses = uses.groupBy("source").agg(F.count(F.when(F.col("n") > F.col("max_repeat"), 1)).alias("overused"))
+    every = Window.partitionBy(F.lit(0))  # one row a source
+    slots = F.sum("slots_wanted").over(every)
+    stray = 3 + 2 * F.log2(F.greatest(slots, F.lit(1))) / F.log2(F.lit((1 + 5**0.5) / 2))
+    near = F.abs(F.col("slots_wanted") - slots * F.try_divide("target_share", F.sum("target_share").over(every))) <= stray
+    both = mixed.report.withColumn("near_target", near).join(uses, "source", "left")
+    return both.select("source", F.coalesce("overused", F.lit(0)).alias("overused"), "near_target")
+
+
 def _passages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return segments(docs, train(docs), lang_col="lang")
