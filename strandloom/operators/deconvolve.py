@@ -13,9 +13,12 @@ from strandloom.functions.columns import count_of
 from strandloom.operators.matrix import aligned, matmul, share
 from strandloom.operators.metrics import regression
 from strandloom.operators.prefix import drawn_ranks
+from strandloom.session import cut
 
 #: Topics or cell types that a dense square matrix of them may have on the driver.
 MOST_FACTORS = 2_000
+#: Fractions of samples, and rows of a reference profile, that are broadcast.
+MOST_SENT, MOST_PROFILE = 1_000_000, 200_000
 
 
 def type_means(cell_topic: DataFrame, kinds: DataFrame, weight: str = "weight", over: Sequence[str] = ("topic_id",)) -> DataFrame:
@@ -78,9 +81,13 @@ def reference_scale(counts: DataFrame, kinds: DataFrame) -> DataFrame:
     return counts.join(kinds, "cell_id").groupBy("main_cell_type").agg((F.sum("value") / 1e4).alias("scale"))
 
 
-def peak_weights(profile: DataFrame, links: DataFrame) -> DataFrame:
-    """``main_cell_type, peak_id, value``: profile times gene-peak weights, divided by the peak's mean over all types (a mean of 0 stays)."""
+def peak_weights(profile: DataFrame, links: DataFrame, few: bool = False) -> DataFrame:
+    """``main_cell_type, peak_id, value``: profile times gene-peak weights, divided by the peak's mean over all types (a mean of 0 stays).
+
+    ``few``: the profile is small enough to be broadcast. Then the links are shuffled by peak, and products, one for each link and type, stay in their task."""
     n = count_of(profile, "main_cell_type")
+    if few:
+        profile, links = F.broadcast(profile), links.repartition("peak_id")
     w = matmul(profile, links, ["main_cell_type"], ["gene"], ["peak_id"], "value", "weight")
     mean = F.sum("value").over(Window.partitionBy("peak_id")) / n
     return w.withColumn("value", F.col("value") / F.when(mean == 0, 1.0).otherwise(mean))
@@ -189,6 +196,47 @@ def signal_scores(predicted: DataFrame, truth: DataFrame, bulk: DataFrame) -> Da
     return sums.join(own, "sample_id").join(m.groupBy("sample_id").agg(F.avg(r).alias("peak_cor")), "sample_id", "left")
 
 
+def predicted_scores(frac: DataFrame, peaks: DataFrame, weights: DataFrame, truth: DataFrame) -> DataFrame:
+    """``signal_scores`` of ``predict_peaks`` without laying the prediction out: it has samples times types times peaks rows, which are neither shuffled nor written.
+
+    The weights and measured values of a peak (``main_cell_type, peak_id, value`` each) travel as one row and meet the samples' signals there; a sample's fractions, a number for each
+    type, are broadcast up to ``MOST_SENT`` of them (8 MB), else shuffled; give ``frac`` written down, it is read twice. What leaves a task are sums for each sample and type, and for the sample as a whole under number -1.
+    """
+    names = [r[0] for r in frac.select("main_cell_type").distinct().orderBy("main_cell_type").limit(MOST_FACTORS + 1).collect()]
+    if len(names) > MOST_FACTORS:
+        raise ValueError(f"more than {MOST_FACTORS} types")
+    known = F.lit(names) if names else F.array().cast("array<string>")
+    at = F.nullif(F.array_position(known, F.col("main_cell_type")), F.lit(0)).cast("int") - 1  # null for types that no sample has: nothing is predicted of them
+    shares = frac.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col("fraction").alias("v")))).alias("__m"))
+    shares = cut(shares.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0))).alias("__f")))
+    few = shares.count() * len(names) <= MOST_SENT
+    none = F.lit(0.0)
+    entries = weights.select("peak_id", at.alias("i"), F.col("value").alias("w"), none.alias("t")).unionAll(truth.select("peak_id", at.alias("i"), none.alias("w"), F.col("value").alias("t")))
+    entries = entries.groupBy("peak_id", "i").agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
+    packed = entries.groupBy("peak_id").agg(F.collect_list(F.struct("i", "w", "t")).alias("__e"))
+    met = peaks.select("sample_id", "peak_id", F.col("value").alias("__c")).join(packed, "peak_id").join(F.broadcast(shares) if few else shares, "sample_id")
+    own = F.transform("__e", lambda e: F.struct(e["i"].alias("i"), (F.coalesce(F.get("__f", e["i"]), none) * F.col("__c") * e["w"]).alias("p"), e["t"].alias("t"), none.alias("b")))
+    total = lambda name: F.aggregate("__own", none, lambda x, e: x + e[name])
+    met = met.select("sample_id", "__c", own.alias("__own")).withColumn("__p", total("p")).where("__p > 0")
+    whole = F.array(F.struct(F.lit(-1).alias("i"), F.col("__p").alias("p"), total("t").alias("t"), F.col("__c").alias("b")))
+    flat = met.select("sample_id", F.inline(F.concat(whole, "__own")))
+    p, t, b, all_types = F.col("p"), F.col("t"), F.col("b"), F.col("i") < 0
+    of = lambda f, e: f(F.when(all_types, e))
+    m = flat.groupBy("sample_id", "i").agg(
+        *[F.sum(e).alias(k) for k, e in {"p": p, "t": t, "pp": p**2, "tt": t**2, "pt": p * t}.items()],
+        of(F.count, p).alias("n"), of(F.avg, F.abs(p - t)).alias("mae"), of(F.avg, (p - t) ** 2).alias("mse"), of(F.stddev_pop, t).alias("st"),
+        of(F.avg, F.abs(p - b)).alias("mae_bulk"), of(F.avg, (p - b) ** 2).alias("mse_bulk"), of(F.stddev_pop, b).alias("sb"),
+    )
+    n = F.max("n").over(Window.partitionBy("sample_id"))
+    m = m.withColumn("__n", n).withColumn("__vp", F.col("pp") - F.col("p") ** 2 / F.col("__n")).withColumn("__vt", F.col("tt") - F.col("t") ** 2 / F.col("__n"))
+    r = F.when(~all_types & (F.col("__vp") > 1e-12 * F.col("pp")) & (F.col("__vt") > 1e-12 * F.col("tt")), (F.col("pt") - F.col("p") * F.col("t") / F.col("__n")) / F.sqrt(F.col("__vp") * F.col("__vt")))
+    one = m.groupBy("sample_id").agg(F.max("n").alias("n"), *[of(F.max, F.col(c)).alias(c) for c in ("mae", "mse", "st", "mae_bulk", "mse_bulk", "sb")], F.avg(r).alias("peak_cor"))
+    r2 = lambda mse, sd: F.when(F.col(sd) > 0, 1 - F.col(mse) / F.col(sd) ** 2)
+    return one.select(
+        "sample_id", "n", "mae", "mse", F.sqrt("mse").alias("rmse"), r2("mse", "st").alias("r2"), "mae_bulk", "mse_bulk", F.sqrt("mse_bulk").alias("rmse_bulk"), r2("mse_bulk", "sb").alias("r2_bulk"), "peak_cor"
+    )
+
+
 def sample_types(topic_sample: DataFrame, topic_type: DataFrame, sample: str = "sample_id") -> DataFrame:
     """``sample, main_cell_type, weight``: topic weights of a sample times the topics' cell type weights, each type's column first divided by its sum (+ 1e-10), summing to 1 per sample."""
     column = topic_type.withColumn("weight", F.col("weight") / (F.sum("weight").over(Window.partitionBy("main_cell_type")) + 1e-10))

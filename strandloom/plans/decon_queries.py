@@ -114,10 +114,16 @@ def celltype_peak_weight(s: SparkSession, d: str) -> DataFrame:
     return _r(D.peak_weights(D.reference_profile(A.counts(s, d), A.anno(s, d)), _links(s, d)), 6, "value")
 
 
-def _predicted(s: SparkSession, d: str) -> DataFrame:
-    cells, sites, kinds = cut(A.counts(s, d)), cut(A.genes(s, d)), A.anno(s, d)  # read several times
+def _prediction(s: SparkSession, d: str, cells: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fractions, peak signals and weights that signal is predicted from."""
+    kinds = A.anno(s, d)
     f = D.fractions(A.topic_sample(s, d, cells), D.rule_weights("bayes_norm", _topic_type(s, d, cells), D.type_shares(kinds)))
-    return D.predict_peaks(f, A.peak_counts(s, d, cells, sites), D.peak_weights(D.reference_profile(cells, kinds), _links(s, d, sites)))
+    profile = cut(D.reference_profile(cells, kinds))  # counted
+    return f, A.peak_counts(s, d, cells, sites), D.peak_weights(profile, _links(s, d, sites), profile.count() <= D.MOST_PROFILE)
+
+
+def _predicted(s: SparkSession, d: str) -> DataFrame:
+    return D.predict_peaks(*_prediction(s, d, cut(A.counts(s, d)), cut(A.genes(s, d))))  # read several times
 
 
 PREDICTED = f"{WEIGHTS}, {FRACTION.format(rule=RULES['bayes_norm'], unit='sample_id', src='topic_sample')}"
@@ -267,8 +273,8 @@ def correlation_p(s: SparkSession, d: str) -> DataFrame:
 TRUTH_SIGNAL = "scaled AS (SELECT main_cell_type, peak_id, value / CASE WHEN round_even(t / 10000, 0) = 0 THEN 1 ELSE round_even(t / 10000, 0) END AS value FROM (SELECT *, sum(value) OVER (PARTITION BY peak_id) AS t FROM (SELECT main_cell_type, peak_id, round(weight * 1000, 6) AS value FROM peak_means)))"
 
 
-def _truth_signal(s: SparkSession, d: str) -> DataFrame:
-    return pipelines.scaled_truth(A.peak_means(s, d).select("main_cell_type", "peak_id", F.round(F.col("weight") * 1000, 6).alias("value")))
+def _truth_signal(s: SparkSession, d: str, cells: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+    return pipelines.scaled_truth(A.peak_means(s, d, cells, sites).select("main_cell_type", "peak_id", F.round(F.col("weight") * 1000, 6).alias("value")))
 
 
 @add("scaled_truth", _more("SELECT main_cell_type, peak_id, round(value, 6) AS value FROM scaled", TRUTH_SIGNAL, "peak_means"))
@@ -287,7 +293,9 @@ SCORES = """pred AS (SELECT sample_id, main_cell_type, peak_id, fraction * c.val
 @add("eval_signal", _more("SELECT sample_id, n, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(r2, 4) AS r2, round(mae_bulk, 3) AS mae_bulk, round(rmse_bulk, 3) AS rmse_bulk, round(r2_bulk, 4) AS r2_bulk, round(peak_cor, 5) AS peak_cor FROM sc LEFT JOIN cr USING (sample_id)", f"{PREDICTED}, {TRUTH_SIGNAL}, {SCORES}", *PREDICTED_VIEWS, "peak_means", "shares"))
 def eval_signal(s: SparkSession, d: str) -> DataFrame:
     """Predicted against measured signal of each sample."""
-    out = D.signal_scores(_predicted(s, d), _truth_signal(s, d), A.peak_counts(s, d)).drop("mse", "mse_bulk")
+    cells, sites = cut(A.counts(s, d)), cut(A.genes(s, d))  # read several times
+    f, peaks, weights = _prediction(s, d, cells, sites)
+    out = D.predicted_scores(cut(f), peaks, weights, _truth_signal(s, d, cells, sites)).drop("mse", "mse_bulk")
     return _r(_r(_r(out, 3, "mae", "rmse", "mae_bulk", "rmse_bulk"), 4, "r2", "r2_bulk"), 5, "peak_cor")
 
 

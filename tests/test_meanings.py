@@ -119,6 +119,28 @@ def test_signal_scores_equal_a_dense_computation(spark):
     assert got.mae_bulk == pytest.approx(np.abs(eb).mean()) and got.peak_cor == pytest.approx(np.mean([np.corrcoef(p[i, use], t[i, use])[0, 1] for i in range(3)]))
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_scores_without_the_laid_out_prediction_equal_those_with_it(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "MOST_SENT", most)
+    rng = np.random.default_rng(2)
+    drawn = lambda a, b, share: [(f"{a[0]}{i}", f"{b[0]}{j}", float(rng.random())) for i in range(a[1]) for j in range(b[1]) if rng.random() < share]
+    frac = spark.createDataFrame(drawn(("s", 4), ("t", 5), 0.8), "sample_id string, main_cell_type string, fraction double").where("main_cell_type <> 't4'")
+    peaks = spark.createDataFrame(drawn(("s", 4), ("p", 30), 0.7), "sample_id string, peak_id string, value double")
+    weights, truth = (spark.createDataFrame(drawn(("t", 6), ("p", 30), 0.4), "main_cell_type string, peak_id string, value double") for _ in range(2))
+    of = lambda df: {r.sample_id: [r[c] for c in ("n", "mae", "mse", "rmse", "r2", "mae_bulk", "mse_bulk", "rmse_bulk", "r2_bulk", "peak_cor")] for r in df.collect()}
+    got, want = of(D.predicted_scores(frac, peaks, weights, truth)), of(D.signal_scores(D.predict_peaks(frac, peaks, weights), truth, peaks))
+    assert set(got) == set(want) == {"s0", "s1", "s2", "s3"} and all(got[k] == pytest.approx(want[k]) for k in want)
+    none = D.predicted_scores(frac.where("false"), peaks, weights, truth)
+    assert none.collect() == [] and none.columns == D.signal_scores(D.predict_peaks(frac, peaks, weights), truth, peaks).columns
+
+
+def test_broadcast_profiles_give_the_same_peak_weights(spark):
+    profile = spark.createDataFrame([("a", "g1", 1.0), ("a", "g2", 2.0), ("b", "g1", 3.0)], "main_cell_type string, gene string, value double")
+    links = spark.createDataFrame([("g1", "p", 0.5), ("g2", "p", 1.0), ("g2", "q", 0.25), ("g3", "q", 1.0)], "gene string, peak_id string, weight double")
+    plain, few = (rows(D.peak_weights(profile, links, x), "main_cell_type", "peak_id", "value") for x in (False, True))
+    assert plain == few == {("a", "p", 1.25), ("b", "p", 0.75), ("a", "q", 2.0)}
+
+
 def test_pruned_bags_forget(spark):
     n = spark.createDataFrame([("a", 0, 10), ("a", 9, 10), ("b", 0, 4), ("c", 0, 5), ("c", 1, 5)], "t string, b int, n bigint")
     # a: 10 has faded below 5 by batch 7 and is forgotten; b is below 5 at once; c: 5 * 0.9 + 5 = 9.5, faded to batch 9: 9.5 * 0.9 ** 8 = 4.09
