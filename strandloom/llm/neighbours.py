@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.vectors import Copies, Index, build_index, fold_copies, hash_share, lay_out, nearest_pivots, record_type, screen, tiles_of, unit_rows, usable
+from strandloom.llm.vectors import Copies, Index, build_index, fold_copies, hash_share, lay_out, nearest_pivots, record_type, screen, tiles_of, unit_rows, usable, whole
 from strandloom.session import cut
 
 PAIRS = "a bigint, b bigint, cosine double"
@@ -95,24 +95,23 @@ def folded(df: DataFrame, id_col: str, vec_col: str, dim: int) -> Copies:
 def with_neighbours(df: DataFrame, copies: Copies, dim: int, min_cosine: float, block_rows: int, and_copies: bool = False) -> tuple[DataFrame, Index]:
     """The representatives that may have a partner of at least ``min_cosine`` (with ``and_copies`` also those with copies), written down, and an index of their own.
 
-    All representatives meet as int8 codes in the tiles of their blocks; those without any possible partner drop out. What is left, often few, is
-    indexed anew.
+    All representatives meet as int8 codes, each two of them once; those without any possible partner drop out. What is left, often few, meets again.
+    ``block_rows``: rows of the parts within a task; the result doesn't depend on it.
     """
-    index = build_index(copies.reps, df.count(), dim, block_rows=block_rows)
+    index = whole(df.count(), dim, block_rows)
     ids = screen(copies.reps, index, dim, min_cosine)
     if and_copies:
         ids = ids.unionAll(copies.members.select(F.col("rep").alias("vec_id")))
     near = cut(chosen(copies.reps, ids))
-    return near, build_index(near, near.count(), dim, block_rows=block_rows)
+    return near, whole(near.count(), dim, block_rows)
 
 
 def nearest_above(df: DataFrame, k: int, min_cosine: float, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, block_rows: int = 256) -> DataFrame:
     """Rows ``a, b, cosine``: for every usable vector a, its up to k most similar others b with a cosine of at least ``min_cosine``.
 
-    First all rows meet as int8 codes in the tiles of their blocks, and those without any possible partner drop out.
+    First all rows meet as int8 codes, and those without any possible partner drop out.
     The rest meet again with their float vectors; surviving pairs are recomputed, a heap of k a row takes them in tile after tile, and the k best
-    over all blocks stay. Loss: none from the codes, whose error bounds are kept; a pair is lost only if its rows share no block (see ``build_index``; the
-    tests measure the recall). Equal vectors are near each other with cosine 1; equals are taken in the order of their ids. Unusable vectors (null, wrong
+    over all tasks stay. No pair is lost at any size: the codes' error bounds are kept, and every two rows meet unless geometry rules them out (see ``Tiles.parts``). Equal vectors are near each other with cosine 1; equals are taken in the order of their ids. Unusable vectors (null, wrong
     length, NaN, infinite, all zero, without id) have no rows; an empty table gives an empty result; other columns are left out.
     """
     copies = folded(df, id_col, vec_col, dim)

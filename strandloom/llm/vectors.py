@@ -1,8 +1,9 @@
 """Blocks of vectors, and the product tiles that find near pairs within them.
 
-Vectors are brought to length one. A row is laid into the blocks of its few nearest pivots, always the same number of them, and two
-rows meet wherever they have a block in common. Tiles of a block multiply int8 codes. The rounding error of every code is known, so a product gives
-an upper and a lower bound of the true cosine; only pairs whose upper bound reaches the threshold are recomputed from the float vectors.
+Vectors are brought to length one. For pairs above a threshold all rows are one block, cut into slices that meet pairwise (``whole``), so no pair is lost at
+any size; a task passes over those pairs that geometry rules out (``Tiles``). Only a search lays a row into the blocks of its few nearest pivots (``build_index``). Tiles of a block
+multiply int8 codes. The rounding error of every code is known, so a product gives an upper and a lower bound of the true cosine; only pairs whose upper bound reaches the threshold are
+recomputed from the float vectors.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from strandloom.session import cut
 
 #: Rows of one tile side.
 TILE = 1024
-#: Rows of a block from which a task lays it into smaller blocks of its own, and the rows of those.
-WHOLE_ROWS, PART_ROWS = 3072, 512
+#: Rows of a block up to which all of it meets; the rows of the parts that a task lays larger ones into, and the most parts.
+WHOLE_ROWS, PART_ROWS, MOST_PARTS = 3072, 512, 64
 #: Rows that blocks are bundled to, so that a task gets some of them at a time.
 GROUP_ROWS = 32_768
 #: Rows of a block beyond which it is cut into slices that meet pairwise.
 SLICE_ROWS = 200_000
+#: Rows of a slice, and how many slices there are at most, where a table is cut only for the sake of its tasks.
+SPREAD_ROWS, SPREAD = 30_000, 7
+#: Share of a sample's pairs that may pass the bound by the first axes (see ``Tiles.shortened``).
+PASSED = 5e-4
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -102,6 +107,7 @@ class Index:
     visits: int
     groups: int
     slices: dict[int, int]
+    part_rows: int = PART_ROWS
 
     def groups_of(self, block: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(row, group)``: the group that each row of a block goes to; for a row of a block in slices all groups with its slice."""
@@ -135,8 +141,7 @@ def build_index(vectors: DataFrame, n: int, dim: int, visits: int = 6, block_row
     There is a block for every ``block_rows`` rows, up to ``max_blocks``, so the sample has at most ``max_blocks * sample_per_block`` rows (262,144) and the pivots, the only
     thing broadcast, are at most ``max_blocks * dim`` floats. A row is laid into ``visits`` blocks whatever their number, so what is shuffled grows with the
     rows alone. Two rows of cosine c share one of their nearest pivots unless each of those is far down the other's list: with six visits some 3 pairs in
-    100,000 of cosine 0.9 are lost (measured in the tests), about equally many with 100 and with 1,600 blocks. Blocks that have become large, because their number is bounded or
-    the data crowd there, are laid into smaller ones by the task that has them (``Tiles``); blocks beyond ``SLICE_ROWS`` are cut into slices that meet pairwise.
+    100,000 of cosine 0.9 are lost (measured in the tests), about equally many with 100 and with 1,600 blocks. Blocks beyond ``SLICE_ROWS`` are cut into slices that meet pairwise.
     """
     k = int(max(1, min(max_blocks, round(n / block_rows))))
     want = sample_per_block * k
@@ -158,6 +163,13 @@ def build_index(vectors: DataFrame, n: int, dim: int, visits: int = 6, block_row
     return Index(pivots, visits, int(max(1, min(k, -(-n * visits // GROUP_ROWS)))), slices)
 
 
+def whole(n: int, dim: int, part_rows: int = PART_ROWS) -> Index:
+    """All rows in one block, whose slices meet pairwise: every two rows meet once, whatever ``n``. A row travels once for each slice: up to ``SPREAD`` times as long as slices have at most ``SLICE_ROWS`` rows,
+    beyond that in proportion to ``n``."""
+    slices = max(-(-n // SLICE_ROWS), min(SPREAD, -(-n // SPREAD_ROWS)))
+    return Index(np.zeros((1, dim), np.float32), 1, 1, {0: slices} if slices > 1 else {}, part_rows)
+
+
 def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, the scale of each row, and the length of each row's rounding error."""
     scale = np.abs(unit).max(axis=1) / 127
@@ -242,7 +254,7 @@ class Tiles:
         self.rec, self.scale, self.err = rec[order], scale[order], err[order]
         self.code = code[order].astype(np.float32)  # whole numbers; their products are exact up to dim 1040
         self.ids = self.rec["id"]
-        n = index.slices.get(self.block, 1)
+        n, self.part_rows = index.slices.get(self.block, 1), index.part_rows
         self.slice, self.across = (index.slice_of(self.ids, n), self._two_slices(index, group, n)) if n > 1 else (None, False)
 
     def _two_slices(self, index: Index, group: int, n: int) -> bool:
@@ -250,53 +262,102 @@ class Tiles:
         low, high = divmod(group - first, n)
         return low != high
 
-    def parts(self):
-        """Rows that meet: all, or in a large block the rows of each of its parts, whose pivots are some of its rows. Sets ``local``, the parts of each row."""
-        n = len(self.ids)
-        self.local = None
-        if n <= WHOLE_ROWS:
-            yield 0, np.arange(n)
+    def parts(self, reach: float):
+        """``(part, home, guests)`` row numbers, so that any two rows whose codes are at most ``reach`` apart meet in a part where one is at home. Sets ``part`` and ``guest``.
+
+        A row's home is the pivot it has the largest product with. Rows x and y at home with P and Q are apart, along Q - P, by the sum of their distances from the plane where
+        both products are equal. So of two rows within reach one is at most half of it from that plane, and rows are guests of all parts they are that near to.
+        """
+        n, rows = len(self.ids), min(PART_ROWS, self.part_rows)
+        self.part = None
+        if n <= min(WHOLE_ROWS, 2 * rows):
+            yield 0, np.arange(n), np.zeros(0, np.int64)
             return
-        pick = np.argsort(mixed(self.ids), kind="stable")[: -(-n // PART_ROWS)]
-        unit = self.code * (1 / np.sqrt((self.code * self.code).sum(axis=1)))[:, None]
-        self.local = nearest_pivots(unit, unit[pick], min(4, len(pick)))
-        row, part = np.repeat(np.arange(n), self.local.shape[1]), self.local.ravel()
-        order = np.argsort(part, kind="stable")
-        edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
-        for a, b in zip(edge[:-1], edge[1:]):
-            yield int(part[order[a]]), row[order[a:b]]
+        point = self.code * self.scale[:, None]
+        pick = np.argsort(mixed(self.ids), kind="stable")[: 64 * MOST_PARTS]
+        pivots, some = point[pick[: min(MOST_PARTS, -(-n // rows))]], point[pick]
+        for _ in range(3):
+            near = (some @ pivots.T).argmax(axis=1)
+            for j in np.unique(near):
+                mean = some[near == j].sum(axis=0)
+                pivots[j] = mean / max(float(np.sqrt(mean @ mean)), 1e-12)
+        apart = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+        self.part, self.guest = np.empty(n, np.int64), np.empty((n, len(pivots)), bool)
+        for a in range(0, n, 16384):
+            s = point[a : a + 16384] @ pivots.T
+            own = s.argmax(axis=1)
+            self.part[a : a + 16384] = own
+            self.guest[a : a + 16384] = np.take_along_axis(s, own[:, None], 1) - s <= reach / 2 * apart[own] + 1e-5
+        for j in range(len(pivots)):
+            yield j, np.flatnonzero(self.part == j), np.flatnonzero(self.guest[:, j] & (self.part != j))
+
+    def meetings(self, home: np.ndarray, guests: np.ndarray):
+        """``(left, right, same)``: the rows to be multiplied, which are the same rows on both sides if ``same``. Of two slices only rows of different slices meet."""
+        if not self.across:
+            return [(home, home, True), (home, guests, False)]
+        low = self.slice == self.slice.min()
+        home, other, near, far = home[low[home]], home[~low[home]], guests[low[guests]], guests[~low[guests]]
+        return [(home, other, False), (home, far, False), (other, near, False)]
+
+    def shortened(self, min_cosine: float) -> np.ndarray:
+        """The codes turned to their main axes, of which the first are kept, and behind them the length of the rest: a product of two such rows is at least that of the codes.
+
+        As few axes are kept as leave no more than ``PASSED`` of a sample's pairs; all of them if even most axes leave more.
+        """
+        point = self.code * self.scale[:, None]
+        dim = point.shape[1]
+        some = point[np.argsort(mixed(self.ids), kind="stable")[:4096]].astype(np.float64)
+        axes = np.linalg.eigh(some.T @ some)[1][:, ::-1]
+        few = some[:512] @ axes
+        least = min_cosine - 2 * float(np.median(self.err))
+        kept = dim
+        for d in (16, 24, 32, 48) if len(point) > TILE else ():
+            rest = np.sqrt((few[:, d:] ** 2).sum(axis=1))
+            passed = few[:, :d] @ few[:, :d].T + rest[:, None] * rest[None, :] >= least
+            if d < dim and passed.sum() - len(few) <= PASSED * len(few) ** 2:
+                kept = d
+                break
+        if kept == dim:
+            return point
+        out = np.empty((len(point), kept + 1), np.float32)
+        for a in range(0, len(point), 16384):
+            turned = point[a : a + 16384] @ axes.astype(np.float32)
+            out[a : a + 16384, :kept] = turned[:, :kept]
+            out[a : a + 16384, kept] = np.sqrt((turned[:, kept:] ** 2).sum(axis=1)) + 1e-6
+        return out
 
     def candidates(self, min_cosine: float):
-        """``(i, j)`` arrays of row numbers, i after j, each pair once, whose upper bound reaches ``min_cosine``."""
-        out = np.empty((TILE, TILE), np.float32)
-        for part, rows in self.parts():
-            code, scale, err, ids = self.code[rows], self.scale[rows], self.err[rows], self.ids[rows]
-            for b in range(0, len(rows), TILE):
-                right = np.ascontiguousarray(code[b : b + TILE].T)
-                most, wide, thin = float(err[b : b + TILE].max()), scale[b : b + TILE].max(), scale[b : b + TILE].min()
-                for a in range(b, len(rows), TILE):
-                    left = code[a : a + TILE]
-                    s = np.matmul(left, right, out=out[: len(left), : right.shape[1]])
-                    e = err[a : a + TILE]
-                    floor = min_cosine - e - most - e * most - 1e-5
-                    hit = s >= (floor / (scale[a : a + TILE] * np.where(floor > 0, wide, thin)))[:, None]
-                    if not hit.any():
-                        continue
-                    i, j = np.nonzero(hit)
-                    est = s[i, j]
-                    i, j = i + a, j + b
-                    ok = (j < i) & (ids[i] != ids[j])
-                    i, j, est = i[ok], j[ok], est[ok]
-                    ok = est * scale[i] * scale[j] + err[i] + err[j] + err[i] * err[j] + 1e-5 >= min_cosine
-                    i, j = rows[i[ok]], rows[j[ok]]
-                    if self.local is not None and len(i):
-                        ok = lowest_common(self.local[i], self.local[j]) == part
-                        i, j = i[ok], j[ok]
-                    if self.slice is not None:
-                        ok = (self.slice[i] != self.slice[j]) == self.across
+        """``(i, j)`` arrays of row numbers, each pair once, whose upper bound reaches ``min_cosine``."""
+        if not len(self.ids):
+            return
+        out, short = np.empty((TILE, TILE), np.float32), self.shortened(min_cosine)
+        reach = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)) + 2 * self.err.max() + 1e-5)
+        for part, home, guests in self.parts(reach):
+            for left, right, same in self.meetings(home, guests):
+                for b in range(0, len(right), TILE):
+                    cols = right[b : b + TILE]
+                    y, most = np.ascontiguousarray(short[cols].T), float(self.err[cols].max())
+                    for a in range(b if same else 0, len(left), TILE):
+                        rows = left[a : a + TILE]
+                        s, e = np.matmul(short[rows], y, out=out[: len(rows), : len(cols)]), self.err[rows]
+                        floor = (min_cosine - e - most - e * most - 2e-5).astype(np.float32)
+                        at = np.flatnonzero(s >= floor[:, None])
+                        i, j = at // len(cols), at % len(cols)
+                        if same:
+                            i, j = i[j + b < i + a], j[j + b < i + a]
+                        i, j = rows[i], cols[j]
+                        ok = self.ids[i] != self.ids[j]
+                        if self.part is not None and not same:  # two rows at home in different parts may meet in both: the lower part has the pair
+                            elsewhere = np.where(self.part[j] == part, self.part[i], self.part[j])
+                            host = np.where(self.part[j] == part, j, i)
+                            ok &= (elsewhere == part) | (part < elsewhere) | ~self.guest[host, elsewhere]
                         i, j = i[ok], j[ok]
-                    if len(i):
-                        yield i, j
+                        for c in range(0, len(i), 65536):
+                            x, z = i[c : c + 65536], j[c : c + 65536]
+                            est = np.einsum("ij,ij->i", self.code[x], self.code[z]) * self.scale[x] * self.scale[z]
+                            ok = est + self.err[x] + self.err[z] + self.err[x] * self.err[z] + 1e-5 >= min_cosine
+                            if ok.any():
+                                yield x[ok], z[ok]
 
     def pairs(self, min_cosine: float):
         """``(i, j, cosine)`` of the pairs of at least ``min_cosine`` by their float vectors. Of the blocks that hold both rows, the lowest has the pair."""

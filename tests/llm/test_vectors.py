@@ -222,3 +222,28 @@ def test_search_of_many_blocks_recalls_nearly_all(cells):
     s[np.arange(len(at)), at] = -2
     hits = [len(got[int(ids[q])] & {int(ids[x]) for x in np.flatnonzero(s[n] >= np.sort(s[n])[-5] - 1e-6)}) for n, q in enumerate(at)]
     assert set(got) == {int(ids[q]) for q in at} and sum(hits) / (5 * len(at)) >= 0.93
+
+
+@pytest.fixture(scope="module")
+def bare_pairs(spark):
+    """Directions without any order, two rows to each with a cosine barely above 0.9."""
+    rng = np.random.default_rng(8)
+    a, turn = rng.normal(size=(3000, 64)), rng.normal(size=(3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    turn -= (turn * a).sum(axis=1, keepdims=True) * a
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.902 * a + np.sqrt(1 - 0.902**2) * turn]).astype(np.float32)
+    return spark.createDataFrame([(i, [float(v) for v in r], "", "") for i, r in enumerate(x)], SCHEMA).repartition(4).cache()
+
+
+def in_slices(monkeypatch, rows):
+    import strandloom.llm.vectors as V
+
+    monkeypatch.setattr(V, "SPREAD_ROWS", rows, raising=False)
+
+
+@pytest.mark.parametrize("rows", [1000, 100_000])
+def test_p2_loses_no_pair_at_any_size(bare_pairs, monkeypatch, rows):
+    in_slices(monkeypatch, rows)
+    found = density_peaks(bare_pairs, block_rows=100).nodes.select("vec_id", "density", "label", "isolated").collect()
+    assert len(found) == 6000 and all((r.density, r.label, r.isolated) == (2, r.vec_id % 3000, True) for r in found)
