@@ -242,6 +242,12 @@ def in_slices(monkeypatch, rows):
     monkeypatch.setattr(V, "SPREAD_ROWS", rows, raising=False)
 
 
+@pytest.mark.parametrize("rows", [1000, 100_000])
+def test_p5_loses_no_pair_at_any_size(bare_pairs, monkeypatch, rows):
+    in_slices(monkeypatch, rows)
+    assert {tuple(r) for r in mutual_pairs(nearest_above(bare_pairs, 5, 0.9, block_rows=100)).collect()} == {(i, i + 3000) for i in range(3000)}
+
+
 @pytest.mark.parametrize("rows", [1000, 100_000])
 def test_p2_loses_no_pair_at_any_size(bare_pairs, monkeypatch, rows):
     in_slices(monkeypatch, rows)
