@@ -1,19 +1,18 @@
-"""Latent Dirichlet allocation through pyspark.ml."""
+"""Latent Dirichlet allocation by variational Bayes: passes over Arrow lists, sums of the topics' statistics by slice."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import LDA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from strandloom.session import cut
 
@@ -21,6 +20,10 @@ from strandloom.session import cut
 MOST_GENES = 200_000
 #: Topics times genes of a model; the driver holds one such matrix, and each worker one.
 MOST_WEIGHTS = 20_000_000
+#: Cells whose topic weights are iterated together, few enough for a processor's cache; a cell's result doesn't depend on the others.
+CELLS = 1024
+#: A cell is settled when its topic weights, which sum to its tokens and priors, move less than this on average.
+SETTLED = 1e-3
 
 
 def vocabulary(counts: DataFrame, gene: str = "gene") -> list[str]:
@@ -91,40 +94,153 @@ def in_slices(x: np.ndarray, rows: int = 1 << 16) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([x[i : i + rows].tobytes() for i in cuts], pa.binary())], names=["slice", "data"])
 
 
-def _vectors(counts: DataFrame, genes: Sequence[str], cell: str) -> DataFrame:
-    """Sparse vectors over the vocabulary, made from numbers and values in Arrow batches; nothing is spelled out count by count."""
-    v = len(genes)
-    made = StructType([StructField(cell, StringType()), StructField("features", VectorUDT())])
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log gamma of positive numbers."""
+    y = x + 6
+    r = 1 / (y * y)
+    out = np.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    for i in range(6):
+        out -= 1 / (x + i)
+    return out
 
-    def build(batches):
-        for b in batches:
-            n, values = b.num_rows, b.column("values")
-            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, v, np.int32)), b.column("genes").cast(pa.list_(pa.int32())), values.cast(pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])], names=[cell, "features"])
 
-    return numbered(counts, genes, cell).mapInArrow(build, made)
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, x.ravel().tolist()), np.float64, x.size).reshape(x.shape)
+
+
+@dataclass
+class Topics:
+    """``weights``: topics x genes, the parameters of each topic's Dirichlet distribution over the genes; ``alpha`` and ``eta``: the priors of cells and topics."""
+
+    weights: np.ndarray
+    alpha: float
+    eta: float
+
+    def topicsMatrix(self) -> DenseMatrix:  # noqa: N802  named as in pyspark.ml
+        """Genes x topics."""
+        return DenseMatrix(self.weights.shape[1], self.weights.shape[0], self.weights.ravel())
+
+    def means(self) -> np.ndarray:
+        """Topics x genes: the expected logarithm of each gene's share of a topic."""
+        return digamma(self.weights) - digamma(self.weights.sum(axis=1, keepdims=True))
+
+
+def settle(genes: np.ndarray, sizes: np.ndarray, values: np.ndarray, beta: np.ndarray, alpha: float) -> np.ndarray:
+    """Topics x cells: the weights of the topics in each cell, iterated for each cell until they stand still. ``beta``: exponential of ``Topics.means``.
+
+    A cell starts with its tokens spread evenly, so nothing is drawn. Settled cells drop out of the iteration.
+    """
+    ends = np.r_[0, np.cumsum(sizes)]
+    out = np.empty((len(beta), len(sizes)))
+    for first in range(0, len(sizes), CELLS):
+        n = sizes[first : first + CELLS]
+        at, part = np.arange(first, first + len(n)), slice(ends[first], ends[first + len(n)])
+        w, v = beta[:, genes[part]], values[part].astype(np.float64)
+        starts, doc = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        tokens = np.add.reduceat(v, starts)
+        gamma = np.repeat((alpha + tokens / len(beta))[None, :], len(beta), axis=0)
+        moving = np.ones(len(n), bool)
+        while moving.any():
+            e = np.exp(digamma(gamma))
+            norm = np.einsum("kn,kn->n", np.take(e, doc, axis=1), w) + 1e-100
+            new = alpha + e * np.add.reduceat(w * (v / norm), starts, axis=1)
+            stopped = moving & (np.abs(new - gamma).mean(axis=0) < SETTLED + 1e-12 * tokens)  # the second for numbers so large that rounding moves them
+            out[:, at[stopped]] = new[:, stopped]
+            moving &= ~stopped
+            gamma = new
+            if moving.sum() < 0.75 * len(moving):
+                here = moving[doc]
+                w, v, gamma, n, at, tokens = w[:, here], v[here], gamma[:, moving], n[moving], at[moving], tokens[moving]
+                starts, doc, moving = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), np.ones(len(n), bool)
+    return out
+
+
+def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    genes, sizes = flat(b.column("genes"))
+    return genes, sizes, flat(b.column("values"))[0]
+
+
+def _pass(x: DataFrame, topics: Topics) -> np.ndarray:
+    """Topics x genes: the tokens of each gene that fall to each topic, over all cells."""
+    k, v = topics.weights.shape
+    held, alpha = x.sparkSession.sparkContext.broadcast(np.exp(topics.means())), topics.alpha
+
+    def count(batches):
+        total = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            genes, sizes, values = _lists(b)
+            beta, doc = held.value, np.repeat(np.arange(len(sizes)), sizes)
+            e = np.exp(digamma(settle(genes, sizes, values, beta, alpha)))
+            norm = 1e-100 + sum(e[j][doc] * beta[j][genes] for j in range(k))
+            r = values / norm
+            found = np.concatenate([np.bincount(genes, e[j][doc] * r, v) for j in range(k)])
+            total = found if total is None else total + found
+        if total is not None:
+            yield in_slices(total)
+
+    out = add_up(x.mapInArrow(count, "slice int, data binary"), k * v).reshape(k, v) * held.value
+    held.unpersist()
+    return out
+
+
+def _judged(x: DataFrame, topics: Topics, cell: str) -> DataFrame:
+    """``cell, weights, bound, tokens``: each cell's shares of the topics, its part of the lower bound of the log likelihood, and its tokens."""
+    held, alpha, k = x.sparkSession.sparkContext.broadcast(np.exp(topics.means())), topics.alpha, len(topics.weights)
+
+    def judge(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            genes, sizes, values = _lists(b)
+            beta, doc, starts = held.value, np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            gamma = settle(genes, sizes, values, beta, alpha)
+            total = gamma.sum(axis=0)
+            mean = digamma(gamma) - digamma(total)
+            e = np.exp(mean)
+            norm = 1e-100 + sum(e[j][doc] * beta[j][genes] for j in range(k))
+            bound = np.add.reduceat(values * np.log(norm), starts) + ((alpha - gamma) * mean + _lgamma(gamma) - math.lgamma(alpha)).sum(axis=0) + math.lgamma(alpha * k) - _lgamma(total)
+            ends = pa.array(np.arange(len(sizes) + 1) * k, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array((gamma / total).T.ravel())), pa.array(bound), pa.array(np.add.reduceat(values.astype(np.int64), starts))], names=[cell, "weights", "bound", "tokens"])
+
+    return x.mapInArrow(judge, f"`{cell}` {x.schema[cell].dataType.simpleString()}, weights array<double>, bound double, tokens bigint")
+
+
+def _perplexity(judged: DataFrame, topics: Topics) -> float:
+    """Minus the lower bound of the log likelihood a token, as pyspark.ml's ``logPerplexity``."""
+    got = judged.agg(F.sum("bound").alias("bound"), F.sum("tokens").alias("tokens")).head()
+    if not got.tokens:
+        return math.nan
+    w, eta = topics.weights, topics.eta
+    own = ((eta - w) * topics.means() + _lgamma(w) - math.lgamma(eta)).sum() + (math.lgamma(eta * w.shape[1]) - _lgamma(w.sum(axis=1))).sum()
+    return -(got.bound + float(own)) / got.tokens
 
 
 def fit_lda(counts: DataFrame, k: int, max_iter: int = 100, seed: int = 9, alpha: float | None = None, eta: float | None = None, cell: str = "cell_id") -> Fitted:
-    """Online variational Bayes with symmetric priors of 1 / k, or those given. Full distributions are returned, in the given gene order.
+    """Variational Bayes with symmetric priors of 1 / k, or those given. Full distributions are returned, in the given gene order.
 
-    Every iteration is a pass that draws as many cells as there are, with replacement (the library has no other way), so a cell stays out of all of them with
-    probability exp(-max_iter). The learning offset is 1: with the library's 1024 the random start would keep a large part of the weights.
+    Every iteration is a pass over all cells, each counted once; of the topics' weights the share (1 + iteration) ^ -0.51 is made new. This is pyspark.ml's online optimizer with a learning offset
+    of 1, whose passes draw the cells with replacement. Only the start of the topics is drawn, so the fit doesn't depend on how cells lie in partitions (but for rounding).
     """
-    genes = vocabulary(counts)
-    x = cut(_vectors(counts, genes, cell))  # read once by every pass
-    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, docConcentration=[alpha or 1 / k], topicConcentration=eta or 1 / k).fit(x)
-    w = model.topicsMatrix().toArray().T
-    return Fitted(gene_weights(counts.sparkSession, genes, w / w.sum(axis=1, keepdims=True)), _long(model.transform(x), cell), {"model": model, "genes": genes, "perplexity": model.logPerplexity(x)})
+    genes, spark = vocabulary(counts), counts.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a pass is work for the processor, however few the bytes
+    x = cut(numbered(counts, genes, cell).repartition(tasks, cell))  # read once by every pass
+    topics = Topics(np.random.default_rng(seed).gamma(100.0, 0.01, (k, len(genes))), alpha or 1 / k, eta or 1 / k)
+    for t in range(1, max_iter + 1):
+        topics.weights = topics.weights + (1 + t) ** -0.51 * (_pass(x, topics) + topics.eta - topics.weights)
+    judged = cut(_judged(x, topics, cell))
+    w = topics.weights
+    return Fitted(gene_weights(spark, genes, w / w.sum(axis=1, keepdims=True)), _long(judged, cell), {"model": topics, "genes": genes, "perplexity": _perplexity(judged, topics)})
 
 
-def _long(df: DataFrame, cell: str) -> DataFrame:
-    return df.select(cell, F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "weight"))
+def _long(judged: DataFrame, cell: str) -> DataFrame:
+    return judged.select(cell, F.posexplode("weights").alias("topic_id", "weight"))
 
 
 def infer_lda(fitted: Fitted, counts: DataFrame, cell: str = "cell_id") -> DataFrame:
     """``cell, topic_id, weight`` of other samples; genes the model doesn't know are left out."""
-    return _long(fitted.about["model"].transform(_vectors(counts, fitted.about["genes"], cell)), cell)
+    return _long(_judged(numbered(counts, fitted.about["genes"], cell), fitted.about["model"], cell), cell)
 
 
 def vectors_of(df: DataFrame, array: str, out: str = "features") -> DataFrame:

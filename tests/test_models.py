@@ -50,6 +50,38 @@ def test_lda_uses_every_cell(spark):
     assert w.min() > 0.2 * w.mean()
 
 
+def test_lda_counts_every_cell_once_a_pass(spark, planted):
+    """Cells that are alike weigh alike, and the fit doesn't depend on where cells lie."""
+    df = spark.createDataFrame([(f"c{c:03d}", f"g{c:03d}", 500.0) for c in range(150)], "cell_id string, gene string, value double")
+    w = lda.fit_lda(df, 3, 3).about["model"].topicsMatrix().toArray().sum(axis=1)
+    assert w.max() < 1.02 * w.min()
+    one, many = (lda.fit_lda(planted.repartition(n), 3, 5) for n in (1, 5))
+    assert np.allclose(one.about["model"].topicsMatrix().toArray(), many.about["model"].topicsMatrix().toArray(), rtol=1e-6)
+    assert one.about["perplexity"] == pytest.approx(many.about["perplexity"]) and 0 < one.about["perplexity"] < np.log(30)
+
+
+def test_lda_steps_equal_plain_loops(monkeypatch):
+    """Cells settled together, in blocks and dropping out one by one, are those settled alone; their weights sum to tokens and priors."""
+    import math
+
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 12, 40)
+    genes = np.concatenate([np.sort(rng.choice(20, n, False)) for n in sizes])
+    values, beta = rng.integers(1, 9, sizes.sum()), rng.dirichlet(np.ones(20), 4)
+    monkeypatch.setattr(lda, "CELLS", 7)
+    got, ends = lda.settle(genes, sizes, values, beta, 0.25), np.r_[0, np.cumsum(sizes)]
+    for c in range(40):
+        g, v = genes[ends[c] : ends[c + 1]], values[ends[c] : ends[c + 1]]
+        gamma, moved = np.full(4, 0.25 + v.sum() / 4), 1.0
+        while moved >= lda.SETTLED:
+            e = np.exp(lda.digamma(gamma))
+            new = 0.25 + e * (beta[:, g] * (v / (e @ beta[:, g]))).sum(axis=1)
+            gamma, moved = new, np.abs(new - gamma).mean()
+        assert np.allclose(got[:, c], gamma) and gamma.sum() == pytest.approx(v.sum() + 1)
+    x = np.array([1e-3, 0.2, 1.0, 3.5, 1e4])
+    assert np.allclose(lda.digamma(x), [(math.lgamma(a * (1 + 1e-5)) - math.lgamma(a * (1 - 1e-5))) / (2e-5 * a) for a in x], rtol=1e-5)
+
+
 def test_guided_lda_follows_seeds_and_keeps_tokens(spark, planted):
     seeds = {"g00": 2, "g01": 2, "g10": 0, "g11": 0, "g20": 1, "g21": 1}
     fit = guided.fit_guided(planted, 3, seeds, confidence=0.9, n_iter=8)
