@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.vectors import Copies, Index, build_index, fold_copies, hash_share, lay_out, nearest_pivots, record_type, screen, tiles_of, unit_rows, usable, whole
+from strandloom.llm.vectors import Copies, Index, build_index, fold_copies, lay_out, record_type, screen, slices_of, tiles_of, usable, whole
 from strandloom.session import cut
 
 PAIRS = "a bigint, b bigint, cosine double"
-#: Queries whose nearest are found by brute force to set how many blocks a search visits.
-TRIAL_QUERIES = 256
+#: Products of queries and rows that a task has at a time.
+PRODUCTS = 1 << 23
 
 
 def top_per_row(a: np.ndarray, b: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +128,9 @@ def _searched(k: int, kind: np.dtype, index: Index):
             asks, home = np.flatnonzero(tiles.rec["extra"] == 1), np.flatnonzero(tiles.rec["visits"][:, 0] == tiles.block)
             heaps, res = Heaps(len(tiles.ids), k), len(home)
             most = float(tiles.err[home].max()) if res else 0.0
-            for s in range(0, len(asks) if res else 0, 256):
-                i = asks[s : s + 256]
+            step = max(1, min(256, PRODUCTS // max(res, 1)))
+            for s in range(0, len(asks) if res else 0, step):
+                i = asks[s : s + step]
                 est = np.full((len(i), res), -2.0, np.float32)
                 for b in range(0, res, TILE_COLUMNS):
                     h = home[b : b + TILE_COLUMNS]
@@ -151,57 +152,20 @@ def _searched(k: int, kind: np.dtype, index: Index):
 TILE_COLUMNS = 4096
 
 
-def probes(vectors: DataFrame, asking: DataFrame, index: Index, n: int, n_asking: int, dim: int, k: int, recall: float) -> int:
-    """How many blocks a query has to visit so that at least ``recall`` of its k nearest are at home there.
-
-    Up to ``TRIAL_QUERIES`` queries, drawn by hash of the id, meet all rows by brute force; each task keeps the k nearest of each and the place of their home block among
-    the query's blocks. The number is that which covers ``recall`` of all trial neighbours.
-    """
-    blocks = len(index.pivots)
-    marked = asking.select("vec_id", "embedding", F.xxhash64("vec_id").alias("o"))
-    trial = hash_share(marked, "o", 2 * TRIAL_QUERIES / max(n_asking, 1)).orderBy("o").limit(TRIAL_QUERIES).select("vec_id", "embedding").toArrow()
-    if blocks == 1 or not trial.num_rows:
-        return blocks
-    own, unit = trial["vec_id"].to_numpy(), unit_rows(trial["embedding"], dim).astype(np.float32)
-    place = np.empty((len(own), blocks), np.int32)
-    np.put_along_axis(place, nearest_pivots(unit, index.pivots, blocks), np.tile(np.arange(blocks, dtype=np.int32), (len(own), 1)), 1)
-
-    def nearest(batches):
-        row, cosine, at = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int32)
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            u = unit_rows(b.column("embedding"), dim).astype(np.float32)
-            home = nearest_pivots(u, index.pivots, 1)[:, 0]
-            s = unit @ u.T
-            s[own[:, None] == b.column("vec_id").to_numpy()[None, :]] = -2
-            top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-            q = np.repeat(np.arange(len(own)), top.shape[1])
-            all_row, all_c, all_at = np.r_[row, q], np.r_[cosine, s[q, top.ravel()]], np.r_[at, place[q, home[top.ravel()]]]
-            row, where, cosine = top_per_row(all_row, np.arange(len(all_row)), all_c, k)
-            at = all_at[where]
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(cosine, pa.float32()), pa.array(at, pa.int32())], names=["a", "cosine", "b"])
-
-    best = _ranked(vectors.select("vec_id", "embedding").mapInArrow(nearest, "a bigint, cosine float, b int"), k).select("b").toArrow()["b"].to_numpy()
-    return int(min(blocks, np.sort(best)[max(0, int(np.ceil(recall * len(best))) - 1)] + 1)) if len(best) else blocks
-
-
-def search(df: DataFrame, k: int, query_step: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, recall: float = 0.97, block_rows: int = 1024) -> DataFrame:
+def search(df: DataFrame, k: int, query_step: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, block_rows: int | None = None) -> DataFrame:
     """``a, b, cosine``: the k most similar others b, of all usable vectors, of each usable vector a whose id is divisible by
     ``query_step``.
 
-    The rows searched lie in the block of their nearest pivot; queries visit as many blocks as trial queries need to find ``recall`` of their nearest (``probes``: a
-    bounded sample of queries against all rows). In a tile, every row whose upper bound reaches the lower bound of the k-th best is recomputed in float, and heaps keep the best.
-    Codes lose nothing; blocks not visited may: the tests measure the recall against brute force, which has to reach 0.9.
+    The rows searched lie in the block of their nearest pivot; queries visit all blocks, so no neighbour is lost at any size, and the result doesn't depend on ``block_rows`` (by default
+    as many blocks as ``whole`` has slices). In a tile, every row whose upper bound reaches the lower bound of the k-th best is recomputed in float, and heaps keep the best.
     Equals and unusable vectors are treated as in ``nearest_above``.
     """
     copies, n = folded(df, id_col, vec_col, dim), df.count()
     asking = F.col("vec_id") % query_step == 0
     sets = copies.members.where(asking).select(F.col("rep").alias("vec_id"), F.lit(True).alias("__asked")).distinct()
     flagged = cut(copies.reps.join(sets, "vec_id", "left").withColumn("asks", asking | F.coalesce("__asked", F.lit(False))).withColumn("extra", F.col("asks").cast("bigint")).withColumn("at_home", ~F.col("asks")).drop("__asked"))
-    index = build_index(flagged, n, dim, block_rows=block_rows)
-    queries = flagged.where("asks")
-    index.visits = probes(flagged, queries, index, n, queries.count(), dim, k, recall)
+    index = build_index(flagged, n, dim, visits=1, block_rows=block_rows or max(1, n // slices_of(n)))
+    index.visits = len(index.pivots)
     kind = record_type(dim, index.visits)
     found = lay_out(flagged, index, dim, kind, "at_home").groupBy("tile_group").applyInArrow(_searched(k, kind, index), PAIRS)
     return _unfold(_ranked(found, k), copies, k).where(F.col("a") % query_step == 0)

@@ -1,7 +1,7 @@
 """Blocks of vectors, and the product tiles that find near pairs within them.
 
 Vectors are brought to length one. For pairs above a threshold all rows are one block, cut into slices that meet pairwise (``whole``), so no pair is lost at
-any size; a task passes over those pairs that geometry rules out (``Tiles``). Only a search lays a row into the blocks of its few nearest pivots (``build_index``). Tiles of a block
+any size; a task passes over those pairs that geometry rules out (``Tiles``). Only a search has blocks of nearest pivots (``build_index``), all of which a query visits. Tiles of a block
 multiply int8 codes. The rounding error of every code is known, so a product gives an upper and a lower bound of the true cosine; only pairs whose upper bound reaches the threshold are
 recomputed from the float vectors.
 """
@@ -163,10 +163,15 @@ def build_index(vectors: DataFrame, n: int, dim: int, visits: int = 6, block_row
     return Index(pivots, visits, int(max(1, min(k, -(-n * visits // GROUP_ROWS)))), slices)
 
 
+def slices_of(n: int) -> int:
+    """How many slices ``n`` rows are cut into; at least 1."""
+    return max(1, -(-n // SLICE_ROWS), min(SPREAD, -(-n // SPREAD_ROWS)))
+
+
 def whole(n: int, dim: int, part_rows: int = PART_ROWS) -> Index:
     """All rows in one block, whose slices meet pairwise: every two rows meet once, whatever ``n``. A row travels once for each slice: up to ``SPREAD`` times as long as slices have at most ``SLICE_ROWS`` rows,
     beyond that in proportion to ``n``."""
-    slices = max(-(-n // SLICE_ROWS), min(SPREAD, -(-n // SPREAD_ROWS)))
+    slices = slices_of(n)
     return Index(np.zeros((1, dim), np.float32), 1, 1, {0: slices} if slices > 1 else {}, part_rows)
 
 

@@ -253,3 +253,19 @@ def test_p2_loses_no_pair_at_any_size(bare_pairs, monkeypatch, rows):
     in_slices(monkeypatch, rows)
     found = density_peaks(bare_pairs, block_rows=100).nodes.select("vec_id", "density", "label", "isolated").collect()
     assert len(found) == 6000 and all((r.density, r.label, r.isolated) == (2, r.vec_id % 3000, True) for r in found)
+
+
+@pytest.mark.parametrize("block_rows", [400, None])
+def test_p5_search_loses_no_neighbour_at_any_size(cells, block_rows):
+    """As many equals in cosine as brute force, to the last one, with 50 blocks and with one."""
+    df, ids, unit, _ = cells
+    rows = search(df, 5, block_rows=block_rows).collect()
+    at = np.flatnonzero(ids % 50 == 0)
+    s = unit[at] @ unit.T
+    s[np.arange(len(at)), at] = -2
+    best = {int(ids[q]): np.sort(s[n])[:-6:-1] for n, q in enumerate(at)}
+    got = {}
+    for r in rows:
+        got.setdefault(r.a, []).append(r.cosine)
+    assert set(got) == set(best)
+    assert all(np.allclose(sorted(got[q], reverse=True), best[q], atol=1e-6) for q in best)
